@@ -1,11 +1,13 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import jaccard_join, license_scan, matroska, mixture, url_filter
+from . import jaccard_join, language_id, license_scan, matroska, mixture, quality, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
+    "op2_quality": quality.query,
     "op3_url_filter": url_filter.query,
     "op6_mixture": mixture.query,
+    "op7_language_id": language_id.query,
     "op8_jaccard_join": jaccard_join.query,
     "op9_matroska": matroska.query,
 }
