@@ -1,6 +1,6 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import jaccard_join, language_id, license_scan, matroska, mixture, quality, url_filter
+from . import fingerprints, jaccard_join, language_id, license_scan, matroska, mixture, quality, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_language_id": language_id.query,
     "op8_jaccard_join": jaccard_join.query,
     "op9_matroska": matroska.query,
+    "op10_fingerprints": fingerprints.query,
 }
 
 ORACLES = {
