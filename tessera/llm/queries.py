@@ -1,11 +1,12 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import fingerprints, jaccard_join, language_id, license_scan, matroska, mixture, quality, url_filter
+from . import fingerprints, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_quality": quality.query,
     "op3_url_filter": url_filter.query,
+    "op5_packing": packing.query,
     "op6_mixture": mixture.query,
     "op7_language_id": language_id.query,
     "op8_jaccard_join": jaccard_join.query,
