@@ -396,3 +396,15 @@ def join(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denomi
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near duplicates the document of the least id stays, and one row of it."""
+    groups = join(docs.select("doc_id", "text"))
+    # The documents that go are far fewer than those that stay.
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = written(gone.withColumn("_gone", F.lit(True)).unionByName(again.withColumn("_gone", F.lit(False))), "jj-gone")
+    out = docs.join(gone, "doc_id", "left").where("_gone IS NULL OR NOT _gone")
+    twice = out.where("NOT _gone").drop("_gone")
+    return out.where("_gone IS NULL").select(docs.columns).unionByName(twice.dropDuplicates(["doc_id", "text"]).select(docs.columns))

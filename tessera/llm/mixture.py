@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-WEIGHTS, CAP, SALT, CELL_ROWS = (5, 2, 1), 3, "mix", 4096
+#: FEW: sources that may be broadcast, one row each.
+WEIGHTS, CAP, SALT, CELL_ROWS, FEW = (5, 2, 1), 3, "mix", 4096, 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,48 +64,71 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     return level.withColumn("first_level", first).withColumn("target", filled.cast("double")).drop("rate", "level", "first_level")
 
 
-def mix(docs: DataFrame, weight, weights=WEIGHTS, cap: float = CAP, salt: str = SALT, cell_rows: int = CELL_ROWS, whole_rows: bool = False) -> DataFrame:
-    """docs (doc_id, source, size, and others): adds source_size, target, taken."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(salt), F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
-    keyed = docs.withColumn("_key", -F.log(u) / weight)
-    per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    plan = targets(per_source, weights, cap).withColumns({
-        "_epochs": F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")) + F.lit(1e-9)), F.lit(0)).cast("long"),
-    }).withColumn("_rest", F.greatest(F.lit(0), F.round(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size")))
+def _joined(left: DataFrame, right: DataFrame, few: bool = False) -> DataFrame:
+    """Left join on source, null equal to null; few: right's rows were counted and may be broadcast."""
+    right = right.withColumnRenamed("source", "_source")
+    return left.join(F.broadcast(right) if few else right, left["source"].eqNullSafe(right["_source"]), "left").drop("_source")
+
+
+def key_of(weight, salt: str = SALT):
+    """-ln(u) / weight, with u from a hash of the row's id and size."""
+    digest = F.substring(F.md5(F.concat_ws("/", F.lit(salt), F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 12)
+    return -F.log((F.conv(digest, 16, 10).cast("double") + 0.5) / F.lit(float(16**12))) / weight
+
+
+def cell_of():
+    """exp(-key) is within 0 to 1 and falls as the key grows, so that cells are in key order."""
+    return F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.col("_cells")).cast("long")
+
+
+def plan_of(rows: DataFrame, weights=WEIGHTS, cap: float = CAP, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """rows (doc_id, source, size, _key): one row a source: source_size, target, epochs, missing, and the row at which its fraction ends."""
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    filled = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")) + F.lit(1e-9)).cast("long")
+    plan = targets(per_source, weights, cap).withColumn("epochs", F.coalesce(filled, F.lit(0)))
+    plan = plan.withColumn("_rest", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("epochs") * F.col("source_size")))
     plan = written(plan.withColumn("_cells", F.greatest(F.lit(1), F.ceil(F.col("_rows") / cell_rows)).cast("long")).drop("_rows", "weight"), "mix-plan")
-    # One row a source; joined by broadcast only where Spark finds it small.
-    rows = _joined(keyed, plan)
-    # exp(-key) is within 0 to 1 and falls with the key, so that cells are in key order.
-    rows = rows.withColumn("_cell", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.col("_cells")).cast("long"))
+    few = plan.count() <= FEW
+    rows = _joined(rows, plan.select("source", "_rest", "_cells"), few).withColumn("_cell", cell_of())
     cells = rows.groupBy("source", "_cell").agg(F.sum("size").alias("_sum"), F.first("_rest").alias("_rest"))
     upto = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     ends = cells.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
     ends = ends.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_sum") >= F.col("_rest")))
     ends = written(ends.select("source", F.col("_cell").alias("_end"), "_before"), "mix-ends")
-    rows = _joined(rows, ends)
     order = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.where(F.col("_cell") == F.col("_end")).withColumn("_prior", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    missing = F.col("_rest") - F.col("_prior")
-    part = F.when(missing >= F.col("size"), F.col("size")).when(missing * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole_rows else F.least(F.col("size"), missing)
-    inside = inside.withColumn("_part", F.when(missing <= 0, 0).otherwise(part).cast("long")).drop("_prior")
-    outside = rows.where(F.col("_end").isNull() | (F.col("_cell") != F.col("_end"))).withColumn("_part", F.when(F.col("_cell") < F.col("_end"), F.col("size")).otherwise(0).cast("long"))
-    out = inside.unionByName(outside).withColumn("taken", F.col("_epochs") * F.col("size") + F.col("_part"))
-    return out.drop("_key", "_epochs", "_rest", "_cells", "_cell", "_end", "_before", "_part")
+    inside = _joined(rows, ends, few).where(F.col("_cell") == F.col("_end"))
+    inside = inside.withColumn("missing", F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = inside.where((F.col("missing") > 0) & (F.col("missing") <= F.col("size")))
+    last = last.groupBy("source").agg(F.min_by(F.struct("_key", "doc_id", "size", "missing"), F.struct("_key", "doc_id", "size")).alias("_last"))
+    return written(_joined(plan, last, few).drop("_rest", "_cells"), "mix-plan")
 
 
-def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left join on source, null equal to null."""
-    right = right.withColumnRenamed("source", "_source")
-    return left.join(right, left["source"].eqNullSafe(right["_source"]), "left").drop("_source")
+def mix(docs: DataFrame, rows: DataFrame | None = None, weights=WEIGHTS, cap: float = CAP, cell_rows: int = CELL_ROWS, whole_rows: bool = False) -> DataFrame:
+    """docs (doc_id, source, size, _key, and others): adds source_size, target, taken; rows: docs without the others, if they are at hand."""
+    plan = plan_of(docs.select("doc_id", "source", "size", "_key") if rows is None else rows, weights, cap, cell_rows)
+    out = _joined(docs, plan, plan.count() <= FEW)
+    here, end = F.struct("_key", "doc_id", "size"), F.struct("_last._key", "_last.doc_id", "_last.size")
+    cut = F.when(F.col("_last.missing") * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole_rows else F.col("_last.missing")
+    part = F.when(F.col("_last").isNull(), 0).when(here < end, F.col("size")).when(here == end, cut).otherwise(0)
+    return out.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("epochs", "_last", "_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", size_of().alias("size"), quality_weight().alias("_weight"))
-    out = mix(written(sized, "mix-sizes"), F.col("_weight"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", size_of().alias("size"), quality_weight().alias("_weight"))
+    out = mix(written(docs.withColumn("_key", key_of(F.col("_weight"))).drop("_weight"), "mix-sizes"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document as often as the mix takes it, whole; texts are not shuffled."""
+    names = docs.columns
+    own = docs.withColumn("size", size_of()).withColumn("_key", key_of(quality_weight()))
+    rows = written(own.select("doc_id", "source", "size", "_key"), "mix-sizes")
+    out = mix(own, rows, whole_rows=True)
+    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    return out.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(names)
+
+
 def oracle() -> str:
     return rf"""
     WITH d AS (

@@ -1,11 +1,15 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import fingerprints, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
+import corpus_pipeline
+
+from . import fingerprints, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_license_scan": license_scan.query,
     "op2_quality": quality.query,
     "op3_url_filter": url_filter.query,
+    "op4_html_extract": html_extract.query,
     "op5_packing": packing.query,
     "op6_mixture": mixture.query,
     "op7_language_id": language_id.query,
