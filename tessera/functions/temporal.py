@@ -121,3 +121,17 @@ def boost(start, end, q_start, q_end, beta: float = 2.0) -> Column:
     """1 + beta for what has a period that overlaps the query's, else 1."""
     timed = F.nullif(col(start), F.lit("")).isNotNull()
     return F.when(timed & overlaps(start, end, q_start, q_end), 1.0 + beta).otherwise(1.0)
+
+
+def validated(times, q_start) -> Column:
+    """(valid, reason, kept) of a question's start against the context's sorted times: only times up to it may be used."""
+    times, q_start = col(times), col(q_start)
+    kept = F.filter(times, lambda t: t <= q_start)
+    none = F.array().cast("array<string>")
+    made = lambda valid, reason, left: F.struct(F.lit(valid).alias("valid"), F.lit(reason).cast("string").alias("reason"), left.alias("kept"))
+    return (
+        F.when(F.size(F.coalesce(times, none)) == 0, made(False, "no_temporal_data", none))
+        .when(q_start.isNull(), made(True, None, times))
+        .when(F.size(kept) == 0, made(False, "before_all_contexts", none))
+        .otherwise(made(True, None, kept))
+    )

@@ -113,11 +113,12 @@ def link_labels(texts: DataFrame, labels: DataFrame, most_words: int = 8) -> Dat
     sizes = [r[0] for r in labels.select(F.size(F.split("label", " ")).alias("n")).distinct().where(F.col("n") <= most_words).collect()]  # at most most_words numbers
     # Lengths are few by nature and bounded by most_words; longer labels are searched by `contains`.
     w = F.filter(F.split(F.regexp_replace(fold("text"), r"[^a-z0-9_\s]", " "), r"\s+"), lambda x: x != "")
-    grams = None
-    for n in sorted(sizes):
+
+    def of(n: int):
         at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        part = F.transform(at, lambda i, n=n: F.array_join(F.slice(w, i, n), " "))
-        grams = part if grams is None else F.concat(grams, part)
+        return w if n == 1 else F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    grams = F.concat(*map(of, sorted(sizes))) if sizes else None
     if grams is None:
         return texts.select("text_id").limit(0).join(labels.select("id"), F.lit(False)).withColumn("occurrences", F.lit(0).cast("long"))
     counted = texts.select("text_id", F.explode(grams).alias("label")).groupBy("text_id", "label").agg(F.count(F.lit(1)).alias("n"))
