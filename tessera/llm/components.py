@@ -1,23 +1,54 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table: alternating large and small stars, or one task for few edges."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: Edges that one task may hold (16 bytes each in Arrow, some hundred as a forest).
+FEW = 1_000_000
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+
+def forest(edges) -> dict[int, int]:
+    """Union-find over pairs: node to the least node of its component."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        root.setdefault(x, x)
+        root.setdefault(y, y)
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return {x: top(x) for x in root}
+
+
+def _one_task(batches):
+    found = forest(pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs: (node, component), component being the least node reachable.
 
-    Every round links each node's larger neighbours to the least one (large star), then the smaller
+    The distinct edges are written and counted; up to `few` of them are joined by union-find in one task. More
+    are joined in rounds: each links every node's larger neighbours to the least one (large star), then the smaller
     ones (small star); edges do not grow in number, and rounds grow with the logarithm of the
     nodes. Each round is written to the shared folder. Minima are summed on the map side; a hub's edges meet
     its minimum in a join that Spark may split. No edge, or only loops: an empty result.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, before = written(now, "cc"), None
+    if now.count() <= few:
+        return written(now.coalesce(1).mapInArrow(_one_task, "node bigint, component bigint"), "cc")
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -316,9 +316,7 @@ def _joined(numerator: int, denominator: int):
     """Task of step 3: links of a family or of a pair of its blocks."""
 
     def run(group: pa.Table) -> pa.Table:
-        seen: dict[int, int] = {}
-        rows = list(zip(*(group.column(k).to_pylist() for k in ("cid", "side", "n", "shared"))))
-        rows = [r for k, r in enumerate(rows) if seen.setdefault(r[0], k) == k]
+        rows = list(dict.fromkeys(zip(*(group.column(k).to_pylist() for k in ("cid", "side", "n", "shared")))))
         forest = []
         if len(rows) > 1:
             ids, sides, sizes, sets = (list(x) for x in zip(*rows))
@@ -377,16 +375,17 @@ def join(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denomi
     """docs (doc_id long, text): per row doc_id, n_shingles, component_id."""
     rows = sets_of(docs, width, numerator, denominator)
     live = rows.where("prefix > 0")
-    classes = written(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid")), "jj-classes")
-    reps = live.join(classes, ["s1", "s2"]).where("doc_id = cid").select("cid", "n", "prefix", "shared")
-    postings = reps.select("cid", "prefix", "shared").mapInArrow(_postings, "h bigint, cid bigint")
-    postings = written(postings, "jj-postings")
+    classes = written(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n")), "jj-classes")
+    # Sets are wide: they are moved once, when it is known which of them meet; until then ids stand for them.
+    postings = live.select("doc_id", "prefix", "shared").mapInArrow(_postings, "h bigint, cid bigint")
+    postings = written(postings.join(classes.select("cid").distinct(), "cid").select("h", "cid"), "jj-postings")
     stars = postings.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("h", "a")
     edges = postings.join(stars, "h").select("a", F.col("cid").alias("b")).where("a <> b")
     families = components(edges).withColumnsRenamed({"node": "cid", "component": "fid"})
-    members = written(families.join(reps, "cid").select("fid", "cid", "n", "shared"), "jj-members")
-    pairs = block_pairs(members, block, numerator, denominator).select("pair", "cid", "side", "n", "shared")
-    links = pairs.groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint")
+    members = written(families.join(classes.groupBy("cid").agg(F.min("n").alias("n")), "cid").select("fid", "cid", "n"), "jj-members")
+    pairs = written(block_pairs(members, block, numerator, denominator).select("pair", "cid", "side"), "jj-pairs")
+    sets = live.select(F.col("doc_id").alias("cid"), "n", "shared")
+    links = pairs.join(sets, "cid").groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint")
     groups = components(links).withColumnsRenamed({"node": "cid", "component": "component_id"})
     named = classes.join(groups, "cid", "left").select("s1", "s2", F.coalesce("component_id", "cid").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
