@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import held_out, small_batches, table, written
 from .shingles import slices, text_bytes
 
-ORDER, SYMBOLS, DOCS_A_LANGUAGE, EVIDENCE, SCALE, FLOOR = 3, 48, 400, 200, 1024, 0.5
+ORDER, SYMBOLS, DOCS_A_LANGUAGE, EVIDENCE, SCALE, FLOOR, MOST_IDS = 3, 48, 400, 200, 1024, 0.5, 100_000
 
 LOWERED = np.arange(256)
 LOWERED[65:91] += 32
@@ -53,7 +53,10 @@ def sample(docs: DataFrame, most: int = DOCS_A_LANGUAGE) -> DataFrame:
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     told = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
     chosen = told.select("doc_id", "lang").withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most)
-    return told.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
+    chosen = written(chosen.select("doc_id").distinct(), "ppm-sample")
+    # Ids of the sample are few unless languages are very many; then texts meet them in a shuffled join.
+    few = F.broadcast(chosen) if chosen.count() <= MOST_IDS else chosen
+    return told.join(few, "doc_id", "left_semi").select("lang", "text")
 
 
 class Trees:
