@@ -403,7 +403,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The documents that go are far fewer than those that stay.
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = written(gone.withColumn("_gone", F.lit(True)).unionByName(again.withColumn("_gone", F.lit(False))), "jj-gone")
+    marked = gone.withColumn("_gone", F.lit(True)).unionByName(again.withColumn("_gone", F.lit(False)))
+    gone = written(marked.groupBy("doc_id").agg(F.max("_gone").alias("_gone")), "jj-gone")
     out = docs.join(gone, "doc_id", "left").where("_gone IS NULL OR NOT _gone")
     twice = out.where("NOT _gone").drop("_gone")
     return out.where("_gone IS NULL").select(docs.columns).unionByName(twice.dropDuplicates(["doc_id", "text"]).select(docs.columns))
