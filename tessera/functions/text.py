@@ -111,7 +111,7 @@ def labelled(name, types, ident) -> Column:
 def repaired_json(text) -> Column:
     """JSON without code fences and with lone backslashes doubled."""
     bare = F.regexp_replace(F.trim(col(text)), r"^```(?:json)?\s*|\s*```$", "")
-    return F.regexp_replace(bare, r"""\\(?!["\\/bfnrtu])""", r"\\\\\\\\")
+    return F.regexp_replace(bare, r"""\\(?!["\\/bfnrtu])""", r"\\\\")
 
 
 def intent(question) -> Column:

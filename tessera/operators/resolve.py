@@ -155,7 +155,8 @@ def near_pairs(rows: DataFrame, eps: float) -> DataFrame:
         x, y = ids[left[a]], ids[right[b]]
         keep = x < y if lo[0] == hi[0] else np.ones(len(x), bool)
         x, y = x[keep], y[keep]
-        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        own = group.schema.field("id").type
+        return pa.table([pa.array(np.minimum(x, y)).cast(own), pa.array(np.maximum(x, y)).cast(own)], ["a", "b"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return dealt.groupBy("lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
