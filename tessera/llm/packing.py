@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 LENGTH, END, SHARD, MOST_CHUNKS = 1024, 2, 16384, 600_000
+#: How byte-level tokens write a space; chunks encoded by one call.
+SPACE, GROUP = "\u0120", 64
 DOUBLE_SPACE = re.compile(r"\s\s")
 
 
@@ -53,6 +55,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[k for token, k in vocabulary.items() if token.startswith(SPACE)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -63,17 +68,37 @@ class Encoder:
         if not fresh:
             return
         # A text's first chunk has no space before it: it is kept under a mark that no other chunk can have.
-        plain = [x[2:] if x.startswith("\n\n") else f" {x}" for x in fresh]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        heads = [k for k, x in enumerate(fresh) if x.startswith("\n\n")]
+        rest = [k for k, x in enumerate(fresh) if not x.startswith("\n\n")]
+        one, one_sizes = self._ids([fresh[k] for k in rest])
+        two = self._batch([fresh[k][2:] for k in heads])
+        two_sizes = np.fromiter(map(len, two), np.int64, len(two))
+        new = np.concatenate([one, np.fromiter(chain.from_iterable(two), np.int64)]).astype(np.uint32)
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[self.used : self.used + len(new)] = new
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        where, stored = np.array(rest + heads), np.concatenate([one_sizes, two_sizes])
+        sizes, starts = np.empty(len(fresh), np.int64), np.empty(len(fresh), np.int64)
+        sizes[where], starts[where] = stored, self.used + np.cumsum(stored) - stored
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         self.used += len(new)
 
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that follow a space, and how many each has.
+
+        GROUP chunks are encoded by one call, as calls cost more than their work; a chunk's ids begin with the one that holds its space.
+        """
+        ids = self._batch([" " + " ".join(chunks[k : k + GROUP]) for k in range(0, len(chunks), GROUP)])
+        flat = np.fromiter(chain.from_iterable(ids), np.int64)
+        starts = np.flatnonzero(self.spaced[flat])
+        if len(starts) == len(chunks) and not (len(starts) and starts[0]):
+            return flat, np.diff(np.append(starts, len(flat)))
+        ids = self._batch([" " + x for x in chunks])
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.chunks) > self.most:
             self._forget()
