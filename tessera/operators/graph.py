@@ -138,9 +138,33 @@ def augmented(pairs: DataFrame, bridge: DataFrame, weight: Column | float = 1.0)
     return arcs(pairs.select("question_id", "lo", "hi", "w").unionByName(links), "w")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges (a, b): (node, component), the least node reachable; by alternating large and small stars."""
+def _forest(batches):
+    """Union-find over the rows (u, v) of one task: node and least node of its component."""
+    root: dict = {}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b["u"].tolist(), b["v"].tolist()):
+            x, y = top(root.setdefault(x, x)), top(root.setdefault(y, y))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"node": list(root), "component": [top(x) for x in root]})
+
+
+def components(edges: DataFrame, few: int = 1_000_000, most_rounds: int = 60) -> DataFrame:
+    """edges (a, b): (node, component), the least node reachable.
+
+    Up to `few` distinct edges (counted) are joined by union-find in one task, more by alternating large and small stars.
+    """
     now, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars"), None
+    if now.count() <= few:
+        kind = now.schema["u"].dataType.simpleString()
+        return written(now.coalesce(1).mapInPandas(_forest, f"node {kind}, component {kind}"), "stars")
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

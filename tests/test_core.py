@@ -72,7 +72,8 @@ def test_simple_graph_ball_and_components(spark):
     assert rows(graph.ball(pairs, seeds, 1), "node") == [("1",), ("2",)]
     assert rows(graph.ball(pairs, seeds, 2), "node") == [("1",), ("2",), ("3",)]
     chain = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20], "a long, b long")
-    assert {r.node: r.component for r in graph.components(chain).collect()} == {k: 0 if k < 21 else 21 for k in range(41)}
+    for few in (0, 100):
+        assert {r.node: r.component for r in graph.components(chain, few).collect()} == {k: 0 if k < 21 else 21 for k in range(41)}
 
 
 def test_fusion(spark):
