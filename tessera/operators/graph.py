@@ -153,7 +153,8 @@ def _forest(batches):
             x, y = top(root.setdefault(x, x)), top(root.setdefault(y, y))
             if x != y:
                 root[max(x, y)] = min(x, y)
-    yield pd.DataFrame({"node": list(root), "component": [top(x) for x in root]})
+    if root:
+        yield pd.DataFrame({"node": list(root), "component": [top(x) for x in root]})
 
 
 def components(edges: DataFrame, few: int = 1_000_000, most_rounds: int = 60) -> DataFrame:
