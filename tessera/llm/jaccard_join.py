@@ -19,7 +19,8 @@
 
 Exact up to collisions of 64-bit hashes. Null and empty texts, and texts of white space, have an empty set and link
 with nothing. Fewer words than `width`: one shingle of all words. Repeated rows are each returned,
-with the same component. An empty table gives an empty result. Other columns are not read. The
+with the same component; rows that share an id count as one document. Rows without an id are
+returned without a set and group. An empty table gives an empty result. Other columns are not read. The
 input must be re-readable in the same order (a file scan is), as chunks are numbered within partitions.
 """
 
@@ -373,7 +374,8 @@ def sets_of(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, den
 
 def join(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, block: int = BLOCK) -> DataFrame:
     """docs (doc_id long, text): per row doc_id, n_shingles, component_id."""
-    rows = sets_of(docs, width, numerator, denominator)
+    nameless = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    rows = sets_of(docs.where("doc_id IS NOT NULL"), width, numerator, denominator)
     live = rows.where("prefix > 0")
     classes = written(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n")), "jj-classes")
     # Sets are wide: they are moved once, when it is known which of them meet; until then ids stand for them.
@@ -390,7 +392,7 @@ def join(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denomi
     named = classes.join(groups, "cid", "left").select("s1", "s2", F.coalesce("component_id", "cid").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).union(nameless)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

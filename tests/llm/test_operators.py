@@ -75,6 +75,8 @@ def test_jaccard_join_of_repeated_rows_and_of_none(spark):
     out = jaccard_join.join(docs.union(docs))
     assert out.count() == 24 and out.distinct().count() == 12
     assert jaccard_join.join(docs.limit(0)).count() == 0
+    nameless = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [tuple(r) for r in jaccard_join.join(docs.union(nameless)).where("doc_id IS NULL").collect()] == [(None, None, None)] * 2
     kept = jaccard_join.stage(spark, docs.union(docs), "")
     assert kept.columns == docs.columns and kept.count() == len({v[1] for v in brute_groups(near_texts()[:12]).values()})
 
