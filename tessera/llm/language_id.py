@@ -66,20 +66,28 @@ class Trees:
         self.symbol, self.languages, self.codes, self.counts = symbol, languages, codes, counts
 
     def lengths(self, k: int) -> np.ndarray:
-        """Code lengths, in 1 / SCALE bits, of every gram in language k."""
-        full = np.zeros(SYMBOLS ** (ORDER + 1))
-        full[self.codes[k]] = self.counts[k]
-        p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        for order in range(ORDER + 1):
-            n = full.reshape(-1, SYMBOLS**order, SYMBOLS).sum(0)
-            total, distinct = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            shorter = np.tile(p, (len(n) // len(p), 1))
-            rest = np.where(n > 0, 0, shorter)
-            rest /= np.maximum(rest.sum(1, keepdims=True), 1e-300)
-            complete = distinct == SYMBOLS  # no symbol is left to escape to
-            seen = n / np.maximum(np.where(complete, total, total + distinct), 1)
-            p = np.where(total == 0, shorter, np.where(n > 0, seen, rest * distinct / np.maximum(total + distinct, 1)))
-        return np.minimum(np.round(-np.log2(np.maximum(p, 1e-18)) * SCALE), 65535).astype(np.uint16).ravel()
+        """Code lengths, in 1 / SCALE bits, of every gram in language k; the longest contexts a block at a time, as workers are small."""
+        codes, counts, p = self.codes[k], self.counts[k], np.full((1, SYMBOLS), 1 / SYMBOLS)
+        for order in range(ORDER):
+            size = SYMBOLS ** (order + 1)
+            p = self._level(np.bincount(codes % size, counts, size).reshape(-1, SYMBOLS), np.tile(p, (SYMBOLS**order // len(p), 1)))
+        block = SYMBOLS**ORDER
+        out = np.empty(SYMBOLS * block, np.uint16)
+        for first in range(SYMBOLS):
+            a, b = np.searchsorted(codes, [first * block, (first + 1) * block])
+            q = self._level(np.bincount(codes[a:b] - first * block, counts[a:b], block).reshape(-1, SYMBOLS), p)
+            out[first * block : (first + 1) * block] = np.minimum(np.round(-np.log2(np.maximum(q, 1e-18)) * SCALE), 65535).ravel()
+        return out
+
+    @staticmethod
+    def _level(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Probabilities after contexts with counts n, escaping to those of the shorter contexts."""
+        total, distinct = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+        rest = np.where(n > 0, 0, shorter)
+        rest /= np.maximum(rest.sum(1, keepdims=True), 1e-300)
+        complete = distinct == SYMBOLS  # no symbol is left to escape to
+        seen = n / np.maximum(np.where(complete, total, total + distinct), 1)
+        return np.where(total == 0, shorter, np.where(n > 0, seen, rest * distinct / np.maximum(total + distinct, 1)))
 
     def tables(self) -> list[np.ndarray]:
         if "_tables" not in self.__dict__:

@@ -81,7 +81,7 @@ def shingle_hashes(raw: np.ndarray, ends: np.ndarray, width: int = 4) -> tuple[n
     return np.concatenate(parts), np.concatenate(owners)
 
 
-def slices(ends: np.ndarray, most: int = 1 << 20):
+def slices(ends: np.ndarray, most: int = 1 << 19):
     """Row ranges whose texts have at most `most` bytes; a longer single text is a range of its own."""
     at, n = 0, len(ends) - 1
     while at < n:
