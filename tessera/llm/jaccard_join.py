@@ -40,6 +40,8 @@ from .shingles import mix, shingle_hashes, slices, text_bytes
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Shingles in a chunk of documents, documents that share a range task's share, sets in a block.
 CHUNK, DOCS_A_RANGE, BLOCK = 1 << 20, 1500, 256
+#: The pipeline's stage: five words and a similarity of 0.8; op8's contract binds the query alone.
+STAGE = {"width": 5, "numerator": 80, "denominator": 100}
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -401,7 +403,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document of the least id stays, and one row of it."""
-    groups = join(docs.select("doc_id", "text"))
+    groups = join(docs.select("doc_id", "text"), **STAGE)
     # The documents that go are far fewer than those that stay.
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
