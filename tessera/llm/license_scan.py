@@ -3,7 +3,10 @@
 A text is cut into sentences, each is normalised and looked up among known licence sentences; the
 identifiers found, in text order, form a sequence. Rules are ordered sequences of identifiers; each
 takes its matches out of the sequence before the next rule looks, so that a specific licence wins
-over a shorter one. All of it is one projection: no shuffle, no Python on the executors.
+over a shorter one. A line's end may end a sentence but may also lie within one, as licence texts are wrapped; comment
+markers at line starts fall to normalisation. All of it is one projection: no shuffle, no Python on the executors.
+The oracle cuts at every line's end and knows SENTENCES alone: it equals the scan only where no known sentence is
+wrapped and none of WHOLE occurs.
 
 Null and empty texts have no sentence: empty strings and 0. Repeated rows give repeated results.
 Only the text column is read, so other columns may have any name.
@@ -38,6 +41,23 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
+#: Whole sentences of the licences' standard texts, of which SENTENCES has the heads; two identifiers where one sentence holds both.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit_notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as_is",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2_ref|apache2_use",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2_as_is",
+}
+#: Sentences that run into the next where a text has lost its line ends, as a colon or an address is no stop.
+_grant, _notice, _as_is, _bsd = (next(k for k, v in x.items() if v == name) for x, name in ((WHOLE, "mit_grant"), (SENTENCES, "mit_notice"), (WHOLE, "apache2_as_is"), (SENTENCES, "bsd_grant")))
+WHOLE |= {
+    f"{_grant} {_notice}": "mit_grant|mit_notice",
+    f"you may obtain a copy of the license at http www apache org licenses license 2 0 {_as_is}": "apache2_copy|apache2_as_is",
+    f"{_bsd} 1": "bsd_grant",
+    f"{_bsd} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_grant",
+}
+
 #: Ordered rules: licence, class, the identifiers that must follow each other.
 RULES = [
     ("MIT", "permissive", ("mit_grant", "mit_notice", "as_is")),
@@ -56,8 +76,8 @@ RULES = [
     ("LicenseRef-Proprietary", "proprietary", ("reserved",)),
 ]
 
-#: Ends of sentences: a stop and white space, or a line's end.
-ENDS = r"([.!?])[\x20\t\n\r\f]+|[\n\r]+"
+#: Ends of sentences: a stop and white space. Line ends may be one.
+STOPS, LINES = r"([.!?])[\x20\t\n\r\f]+", r"[\n\r]+"
 
 
 def matched_columns(seq: str, rules=RULES) -> tuple[list[str], str]:
@@ -72,13 +92,15 @@ def matched_columns(seq: str, rules=RULES) -> tuple[list[str], str]:
 
 def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """Adds sentence_ids (|-framed, in text order), n_sentences, licenses and license_class to docs."""
+    sentences = WHOLE | sentences if sentences is SENTENCES else sentences
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ENDS, "$1\x01"), "\x01")
-
-    def normal(x):
-        return F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), "[^a-z0-9]+", " "))
-
-    ids = F.filter(F.transform(cut, lambda x: F.try_element_at(known, normal(x))), lambda x: x.isNotNull())
+    # \x01 is a stop, \x02 a line's end: a known sentence lies between two of either and may have line ends within.
+    marked = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER + "\x02", LOWER + " ")
+    marked = F.regexp_replace(F.regexp_replace(marked, STOPS, "$1\x01"), LINES, "\x02")
+    plain = F.concat(F.lit("\x01"), F.regexp_replace(marked, "[^a-z0-9\x01\x02]+", " "), F.lit("\x01"))
+    words = "|".join(x.replace(" ", "[ \x02]+") for x in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(plain, F.lit(f"[\x01\x02] *({words})(?= *[\x01\x02])"), F.lit(1))
+    ids = F.flatten(F.transform(found, lambda x: F.split(F.try_element_at(known, F.regexp_replace(x, "[ \x02]+", " ")), "[|]")))
     seq = F.when(F.size(ids) > 0, F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|"))).otherwise(F.lit(""))
     out = docs.withColumns({"n_sentences": F.size(ids).cast("long"), "sentence_ids": seq})
     names, kinds, rest = [], [], "sentence_ids"

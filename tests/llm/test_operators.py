@@ -116,6 +116,71 @@ def test_license_scan(spark):
     assert license_scan.scan(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, A. Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may
+not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+
+
+def test_license_scan_of_wrapped_texts(spark):
+    texts = [MIT, BSD, GPL, APACHE]
+    forms = [texts, [re.sub("(?m)^", " * ", x) for x in texts], [x.replace("\n", "\r\n# ") for x in texts], [" ".join(x.split()) for x in (MIT[MIT.index("Perm") :], BSD[BSD.index("Redis") :], GPL, APACHE)]]
+    got = [r for form in forms for r in license_scan.scan(documents(spark, form)).orderBy("doc_id").collect()]
+    ids = ["|mit_grant|mit_notice|as_is|", "|bsd_grant|bsd_names|", "|gpl3_grant|", "|apache2_ref|apache2_use|apache2_copy|apache2_as_is|"]
+    names = ["MIT", "BSD-3-Clause", "GPL-3.0-or-later", "Apache-2.0"]
+    for k, form in enumerate(("plain", "starred", "hashed", "one line")):
+        assert [(r.sentence_ids, r.licenses) for r in got[4 * k : 4 * k + 4]] == list(zip(ids, names)), form
+
+
 def test_url_rules_and_reputation(spark):
     urls = [(1, "http://WWW.Example.com/en/1?x"), (2, "https://a.example.com/en/2"), (3, "https://a.b.net/es/3#f"), (4, "x://b.org"), (5, "no scheme"), (6, None), (7, "http://good.org/aa/7"), (8, "http://bad.org/aa/8"), (9, "http://bad.org/aa/9"), (9, "http://bad.org/aa/9")]
     pages = url_filter.parts(spark.createDataFrame(urls, "page_id long, url string"))
