@@ -105,13 +105,12 @@ def label_table(nodes: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.max_by("id", F.struct("pos", "id")).alias("id"))
 
 
-def link_labels(texts: DataFrame, labels: DataFrame, most_words: int = 8) -> DataFrame:
+def link_labels(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """texts (text_id, text), labels (label, id): (text_id, id, occurrences) of labels that occur as whole words.
 
-    Texts' word n-grams meet the labels in one equi-join, in place of a search of every label in every text.
+    Texts' word n-grams, of the lengths that labels have, meet the labels in one equi-join, in place of a search of every label in every text.
     """
-    sizes = [r[0] for r in labels.select(F.size(F.split("label", " ")).alias("n")).distinct().where(F.col("n") <= most_words).collect()]  # at most most_words numbers
-    # Lengths are few by nature and bounded by most_words; longer labels are searched by `contains`.
+    sizes = [r[0] for r in labels.where("label IS NOT NULL").select(F.size(F.split("label", " "))).distinct().collect()]  # one number a length
     w = F.filter(F.split(F.regexp_replace(fold("text"), r"[^a-z0-9_\s]", " "), r"\s+"), lambda x: x != "")
 
     def of(n: int):

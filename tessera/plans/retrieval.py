@@ -16,13 +16,15 @@ def timed(questions: DataFrame, config: Config = Config()) -> DataFrame:
     return questions.withColumn("_i", query_interval("question", config.default_query)).withColumns({"q_start": F.col("_i.start"), "q_end": F.col("_i.end"), "intent": intent("question")}).drop("_i")
 
 
-def keyword_seeds(questions: DataFrame, names: DataFrame, most_words: int = 6) -> DataFrame:
-    """names (node, name): (question_id, node) of names that occur in the question as whole words, by an equi-join on word n-grams."""
+def keyword_seeds(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """names (node, name): (question_id, node) of names that occur in the question as whole words, by an equi-join on word n-grams of the lengths that names have."""
     w = tokens("question")
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(
+    keys = names.select("node", fold("name").alias("key"))
+    sizes = sorted(r[0] for r in keys.where("key IS NOT NULL").select(F.size(F.split("key", " "))).distinct().collect())  # one number a length
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.transform(
         F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " ")))))
     asked = questions.select("question_id", F.explode(grams).alias("key"))
-    return asked.join(names.select("node", fold("name").alias("key")), "key").select("question_id", "node").distinct()
+    return asked.join(keys, "key").select("question_id", "node").distinct()
 
 
 def entity_names(questions: DataFrame, names: DataFrame) -> DataFrame:

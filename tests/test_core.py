@@ -173,3 +173,14 @@ def test_stream_counts(spark, tmp_path):
     ingest.append(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert ingest.windowed_counts(rows_).first().n == 2
+
+
+def test_long_labels_and_names_link(spark):
+    long = [" ".join(f"w{k}" for k in range(n)) for n in (7, 9, 15)]
+    texts = spark.createDataFrame([(1, f"x {long[2]} y. {long[1]}"), (2, long[0]), (3, "w0")], "text_id int, text string")
+    labels = spark.createDataFrame([(x, k) for k, x in enumerate(long)], "label string, id int")
+    assert sorted(map(tuple, resolve.link_labels(texts, labels).collect())) == [(1, 0, 2), (1, 1, 2), (1, 2, 1), (2, 0, 1)]
+    asked = texts.withColumnsRenamed({"text_id": "question_id", "text": "question"})
+    names = labels.withColumnsRenamed({"label": "name", "id": "node"})
+    assert sorted(map(tuple, retrieval.keyword_seeds(asked, names).collect())) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert retrieval.keyword_seeds(asked, names.limit(0)).count() == 0
