@@ -9,26 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is named."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a local session gets a folder of its own; a cluster must name one."""
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop's objects."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it again; the files go when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    there, files = _path(spark, path)
+    files.deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stage(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path if it is complete, else made, written and read: a later run resumes at the first missing stage."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    done, files = _path(spark, f"{path}/_SUCCESS")
+    if not files.exists(done):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
