@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import written  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,27 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is named."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not got:
-        got = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, as single texts may be very long."""
+    """Bounds the rows of the session's Arrow batches, as single texts may be very long; plans read the setting when they run, so it stays."""
     now = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     if int(now) > rows or int(now) <= 0:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -13,6 +13,8 @@ VALUE[SPACE] = 0
 
 P, A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _powers = np.cumprod(np.full(1024, P, np.uint64), dtype=np.uint64)
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,25 +36,52 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word, in order. ends: offsets of the rows, from 0."""
+def word_hashes(raw: np.ndarray, ends: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, in order. ends: offsets of the rows, from 0.
+
+    A word's hash is a sum over its bytes, so that texts of any length are read a segment at a time; a word that
+    a segment's end cuts is summed on in the next.
+    """
     global _powers
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = SPACE[raw]
-    fresh = np.empty(len(raw), bool)
-    fresh[0] = True
-    fresh[1:] = space[:-1]
-    fresh[ends[:-1][ends[:-1] < len(raw)]] = True
-    starts = np.flatnonzero(fresh & ~space)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    reach = np.diff(np.append(starts, len(raw)))
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, reach)
-    if (most := int(reach.max())) > len(_powers):
-        _powers = np.cumprod(np.full(2 * most, P, np.uint64), dtype=np.uint64)
-    sums = np.add.reduceat(VALUE[raw[starts[0] :]] * _powers[place], starts - starts[0])
-    return mix(sums), np.searchsorted(ends, starts, "right") - 1
+    sums, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    held, length, row = 0, 0, 0  # the word that is cut
+
+    def close():
+        sums.append(np.array([held], np.uint64))
+        owners.append(np.array([row]))
+
+    for a in range(0, len(raw), segment):
+        part = raw[a : a + segment]
+        space = SPACE[part]
+        fresh = np.empty(len(part), bool)
+        fresh[0] = a == 0 or SPACE[raw[a - 1]]
+        fresh[1:] = space[:-1]
+        low, high = np.searchsorted(ends[:-1], [a, a + len(part)])
+        fresh[ends[low:high] - a] = True
+        starts = np.flatnonzero(fresh & ~space)
+        lead = int(starts[0]) if len(starts) else len(part)
+        if (most := max(lead, int(np.diff(np.append(starts, len(part))).max()) if len(starts) else 0)) > len(_powers):
+            _powers = np.cumprod(np.full(2 * most, P, np.uint64), dtype=np.uint64)
+        if length:
+            more = (VALUE[part[:lead]] * _powers[:lead]).sum(dtype=np.uint64)
+            held = (held + int(more) * pow(int(P), length, 1 << 64)) % (1 << 64)
+            length += lead
+            if len(starts) or fresh[0] or space[:lead].any():
+                close()
+                length = 0
+        if len(starts):
+            reach = np.diff(np.append(starts, len(part)))
+            place = np.arange(lead, len(part)) - np.repeat(starts, reach)
+            found = np.add.reduceat(VALUE[part[lead:]] * _powers[place], starts - lead)
+            of = np.searchsorted(ends, a + starts, "right") - 1
+            if not space[starts[-1] :].any():
+                held, length, row = int(found[-1]), int(reach[-1]), int(of[-1])
+                found, of = found[:-1], of[:-1]
+            sums.append(found)
+            owners.append(of)
+    if length:
+        close()
+    return mix(np.concatenate(sums)), np.concatenate(owners)
 
 
 def shingle_hashes(raw: np.ndarray, ends: np.ndarray, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
