@@ -15,8 +15,9 @@ the source's fractional epoch ends. Cells hold about `cell_rows` rows however la
 gets a whole source.
 
 Null texts have size 0 and are taken 0 times. A null source is a source, the last. Tied keys
-are ordered by id, then by size; repeated rows are rows like any other. An empty table gives an
-empty result. Reruns agree: nothing depends on the order or partition of rows.
+are ordered by id, then by size; repeated rows count each, and of those that are equal where an epoch ends as many are taken
+as fit, in the order of a hash of their columns. An empty table gives an empty result. Reruns agree: nothing depends on the order
+or partition of rows.
 """
 
 from __future__ import annotations
@@ -37,10 +38,13 @@ def size_of(text: str = "text"):
 
 
 def quality_weight(text: str = "text"):
-    """A cheap weight within 0.1 to 1: the share of a-z and spaces among all code points."""
-    n = F.length(text)
-    plain = n - F.length(F.translate(F.col(text), "abcdefghijklmnopqrstuvwxyz ", ""))
-    return F.greatest(F.lit(0.1), F.coalesce(F.try_divide(plain.cast("double"), n.cast("double")), F.lit(0.1)))
+    """A weight of 0.05 to 1 from the text alone: the share of letters (of any script) among its code points, times how
+    varied its words are, the logarithm of distinct words over that of all. Repetition and symbols lower it."""
+    text = F.coalesce(F.col(text), F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("double")
+    varied = F.try_divide(F.log(F.size(F.array_distinct(words)) + F.lit(1.0)), F.log(F.size(words) + F.lit(1.0)))
+    return F.greatest(F.lit(0.05), F.coalesce(F.try_divide(letters, F.length(text).cast("double")) * varied, F.lit(0.05)))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -95,22 +99,41 @@ def plan_of(rows: DataFrame, weights=WEIGHTS, cap: float = CAP, cell_rows: int =
     ends = cells.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
     ends = ends.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_sum") >= F.col("_rest")))
     ends = written(ends.select("source", F.col("_cell").alias("_end"), "_before"), "mix-ends")
-    order = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = _joined(rows, ends, few).where(F.col("_cell") == F.col("_end"))
-    inside = inside.withColumn("missing", F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = inside.where((F.col("missing") > 0) & (F.col("missing") <= F.col("size")))
-    last = last.groupBy("source").agg(F.min_by(F.struct("_key", "doc_id", "size", "missing"), F.struct("_key", "doc_id", "size")).alias("_last"))
+    # Equal rows are one step of the sum, however many they are.
+    inside = inside.groupBy("source", "_cell", "_key", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"), F.first("_rest").alias("_rest"), F.first("_before").alias("_before"))
+    order = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.col("size") * F.col("copies")
+    inside = inside.withColumn("missing", F.col("_rest") - F.col("_before") - F.coalesce(F.sum(step).over(order), F.lit(0)))
+    last = inside.where((F.col("missing") > 0) & (F.col("missing") <= step))
+    last = last.groupBy("source").agg(F.min_by(F.struct("_key", "doc_id", "size", "missing", "copies"), F.struct("_key", "doc_id", "size")).alias("_last"))
     return written(_joined(plan, last, few).drop("_rest", "_cells"), "mix-plan")
 
 
 def mix(docs: DataFrame, rows: DataFrame | None = None, weights=WEIGHTS, cap: float = CAP, cell_rows: int = CELL_ROWS, whole_rows: bool = False) -> DataFrame:
     """docs (doc_id, source, size, _key, and others): adds source_size, target, taken; rows: docs without the others, if they are at hand."""
     plan = plan_of(docs.select("doc_id", "source", "size", "_key") if rows is None else rows, weights, cap, cell_rows)
-    out = _joined(docs, plan, plan.count() <= FEW)
+    facts = plan.agg(F.count(F.lit(1)).alias("n"), F.max("_last.copies").alias("copies")).first()
+    out = _joined(docs, plan, facts["n"] <= FEW)
     here, end = F.struct("_key", "doc_id", "size"), F.struct("_last._key", "_last.doc_id", "_last.size")
-    cut = F.when(F.col("_last.missing") * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole_rows else F.col("_last.missing")
-    part = F.when(F.col("_last").isNull(), 0).when(here < end, F.col("size")).when(here == end, cut).otherwise(0)
-    return out.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("epochs", "_last", "_key")
+    ends = F.col("_last").isNotNull() & (here == end)
+    size = F.col("size")
+
+    def part(left):
+        """What the row that the fraction ends in gives, if `left` words are missing before it."""
+        return F.when(left * 2 >= size, size).otherwise(0) if whole_rows else F.greatest(F.lit(0), F.least(left, size))
+
+    before = F.when(F.col("_last").isNotNull() & (here < end), size).otherwise(0)
+    taken = lambda fraction: (F.col("epochs") * size + fraction).cast("long")
+    if (facts["copies"] or 0) <= 1:
+        out = out.withColumn("taken", taken(F.when(ends, part(F.col("_last.missing"))).otherwise(before)))
+    else:
+        # The few rows that are equal to the last one of a source are numbered; all others need no order.
+        known = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        number = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(*known)))
+        tied = out.where(ends).withColumn("taken", taken(part(F.col("_last.missing") - (number - 1) * size)))
+        out = out.where(~ends).withColumn("taken", taken(before)).unionByName(tied)
+    return out.drop("epochs", "_last", "_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,39 +144,37 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, whole; texts are not shuffled."""
-    names = docs.columns
-    own = docs.withColumn("size", size_of()).withColumn("_key", key_of(quality_weight()))
-    rows = written(own.select("doc_id", "source", "size", "_key"), "mix-sizes")
+    sized = docs.select("doc_id", "source", size_of().alias("size"), quality_weight().alias("_weight"), F.struct(*docs.columns).alias("_row"))
+    own = sized.withColumn("_key", key_of(F.col("_weight"))).drop("_weight")
+    rows = written(own.drop("_row"), "mix-sizes")
     out = mix(own, rows, whole_rows=True)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return out.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(names)
+    return out.withColumn("_times", times).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def oracle() -> str:
+    """The contract's words in SQL: shares by weight, excess shared anew until no source is above, one sum over each source's rows."""
     return rf"""
-    WITH d AS (
-      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             greatest(0.1::DOUBLE, coalesce((length(text) - length(translate(text, 'abcdefghijklmnopqrstuvwxyz ', '')))::DOUBLE / nullif(length(text), 0), 0.1::DOUBLE)) AS w
-      FROM documents
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, len(w)::BIGINT AS size,
+             greatest(0.05::DOUBLE, coalesce(length(regexp_replace(t, '\P{{L}}+', '', 'g'))::DOUBLE / nullif(length(t), 0) * (ln(len(list_distinct(w)) + 1.0::DOUBLE) / nullif(ln(len(w) + 1.0::DOUBLE), 0)), 0.05::DOUBLE)) AS weight
+      FROM (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
     ), s AS (
-      SELECT source, sum(size)::BIGINT AS source_size,
-             [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source
-    ), r AS (
-      SELECT *, source_size * 3.0::DOUBLE / weight AS rate FROM s
-    ), l AS (
-      SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3.0::DOUBLE) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
-      FROM r WINDOW b AS (ORDER BY rate, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-    ), f AS (
-      SELECT *, max(CASE WHEN rate >= level THEN level END) OVER () AS first_level FROM l
+      SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS share FROM d GROUP BY source
+    ), r(k, source, source_size, share, full_) AS (
+      SELECT 0, source, source_size, share, false FROM s
+      UNION ALL
+      SELECT k + 1, source, source_size, share, full_ OR level * share >= 3.0::DOUBLE * source_size
+      FROM (SELECT *, (sum(source_size) OVER () - sum(CASE WHEN full_ THEN 3.0::DOUBLE * source_size ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN full_ THEN 0 ELSE share END) OVER (), 0) AS level FROM r)
+      WHERE k < (SELECT count(*) FROM s)
     ), t AS (
-      SELECT source, source_size, least(source_size * 3.0::DOUBLE, coalesce(first_level, level) * weight) AS target FROM f
-    ), e AS (
-      SELECT *, coalesce(floor(target / nullif(source_size, 0) + 1e-9), 0)::BIGINT AS epochs FROM t
+      SELECT source, source_size, CASE WHEN full_ THEN 3.0::DOUBLE * source_size ELSE level * share END AS target
+      FROM (SELECT *, (sum(source_size) OVER () - sum(CASE WHEN full_ THEN 3.0::DOUBLE * source_size ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN full_ THEN 0 ELSE share END) OVER (), 0) AS level FROM r WHERE k = (SELECT count(*) FROM s))
+    ), k AS (
+      SELECT d.*, t.source_size, t.target, coalesce(floor(t.target / nullif(t.source_size, 0) + 1e-9), 0)::BIGINT AS epochs,
+             -ln((('0x' || substr(md5('mix/' || doc_id || '/' || size), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / weight AS key
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
     ), p AS (
-      SELECT d.*, e.source_size, e.target, e.epochs, greatest(0, round(e.target)::BIGINT - e.epochs * e.source_size) AS rest,
-             -ln((('0x' || substr(md5('mix/' || doc_id || '/' || size), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / w AS k
-      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
-    ), q AS (
-      SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM p
+      SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM k
     )
-    SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - prior)))::BIGINT AS taken FROM q"""
+    SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, greatest(0, round(target)::BIGINT - epochs * source_size) - prior)))::BIGINT AS taken FROM p"""
