@@ -7,8 +7,8 @@ unknown size), clusters, block groups and simple blocks, undoes all four lacings
 with its track, timestamp, flags and byte range. `read_samples` joins a track's ranges again.
 
 One row in, one row out (or one row a packet for `packet_table`), a batch at a time: no shuffle, memory is
-that of one Arrow batch of bounded rows. Null texts count as empty: 64 zero bytes. Broken files
-give the packets up to the break, and `error` says why. Repeated rows give repeated results; other
+that of one Arrow batch of bounded rows and of one file. Null texts count as empty: 64 zero bytes. Broken files
+give the packets up to the break, and `error` says why; files whose elements are nested without end count as broken. Repeated rows give repeated results; other
 columns are carried along unread.
 """
 
@@ -35,6 +35,8 @@ PARENTS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES
 #: Elements of a segment's top level: they end a cluster of unknown size.
 TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1941A469, 0x1043A770}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
+#: Elements within elements that a reader follows; the format itself needs eight.
+DEEPEST = 64
 
 
 def vint(n: int, width: int = 0) -> bytes:
@@ -167,17 +169,20 @@ def packets(data: bytes) -> tuple[list[dict], dict]:
         for k, (start, length) in enumerate(frame_ranges(data, at + 3, b, kind)):
             found.append({"cluster": facts["clusters"], "track": track, "timestamp": time + shift, "keyframe": simple and flags >= 128, "lacing": kind, "frame": k, "offset": start, "length": length})
 
-    def walk(a: int, b: int, inside: int, base: int) -> None:
-        time = 0
-        for ident, x, y in elements(data, a, b, inside):
-            if ident == CLUSTER:
-                facts["clusters"] += 1
-            if ident == TIMESTAMP:
-                time = number(x, y)
+    # The open elements, from the outermost: what is left of each, its identifier, its cluster's time. Depth costs no calls.
+    try:
+        open_ = [[elements(data, 0, len(data)), 0, 0]]
+        while open_:
+            rest, _, time = open_[-1]
+            ident, x, y = next(rest, (None, 0, 0))
+            if ident is None:
+                open_.pop()
+            elif ident == TIMESTAMP:
+                open_[-1][2] = number(x, y)
             elif ident == TIMESTAMP_SCALE:
                 facts["scale"] = number(x, y)
             elif ident == SIMPLE_BLOCK or ident == BLOCK:
-                block(x, y, time if ident == SIMPLE_BLOCK else base, ident == SIMPLE_BLOCK)
+                block(x, y, time, ident == SIMPLE_BLOCK)
             elif ident == TRACK_NUMBER:
                 facts["tracks"].append(number(x, y))
             elif ident == CUE_TIME:
@@ -185,10 +190,10 @@ def packets(data: bytes) -> tuple[list[dict], dict]:
             elif ident == CUE_CLUSTER_POSITION and facts["cues"]:
                 facts["cues"][-1][1] = number(x, y)
             elif ident in PARENTS:
-                walk(x, y, ident, time)
-
-    try:
-        walk(0, len(data), 0, 0)
+                facts["clusters"] += ident == CLUSTER
+                if len(open_) > DEEPEST:
+                    raise ValueError(f"elements are nested deeper than {DEEPEST}")
+                open_.append([elements(data, x, y, ident), ident, 0 if ident == CLUSTER else time])
     except (ValueError, IndexError, struct.error) as e:
         facts["error"] = str(e) or "the file is cut"
     return found, facts
