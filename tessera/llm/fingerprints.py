@@ -5,12 +5,14 @@ text's fingerprint is their sum, so that order does not matter and paragraphs ca
 deleted by adding or subtracting theirs. It has two parts:
 
 * LANES words of 64 bits, summed modulo 2**64: equal if (up to collisions) the multisets are equal;
-* SKETCH lanes of +1 or -1 for each unit (a sentence, or a run of words) of each
-  paragraph, summed modulo 2**16: the cosine of two such sums estimates the share of common units.
+* SKETCH lanes, summed modulo 2**32: every run of GRAM bytes of a paragraph (together with how often the same run
+  came before it in the paragraph) adds +1 or -1 to one lane; the cosine of two such sums estimates the share of common runs.
 
-Likeness is 1 for equal fingerprints, else the cosine, within 0 to 1. A fingerprint is written as
-hexadecimal, little-endian. Null texts count as empty: no paragraph, all zeros; likeness of two
-empty texts is 1, of an empty and another text 0.
+One rule for paragraphs of all lengths, and long ones weigh by their length. Likeness is 1 for equal multisets, else the
+cosine, within 0 to 1: the first part tells equal from unequal, near and far come from the second alone. A fingerprint is
+written in base 64, both parts little-endian. Null texts count as empty: no paragraph, all zeros; likeness of two
+empty texts is 1, of an empty and another text 0. Paragraphs over BLOCK bytes are sketched in pieces of BLOCK bytes, so that memory
+is bounded.
 
 `edited` pairs every text with the next one by id without a single ordered task: rows (texts compressed)
 are dealt by ranges of ids, the first row of each range also goes to the range before it, and a task
@@ -20,8 +22,8 @@ in order of their packed text; the last row's next is the first. Rows of null id
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,61 +32,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
+from .shingles import A, C, P, mix
 
-LANES, SKETCH, UNIT, RANGE_ROWS, MOST_RANGES = 8, 256, 400, 500, 4096
-ENDS = re.compile(r"(?<=[.!?])\s+")
-WORDS = re.compile(r"\S+\s*")
+LANES, SKETCH, GRAM, BLOCK = 8, 256, 8, 1 << 20
+#: Rows a range, and ranges at most: their bounds are all that the driver holds. Ranges are streamed, two texts at a time.
+RANGE_ROWS, MOST_RANGES = 500, 65_536
 
 
 def paragraphs(text: str) -> list[str]:
     return [x for x in (p.strip() for p in text.split("\n")) if x]
 
 
-def units(paragraph: str) -> list[str]:
-    """Sentences. Short paragraphs, and longer sentences, are cut behind words chosen by their own content, so that cuts survive edits elsewhere."""
-    if len(paragraph) <= UNIT:
-        return _cut(paragraph, 0, 3)
-    out: list[str] = []
-    for s in ENDS.split(paragraph):
-        out += [s] if len(s) <= UNIT else _cut(s, UNIT // 4, 16)
-    return out
-
-
-def _cut(text: str, least: int, every: int) -> list[str]:
-    out, part, size = [], [], 0
-    for w in WORDS.findall(text):
-        part.append(w)
-        size += len(w)
-        if size >= 4 * UNIT or size >= least and not sum(w.encode()) % every:
-            out.append("".join(part))
-            part, size = [], 0
-    return out + ["".join(part)] if part else out
-
-
 def wide(paragraph: str) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(paragraph.encode(), digest_size=8 * LANES, person=b"multiset").digest(), np.uint64)
 
 
+def lanes_of(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Lane sums of paragraphs given as bytes, each followed by GRAM - 1 bytes of padding, and their sizes without it."""
+    n = len(raw) - GRAM + 1
+    x = raw.astype(np.uint64) + np.uint64(1)
+    h = x[:n].copy()
+    for k in range(1, GRAM):
+        h = h * P + x[k : n + k]
+    inside = np.ones(len(raw), bool)
+    ends = np.cumsum(sizes + GRAM - 1) - (GRAM - 1)
+    inside[(ends[:, None] + np.arange(GRAM - 1)).ravel()] = False
+    h = mix(h[inside[:n]])
+    key = mix(h ^ (np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64) * C))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    again = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    h = mix(h[order] + again.astype(np.uint64) * A)
+    return np.bincount((h >> np.uint64(56)).astype(np.int64), 1.0 - 2.0 * (h & np.uint64(1)).astype(np.float64), SKETCH).astype(np.int64)
+
+
 def signs(some: list[str]) -> np.ndarray:
-    """Sum of the units' vectors of +1 and -1."""
-    if not some:
-        return np.zeros(SKETCH, np.int64)
-    raw = b"".join([hashlib.blake2b(x.encode(), digest_size=SKETCH // 8).digest() for x in some])
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1)
-    return 2 * bits.sum(0, dtype=np.int64) - len(some)
+    """Lane sums of paragraphs, about BLOCK bytes at once."""
+    total, parts, held = np.zeros(SKETCH, np.int64), [], 0
+    pieces = [raw[k : k + BLOCK] for raw in (p.encode() for p in some) for k in range(0, len(raw), BLOCK)]
+    for k, piece in enumerate(pieces):
+        parts.append(piece)
+        held += len(piece)
+        if held >= BLOCK or k == len(pieces) - 1:
+            raw = np.frombuffer(b"".join(x + bytes(GRAM - 1) for x in parts), np.uint8)
+            total += lanes_of(raw, np.array([len(x) for x in parts]))
+            parts, held = [], 0
+    return total
 
 
 class Fingerprint:
     """The sums over a multiset of paragraphs; `add` and `remove` change it in place."""
 
     def __init__(self, some: list[str] = ()):
-        self.words, self.sketch = np.zeros(LANES, np.uint64), np.zeros(SKETCH, np.uint16)
+        self.words, self.sketch = np.zeros(LANES, np.uint64), np.zeros(SKETCH, np.uint32)
         self.add(some)
 
     def _change(self, some: list[str], sign: int) -> None:
         if some:
             words = np.add.reduce([wide(p) for p in some])
-            sketch = signs([u for p in some for u in units(p)]).astype(np.uint16)
+            sketch = signs(some).astype(np.uint32)
             self.words = self.words + words if sign > 0 else self.words - words
             self.sketch = self.sketch + sketch if sign > 0 else self.sketch - sketch
 
@@ -102,12 +109,12 @@ class Fingerprint:
     def likeness(self, other: Fingerprint) -> float:
         if (self.words == other.words).all():
             return 1.0
-        a, b = (x.sketch.view(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.sketch.view(np.int32).astype(np.float64) for x in (self, other))
         norm = np.sqrt((a * a).sum() * (b * b).sum())
         return float(min(1.0, max(0.0, (a * b).sum() / norm))) if norm else 0.0
 
-    def hex(self) -> str:
-        return self.words.astype("<u8").tobytes().hex() + self.sketch.astype("<u2").tobytes().hex()
+    def text(self) -> str:
+        return base64.b64encode(self.words.astype("<u8").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
 
 def of_text(text: str | None) -> Fingerprint:
@@ -139,7 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([of_text(x).hex() for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            yield pa.record_batch([b.column(0), pa.array([of_text(x).text() for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
 
@@ -153,7 +160,7 @@ def _edits(batches):
         changed = edit(text, after)
         other = of_edit(own, text, changed)
         digest = hashlib.sha256(changed.encode()).hexdigest()
-        rows.append((ident, len(text), digest, own.hex(), other.hex(), own.likeness(other), own.likeness(follows)))
+        rows.append((ident, len(text), digest, own.text(), other.text(), own.likeness(other), own.likeness(follows)))
 
     def batch():
         nonlocal rows
