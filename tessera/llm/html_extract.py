@@ -1,36 +1,47 @@
-"""Operator 4, main text of web pages: block structure, and a suffix array over each host's pages.
+"""Operator 4, main text of web pages: a suffix array over each host's pages, with block structure as support.
 
 A page is cut into blocks by its block elements. Blocks inside navigation, headers, footers, asides, forms,
 scripts, adverts, notices, comments and the like (by element, role, class or id) are boilerplate; blocks inside an
-article or main element are the page's text; what is in neither is open.
+article or main element are the page's text; of a page without one, blocks inside elements whose class or id says content
+are. What is in neither is open, and what bears a doubtful name within an article is doubtful: there repetition decides.
 
-Pages of a host are gathered, a large host's in shards of about SHARD pages by hash, and their token streams
-are concatenated. A suffix array, sorted by the first WINDOW tokens (prefix doubling), finds all substrings
-of WINDOW tokens or more that distinct pages share. Where a page has no article or main element, the covered
-tokens of its open blocks are removed and their unique runs kept; if it has one, its open blocks are not part of it.
-Blocks of an article are kept whole even if other pages repeat them: copies and quoted passages are text, as
-they would be lost if repetition alone decided (the README says more).
+The token streams of a host's pages are concatenated, and of their suffixes those are kept that begin a block, end one
+with their first WINDOW tokens, or have the least hash of GAP neighbours: by content alone, so that equal runs keep equal
+suffixes wherever they stand, and no run of WINDOW + GAP - 1 tokens is without one (a sparse suffix array). They are sorted by
+host and first WINDOW tokens, by hash ranges over all pages of the table, and those on LEAST or more distinct pages of their host are
+repeated. Tokens of open blocks that repeated suffixes cover are removed and the unique runs kept; a doubtful block
+goes if they cover half of it. Blocks of an article are kept whole even if other pages repeat them: copies and quoted
+passages are text, as they would be lost if repetition alone decided (the README has figures).
+
+Pages are read in chunks of about CHUNK bytes of text. A chunk's hashes, each once with its count of pages, go to the hash ranges; what
+is repeated comes back to the chunk. No task holds a host, and results don't depend on chunks or on the number of pages.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by one newline. Null html and pages
 without text give an empty string. Broken markup: unclosed elements end with their parent, a cut tag or comment ends the page.
-Repeated rows are each returned (the same page is not another page). An empty table gives an empty result.
+Repeated rows are each returned and count as one page; rows without an id are a page each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, written
+from .shingles import C, mix, word_hashes
 from .url_filter import parts
 
-WINDOW, SHARD, MOST_HOSTS = 8, 200, 500_000
+#: Tokens of a window, suffixes of which one at least is kept, distinct pages that make a run repeated.
+WINDOW, GAP, LEAST = 8, 8, 3
+#: Text bytes and pages of a chunk, pages whose hashes a range holds.
+CHUNK, MOST_PAGES, PAGES_A_RANGE = 4 << 20, 4096, 4000
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'](?=[^"']*>))*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -41,39 +52,56 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 SPACED = {"br", "td", "th"}
 OFF = set("nav footer aside form script style noscript template iframe object svg canvas button select dialog head menu fieldset audio video map textarea title".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form", "note"}
-#: Words of a class or id that name boilerplate.
-NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus "
-    "dropdown footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion "
-    "recommended related reply respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
+#: Words that name boilerplate wherever they stand in a class or id.
+HARD = set(
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dropdown footer gdpr "
+    "login masthead menu menubar modal nav navbar navigation newsletter overlay pager pagination popup promo promotion recommended related sharing sidebar sidenav signup social "
+    "sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that name boilerplate alone or beside general words (as in share-buttons), but may name text beside others (share-price).
+SOFT = set("copyright disclaimer form header hidden notice notices notification reply respond response responses search share skip tags toc".split())
+GENERAL = set("area bar block body bottom box button buttons col column container content field group icon icons inner item items left line link links list main outer page panel right row section site text title top wrap wrapper".split())
 MAIN = {"article", "main"}
-MAIN_NAMES = {"article", "main", "content", "post", "entry", "story"}
+#: Words that, alone or beside general words, name the content of a page without an article or main element.
+CONTENT = {"article", "content", "entry", "main", "post", "story"}
 WORD = re.compile(r"[a-z]+")
 
-DROP, OPEN, TEXT = 0, 1, 2
+DROP, OPEN, TEXT, MAYBE, DOUBT = 0, 1, 2, 3, 4
+
+
+def named_kind(token: str, main: bool) -> int | None:
+    """What one class or id says: DROP, DOUBT, MAYBE, or nothing."""
+    words = WORD.findall(token)
+    if HARD.intersection(words[:1] if main else words):
+        return DROP
+    if SOFT.intersection(words):
+        return DROP if SOFT.union(GENERAL).issuperset(words) else DOUBT
+    return MAYBE if CONTENT.intersection(words) and CONTENT.union(GENERAL).issuperset(words) else None
 
 
 def element_kind(name: str, attributes: str, inside: int) -> int:
-    """What the element makes of its content: DROP, TEXT, or as around it."""
-    if inside == DROP or name in OFF or name == "header" and inside != TEXT:
+    """What the element makes of its content: DROP, TEXT, MAYBE, DOUBT, or as around it."""
+    if inside == DROP or name in OFF or name == "header" and inside not in (TEXT, MAYBE, DOUBT):
         return DROP
-    main = name in MAIN
+    main, said = name in MAIN, set()
     if attributes and name not in ("html", "body"):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                for token in value.split():
-                    words = WORD.findall(token)
-                    if NAMES.intersection(words[:1] if main else words):
-                        return DROP
+                said.update(named_kind(token, main) for token in value.split())
             elif key == "role":
                 if value in ROLES:
                     return DROP
                 main |= value in ("main", "article")
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return DROP
-    return TEXT if main else inside
+    if DROP in said and not (name == "header" and inside != OPEN):
+        return DROP
+    if main:
+        return TEXT
+    if inside == TEXT and DOUBT in said:
+        return DOUBT
+    return MAYBE if inside == OPEN and MAYBE in said else inside
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
@@ -128,32 +156,33 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def covered(streams: list[np.ndarray], owners: list[int], window: int = WINDOW) -> np.ndarray:
-    """For each token of the concatenated streams: is it within a substring of `window` or more tokens that streams of other owners share?"""
-    n = sum(len(s) + 1 for s in streams)
-    text = np.empty(n, np.int64)
-    page = np.empty(n, np.int64)
-    at = 0
-    for k, (s, o) in enumerate(zip(streams, owners)):
-        text[at : at + len(s)], text[at + len(s)] = s, -k - 1  # ends differ, so that no substring spans two pages
-        page[at : at + len(s) + 1] = o
-        at += len(s) + 1
-    rank, length = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    while length < window:  # prefix doubling; the last step overlaps if window is no power of two
-        step = min(length, window - length)
-        pair = rank * (n + 1)
-        pair[:-step] += rank[step:] + 1
-        rank, length = np.unique(pair, return_inverse=True)[1].astype(np.int64), length + step
-    order = np.argsort(rank, kind="stable")
-    first = np.flatnonzero(np.append(True, rank[order][1:] != rank[order][:-1])) if n else np.zeros(0, int)
-    own = page[order]
-    shared = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first) if n else np.zeros(0, bool)
-    starts = order[np.repeat(shared, np.diff(np.append(first, n)))] if n else np.zeros(0, int)
+def windows(page: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first token) of the kept suffixes of a chunk's token stream; page: the page of each token, starts and ends: those of the blocks."""
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = words[:n].copy()
+    for k in range(1, window):
+        h = mix(h * C + words[k : n + k])
+    whole = page[:n] == page[window - 1 :]
+    keep = np.zeros(n, bool)
+    keep[starts[starts < n]] = True
+    last = ends - window
+    keep[last[last >= 0]] = True
+    if n >= gap:
+        inside = page[: n - gap + 1] == page[window + gap - 2 :]  # all `gap` neighbours are on one page
+        at = np.arange(n - gap + 1) + np.lib.stride_tricks.sliding_window_view(h, gap).argmin(1)
+        keep[at[inside]] = True
+    at = np.flatnonzero(keep & whole)
+    return h[at], at
+
+
+def marked(repeated: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
+    """Which of n tokens are covered by the windows that begin at `repeated`."""
     change = np.zeros(n + window + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + window, -1)
-    marks = np.cumsum(change)[:n] > 0
-    return marks[text >= 0] if n else marks
+    np.add.at(change, repeated, 1)
+    np.add.at(change, repeated + window, -1)
+    return np.cumsum(change)[:n] > 0
 
 
 def runs(marks: np.ndarray, least: int) -> np.ndarray:
@@ -165,64 +194,188 @@ def runs(marks: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def page_texts(pages: list[list[tuple[int, str]]], ids: list[int], window: int = WINDOW) -> list[str]:
-    """The main text of each page of one host (or shard of it)."""
-    number: dict[str, int] = {}
-    tokens = [[t.split(" ") for _, t in page] for page in pages]
-    streams = [np.fromiter((number.setdefault(w, len(number)) for b in page for w in b), np.int64) for page in tokens]
-    marks = covered(streams, ids, window)
+def page_text(blocks_: list[tuple[int, str]], marks: np.ndarray, window: int = WINDOW) -> str:
+    """The main text of a page from its blocks and the marks of its tokens."""
+    kinds = {k for k, _ in blocks_}
+    if not kinds & {TEXT, DOUBT} and MAYBE in kinds:
+        return "\n".join(t for k, t in blocks_ if k == MAYBE)
     out, at = [], 0
-    for page, words, stream in zip(pages, tokens, streams):
-        if any(k == TEXT for k, _ in page):
-            out.append("\n".join(t for k, t in page if k == TEXT))
-        else:
-            kept, here = [], at
-            for (k, _), w in zip(page, words):
-                if k == OPEN:
-                    run = [x for x, m in zip(w, runs(marks[here : here + len(w)], window).tolist()) if not m]
-                    if run:
-                        kept.append(" ".join(run))
-                here += len(w)
-            out.append("\n".join(kept))
-        at += len(stream)
-    return out
-
-
-def packed(page: list[tuple[int, str]]) -> bytes:
-    return zstandard.compress("\n".join(f"{k}{t}" for k, t in page).encode("utf-8", "surrogatepass"), 1)
+    for k, t in blocks_:
+        size = t.count(" ") + 1
+        m = marks[at : at + size]
+        at += size
+        if kinds & {TEXT, DOUBT}:
+            if k == TEXT or k == DOUBT and 2 * int(m.sum()) < size:
+                out.append(t)
+        elif k == OPEN:
+            kept = [w for w, gone in zip(t.split(" "), runs(m, window).tolist()) if not gone] if m.any() else [t]
+            if kept:
+                out.append(" ".join(kept))
+    return "\n".join(out)
+
+
+class Chunk:
+    """Some pages: their rows, blocks, token stream, and the hashes of the kept suffixes with their hosts."""
+
+    def __init__(self, rows: list[tuple], pages: list[list[tuple[int, str]]], window: int, bits: int):
+        self.rows, self.pages = rows, pages
+        raw = [" ".join(t for _, t in p).encode("utf-8", "surrogatepass") for p in pages]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        words, page = word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends)
+        sizes = np.array([t.count(" ") + 1 for p in pages for _, t in p], np.int64)
+        stops = np.cumsum(sizes)
+        h, self.at = windows(page, words, stops - sizes, stops, window)
+        self.page, self.size, self.window = page[self.at], len(words), window
+        names = {x: k for k, x in enumerate(dict.fromkeys(r[2] for r in rows))}
+        hosts = np.array([int.from_bytes(hash_of(x), "little") for x in names], np.uint64)
+        own = np.array([names[r[2]] for r in rows], np.int64)
+        # Hashes of 48 bits beside those that name the range: of LEAST equal ones chance makes none.
+        self.keys = mix(h ^ hosts[own[self.page]]) >> np.uint64(max(0, 16 - bits)) if len(h) else h
+        self.first = np.searchsorted(page, np.arange(len(pages) + 1))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, ascending, and on how many pages that count each is."""
+        order = np.lexsort((self.page, self.keys))
+        k, p = self.keys[order], self.page[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])) if len(k) else np.zeros(0, bool)
+        k, n = k[new], np.array([r[3] for r in self.rows], np.int64)[p[new]]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        return k[first], np.add.reduceat(n, first).astype(np.uint32) if len(k) else n.astype(np.uint32)
+
+    def texts(self, repeated: np.ndarray) -> list[str]:
+        """repeated: keys, ascending."""
+        hit = np.zeros(len(self.keys), bool)
+        if len(repeated):
+            k = np.minimum(np.searchsorted(repeated, self.keys), len(repeated) - 1)
+            hit = repeated[k] == self.keys
+        marks = marked(self.at[hit], self.size, self.window)
+        return [page_text(p, marks[a:b], self.window) for p, a, b in zip(self.pages, self.first[:-1], self.first[1:])]
+
+
+def hash_of(text: str) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, then compressed."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+ROWS, NAMES = "bucket bigint, chunk bigint, kind int, a binary, b binary", ["bucket", "chunk", "kind", "a", "b"]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], NAMES)
+
+
+def _chunks(window: int, bits: int, chunk: int, most_pages: int):
+    """Task over pages: for each chunk a row with its blocks, and a row of hashes for each range."""
+
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        rows: list[tuple] = []
+        pages: list[list[tuple[int, str]]] = []
+        held = 0
+
+        def flush():
+            nonlocal rows, pages, held, seq
+            name = part << 24 | seq
+            keys, counts = Chunk(rows, pages, window, bits).counts()
+            # Block texts have no control characters that are white space, so that these can part them.
+            text = "\x1e".join("\n".join(f"{k}{t}" for k, t in p) for p in pages).encode("utf-8", "surrogatepass")
+            out = [(1 << 40 | name, name, 1, zstandard.compress(text, 3), zstandard.compress(pickle.dumps(rows), 3))]
+            cuts = np.searchsorted(keys >> np.uint64(64 - bits - max(0, 16 - bits)), np.arange((1 << bits) + 1).astype(np.uint64))
+            for r in np.flatnonzero(np.diff(cuts)):
+                x = keys[cuts[r] : cuts[r + 1]]
+                out.append((int(r), name, 0, packed(np.diff(x, prepend=np.uint64(0))), packed(counts[cuts[r] : cuts[r + 1]])))
+            rows, pages, held, seq = [], [], 0, seq + 1
+            return _rows(out)
 
-
-def unpacked(data: bytes) -> list[tuple[int, str]]:
-    text = zstandard.decompress(data).decode("utf-8", "surrogatepass")
-    return [(int(line[0]), line[1:]) for line in text.split("\n")] if text else []
-
-
-def extract(pages: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """pages (page_id, url, html): page_id, url, text, n_chars."""
-    spark = pages.sparkSession
-    small_batches(spark)
-    hosted = parts(pages.select("page_id", "url", "html"))
-    counts = hosted.groupBy("host").count()
-    total = pages.count()
-    large = max(shard, -(-total // MOST_HOSTS))  # hosts with more pages than this are at most MOST_HOSTS
-    shards = {r["host"]: -(-r["count"] // shard) for r in counts.where(F.col("count") > large).collect()}
-
-    def cut(batches):
         for b in batches:
-            host = b.column(2).to_pylist()
-            salt = [int(x) % shards.get(h, 1) for h, x in zip(host, b.column(4).to_pylist())]
-            data = [packed(blocks(x)) for x in b.column(3).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(salt, pa.int64()), pa.array(data, pa.binary())], ["page_id", "url", "host", "salt", "blocks"])
-
-    hashed = F.pmod(F.xxhash64("page_id"), F.lit((1 << 31) - 1))
-    dealt = hosted.select("page_id", "url", "host", "html", hashed.alias("h")).mapInArrow(cut, "page_id bigint, url string, host string, salt bigint, blocks binary")
-
-    def join(group: pa.Table) -> pa.Table:
-        ids = [-1 if x is None else x for x in group.column("page_id").to_pylist()]
-        texts = page_texts([unpacked(x) for x in group.column("blocks").to_pylist()], ids, window)
-        return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return dealt.groupBy("host", "salt").applyInArrow(join, "page_id bigint, url string, text string, n_chars bigint")
+            for ident, url, host, html, counts in zip(*(b.column(k).to_pylist() for k in range(5))):
+                pages.append(blocks(html))
+                rows.append((ident, url, host, int(counts)))
+                held += sum(len(t) for _, t in pages[-1])
+                if held >= chunk or len(rows) >= most_pages:
+                    yield flush()
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _repeated(least: int):
+    """Task of a hash range: for each chunk those of its keys that are on `least` pages or more. A chunk's own row passes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = list(zip(*(group.column(k).to_pylist() for k in NAMES)))
+        out = [r for r in rows if r[2]]
+        rows = [r for r in rows if not r[2]]
+        if rows:
+            parts_ = [np.cumsum(unpacked(r[3], np.uint64), dtype=np.uint64) for r in rows]
+            keys, counts = np.concatenate(parts_), np.concatenate([unpacked(r[4], np.uint32) for r in rows]).astype(np.int64)
+            order = np.argsort(keys)
+            k = keys[order]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            often = np.empty(len(k), bool)
+            often[order] = np.repeat(np.add.reduceat(counts[order], first) >= least, np.diff(np.append(first, len(k))))
+            at = 0
+            for r, x in zip(rows, parts_):
+                found = x[often[at : at + len(x)]]
+                at += len(x)
+                if len(found):
+                    out.append((r[0], r[1], 0, packed(np.diff(found, prepend=np.uint64(0))), b""))
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
+
+
+def _texts(window: int, bits: int):
+    """Task of a chunk: the texts of its pages."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows, pages, repeated = [], [], [np.zeros(0, np.uint64)]
+        for kind, a, b in zip(*(group.column(k).to_pylist() for k in NAMES[2:])):
+            if kind:
+                rows = pickle.loads(zstandard.decompress(b))
+                text = zstandard.decompress(a).decode("utf-8", "surrogatepass")
+                pages = [[(int(line[0]), line[1:]) for line in p.split("\n")] if p else [] for p in text.split("\x1e")]
+            else:
+                repeated.append(np.cumsum(unpacked(a, np.uint64), dtype=np.uint64))
+        texts = Chunk(rows, pages, window, bits).texts(np.sort(np.concatenate(repeated)))
+        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+        return pa.table(cols, ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def counted_once(pages: DataFrame) -> DataFrame:
+    """Adds `_counts`: whether the row counts as a page; of rows with one id the first (by a hash of the page) does."""
+    again = written(pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND page_id IS NOT NULL").select("page_id"), "html-again")
+    if not again.count():
+        return pages.withColumn("_counts", F.lit(True))
+    first = F.row_number().over(Window.partitionBy("page_id").orderBy(F.xxhash64("url", "html"))) == 1
+    one = pages.join(again, "page_id", "left_anti").withColumn("_counts", F.lit(True))
+    return one.unionByName(pages.join(again, "page_id", "left_semi").withColumn("_counts", first))
+
+
+def extract(pages: DataFrame, window: int = WINDOW, least: int = LEAST, chunk: int = CHUNK, most_pages: int = MOST_PAGES) -> DataFrame:
+    """pages (page_id, url, html): page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
+    pages = pages.select("page_id", "url", "html")
+    bits = max(4, int(np.ceil(np.log2(max(1, pages.count()) / PAGES_A_RANGE))))
+    hosted = parts(counted_once(pages)).select("page_id", "url", "host", "html", "_counts")
+    dealt = hosted.mapInArrow(_chunks(window, bits, chunk, most_pages), ROWS)
+    shared = dealt.groupBy("bucket").applyInArrow(_repeated(least), ROWS)
+    return shared.groupBy("chunk").applyInArrow(_texts(window, bits), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
