@@ -127,32 +127,78 @@ def test_html_blocks():
     assert html_extract.blocks(None) == [] and html_extract.blocks("<p") == [] and html_extract.blocks("<!-- x") == []
 
 
-def test_html_suffix_array_is_brute_force():
+def plain_texts(pages, window, gap, least):
+    """Texts of (id, host, html) by loops over tokens, windows and sets of pages."""
+    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    word = lambda w: int(shingles.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+
+    def hashed(ws):
+        h = np.array([word(ws[0])], np.uint64)
+        for w in ws[1:]:
+            h = shingles.mix(h * shingles.C + np.array([word(w)], np.uint64))
+        return int(h[0])
+
+    seen, kept = {}, []
+    for ident, host, html in pages:
+        found = html_extract.blocks(html)
+        words, begins, stops = [], [], []
+        for _, t in found:
+            begins.append(len(words))
+            words += [low(w) for w in t.split(" ")]
+            stops.append(len(words))
+        n = len(words) - window + 1
+        hashes = [hashed(words[k : k + window]) for k in range(max(0, n))]
+        at = {k for k in begins + [s - window for s in stops] if 0 <= k < n}
+        at |= {min(range(k, k + gap), key=lambda i: hashes[i]) for k in range(n - gap + 1)}
+        kept.append((found, words, at))
+        for k in at:
+            seen.setdefault((host, tuple(words[k : k + window])), set()).add(ident)
+    out = {}
+    for (ident, host, _), (found, words, at) in zip(pages, kept):
+        marks = np.zeros(len(words), bool)
+        for k in at:
+            if len(seen[host, tuple(words[k : k + window])]) >= least:
+                marks[k : k + window] = True
+        out[ident] = html_extract.page_text(found, marks, window)
+    return out
+
+
+def test_html_repeats_are_those_of_whole_hosts(spark):
     r = random.Random(1)
-    shared = [r.randrange(50) for _ in range(30)]
-    streams = [np.array([r.randrange(50) for _ in range(20)] + shared[k : k + 12] + [r.randrange(50) for _ in range(9)]) for k in (0, 4, 18)] + [np.zeros(0, np.int64)]
-    for window in (3, 5, 8):
-        seen: dict = {}
-        for o, s in enumerate(streams):
-            for i in range(len(s) - window + 1):
-                seen.setdefault(tuple(s[i : i + window]), set()).add(o)
-        want = []
-        for s in streams:
-            m = np.zeros(len(s), bool)
-            for i in range(len(s) - window + 1):
-                if len(seen[tuple(s[i : i + window])]) > 1:
-                    m[i : i + window] = True
-            want += m.tolist()
-        assert html_extract.covered(streams, [0, 1, 2, 3], window).tolist() == want
+    notice = [" ".join(words(n, n)) for n in (9, 14, 30, 5)]
+    pages = []
+    for k in range(60):
+        own = [" ".join(words(r.randrange(3, 40), 1000 + k * 9 + j)) for j in range(4)]
+        body = own + r.sample(notice, 2) + [own[0] + " " + notice[2] + " " + own[1]]
+        r.shuffle(body)
+        head = "<article>" if k % 10 == 0 else ""
+        pages.append((k, f"h{k % 2}.org", head + "".join(f"<p>{x}</p>" for x in body)))
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, h, x in pages], "page_id long, url string, html string")
+    want = plain_texts(pages, 8, html_extract.GAP, 3)
+    assert any(notice[2] not in want[k] for k in range(60) if k % 10)
+    for settings in ({}, {"most_pages": 4}, {"chunk": 300}):
+        assert {x.page_id: x.text for x in html_extract.extract(df.repartition(3), **settings).collect()} == want
 
 
 def test_html_extract(spark):
     menu = "<div>home news sport weather travel money food shop more</div>"
     pages = [(k, "http://h.org/%d" % k, f"{menu}<div>story number {k} is about {'x' * k} things</div>") for k in range(5)] + [(9, None, None), (10, "http://h.org/10", "<main>only this</main>" + menu)]
+    pages += [(11, "http://two.org/a", menu), (12, "http://two.org/b", menu), (13, "http://two.org/c", "<div>" + " ".join(words(200_000, 3)) + "</div>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_extract.extract(odd(df.union(df))).collect()}
+    got = {r.page_id: r.text for r in html_extract.extract(odd(df.union(df).union(df))).collect()}
     assert got[9] == "" and got[10] == "only this" and got[3] == "story number 3 is about xxx things"
-    assert html_extract.extract(df.union(df), shard=2).count() == 14 and html_extract.extract(df.limit(0)).count() == 0
+    assert got[11] == "home news sport weather travel money food shop more"  # on two pages alone, however often their rows are repeated
+    assert len(got[13].split()) == 200_000
+    assert html_extract.extract(df.union(df)).count() == 20 and html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_names():
+    page = '<article class="post"><div class="article-header"><h1>Real title</h1></div><p class="share-price">12.50</p><div class="share-buttons">tweet</div><div class="search-results">found</div><section class="comment-list">me</section><div class="notice">mind</div></article>'
+    found = html_extract.blocks(page)
+    assert html_extract.page_text(found, np.zeros(99, bool)) == "Real title\n12.50\nfound"
+    assert html_extract.page_text(found, np.ones(99, bool)) == ""
+    bare = '<div class="sidebar">s</div><div id="main-content"><p>kept</p><div class="ad">a</div></div><div>other</div>'
+    assert html_extract.page_text(html_extract.blocks(bare), np.zeros(9, bool)) == "kept"
 
 
 def test_packing_places_every_piece(spark):
