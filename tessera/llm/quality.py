@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table, written
-from .shingles import shingle_hashes, slices, text_bytes, word_hashes
+from .shingles import SEGMENT, shingle_hashes, slices, text_bytes, word_hashes
 
 #: Random features, kernel width (in standard deviations), ridge, labelled rows used, partitions of them, score bins.
 FEATURES, WIDTH, RIDGE, TRAIN_ROWS, TRAIN_PARTS, BINS, SEED, CUT = 384, 3.0, 1e-3, 200_000, 16, 4096, 17, 0.7
@@ -62,8 +62,12 @@ def repeats(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, n
 def statistics(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The statistics of every row of texts given as bytes and offsets."""
     n = len(ends) - 1
-    rows = np.repeat(np.arange(n), np.diff(ends))
-    table = np.bincount(rows * 256 + raw, minlength=n * 256).reshape(n, 256).astype(np.float64)
+    table = np.zeros((n, 256))
+    for a in range(0, len(raw), SEGMENT):  # of a long text a segment at a time; its rows alone
+        b = min(a + SEGMENT, len(raw))
+        low, high = np.searchsorted(ends, a, "right") - 1, np.searchsorted(ends, b - 1, "right")
+        rows = np.repeat(np.arange(high - low), np.diff(np.clip(ends[low : high + 1], a, b)))
+        table[low:high] += np.bincount(rows * 256 + raw[a:b], minlength=(high - low) * 256).reshape(-1, 256)
     size = table.sum(1)
     part = table / np.maximum(size, 1)[:, None]
     upper, lower, digit, space, stop, loud, symbol, high, line, period = (part @ CLASSES).T
