@@ -1,8 +1,8 @@
 """Operator 8, n-gram Jaccard join: documents whose sets of word shingles are nearly equal, and their groups.
 
-1. Every text's distinct shingles are hashed to 64 bits (numpy over Arrow bytes) and dealt, packed by
-   hash range, to range tasks. A range task counts the documents of each shingle and sends back those
-   that two or more documents have. A pair that links shares only such shingles, so a document goes
+1. Every text's distinct shingles are hashed to 64 bits (numpy over Arrow bytes). A chunk of documents sends each of
+   its shingles once, with its count of documents, packed by hash range, to range tasks: a shingle of every document is one
+   number a chunk. A range task adds up the counts and sends back the shingles that two or more documents have. A pair that links shares only such shingles, so a document goes
    on only if these make up the threshold's share of its set; all others are groups of their own.
 2. Documents with equal sets are one class; classes go on with their shared shingles ordered by
    (documents, hash), the global order. A linked pair shares a shingle within the prefixes of both
@@ -12,9 +12,10 @@
 3. Each family is joined by a prefix tree: sets, most common shingle first, share the paths of their
    common beginnings; a probe walks the tree, adding up the overlap once for all sets below a node,
    and leaves a subtree when overlap so far plus the most that remains can't reach the threshold. A family over
-   `block` sets is cut by size level and hash into blocks, and pairs of blocks whose sizes can fit
-   are joined each in its own task, so that no task holds a family of any size; each
-   task returns a spanning forest of its links, never all pairs.
+   `block` sets is cut by size level and hash into blocks. First each block is joined within itself, then the least sets of
+   the components found, among themselves, and only then pairs of blocks that are not of one component alone: of a large group of near
+   copies nothing is left for that, so that its work grows with its size and not with its square. No task holds a family of any size; each
+   returns a spanning forest of its links, never all pairs.
 4. Components of the links name the groups by their least id.
 
 Exact up to collisions of 64-bit hashes. Null and empty texts, and texts of white space, have an empty set and link
@@ -33,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import small_batches, table, written
-from .components import components
 from .shingles import mix, shingle_hashes, slices, text_bytes
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Shingles in a chunk of documents, documents that share a range task's share, sets in a block.
 CHUNK, DOCS_A_RANGE, BLOCK = 1 << 20, 1500, 256
+#: Documents in a chunk (an Arrow batch more at most): their numbers have 16 bits. Large families that are broadcast.
+MOST_DOCS, FEW = 60_000, 1_000_000
 #: The pipeline's stage: five words and a similarity of 0.8; op8's contract binds the query alone.
 STAGE = {"width": 5, "numerator": 80, "denominator": 100}
 
@@ -89,12 +92,14 @@ def _chunks(width: int, bits: int, chunk_size: int):
             np.add.at(sums[0], d, mix(h))
             np.add.at(sums[1], d, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
             chunk = part << 24 | seq
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            times, h = np.diff(np.append(first, len(h))).astype(np.uint32), h[first]
             head = np.concatenate([np.concatenate(ids), n, sums[0].view(np.int64), sums[1].view(np.int64)])
-            out = [(chunk * 0x9E3779B1 % (1 << bits), chunk, 1, packed(head), b"", b"")]
+            out = [(1 << 40 | chunk, chunk, 1, packed(head), packed(times), packed(d.astype(np.uint16)))]
             cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
             for r in np.flatnonzero(np.diff(cuts)):
-                x, y = h[cuts[r] : cuts[r + 1]], d[cuts[r] : cuts[r + 1]]
-                out.append((int(r), chunk, 0, packed(np.diff(x, prepend=np.uint64(0))), packed(y), b""))
+                x, y = h[cuts[r] : cuts[r + 1]], times[cuts[r] : cuts[r + 1]]
+                out.append((int(r), chunk, 0, packed(np.diff(x, prepend=np.uint64(0))), packed(y), int(cuts[r]).to_bytes(8, "little")))
             ids, hashes, owners, docs, held, seq = [], [], [], 0, 0, seq + 1
             return _rows(out)
 
@@ -107,7 +112,7 @@ def _chunks(width: int, bits: int, chunk_size: int):
                 hashes.append(h)
                 owners.append(d + docs)
                 docs, held = docs + high - low, held + len(h)
-                if held >= chunk_size or docs >= 1 << 16:
+                if held >= chunk_size or docs >= MOST_DOCS:
                     yield flush()
         if docs:
             yield flush()
@@ -116,29 +121,26 @@ def _chunks(width: int, bits: int, chunk_size: int):
 
 
 def _counted(group: pa.Table) -> pa.Table:
-    """Task of step 1 for a hash range: for each chunk its shingles that other documents have too, with counts."""
-    out, hs, ds, cs = [], [], [], []
-    for bucket, chunk, kind, a, b in zip(*(group.column(k).to_pylist() for k in NAMES[:5])):
-        if kind:
-            out.append((bucket, chunk, 1, a, b, b""))
-            continue
-        hs.append(np.cumsum(unpacked(a, np.uint64), dtype=np.uint64))
-        ds.append(unpacked(b, np.uint32))
-        cs.append(chunk)
-    if hs:
-        h, d, which = np.concatenate(hs), np.concatenate(ds), np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+    """Task of step 1 for a hash range: for each chunk its shingles that other documents have too: place in the chunk's order, hash, count. A chunk's own row passes."""
+    rows = list(zip(*(group.column(k).to_pylist() for k in NAMES)))
+    out = [r for r in rows if r[2]]
+    rows = [r for r in rows if not r[2]]
+    if rows:
+        hs = [np.cumsum(unpacked(r[3], np.uint64), dtype=np.uint64) for r in rows]
+        h, times = np.concatenate(hs), np.concatenate([unpacked(r[4], np.uint32) for r in rows]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        runs = np.diff(np.append(first, len(s)))
         df = np.empty(len(h), np.uint32)
-        df[order] = np.repeat(runs, runs)
-        keep = df > 1
-        cuts = np.searchsorted(which[keep], np.arange(len(hs) + 1))
-        h, d, df = h[keep], d[keep], df[keep]
-        for k, chunk in enumerate(cs):
-            if (x := cuts[k]) < (y := cuts[k + 1]):
-                out.append((0, chunk, 0, packed(np.diff(h[x:y], prepend=np.uint64(0))), packed(d[x:y]), packed(df[x:y])))
+        df[order] = np.repeat(np.minimum(np.add.reduceat(times[order], first), (1 << 32) - 1), np.diff(np.append(first, len(s))))
+        at = 0
+        for r, x in zip(rows, hs):
+            f = df[at : at + len(x)]
+            at += len(x)
+            keep = np.flatnonzero(f > 1)
+            if len(keep):
+                place = (keep + int.from_bytes(r[5], "little")).astype(np.uint32)
+                out.append((r[0], r[1], 0, packed(np.diff(x[keep], prepend=np.uint64(0))), packed(np.diff(place, prepend=np.uint32(0))), packed(f[keep])))
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -149,16 +151,19 @@ def _live(numerator: int, denominator: int):
     """Task of step 1 for a chunk: its documents; those that may link, with their shared shingles in the global order."""
 
     def run(group: pa.Table) -> pa.Table:
-        head, hs, ds, fs = None, [], [], []
+        head, hs, places, fs = None, [], [], []
         for kind, a, b, c in zip(*(group.column(k).to_pylist() for k in NAMES[2:])):
             if kind:
-                head = unpacked(a, np.int64).reshape(4, -1)
+                head, times, docs = unpacked(a, np.int64).reshape(4, -1), unpacked(b, np.uint32).astype(np.int64), unpacked(c, np.uint16)
             else:
                 hs.append(np.cumsum(unpacked(a, np.uint64), dtype=np.uint64))
-                ds.append(unpacked(b, np.uint32))
+                places.append(np.cumsum(unpacked(b, np.uint32), dtype=np.uint32))
                 fs.append(unpacked(c, np.uint32))
         ids, n, s1, s2 = head
-        h, d, f = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (hs, ds, fs))
+        place, h, f = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((places, np.uint32), (hs, np.uint64), (fs, np.uint32)))
+        runs, starts = times[place], (np.cumsum(times) - times)[place]
+        d = docs[np.repeat(starts - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())].astype(np.int64)
+        h, f = np.repeat(h, runs), np.repeat(f, runs)
         m = np.bincount(d, minlength=len(ids))
         live = (m > 0) & (denominator * m >= numerator * n)
         prefix = n + numerator * n // -denominator + 1 - (n - m)  # of the shared ones
@@ -280,8 +285,8 @@ class Trie:
         return found
 
 
-def linked(ids: list[int], sides: list[int], sizes: list[int], sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of side 0 and side 1 (or all sets, if all are of side 0)."""
+def linked(ids: list[int], sides: list[int], sizes: list[int], sets: list[np.ndarray], numerator: int, denominator: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of side 0 and side 1 (or all sets, if all are of side 0); known: labels of components found before."""
     tokens, where = np.unique(np.concatenate(sets), return_inverse=True)
     often = np.bincount(where)
     rank = np.empty(len(tokens), np.int64)
@@ -302,7 +307,11 @@ def linked(ids: list[int], sides: list[int], sizes: list[int], sets: list[np.nda
             k = root[k]
         return k
 
-    forest, groups = [], len(ids)
+    forest, groups, first = [], len(ids), {}
+    for k, label in enumerate(known or []):
+        if (j := first.setdefault(label, k)) != k:
+            root[k] = j
+            groups -= 1
     for k, after in probes:
         if groups == 1:
             break
@@ -319,49 +328,85 @@ def _joined(numerator: int, denominator: int):
     """Task of step 3: links of a family or of a pair of its blocks."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = list(dict.fromkeys(zip(*(group.column(k).to_pylist() for k in ("cid", "side", "n", "shared")))))
+        rows = list(dict.fromkeys(zip(*(group.column(k).to_pylist() for k in ("cid", "side", "n", "shared", "comp")))))
         forest = []
         if len(rows) > 1:
-            ids, sides, sizes, sets = (list(x) for x in zip(*rows))
-            forest = linked(ids, sides, sizes, [np.frombuffer(x, np.uint64) for x in sets], numerator, denominator)
+            ids, sides, sizes, sets, comps = (list(x) for x in zip(*rows))
+            forest = linked(ids, sides, sizes, [np.frombuffer(x, np.uint64) for x in sets], numerator, denominator, comps)
         return pa.table([pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())], ["a", "b"])
 
     return run
 
 
-def block_pairs(members: DataFrame, block: int, numerator: int, denominator: int) -> DataFrame:
-    """members (fid, cid, n, ...): a row for each pair of blocks that the member is in, with columns pair and side.
+def blocked(members: DataFrame, block: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """members (fid, cid, n, comp) with level and name of their block, and (fid, level, groups) with the blocks of each level.
 
-    Linked sets' sizes are within the threshold's ratio, so their levels differ by one at most.
+    Linked sets' sizes are within the threshold's ratio, so their levels differ by one at most. A component with `block`
+    sets or more in a level has blocks of its own; all others share blocks.
     """
-    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(denominator / numerator))).cast("long")
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(denominator / numerator)))
     # Two such levels make one, so that rounding can't part linked sets by more than one.
-    level = F.when(F.col("_size") <= block, F.lit(0).cast("long")).otherwise(F.floor(level * F.lit(0.5)).cast("long"))
-    sized = members.join(members.groupBy("fid").agg(F.count(F.lit(1)).alias("_size")), "fid").withColumn("_level", level)
-    counts = sized.where(F.col("_size") > block).groupBy("fid", "_level").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    counts = written(counts, "jj-blocks")
-    plain = sized.where(F.col("_size") <= block).select("*", F.concat_ws("/", F.col("fid")).alias("pair"), F.lit(0).alias("side"))
-    large = sized.where(F.col("_size") > block).join(counts, ["fid", "_level"])
-    above = counts.select("fid", (F.col("_level") - 1).alias("_level"), F.col("_blocks").alias("_above"))
-    below = counts.select("fid", (F.col("_level") + 1).alias("_level"), F.col("_blocks").alias("_below"))
-    large = large.join(above, ["fid", "_level"], "left").join(below, ["fid", "_level"], "left")
-    own = F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")
-    large = large.withColumn("_own", own)
-
-    def name(l1, k1, l2, k2):
-        return F.concat_ws("/", F.col("fid"), l1, k1, l2, k2)
-
-    def upto(n):
-        return F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    lv, k = F.col("_level"), F.col("_own")
-    made = lambda p, s: F.struct(p.alias("pair"), s.alias("side"))
-    same = F.transform(upto(F.col("_blocks")), lambda j: made(name(lv, F.least(k, j), lv, F.greatest(k, j)), F.when(k > j, 1).otherwise(0)))
-    up = F.transform(upto(F.col("_above")), lambda j: made(name(lv, k, lv + 1, j), F.lit(0)))
-    down = F.transform(upto(F.col("_below")), lambda j: made(name(lv - 1, j, lv, k), F.lit(1)))
-    large = large.withColumn("_p", F.explode(F.concat(same, up, down))).select("*", "_p.pair", "_p.side")
-    wanted = [*members.columns, "pair", "side"]
-    return plain.select(wanted).union(large.select(wanted))
+    rows = members.withColumn("level", F.floor(level * F.lit(0.5)).cast("long"))
+    sizes = rows.groupBy("fid", "level", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("grp", F.when(F.col("_n") >= block, F.col("comp").cast("string")).otherwise("shared"))
+    groups = sizes.groupBy("fid", "level", "grp").agg(F.ceil(F.sum("_n") / block).cast("int").alias("blocks"))
+    groups = written(groups, "jj-groups")
+    own = sizes.where("grp <> 'shared'").select("fid", "level", "comp", "grp")
+    rows = rows.join(own, ["fid", "level", "comp"], "left").withColumn("grp", F.coalesce("grp", F.lit("shared"))).join(groups, ["fid", "level", "grp"])
+    rows = rows.withColumn("own", F.concat_ws(":", "level", "grp", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
+    return rows.select("fid", "cid", "n", "comp", "level", "grp", "own"), groups.groupBy("fid", "level").agg(F.collect_list(F.struct("grp", "blocks")).alias("groups"))
+
+
+def block_pairs(members: DataFrame, block: int, numerator: int, denominator: int, within: bool = False) -> DataFrame:
+    """members (fid, cid, n, comp): a row (pair, side, cid, comp) for each pair of blocks that the member is in; within: each block with itself alone.
+
+    Blocks of one component are not paired.
+    """
+    rows, levels = blocked(members, block, numerator, denominator)
+    if within:
+        return rows.select(F.concat_ws("/", "fid", "own").alias("pair"), F.lit(0).alias("side"), "cid", "comp")
+    none = F.array().cast("array<struct<grp:string,blocks:int>>")
+    for name, shift in (("_same", 0), ("_above", 1), ("_below", -1)):
+        rows = rows.join(levels.select("fid", (F.col("level") - shift).alias("level"), F.col("groups").alias(name)), ["fid", "level"], "left")
+    alone = F.col("grp") != "shared"
+
+    def names(column: str, shift: int):
+        fits = F.filter(F.coalesce(column, none), lambda g: ~(alone & (g["grp"] == F.col("grp"))))
+        return F.flatten(F.transform(fits, lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda j: F.concat_ws(":", F.col("level") + shift, g["grp"], j))))
+
+    rows = rows.withColumn("other", F.explode(F.concat(names("_same", 0), names("_above", 1), names("_below", -1))))
+    pair = F.concat_ws("/", F.col("fid"), F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(pair.alias("pair"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "cid", "comp")
+
+
+def family_links(members: DataFrame, sets: DataFrame, block: int, numerator: int, denominator: int) -> DataFrame:
+    """members (fid, cid, n), sets (cid, n, shared): (a, b), a spanning forest of each family's links at least."""
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        # Sets are wide: they are moved once a block, when it is known which of them meet; until then ids stand for them.
+        pairs = written(pairs.select("pair", "side", "cid", "comp"), "jj-pairs")
+        return written(pairs.join(sets, "cid").groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint"), "jj-links")
+
+    members = members.withColumn("comp", F.col("cid"))
+    large = written(members.groupBy("fid").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block).select("fid"), "jj-large")
+    count = large.count()
+    marked = F.broadcast(large) if count <= FEW else large
+    links = joined(members.join(marked, "fid", "left_anti").select(F.col("fid").cast("string").alias("pair"), F.lit(0).alias("side"), "cid", "comp"))
+    if not count:
+        return links
+    inside = written(members.join(marked, "fid", "left_semi"), "jj-inside")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        names = components(found).withColumnsRenamed({"node": "cid", "component": "_c"})
+        return inside.drop("comp").join(names, "cid", "left").select("fid", "cid", "n", F.coalesce("_c", "cid").alias("comp"))
+
+    found = joined(block_pairs(inside, block, numerator, denominator, within=True))
+    leaders = labelled(found).where("cid = comp")
+    found = found.union(joined(block_pairs(leaders, block, numerator, denominator)))
+    rest = written(labelled(found), "jj-rest")
+    parted = rest.groupBy("fid").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z").select("fid")
+    rest = rest.join(parted, "fid", "left_semi")
+    return links.union(found).union(joined(block_pairs(rest, block, numerator, denominator)))
 
 
 def sets_of(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -380,21 +425,19 @@ def join(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denomi
     rows = sets_of(docs.where("doc_id IS NOT NULL"), width, numerator, denominator)
     live = rows.where("prefix > 0")
     classes = written(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n")), "jj-classes")
-    # Sets are wide: they are moved once, when it is known which of them meet; until then ids stand for them.
     postings = live.select("doc_id", "prefix", "shared").mapInArrow(_postings, "h bigint, cid bigint")
     postings = written(postings.join(classes.select("cid").distinct(), "cid").select("h", "cid"), "jj-postings")
     stars = postings.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("h", "a")
     edges = postings.join(stars, "h").select("a", F.col("cid").alias("b")).where("a <> b")
     families = components(edges).withColumnsRenamed({"node": "cid", "component": "fid"})
     members = written(families.join(classes.groupBy("cid").agg(F.min("n").alias("n")), "cid").select("fid", "cid", "n"), "jj-members")
-    pairs = written(block_pairs(members, block, numerator, denominator).select("pair", "cid", "side"), "jj-pairs")
-    sets = live.select(F.col("doc_id").alias("cid"), "n", "shared")
-    links = pairs.join(sets, "cid").groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint")
+    links = family_links(members, live.select(F.col("doc_id").alias("cid"), "n", "shared"), block, numerator, denominator)
     groups = components(links).withColumnsRenamed({"node": "cid", "component": "component_id"})
     named = classes.join(groups, "cid", "left").select("s1", "s2", F.coalesce("component_id", "cid").alias("component_id"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).union(nameless)
+    # Documents that link with nothing, empty ones among them, need no join.
+    out = live.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = rows.where("prefix = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.union(alone).withColumnRenamed("n", "n_shingles").union(nameless)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,19 @@
 """Queries and oracle SQL of this subpackage."""
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
     "op1_license_scan": license_scan.query,
     "op2_quality": quality.query,
     "op3_url_filter": url_filter.query,
