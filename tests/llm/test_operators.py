@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, fingerprints, html_extract, jaccard_join, language_id, matroska, mixture, packing, quality, shingles, url_filter
+from tessera.llm import fingerprints, html_extract, jaccard_join, language_id, matroska, mixture, packing, quality, shingles, url_filter
 from tessera.llm.common import held_out
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,23 +81,29 @@ def test_jaccard_join_of_repeated_rows_and_of_none(spark):
     assert kept.columns == docs.columns and kept.count() == len({v[1] for v in brute_groups(near_texts()[:12]).values()})
 
 
+def forest(links):
+    """Each linked node's least partner over any way."""
+    links, root = list(links), {}
+    for pair in links:
+        for x in pair:
+            root.setdefault(x, x)
+    for a, b in links:
+        x, y = sorted((root[a], root[b]))
+        root = {k: x if r == y else r for k, r in root.items()}
+    return root
+
+
 def test_trie_finds_what_pairs_find():
     r = random.Random(5)
     for _ in range(60):
         base = r.sample(range(60), 25)
         sets = [np.array(sorted({*r.sample(base, r.randrange(15, 25)), *r.sample(range(60), r.randrange(4))}), np.uint64) for _ in range(12)]
         links = jaccard_join.linked(list(range(12)), [0] * 12, [len(s) for s in sets], sets, 85, 100)
-        found = components.forest(links)
-        want = components.forest((a, b) for a, b in itertools.combinations(range(12), 2) if 185 * len(np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b])))
+        found = forest(links)
+        want = forest((a, b) for a, b in itertools.combinations(range(12), 2) if 185 * len(np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b])))
         assert found == want
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_components(spark, few):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(30) if k != 11] + [(50, 50)], "a long, b long")
-    assert {r.node: r.component for r in components.components(edges, few=few).collect()} == {k: 0 if k < 12 else 12 for k in range(31)}
-
-
 def test_shingles_ignore_batching():
     texts = ["a b c d e", "", "x", "Ü b\tc D e"]
     raw = [x.encode() for x in texts]
@@ -120,6 +126,15 @@ def test_url_rules_and_reputation(spark):
     assert url_filter.judge(pages.limit(0), url_filter.outcomes_of(pages.limit(0), labels)).count() == 0
 
 
+def test_registered_domains(spark):
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.b.com": ("b.com", "com"), "b.org:8080": ("b.org", "org"), "me@shop.com.au.": ("shop.com.au", "com.au"), "www.foo.de": ("foo.de", "de"),
+        "1.2.3.4": ("1.2.3.4", "address"), "[::1]:80": ("[::1]:80", "address"), "localhost": ("localhost", "localhost"), "": ("", ""), "com.example": ("com.example", "example"),
+    }
+    rows = spark.createDataFrame([(x,) for x in want], "host string").selectExpr("host", f"{url_filter.SUFFIX} AS suffix").selectExpr("host", f"{url_filter.DOMAIN} AS domain", "suffix")
+    assert {r.host: (r.domain, r.suffix) for r in rows.collect()} == want
+
+
 def test_html_blocks():
     page = '<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class="cookie-notice">eat</div><article><h1>T &amp; U</h1><p>a <b>b</b>c<p>d\n e<div class="ad">buy</div><aside>no</aside></article><section id="comments"><article>me</article></section><footer>f</footer>'
     kept = [t for k, t in html_extract.blocks(page) if k == html_extract.TEXT]
@@ -219,6 +234,32 @@ def test_packing_places_every_piece(spark):
     assert packing.pack(documents(spark, texts).limit(0), packing.tokenizer_path()).count() == 0
 
 
+def test_sum_of_squares_is_plain_search():
+    """Each piece against every open bin, by the sum itself."""
+    r = random.Random(4)
+    for room in (10, 32):
+        sizes = sorted((r.randrange(1, room + 1) for _ in range(150)), reverse=True)
+        open_: list = []
+        want = []
+        for size in sizes:
+            gaps = sorted({room - sum(x) for x in open_ if sum(x) < room and room - sum(x) >= size})
+            if not gaps:
+                open_.append([])
+                best = room
+            else:
+                def total(g):
+                    after = [room - sum(x) for x in open_]
+                    after[after.index(g)] -= size
+                    return sum(after.count(v) ** 2 for v in set(after) if 0 < v < room)
+
+                best = min(gaps, key=lambda g: (total(g), g))
+            k = max(i for i, x in enumerate(open_) if room - sum(x) == best) if best == room else next(i for i, x in enumerate(open_) if room - sum(x) == best)
+            want.append(room - best)
+            open_[k].append(size)
+        bins, offsets = packing.sum_of_squares(np.array(sizes), room)
+        assert offsets.tolist() == want and len(set(bins.tolist())) == len(open_)
+
+
 def test_sum_of_squares_wastes_little():
     sizes = np.sort(np.random.default_rng(0).integers(1, 700, 3000))[::-1]
     bins, offsets = packing.sum_of_squares(sizes)
@@ -247,6 +288,22 @@ def test_mixture_targets_and_epochs(spark):
     assert set(docs.columns) <= set(whole.columns) and whole.count() > 0
 
 
+def test_mixture_takes_equal_rows_one_by_one(spark):
+    for copies in (1, 20):
+        rows = [(1, "a", 10)] * copies + [(k, "a", 7) for k in range(2, 7)] + [(100 + k, "b", 30) for k in range(20)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("_key", mixture.key_of(F.lit(1.0)))
+        for shuffled in (docs, docs.repartition(5)):
+            out = mixture.mix(shuffled, cell_rows=4).collect()
+            for source in "ab":
+                mine = [r for r in out if r.source == source]
+                assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1 and all(0 <= r.taken <= 3 * r.size for r in mine)
+        assert sorted(map(tuple, mixture.mix(docs).collect())) == sorted(map(tuple, mixture.mix(docs.repartition(3)).collect()))
+    texts = ["ab cd ef gh"] * 20 + ["ij kl"]
+    named = documents(spark, texts, sources=("a", "b")).withColumns({"doc_id": F.lit(7).cast("long"), "size": F.lit("own"), "_row": F.lit(1)})
+    kept = mixture.stage(spark, named, "")
+    assert kept.columns == named.columns and kept.count() > 0 and {r["size"] for r in kept.collect()} == {"own"}
+
+
 def test_language_trees(spark):
     r = random.Random(2)
     syllables = {"aa": ["ka", "ri", "mo"], "bb": ["sch", "ung", "ei"]}
@@ -329,6 +386,67 @@ def test_quality(spark):
     assert kept.columns == odd(docs).columns and {r.doc_id for r in kept.collect()} == {k for k, s in out.items() if s >= quality.CUT}
 
 
+def test_statistics_are_those_of_plain_counting():
+    texts = ["", "Hello hello WORLD. 12!", "a b c d a b c d a b c d\nx\n\ny  z\té#", "x" * 40, " \n", " ".join(words(400, 2, 30))]
+    raw = [x.encode() for x in texts]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), ends)
+    for k, x in enumerate(raw):
+        n = max(len(x), 1)
+        count = {name: sum(bool(row[c]) for c in x) for name, row in quality._classes.items()}
+        w = re.findall(rb"[^\x20\x09-\x0D]+", x.lower())
+        grams = [tuple(w[i : i + 4]) for i in range(len(w) - 3)] or ([tuple(w)] if w else [])
+        often = max((w.count(y) for y in set(w)), default=0)
+        shares = [x.count(bytes([c])) / n for c in range(256)]
+        want = [
+            np.log1p(len(x)), np.log1p(len(w)), sum(map(len, w)) / len(w) if w else 0, count["upper"] / max(count["upper"] + count["lower"] + count["high"], 1e-9 * n), count["upper"] / n, count["digit"] / n,
+            count["space"] / n, count["stop"] / n, count["loud"] / n, count["symbol"] / n, count["high"] / n, np.log1p(count["line"]), count["period"] / max(len(w), 1), -sum(s * np.log2(s) for s in shares if s),
+            len(set(w)) / len(w) ** 0.8 if w else 0, often / max(len(w), 1), sum(a == b for a, b in zip(w, w[1:])) / max(len(w), 1), 1 - len(set(grams)) / len(grams) if w else 0,
+        ]
+        assert got[k] == pytest.approx(want), k
+    long = np.frombuffer((" ".join(words(400_000, 9)) + "x" * 1_500_000).encode(), np.uint8)
+    assert quality.statistics(long, np.array([0, len(long)]))[0, 0] == pytest.approx(np.log1p(len(long)))
+
+
+def test_fit_is_plain_ridge_and_pooling(spark):
+    """Features, normal equations and calibration by loops over the same rows."""
+    docs = documents(spark, [" ".join(words(20 + k % 30, k, 40 if k % 3 else 4000)) for k in range(240)])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0) if k % 11 else k % 2, 0) for k in range(240)] + [(5, 0, 0)], "doc_id long, quality int, toxic int")
+    stats = quality.features(docs)
+    model = quality.fit(stats, labels)
+    x = {r.doc_id: np.frombuffer(r.stats) for r in stats.collect()}
+    y = {k: float(int(k % 3 == 0) if k % 11 else k % 2) for k in range(240)}
+    fold = {k: zlib.crc32(str(k).encode()) % 4 for k in range(240)}
+    taught = [k for k in range(240) if fold[k] != 2]
+    table = np.array([x[k] for k in taught])
+    mean, spread = table.mean(0), table.std(0) + 1e-6
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, 1 / quality.WIDTH, (quality.STATS, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+
+    def lift(k):
+        z = np.clip((x[k] - mean) / spread, -8, 8)
+        return np.array([np.sqrt(2 / quality.FEATURES) * np.cos(z @ w[:, j] + b[j]) for j in range(quality.FEATURES)] + [1.0])
+
+    fitted = [k for k in taught if fold[k] != 3]
+    z = np.array([lift(k) for k in fitted])
+    ridge = np.eye(z.shape[1]) * quality.RIDGE * len(fitted)
+    ridge[-1, -1] = 1e-9
+    beta = np.linalg.solve(z.T @ z + ridge, z.T @ np.array([y[k] for k in fitted]))
+    assert np.allclose(model.beta, beta, atol=1e-6)
+    bins: dict = {}
+    for k in taught:
+        if fold[k] == 3:
+            at = min(max(int((lift(k) @ beta + 0.5) / 2 * quality.BINS), 0), quality.BINS - 1)
+            bins.setdefault(at, []).append(y[k])
+    at = sorted(bins)
+    # Isotonic means by the least maximum over all stretches.
+    sums, n = [sum(bins[a]) for a in at], [len(bins[a]) for a in at]
+    means = [max(min(sum(sums[i : j + 1]) / sum(n[i : j + 1]) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    knots, values = quality.pooled((np.array(at, float) + 0.5) / quality.BINS * 2 - 0.5, np.array(sums), np.array(n, float))
+    assert np.allclose(model.knots, knots) and np.allclose(model.values, values) and len(knots) == len(set(np.round(means, 12)))
+    assert quality.fit(stats.union(stats), labels.union(labels)).knots.size  # repeated rows
+
+
 def test_isotonic_is_monotone():
     at, good, count = np.arange(9) / 9, np.array([0, 3, 1, 2, 2, 5, 4, 6, 6]), np.full(9, 6)
     _, values = quality.pooled(at, good, count)
