@@ -23,7 +23,7 @@ def test_stages(spark):
             kept = language_id.predicted(docs, language_id.fit(docs)).where(f"lang_pred <> 'und' AND score >= {language_id.FLOOR}")
             assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in out.collect()}
         elif name.startswith("n-gram"):
-            assert {r.component_id for r in jaccard_join.join(docs).collect()} == {r.doc_id for r in out.collect()}
+            assert {r.component_id for r in jaccard_join.join(docs, **jaccard_join.STAGE).collect()} == {r.doc_id for r in out.collect()}
         elif name.startswith("mixing"):
             assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
         else:
