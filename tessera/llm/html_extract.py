@@ -291,7 +291,7 @@ def _chunks(window: int, bits: int, chunk: int, most_pages: int):
             keys, counts = Chunk(rows, pages, window, bits).counts()
             # Block texts have no control characters that are white space, so that these can part them.
             text = "\x1e".join("\n".join(f"{k}{t}" for k, t in p) for p in pages).encode("utf-8", "surrogatepass")
-            out = [(1 << 40 | name, name, 1, zstandard.compress(text, 3), zstandard.compress(pickle.dumps(rows), 3))]
+            out = [(1 << 40 | name, name, 1, zstandard.compress(text, 9), zstandard.compress(pickle.dumps(rows), 9))]
             cuts = np.searchsorted(keys >> np.uint64(64 - bits - max(0, 16 - bits)), np.arange((1 << bits) + 1).astype(np.uint64))
             for r in np.flatnonzero(np.diff(cuts)):
                 x = keys[cuts[r] : cuts[r + 1]]
