@@ -40,7 +40,7 @@ from .shingles import mix, shingle_hashes, slices, text_bytes
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Shingles in a chunk of documents, documents that share a range task's share, sets in a block.
-CHUNK, DOCS_A_RANGE, BLOCK = 1 << 20, 1500, 256
+CHUNK, DOCS_A_RANGE, BLOCK = 1 << 19, 1500, 256
 #: Documents in a chunk (an Arrow batch more at most): their numbers have 16 bits. Large families that are broadcast.
 MOST_DOCS, FEW = 60_000, 1_000_000
 #: The pipeline's stage: five words and a similarity of 0.8; op8's contract binds the query alone.
@@ -162,7 +162,7 @@ def _live(numerator: int, denominator: int):
         ids, n, s1, s2 = head
         place, h, f = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((places, np.uint32), (hs, np.uint64), (fs, np.uint32)))
         runs, starts = times[place], (np.cumsum(times) - times)[place]
-        d = docs[np.repeat(starts - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())].astype(np.int64)
+        d = docs[np.repeat(starts - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())].astype(np.int32)
         h, f = np.repeat(h, runs), np.repeat(f, runs)
         m = np.bincount(d, minlength=len(ids))
         live = (m > 0) & (denominator * m >= numerator * n)
