@@ -384,8 +384,7 @@ def family_links(members: DataFrame, sets: DataFrame, block: int, numerator: int
 
     def joined(pairs: DataFrame) -> DataFrame:
         # Sets are wide: they are moved once a block, when it is known which of them meet; until then ids stand for them.
-        pairs = written(pairs.select("pair", "side", "cid", "comp"), "jj-pairs")
-        return written(pairs.join(sets, "cid").groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint"), "jj-links")
+        return pairs.select("pair", "side", "cid", "comp").join(sets, "cid").groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint")
 
     members = members.withColumn("comp", F.col("cid"))
     large = written(members.groupBy("fid").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block).select("fid"), "jj-large")
@@ -394,18 +393,20 @@ def family_links(members: DataFrame, sets: DataFrame, block: int, numerator: int
     links = joined(members.join(marked, "fid", "left_anti").select(F.col("fid").cast("string").alias("pair"), F.lit(0).alias("side"), "cid", "comp"))
     if not count:
         return links
-    inside = written(members.join(marked, "fid", "left_semi"), "jj-inside")
+    inside = members.join(marked, "fid", "left_semi")
 
     def labelled(found: DataFrame) -> DataFrame:
         names = components(found).withColumnsRenamed({"node": "cid", "component": "_c"})
         return inside.drop("comp").join(names, "cid", "left").select("fid", "cid", "n", F.coalesce("_c", "cid").alias("comp"))
 
-    found = joined(block_pairs(inside, block, numerator, denominator, within=True))
+    found = written(joined(block_pairs(inside, block, numerator, denominator, within=True)), "jj-links")
     leaders = labelled(found).where("cid = comp")
-    found = found.union(joined(block_pairs(leaders, block, numerator, denominator)))
-    rest = written(labelled(found), "jj-rest")
+    found = written(found.union(joined(block_pairs(leaders, block, numerator, denominator))), "jj-links")
+    rest = labelled(found)
     parted = rest.groupBy("fid").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z").select("fid")
-    rest = rest.join(parted, "fid", "left_semi")
+    if parted.isEmpty():
+        return links.union(found)
+    rest = written(rest.join(parted, "fid", "left_semi"), "jj-rest")
     return links.union(found).union(joined(block_pairs(rest, block, numerator, denominator)))
 
 
