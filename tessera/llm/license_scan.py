@@ -9,7 +9,7 @@ sentences that begin at one place the longest is taken, and the search goes on b
 Rules are ordered sequences of identifiers; the sequence is read from left to right, at each place the first rule that
 fits takes its identifiers, and the reading goes on behind them. All of it is one projection: no shuffle, no Python
 on the executors. The patterns are built from the catalogue as a prefix tree, so that a text's words are compared with
-sentences that share their beginning once.
+sentences that share their beginning once; texts that lack all of a few words, of which every known sentence has one, are not searched.
 
 Null and empty texts have no sentence: empty strings and 0. Texts of any length are scanned whole. Repeated rows give
 repeated results. Only the text column is read; columns of docs that have the names of the results are replaced.
@@ -18,7 +18,9 @@ repeated results. Only the text column is read; columns of docs that have the na
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,6 +209,22 @@ def sentence_pattern(sentences, long: int = LONG) -> str:
     return "|".join(options)
 
 
+def anchors(sentences) -> list[str]:
+    """Few words of which every sentence has one: the word of the most sentences that are left, again and again."""
+    left, out = [set(x.split(" ")) for x in sentences], []
+    while left:
+        count: dict[str, int] = {}
+        for words in left:
+            for w in words:
+                if len(w) > 2:
+                    count[w] = count.get(w, 0) + 1
+        if not count:
+            return []
+        out.append(max(count, key=lambda w: (count[w] * (len(w) > 5), count[w], w)))
+        left = [x for x in left if out[-1] not in x]
+    return out
+
+
 def expanded(rules=None) -> list[tuple[str, str, tuple[str, ...]]]:
     """Each rule with every choice of its identifiers that may be missing, the fullest first; rules stay in order."""
     out, seen = [], set()
@@ -237,6 +255,10 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     found = F.regexp_extract_all(marked, F.lit(sentence_pattern(sentences)), F.lit(0))
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     ids = F.transform(found, lambda x: F.try_element_at(known, F.regexp_replace(x, GAP, " ")))
+    if words := anchors(sentences):
+        # Texts without any word that a known sentence must have are not searched.
+        low = F.lower(F.col(text))
+        ids = F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in words]), ids).otherwise(F.array().cast("array<string>"))
     seq = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     out = docs.withColumns({"n_sentences": F.size(ids).cast("long"), "sentence_ids": seq})
     matches = F.regexp_extract_all("sentence_ids", F.lit("(" + "|".join(framed(r[2]) for r in rows) + ")"), F.lit(1))
