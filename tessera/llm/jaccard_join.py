@@ -41,8 +41,8 @@ from .shingles import mix, shingle_hashes, slices, text_bytes
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Shingles in a chunk of documents, documents that share a range task's share, sets in a block.
 CHUNK, DOCS_A_RANGE, BLOCK = 1 << 19, 1500, 256
-#: Documents in a chunk (an Arrow batch more at most): their numbers have 16 bits. Large families that are broadcast.
-MOST_DOCS, FEW = 60_000, 1_000_000
+#: Documents in a chunk (an Arrow batch more at most): their numbers have 16 bits. Rows of names that are broadcast.
+MOST_DOCS, FEW = 60_000, 200_000
 #: The pipeline's stage: five words and a similarity of 0.8; op8's contract binds the query alone.
 STAGE = {"width": 5, "numerator": 80, "denominator": 100}
 
@@ -384,7 +384,9 @@ def family_links(members: DataFrame, sets: DataFrame, block: int, numerator: int
 
     def joined(pairs: DataFrame) -> DataFrame:
         # Sets are wide: they are moved once a block, when it is known which of them meet; until then ids stand for them.
-        return pairs.select("pair", "side", "cid", "comp").join(sets, "cid").groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint")
+        pairs = written(pairs.select("pair", "side", "cid", "comp"), "jj-pairs")
+        met = F.broadcast(pairs) if pairs.count() <= FEW else pairs
+        return sets.join(met, "cid").groupBy("pair").applyInArrow(_joined(numerator, denominator), "a bigint, b bigint")
 
     members = members.withColumn("comp", F.col("cid"))
     large = written(members.groupBy("fid").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block).select("fid"), "jj-large")
