@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from .temporal import col
 
 #: Accents and what they fold to, letter by letter.
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿłšžčřěůđøāēīōūąęśźżńćğışţăőű", "aaaaaaceeeeiiiinooooouuuuyylszcreudoaeiouaeszzncgistaou"
+#: Letters that fold to two.
+DOUBLE = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"))
 STOP_LABELS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "his", "but", "at", "are", "this", "have", "an", "or", "from", "le")
 ANSWER_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 
 def fold(text) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(col(text)), ACCENTS, PLAIN)
+    out = F.translate(F.lower(col(text)), ACCENTS, PLAIN)
+    for letter, plain in DOUBLE:
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
 
 
 def tokens(text) -> Column:
-    """Words of the folded text; punctuation separates."""
-    return F.filter(F.split(F.regexp_replace(fold(text), r"[^a-z0-9_\s]", " "), r"\s+"), lambda w: w != "")
+    """Words of the folded text, in any script; punctuation separates."""
+    return F.filter(F.split(F.regexp_replace(fold(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != "")
 
 
 def sentences(text) -> Column:
@@ -109,9 +114,23 @@ def labelled(name, types, ident) -> Column:
 
 
 def repaired_json(text) -> Column:
-    """JSON without code fences and with lone backslashes doubled."""
-    bare = F.regexp_replace(F.trim(col(text)), r"^```(?:json)?\s*|\s*```$", "")
-    return F.regexp_replace(bare, r"""\\(?!["\\/bfnrtu])""", r"\\\\")
+    """JSON without code fences of any name, and without backslashes that begin no escape."""
+    bare = F.regexp_replace(F.trim(col(text)), r"^```[a-z]*\s*|\s*```$", "")
+    return F.regexp_replace(bare, r"""(\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))|\\""", "$1")
+
+
+def node_view(name, types, description, aliases, most: int = 200) -> Column:
+    """What a model is shown of a node: its name, types, aliases and the beginning of its description; null for nodes without aliases, which are not shown."""
+    text = F.nullif(col(description), F.lit(""))
+    shown = F.struct(col(name).alias("entity"), col(types).alias("types"), F.concat(F.left(text, F.lit(most)), F.lit("...")).alias("description"), col(aliases).alias("aliases"))
+    return F.when(F.size(F.coalesce(col(aliases), F.array().cast("array<string>"))) > 0, shown)
+
+
+def merged_map(first, second, override: bool = True) -> Column:
+    """The union of two maps; of a key in both the second's value stays, or the first's without `override`."""
+    kept = F.map_filter(col(first), lambda k, v: ~F.map_contains_key(col(second), k)) if override else col(first)
+    added = col(second) if override else F.map_filter(col(second), lambda k, v: ~F.map_contains_key(col(first), k))
+    return F.map_concat(kept, added)
 
 
 def intent(question) -> Column:

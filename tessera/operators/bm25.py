@@ -8,42 +8,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.stages import written
+
+
+#: Distinct query terms that are broadcast.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc, tf), lengths (doc, dl), idf (term, idf), stats (one row: n, avgdl)."""
+    """tokens (doc, tokens), idf (term, df, idf), stats (one row: n, avgdl)."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    tokens: DataFrame
     idf: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc, tf) of all terms."""
+        return self.tokens.select("doc", F.explode("tokens").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
+
 
 def tokenised(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), tokens(text).alias("tokens"))
 
 
 def build(docs: DataFrame, doc: str = "doc", text: str = "text", epsilon: float = 0.25) -> Index:
-    """docs (doc, text). A term in more than half of the documents gets epsilon times the mean idf of all terms."""
+    """docs (doc, text). A term in more than half of the documents gets epsilon times the mean idf of all terms.
+
+    Documents count once for each distinct term, within their row, so that the exchange holds the vocabulary and not the postings.
+    """
     rows = tokenised(docs, doc, text)
-    lengths = rows.select("doc", F.size("tokens").cast("long").alias("dl"))
-    postings = rows.select("doc", F.explode("tokens").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_k", F.lit(0))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    raw = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_k", F.lit(0))
     # One row of statistics meets the terms; the join on a constant is a broadcast of that row.
     known = raw.join(F.broadcast(stats.withColumn("_k", F.lit(0))), "_k")
     raw = known.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "_k")
     floor = raw.agg((F.avg("raw") * epsilon).alias("floor"), F.lit(0).alias("_k"))
     idf = raw.join(F.broadcast(floor), "_k").select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, idf, stats)
+    return Index(rows, idf, stats)
 
 
 def scores(index: Index, questions: DataFrame, question: str = "question_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """question_id, doc, score of documents that share a token; a repeated query token counts again."""
+    """question_id, doc, score of documents that share a token; a repeated query token counts again.
+
+    Terms that no question has leave before they are counted; a document's terms are counted within its task.
+    """
     asked = questions.select(F.col(question).alias("question_id"), F.explode(tokens(text)).alias("term"))
     asked = asked.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = index.postings.join(asked, "term").join(index.idf, "term").join(index.lengths, "doc").join(F.broadcast(index.stats.withColumn("_k", F.lit(0))), F.lit(0) == F.col("_k"))
+    asked = written(asked.join(index.idf, "term").select("question_id", "term", "times", "idf"), "bm25-asked")
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= FEW else terms
+    hits = index.tokens.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    hits = hits.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = hits.join(asked, "term").join(F.broadcast(index.stats.withColumn("_k", F.lit(0))), F.lit(0) == F.col("_k"))
     dl = F.col("dl") / F.col("avgdl")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl))
     return hits.groupBy("question_id", "doc").agg(F.sum(part).alias("score"))

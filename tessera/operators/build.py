@@ -12,8 +12,8 @@ from ..functions.text import repaired_json, sentences
 
 def extracted(rows: DataFrame, column: str = "response") -> DataFrame:
     """Adds `entity_layer`, parsed from a model's text; null where it is no object with nodes."""
-    parsed = F.from_json(repaired_json(column), S.EXTRACTION)
-    return rows.withColumn("entity_layer", F.when(parsed["nodes"].isNotNull(), parsed))
+    parsed = rows.withColumn("entity_layer", F.from_json(repaired_json(column), S.EXTRACTION))
+    return parsed.withColumn("entity_layer", F.when(F.col("entity_layer.nodes").isNotNull(), F.col("entity_layer")))
 
 
 def bad_rows(rows: DataFrame) -> DataFrame:
@@ -28,40 +28,50 @@ def repaired(rows: DataFrame, again: DataFrame, key: str = "doc") -> DataFrame:
     return good.unionByName(second.select(rows.columns)).unionByName(rest)
 
 
-def single_pass(docs: DataFrame) -> S.Graph:
+def single_pass(docs: DataFrame, aliases: bool = False) -> S.Graph:
     """docs (doc string, pos, text, entity_layer): passages, sentences, nodes and edges with times, one pass, deterministic ids.
 
     Nodes and edges without a time take their passage's, which is that of its first timed node. Edges with an unknown
-    end are dropped. A sentence is linked to the nodes whose names occur in it.
+    end are dropped. A sentence is linked to the nodes whose names (with `aliases`, or aliases) occur in it.
     """
-    docs = docs.where((F.length("text") > 0) & F.col("entity_layer").isNotNull())
-    period = lambda x: validity(x["valid_time.start"], x["valid_time.end"])
-    raw = docs.select("doc", "pos", F.posexplode("entity_layer.nodes").alias("k", "n"))
-    nodes = raw.select("doc", "pos", "k", F.col("n.id").alias("local"), "n.name", "n.type", "n.description", "n.aliases", "n.is_temporal_entity", validity("n.valid_time.start", "n.valid_time.end").alias("own"))
-    first = nodes.where(F.col("own").isNotNull()).groupBy("doc").agg(F.min_by("own", "k").alias("primary_time"))
-    nodes = nodes.join(first, "doc", "left").withColumn("id", F.concat_ws(":", F.lit("node"), "doc", "k"))
-    timed = F.coalesce("own", "primary_time")
-    interval = lambda t: F.when(t.isNotNull(), F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(1.0).alias("confidence")))
-    node_rows = nodes.select("id", "name", "type", "description", "aliases", F.create_map(F.lit("llm_extracted"), F.lit("true")).alias("properties"), interval(timed).alias("valid_time"), "is_temporal_entity")
-    ids = nodes.groupBy("doc", "local").agg(F.max_by("id", "k").alias("id"))
-    links = docs.select("doc", F.posexplode("entity_layer.edges").alias("k", "e"))
-    links = links.select("doc", "k", F.col("e.source_node_id").alias("_s"), F.col("e.target_node_id").alias("_t"), F.col("e.relationship_name").alias("relationship_name"), validity("e.valid_time.start", "e.valid_time.end").alias("own"))
-    end = lambda c, name: ids.select("doc", F.col("local").alias(c), F.col("id").alias(name))
-    links = links.join(end("_s", "source_node_id"), ["doc", "_s"]).join(end("_t", "target_node_id"), ["doc", "_t"]).join(first, "doc", "left")
-    edge_rows = links.select(F.concat_ws(":", F.lit("edge"), "doc", "k").alias("edge_id"), "source_node_id", "target_node_id", "relationship_name", F.create_map(F.lit("llm_extracted"), F.lit("true")).alias("properties"), interval(F.coalesce("own", "primary_time")).alias("valid_time"), F.lit(None).cast("string").alias("temporal_relation"))
-    members = nodes.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("node_map"), F.collect_list(F.struct("id", "name")).alias("_names"))
-    cut = docs.select("doc", "pos", "text", sentences("text").alias("_s")).join(members, "doc", "left").join(first, "doc", "left")
     none = F.array().cast("array<string>")
+    docs = docs.where((F.length("text") > 0) & F.col("entity_layer").isNotNull()).select("doc", "pos", "text", "entity_layer.*")
+    interval = lambda t: F.when(t.isNotNull(), F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(1.0).alias("confidence")))
+    extracted_by = F.create_map(F.lit("llm_extracted"), F.lit("true"))
+    # All of it is local to a document's row: ids, times and edge ends come from its arrays, without any exchange.
+    period = lambda x: validity(x["valid_time"]["start"], x["valid_time"]["end"])
+    docs = docs.withColumn("_own", F.transform("nodes", period))
+    docs = docs.withColumn("_first", F.try_element_at(F.filter("_own", lambda t: t.isNotNull()), F.lit(1)))
+    docs = docs.withColumn("_ids", F.transform("nodes", lambda n, k: F.struct(n["id"].alias("local"), n["name"].alias("name"), F.concat_ws(":", F.lit("node"), "doc", k).alias("id"))))
+    raw = docs.select("doc", "_first", "_own", F.posexplode("nodes").alias("k", "n"))
+    own = F.try_element_at("_own", F.col("k") + 1)
+    node_rows = raw.select(
+        F.concat_ws(":", F.lit("node"), "doc", "k").alias("id"), "n.name", "n.type", "n.description", "n.aliases", extracted_by.alias("properties"),
+        interval(F.coalesce(own, F.col("_first"))).alias("valid_time"), "n.is_temporal_entity",
+    )
+
+    def end(column: str):
+        """The last node of the document that has the local id."""
+        return F.try_element_at(F.filter("_ids", lambda i: i["local"] == F.col(column)), F.lit(-1))["id"]
+
+    links = docs.select("doc", "_first", "_ids", F.posexplode("edges").alias("k", "e"))
+    links = links.withColumns({"_s": F.col("e.source_node_id"), "_t": F.col("e.target_node_id")}).withColumns({"source_node_id": end("_s"), "target_node_id": end("_t")})
+    edge_rows = links.where("source_node_id IS NOT NULL AND target_node_id IS NOT NULL").select(
+        F.concat_ws(":", F.lit("edge"), "doc", "k").alias("edge_id"), "source_node_id", "target_node_id", F.col("e.relationship_name").alias("relationship_name"), extracted_by.alias("properties"),
+        interval(F.coalesce(period(F.col("e")), F.col("_first"))).alias("valid_time"), F.lit(None).cast("string").alias("temporal_relation"),
+    )
+    cut = docs.withColumn("_s", sentences("text"))
     passages = cut.select(
-        F.concat_ws(":", F.lit("passage"), "doc").alias("passage_id"), "text", F.coalesce("node_map", none).alias("node_map"),
+        F.concat_ws(":", F.lit("passage"), "doc").alias("passage_id"), "text", F.coalesce(F.transform("_ids", lambda i: i["id"]), none).alias("node_map"),
         F.transform("_s", lambda s, k: F.concat_ws(":", F.lit("sent"), "doc", k)).alias("sentence_map"),
-        interval(F.col("primary_time")).alias("primary_time"), F.array().cast(f"array<{S.EXPRESSION}>").alias("temporal_expressions"),
+        interval(F.col("_first")).alias("primary_time"), F.array().cast(f"array<{S.EXPRESSION}>").alias("temporal_expressions"),
     )
-    named = F.coalesce("_names", F.array().cast("array<struct<id:string,name:string>>"))
-    inside = cut.select("doc", named.alias("_names"), F.posexplode("_s").alias("k", "text"))
+    cut = cut.withColumn("_ids", F.transform("nodes", lambda n, k: F.struct(n["id"].alias("local"), n["name"].alias("name"), n["aliases"].alias("aliases"), F.concat_ws(":", F.lit("node"), "doc", k).alias("id"))))
+    inside = cut.select("doc", "_ids", F.posexplode("_s").alias("k", "text")).withColumn("_low", F.lower("text"))
+    called = lambda n: F.concat(F.array(n["name"]), F.coalesce(n["aliases"], none)) if aliases else F.array(n["name"])
     sentence_rows = inside.select(
         F.concat_ws(":", F.lit("sent"), "doc", "k").alias("sentence_id"), F.concat_ws(":", F.lit("passage"), "doc").alias("passage_id"), "text",
-        F.transform(F.filter("_names", lambda n: F.lower("text").contains(F.lower(n["name"]))), lambda n: n["id"]).alias("node_map"),
+        F.transform(F.filter("_ids", lambda n: F.exists(called(n), lambda x: (x != "") & F.col("_low").contains(F.lower(x)))), lambda n: n["id"]).alias("node_map"),
         F.array().cast(f"array<{S.EXPRESSION}>").alias("temporal_expressions"),
     )
     return S.Graph(node_rows, edge_rows, passages, sentence_rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ def unit(a) -> Column:
 def distances(chunks: DataFrame, queries: DataFrame, metric: str = "l2", most_queries: int = 10_000) -> DataFrame:
     """chunks (chunk, doc, embedding) against queries (question_id, query): question_id, chunk, doc, dist.
 
-    A stated query set against all rows: the queries, few and counted, are one broadcast array, and chunks are read once.
+    A stated query set against all rows: the queries are counted; up to `most_queries` are one broadcast array, and chunks are read
+    once. More are dealt by hash into sets of that size, and chunks are read once a set.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} query vectors; search them in blocks")
+    count = queries.count()
+    if count > most_queries:
+        sets = -(-count // (most_queries // 2))
+        dealt = F.pmod(F.xxhash64("question_id"), F.lit(sets))
+        return reduce(DataFrame.unionByName, [distances(chunks, queries.where(dealt == k), metric, most_queries) for k in range(sets)])
     listed = queries.agg(F.collect_list(F.struct("question_id", "query")).alias("_q"), F.lit(0).alias("_k"))
     rows = chunks.withColumn("_k", F.lit(0)).join(F.broadcast(listed), "_k").select("chunk", "doc", "embedding", F.explode("_q").alias("q"))
     dist = squared_distance("embedding", "q.query") if metric == "l2" else dot("embedding", "q.query")
@@ -64,5 +70,6 @@ def probe(celled: DataFrame, centres: DataFrame, queries: DataFrame, nprobe: int
     near = distances(centres.select(F.col("cell").alias("chunk"), F.col("cell").alias("doc"), F.col("centre").alias("embedding")), queries)
     order = Window.partitionBy("question_id").orderBy("dist", "chunk")
     chosen = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= nprobe).select("question_id", F.col("chunk").alias("cell"))
-    asked = chosen.join(F.broadcast(queries), "question_id")
-    return celled.join(F.broadcast(asked), "cell").select("question_id", "chunk", "doc", F.round(squared_distance("embedding", "query"), 6).alias("dist"))
+    few = queries.count() * nprobe <= 100_000
+    asked = chosen.join(queries, "question_id")
+    return celled.join(F.broadcast(asked) if few else asked, "cell").select("question_id", "chunk", "doc", F.round(squared_distance("embedding", "query"), 6).alias("dist"))

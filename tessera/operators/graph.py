@@ -46,7 +46,9 @@ def ball(pairs: DataFrame, seeds: DataFrame, radius: int = 1) -> DataFrame:
 
 
 def induced(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs whose two ends are members (question_id, node) of the same question."""
+    """Pairs whose two ends are members (question_id, node) of the same question. Pairs with an end that is no question's leave first."""
+    known = members.select("node").distinct()
+    pairs = pairs.join(known.withColumnRenamed("node", "lo"), "lo", "left_semi").join(known.withColumnRenamed("node", "hi"), "hi", "left_semi")
     low = members.select("question_id", F.col("node").alias("lo"))
     high = members.select("question_id", F.col("node").alias("hi"))
     return pairs.join(low, "lo").join(high, ["question_id", "hi"])
@@ -69,12 +71,13 @@ def edge_weight(start, end, year, semantic: Column | None = None, alpha: float =
     return alpha * decay(start, end, year, sigma) + (1 - alpha) * meaning
 
 
-def ppr(arc_rows: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10, cut_every: int = 5) -> DataFrame:
+def ppr(arc_rows: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 100, cut_every: int = 5, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank of any size, by joins: (question_id, node, score).
 
     arc_rows (question_id, src, dst, w) in both directions, nodes and seeds (question_id, node). Restart is uniform
-    on the seeds; a node without arcs gives its mass to the seeds. Sums are partial before each exchange, and the
-    lineage is cut every `cut_every` rounds. A question without seeds has constant scores of 1.
+    on the seeds; a node without arcs gives its mass to the seeds. Sums are partial before each exchange. Every `cut_every`
+    rounds the state is written, and the rounds end where the last one moved less than nodes times `tolerance` in every question.
+    A question without seeds has constant scores of 1.
     """
     arc_rows = arc_rows.where("w > 0")
     out = arc_rows.groupBy("question_id", "src").agg(F.sum("w").alias("_t"))
@@ -84,32 +87,44 @@ def ppr(arc_rows: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float
     share = own.groupBy("question_id").agg((1.0 / F.count(F.lit(1))).alias("_s"))
     base = nodes.join(own.withColumn("_seed", F.lit(1)), ["question_id", "node"], "left").join(share, "question_id", "left").join(counted, "question_id")
     base = base.join(out.select("question_id", F.col("src").alias("node"), F.lit(1).alias("_out")), ["question_id", "node"], "left")
-    base = base.select("question_id", "node", F.when(F.col("_seed") == 1, F.col("_s")).otherwise(0.0).alias("p0"), F.col("_s").isNull().alias("none"), F.col("_out").isNull().alias("dangling"), (1.0 / F.col("_n")).alias("x"))
+    base = base.select("question_id", "node", F.when(F.col("_seed") == 1, F.col("_s")).otherwise(0.0).alias("p0"), F.col("_s").isNull().alias("none"), F.col("_out").isNull().alias("dangling"), (1.0 / F.col("_n")).alias("x"), F.lit(1.0).alias("moved"))
     state = written(base, "ppr")
     for k in range(iterations):
         flow = steps.join(state.select("question_id", F.col("node").alias("src"), "x"), ["question_id", "src"]).groupBy("question_id", F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("_in"))
         lost = state.groupBy("question_id").agg(F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("_lost"))
         new = damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") * F.col("p0")) + (1 - damping) * F.col("p0")
-        state = state.drop("x").join(flow, ["question_id", "node"], "left").join(lost, "question_id").select("question_id", "node", "p0", "none", "dangling", new.alias("x"))
+        joined = state.withColumnRenamed("x", "_x").join(flow, ["question_id", "node"], "left").join(lost, "question_id")
+        state = joined.select("question_id", "node", "p0", "none", "dangling", new.alias("x"), F.abs(new - F.col("_x")).alias("moved"))
         if (k + 1) % cut_every == 0 and k + 1 < iterations:
             state = written(state, "ppr")
+            far = state.where("NOT none").groupBy("question_id").agg((F.sum("moved") >= tolerance * F.count(F.lit(1))).alias("_far")).where("_far")
+            if tolerance > 0 and far.isEmpty():
+                break
     return state.select("question_id", "node", F.when(F.col("none"), 1.0).otherwise(F.col("x")).alias("score"))
 
 
-def ppr_grouped(arc_rows: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """The same for questions whose subgraphs are small: each question's is one pandas group, iterated to the tolerance."""
+def ppr_grouped(arc_rows: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, isolated: DataFrame | None = None) -> DataFrame:
+    """The same for questions whose subgraphs are small: each question's is one pandas group, iterated until a round moves less than nodes times `tolerance`.
+
+    isolated (question_id, n): nodes without arcs that are counted but not listed; their score is 0 after the first round.
+    """
     rows = arc_rows.select("question_id", "src", "dst", F.col("w").cast("double").alias("w"))
     rows = rows.unionByName(nodes.select("question_id", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("w")))
     rows = rows.unionByName(seeds.select("question_id", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(1.0).alias("w")))
 
+    if isolated is not None:
+        rows = rows.unionByName(isolated.select("question_id", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("n").cast("double").alias("w")))
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        more = g.w[g.src.isna()].sum()
+        g = g[~g.src.isna()]
         flat = g[g.dst.isna()]
         names = pd.Index(flat.src[flat.w == 0].unique())
         n = len(names)
         seed = np.unique(names.get_indexer(flat.src[flat.w == 1]))
         seed = seed[seed >= 0]
         if not n or not len(seed):
-            return pd.DataFrame({"question_id": [g.question_id.iloc[0]] * n, "node": names, "score": np.ones(n)})
+            return pd.DataFrame({"question_id": [g.question_id.iloc[0] if n else 0] * n, "node": names, "score": np.ones(n)})
         e = g[~g.dst.isna() & (g.w > 0)]
         a, b, w = names.get_indexer(e.src), names.get_indexer(e.dst), e.w.to_numpy()
         keep = (a >= 0) & (b >= 0)
@@ -118,11 +133,12 @@ def ppr_grouped(arc_rows: DataFrame, nodes: DataFrame, seeds: DataFrame, damping
         step = w / total[a]
         p = np.zeros(n)
         p[seed] = 1 / len(seed)
-        x, dangling = np.full(n, 1 / n), total == 0
+        x, dangling = np.full(n, 1 / (n + more)), total == 0
+        apart = more / (n + more)  # mass of the isolated nodes, which goes to the seeds in the first round
         for _ in range(iterations):
-            new = damping * (np.bincount(b, x[a] * step, n) + x[dangling].sum() * p) + (1 - damping) * p
-            done = np.abs(new - x).sum() < n * tolerance
-            x = new
+            new = damping * (np.bincount(b, x[a] * step, n) + (x[dangling].sum() + apart) * p) + (1 - damping) * p
+            done = np.abs(new - x).sum() + apart < (n + more) * tolerance
+            x, apart = new, 0.0
             if done:
                 break
         return pd.DataFrame({"question_id": [g.question_id.iloc[0]] * n, "node": names, "score": x})

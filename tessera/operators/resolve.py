@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, label_allowed
+from ..functions.text import fold, label_allowed, tokens
 from .graph import components
 
 
@@ -40,20 +42,30 @@ def instruction_components(instructions: DataFrame) -> DataFrame:
 def merge_nodes(nodes: DataFrame, mapping: DataFrame, keep_names: bool = False) -> DataFrame:
     """nodes (id, pos, name, type, aliases, description, ...) with members folded into their base (mapping: member, base).
 
-    Types and aliases are united, descriptions joined by new lines in order; everything else is the base's.
+    Types and aliases are united, descriptions joined by new lines in order, of properties (a map) each key's first value stays;
+    every other column is the base's. Nodes that are alone are not grouped.
     """
-    based = nodes.join(mapping, nodes["id"] == mapping["member"], "left").withColumn("_base", F.coalesce("base", "id")).drop("member", "base")
+    ends = mapping.select("member").union(mapping.select("base")).distinct().withColumnRenamed("member", "id")
+    alone = nodes.join(ends, "id", "left_anti")
+    based = nodes.join(ends, "id", "left_semi").join(mapping, nodes["id"] == mapping["member"], "left").withColumn("_base", F.coalesce("base", "id")).drop("member", "base")
     first = F.struct((F.col("id") != F.col("_base")).alias("other"), "pos")
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(first.alias("o"), F.col(c).alias("v")))), lambda x: x["v"])
     names = F.filter(in_order("name"), lambda x: x != F.min_by("name", first))
     aliases = F.flatten(F.filter(in_order("aliases"), lambda x: x.isNotNull()))
-    return based.groupBy(F.col("_base").alias("id")).agg(
-        F.min("pos").alias("pos"),
-        F.min_by("name", first).alias("name"),
-        F.array_distinct(F.flatten(in_order("type"))).alias("type"),
-        F.array_distinct(F.concat(aliases, names) if keep_names else aliases).alias("aliases"),
-        F.array_join(F.filter(in_order("description"), lambda x: F.coalesce(x, F.lit("")) != ""), "\n").alias("description"),
-    )
+    united = {
+        "pos": F.min("pos"),
+        "type": F.array_distinct(F.flatten(in_order("type"))),
+        "aliases": F.array_distinct(F.concat(aliases, names) if keep_names else aliases),
+        "description": F.array_join(F.filter(in_order("description"), lambda x: F.coalesce(x, F.lit("")) != ""), "\n"),
+    }
+    if "properties" in nodes.columns:
+        entries = F.flatten(F.transform(F.filter(in_order("properties"), lambda m: m.isNotNull()), F.map_entries))
+        fresh = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, 1, k), lambda f: f["key"] == e["key"]))
+        united["properties"] = F.map_from_entries(fresh)
+    aggregates = [united.get(c, F.min_by(c, first)).alias(c) for c in nodes.columns if c != "id"]
+    merged = based.groupBy(F.col("_base").alias("id")).agg(*aggregates).select(nodes.columns)
+    plain = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("aliases",)} | {"description": F.coalesce("description", F.lit("")), "type": F.array_distinct("type")}
+    return alone.withColumns(plain).select(nodes.columns).unionByName(merged)
 
 
 def rewired(edges: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -111,7 +123,7 @@ def link_labels(texts: DataFrame, labels: DataFrame) -> DataFrame:
     Texts' word n-grams, of the lengths that labels have, meet the labels in one equi-join, in place of a search of every label in every text.
     """
     sizes = [r[0] for r in labels.where("label IS NOT NULL").select(F.size(F.split("label", " "))).distinct().collect()]  # one number a length
-    w = F.filter(F.split(F.regexp_replace(fold("text"), r"[^a-z0-9_\s]", " "), r"\s+"), lambda x: x != "")
+    w = tokens("text")
 
     def of(n: int):
         at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
@@ -166,14 +178,32 @@ def semantic_clusters(rows: DataFrame, eps: float = 0.5) -> DataFrame:
     return components(near_pairs(rows, eps))
 
 
-def combined(graphs: list[DataFrame]) -> DataFrame:
-    """One table of several graphs' rows; ids are prefixed by the graph's number, positions follow each other."""
-    from functools import reduce
-
-    rows = [g.withColumn("graph", F.lit(k)) for k, g in enumerate(graphs)]
+def combined(graphs: list[DataFrame], ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One table of several graphs' rows; the columns in `ids` get the graph's number before them, so that equal ids of different graphs stay apart."""
+    rows = [g.withColumns({c: F.concat(F.lit(f"{k}:"), c) for c in ids} | {"graph": F.lit(k)}) for k, g in enumerate(graphs)]
     return reduce(DataFrame.unionByName, rows)
 
 
+def combined_graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges (src, dst, relation, pos, ...) of several graphs as one: ids apart, without loops, the first of equal edges."""
+    joined = combined(edges, ("src", "dst")).withColumn("pos", F.struct("graph", "pos")).drop("graph")
+    return combined(nodes), first_edges(joined.where("src <> dst"))
+
+
+def distinct_undirected(edges: DataFrame, source: str = "source", target: str = "target", relation: str = "relation", position: str = "pos") -> DataFrame:
+    """Of labelled edges that differ in direction alone the first by position, within each question if there is one."""
+    keys = [c for c in ("question_id",) if c in edges.columns]
+    pair = F.array_sort(F.array(source, target))
+    rows = edges.withColumn("_pair", pair)
+    others = F.struct(*[c for c in edges.columns if c not in (*keys, relation)])
+    return rows.groupBy(*keys, "_pair", relation).agg(F.min_by(others, position).alias("_e")).select(*keys, relation, "_e.*").select(edges.columns)
+
+
+def blank_descriptions(nodes: DataFrame) -> DataFrame:
+    """Nodes as a judge sees them: without descriptions."""
+    return nodes.withColumn("description", F.lit(""))
+
+
 def reset_ids(nodes: DataFrame, order: list[str], mode: str = "number") -> DataFrame:
     """nodes with `new_id`: 1..n in the order given, or a hash of the id. Numbers are dealt in two levels, without one task for all."""
     if mode == "hash":

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as X
-from ..operators import dense, fusion, graph
+from ..operators import bm25, dense, fusion, graph
 from ..sources.stages import written
 from . import kg, retrieval
 from .registry import query
@@ -17,17 +15,25 @@ CONFIG = Config()
 Y0, Y1 = "1998-01-01", "1998-12-31"
 
 
-def ppr_sql(name: str, nodes: str, arcs: str, seeds: str, rounds: int = 10, damping: float = 0.85) -> str:
-    """CTEs of an unrolled PageRank: nodes(node), arcs(src, dst, w) in both directions, seeds(node); result in `name`(node, x)."""
+def ppr_sql(name: str, nodes: str, arcs: str, seeds: str, rounds: int = 100, tolerance: float = 1e-6, isolated: str = "SELECT NULL::INT AS question_id, 0 AS n WHERE false", damping: float = 0.85) -> str:
+    """CTEs of PageRank in SQL: selects of nodes (question_id, node), arcs (question_id, src, dst, w) in both directions, seeds (question_id, node) and counts of isolated nodes (question_id, n); result in `name` (question_id, node, x)."""
     c = name
-    out = f"""{c}_s AS (SELECT DISTINCT node FROM {seeds} WHERE node IN (SELECT node FROM {nodes})),
-  {c}_t AS (SELECT src, sum(w) AS t FROM {arcs} WHERE w > 0 GROUP BY src), {c}_a AS MATERIALIZED (SELECT src, dst, w / t AS p FROM {arcs} JOIN {c}_t USING (src) WHERE w > 0),
-  {c}_0 AS MATERIALIZED (SELECT node, CASE WHEN node IN (SELECT node FROM {c}_s) THEN 1.0::DOUBLE / (SELECT count(*) FROM {c}_s) ELSE 0 END AS p0, node NOT IN (SELECT src FROM {c}_t) AS lost, 1.0::DOUBLE / (SELECT count(*) FROM {nodes}) AS x FROM {nodes})"""
-    for k in range(rounds):
-        out += f""",
-  {c}_{k + 1} AS MATERIALIZED (SELECT s.node, p0, lost, {damping} * (coalesce(f.f, 0) + (SELECT coalesce(sum(x), 0) FROM {c}_{k} WHERE lost) * p0) + {1 - damping:.2f} * p0 AS x
-    FROM {c}_{k} s LEFT JOIN (SELECT dst AS node, sum(x * p) AS f FROM {c}_a JOIN {c}_{k} ON src = node GROUP BY dst) f USING (node))"""
-    return out + f",\n  {c} AS (SELECT node, x FROM {c}_{rounds})"
+    return f"""{c}_n AS MATERIALIZED (SELECT DISTINCT question_id, node FROM ({nodes})),
+  {c}_s AS (SELECT DISTINCT question_id, node FROM ({seeds}) SEMI JOIN {c}_n USING (question_id, node)),
+  {c}_w AS MATERIALIZED (SELECT question_id, src, dst, w FROM ({arcs}) WHERE w > 0), {c}_t AS (SELECT question_id, src, sum(w) AS t FROM {c}_w GROUP BY ALL),
+  {c}_a AS MATERIALIZED (SELECT question_id, src, dst, w / t AS p FROM {c}_w JOIN {c}_t USING (question_id, src)),
+  {c}_b AS MATERIALIZED (SELECT n.question_id, n.node, CASE WHEN s.node IS NULL THEN 0 ELSE 1.0::DOUBLE / seeds END AS p0, t.src IS NULL AS lost, coalesce(i.n, 0)::DOUBLE AS apart, every + coalesce(i.n, 0)::DOUBLE AS size
+    FROM {c}_n n JOIN (SELECT question_id, count(*) AS every FROM {c}_n GROUP BY ALL) USING (question_id) JOIN (SELECT question_id, count(*) AS seeds FROM {c}_s GROUP BY ALL) USING (question_id)
+    LEFT JOIN {c}_s s ON s.question_id = n.question_id AND s.node = n.node LEFT JOIN {c}_t t ON t.question_id = n.question_id AND t.src = n.node LEFT JOIN ({isolated}) i ON i.question_id = n.question_id),
+  {c} AS MATERIALIZED (WITH RECURSIVE r(k, question_id, node, x, moved) AS (
+    SELECT 0, question_id, node, 1 / size, 1e9::DOUBLE FROM {c}_b
+    UNION ALL
+    SELECT k + 1, question_id, node, y, sum(abs(y - x)) OVER (PARTITION BY question_id) + CASE WHEN k = 0 THEN apart / size ELSE 0 END
+    FROM (SELECT r.k, r.question_id, r.node, r.x, b.apart, b.size, {damping} * (coalesce(f.f, 0) + (l.lost + CASE WHEN r.k = 0 THEN b.apart / b.size ELSE 0 END) * b.p0) + {1 - damping:.2f} * b.p0 AS y
+          FROM r JOIN {c}_b b USING (question_id, node) JOIN (SELECT r.question_id, sum(CASE WHEN b.lost THEN r.x ELSE 0 END) AS lost FROM r JOIN {c}_b b USING (question_id, node) GROUP BY ALL) l USING (question_id)
+          LEFT JOIN (SELECT a.question_id, a.dst AS node, sum(r.x * a.p) AS f FROM r JOIN {c}_a a ON a.question_id = r.question_id AND a.src = r.node GROUP BY ALL) f USING (question_id, node)
+          WHERE r.k < {rounds} AND r.moved >= {tolerance}::DOUBLE * b.size))
+    SELECT question_id, node, arg_max(x, k) AS x FROM r GROUP BY ALL)"""
 
 
 def with_question(df, question: int = 1):
@@ -50,7 +56,7 @@ def order_pairs(t):
 
 ORDER_PAIRS = kg.EDGES + """, all_ AS (FROM placed UNION ALL BY NAME FROM contains_),
   pairs AS MATERIALIZED (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, last(relation ORDER BY pos, start, relation) AS relation, last(start ORDER BY pos, start, relation) AS start, last("end" ORDER BY pos, start, relation) AS "end" FROM all_ GROUP BY 1, 2),
-  both_ AS (SELECT lo AS src, hi AS dst FROM pairs UNION ALL SELECT hi, lo FROM pairs)"""
+  both_ AS MATERIALIZED (SELECT lo AS src, hi AS dst FROM pairs UNION ALL SELECT hi, lo FROM pairs)"""
 
 
 @query("graph_simple_last_wins", f"WITH {ORDER_PAIRS} SELECT lo, hi, relation, start FROM pairs WHERE relation = 'contains'")
@@ -124,8 +130,8 @@ def node_idf(t):
 
 
 SEEDS = "seeds AS (SELECT 'C' || c_custkey AS node FROM customer WHERE c_custkey < 10)"
-BALL = f"""{SEEDS}, b1 AS (SELECT node FROM seeds UNION SELECT dst FROM both_ JOIN seeds ON src = node)"""
-BALL2 = f"{BALL}, b2 AS (SELECT node FROM b1 UNION SELECT dst FROM both_ JOIN b1 ON src = node)"
+BALL = f"""{SEEDS}, b1 AS MATERIALIZED (SELECT node FROM seeds UNION SELECT dst FROM both_ JOIN seeds ON src = node)"""
+BALL2 = f"{BALL}, b2 AS MATERIALIZED (SELECT node FROM b1 UNION SELECT dst FROM both_ JOIN b1 ON src = node)"
 
 
 @query("ego_subgraph_r1", f"WITH {ORDER_PAIRS}, {BALL} SELECT lo, hi FROM pairs WHERE lo IN (FROM b1) AND hi IN (FROM b1)")
@@ -153,7 +159,7 @@ def snapshot_subgraph(t):
 
 MEAN = f"(list_inner_product(a.e, q.e) + list_inner_product(b.e, q.e)) / 2"
 WEIGHTS = f"""vec AS (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
-  wt AS (SELECT lo, hi, 0.5 * s + 0.5 * greatest(0, least(1, round({MEAN}, 9))) AS w, s, relation FROM inside JOIN vec a ON a.vec_id = substr(lo, 2)::BIGINT % a.n JOIN vec b ON b.vec_id = substr(hi, 2)::BIGINT % b.n JOIN vec q ON q.vec_id = 0)"""
+  wt AS MATERIALIZED (SELECT lo, hi, 0.5 * s + 0.5 * greatest(0, least(1, round({MEAN}, 9))) AS w, s, relation, start, "end", round({MEAN}, 9) AS sem FROM inside JOIN vec a ON a.vec_id = substr(lo, 2)::BIGINT % a.n JOIN vec b ON b.vec_id = substr(hi, 2)::BIGINT % b.n JOIN vec q ON q.vec_id = 0)"""
 
 
 def semantic_pairs(t, inside):
@@ -173,14 +179,20 @@ def edge_weights_time_semantic(t):
     return retrieval.weighted(semantic_pairs(t, inside), asked(t), CONFIG, F.col("sem")).select("lo", "hi", F.round("w", 8).alias("w"))
 
 
-PPR = f"""{SNAP}, arcs_ AS (SELECT lo AS src, hi AS dst, s AS w FROM inside UNION ALL SELECT hi, lo, s FROM inside), {ppr_sql("ppr", "members", "arcs_", "seeds")}"""
+ARCS = "SELECT 1 AS question_id, lo AS src, hi AS dst, w FROM wt UNION ALL SELECT 1, hi, lo, w FROM wt"
+ONE = "SELECT 1 AS question_id, node FROM {0}"
+PPR = f"""{SNAP}, {WEIGHTS}, {ppr_sql("ppr", ONE.format("members"), ARCS, ONE.format("seeds"))}"""
 
 
-def slice_scores(t, grouped: bool = True):
+def slice_weighted(t):
+    """Members and weighted pairs of the snapshot, with their meaning."""
     members, inside = slice_(t)
-    inside = written(retrieval.weighted(inside, asked(t), CONFIG, alpha=1.0), "weighted")
-    run = (lambda *a: graph.ppr_grouped(*a, CONFIG.damping, 10, 0.0)) if grouped else (lambda *a: graph.ppr(*a, CONFIG.damping, 10))
-    return members, inside, written(run(graph.arcs(inside, "w"), members, seeds(t)), "scores")
+    return members, written(retrieval.weighted(semantic_pairs(t, inside), asked(t), CONFIG, F.col("sem")), "weighted")
+
+
+def slice_scores(t):
+    members, inside = slice_weighted(t)
+    return members, inside, written(retrieval.pagerank(graph.arcs(inside, "w"), members, seeds(t), CONFIG), "scores")
 
 
 @query("ppr_weighted_snapshot", f"WITH {PPR} SELECT node, round(x, 9) AS score FROM ppr")
@@ -188,63 +200,60 @@ def ppr_weighted_snapshot(t):
     return slice_scores(t)[2].select("node", F.round("score", 9).alias("score"))
 
 
-SUPPLY = kg.EDGES + """, pairs AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi FROM supplies), nodes_ AS (SELECT lo AS node FROM pairs UNION SELECT hi FROM pairs), arcs_ AS (SELECT lo AS src, hi AS dst, 1.0::DOUBLE AS w FROM pairs UNION ALL SELECT hi, lo, 1.0 FROM pairs),
+SUPPLY = kg.EDGES + """, pairs AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi FROM supplies), nodes_ AS (SELECT lo AS node FROM pairs UNION SELECT hi FROM pairs), arcs_ AS (SELECT 1 AS question_id, lo AS src, hi AS dst, 1.0::DOUBLE AS w FROM pairs UNION ALL SELECT 1, hi, lo, 1.0 FROM pairs),
   seeds AS (SELECT 'S' || s_suppkey AS node FROM supplier WHERE s_suppkey < 3)"""
 
 
-@query("ppr_entities", f"""WITH {SUPPLY}, {ppr_sql("ppr", "nodes_", "arcs_", "seeds", 5)} SELECT node, round(x, 9) AS score FROM ppr""")
+@query("ppr_entities", f"""WITH {SUPPLY}, {ppr_sql("ppr", ONE.format("nodes_"), "FROM arcs_", ONE.format("seeds"), 5, 0)} SELECT node, round(x, 9) AS score FROM ppr""")
 def ppr_entities(t):
     pairs = with_question(kg.supplies(t).select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(1.0).alias("w")))
     nodes = pairs.select("question_id", F.explode(F.array("lo", "hi")).alias("node")).distinct()
     start = with_question(t.supplier.where("s_suppkey < 3").select(F.concat(F.lit("S"), "s_suppkey").alias("node")))
-    return graph.ppr(graph.arcs(pairs, "w"), nodes, start, 0.85, 5).select("node", F.round("score", 9).alias("score"))
+    return graph.ppr(graph.arcs(pairs, "w"), nodes, start, 0.85, 5, tolerance=0.0).select("node", F.round("score", 9).alias("score"))
 
 
-LINKED = f"""{SNAP}, {IDF}, links AS (SELECT b.node, b.passage, idf * CASE WHEN start <= '{Y1}' AND coalesce("end", '9999-12-31') >= '{Y0}' THEN 3 ELSE 1 END AS w FROM bridge b JOIN members USING (node) JOIN idf USING (node) JOIN periods ON 'D' || o_orderkey = passage),
-  nodes2 AS (SELECT node FROM members UNION SELECT passage FROM links), arcs2 AS (SELECT lo AS src, hi AS dst, s AS w FROM inside UNION ALL SELECT hi, lo, s FROM inside UNION ALL SELECT node, passage, w FROM links UNION ALL SELECT passage, node, w FROM links), {ppr_sql("ppr", "nodes2", "arcs2", "seeds")}"""
-
-
-def slice_passages(t, hybrid=None):
-    members, inside = slice_(t)
-    inside = retrieval.weighted(inside, asked(t), CONFIG, alpha=1.0)
-    return members, inside, hybrid
+LINKS = f"""{SNAP}, {WEIGHTS}, {IDF}, links AS MATERIALIZED (SELECT b.node, b.passage, idf * CASE WHEN start <= '{Y1}' AND coalesce("end", '9999-12-31') >= '{Y0}' THEN 3 ELSE 1 END AS w FROM bridge b JOIN members USING (node) JOIN idf USING (node) JOIN periods ON 'D' || o_orderkey = passage),
+  places AS MATERIALIZED (SELECT DISTINCT passage FROM links)"""
+NODES2 = "SELECT 1 AS question_id, node FROM members UNION SELECT 1, passage FROM places"
+ARCS2 = f"{ARCS} UNION ALL SELECT 1, node, passage, w FROM links UNION ALL SELECT 1, passage, node, w FROM links"
 
 
-@query("ppr_entity_passage", f"WITH {LINKED} SELECT node, round(x, 9) AS score FROM ppr WHERE node LIKE 'D%'")
+@query("ppr_entity_passage", f"""WITH {LINKS}, {ppr_sql("ppr", NODES2, ARCS2, ONE.format("seeds"))} SELECT node, round(x, 9) AS score FROM ppr WHERE node LIKE 'D%'""")
 def ppr_entity_passage(t):
-    members, inside, _ = slice_passages(t)
-    idf = retrieval.node_idf(bridge(t), passages(t))
-    linked = bridge(t).join(members, "node").join(idf, "node").join(passages(t), "passage")
     from ..functions.temporal import boost
 
+    members, inside = slice_weighted(t)
+    idf = retrieval.node_idf(bridge(t), passages(t))
+    linked = bridge(t).join(members, "node").join(idf, "node").join(passages(t), "passage")
     linked = linked.withColumn("_w", F.col("idf") * boost("start", "end", F.lit(Y0), F.lit(Y1), CONFIG.boost_beta))
-    arc_rows = graph.augmented(inside, linked, F.col("_w"))
     nodes = members.unionByName(linked.select("question_id", F.col("passage").alias("node")).distinct())
-    return graph.ppr_grouped(arc_rows, nodes, seeds(t), 0.85, 10, 0.0).where("node LIKE 'D%'").select("node", F.round("score", 9).alias("score"))
+    return retrieval.pagerank(graph.augmented(inside, linked, F.col("_w")), nodes, seeds(t), CONFIG).where("node LIKE 'D%'").select("node", F.round("score", 9).alias("score"))
 
 
-TEXT_RANK = "text_rank AS (SELECT 'D' || o_orderkey AS item, row_number() OVER (ORDER BY o_orderkey) AS rnk FROM orders WHERE o_orderkey % 11 = 0)"
+TEXT_RANK = "text_rank AS (SELECT 'D' || o_orderkey AS item, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rnk FROM orders)"
 
 
 def text_rank(t):
-    """A stand-in for a text ranking: every eleventh order, by key."""
+    """A stand-in for a text ranking of all orders: by price."""
     from pyspark.sql import Window
 
-    rows = t.orders.where("o_orderkey % 11 = 0").select(F.lit(1).alias("question_id"), F.concat(F.lit("D"), "o_orderkey").alias("item"), "o_orderkey")
-    return rows.withColumn("rnk", F.row_number().over(Window.partitionBy("question_id").orderBy("o_orderkey"))).drop("o_orderkey")
+    rows = t.orders.select(F.lit(1).alias("question_id"), F.concat(F.lit("D"), "o_orderkey").alias("item"), "o_orderkey", "o_totalprice")
+    return rows.withColumn("rnk", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("o_totalprice"), "o_orderkey"))).select("question_id", "item", "rnk")
 
 
-@query("passage_rrf", f"""WITH {LINKED}, {TEXT_RANK}, g AS (SELECT node AS item, row_number() OVER (ORDER BY round(x, 12) DESC, node) AS rnk FROM ppr WHERE node LIKE 'D%'),
+@query("passage_rrf", f"""WITH {LINKS}, {TEXT_RANK}, {ppr_sql("ppr", NODES2, ARCS2, ONE.format("seeds"), isolated="SELECT 1 AS question_id, count(*) AS n FROM text_rank WHERE item NOT IN (SELECT passage FROM places)")},
+  every AS (SELECT passage AS item FROM places UNION SELECT item FROM text_rank),
+  g AS (SELECT item, row_number() OVER (ORDER BY round(coalesce(x, 0), 12) DESC, item) AS rnk FROM every LEFT JOIN ppr ON node = item),
   f AS (SELECT item, 1.0::DOUBLE / (10 + g.rnk) + 1.0::DOUBLE / (10 + coalesce(r.rnk, 1000000)) AS score FROM g LEFT JOIN text_rank r USING (item)), o AS (SELECT item, score, row_number() OVER (ORDER BY round(score, 12) DESC, item) AS rnk FROM f)
   SELECT item, round(score, 9) AS score, rnk FROM o WHERE rnk <= 20""")
 def passage_rrf(t):
-    members, inside, _ = slice_passages(t)
-    out = retrieval.ranked_passages(members, inside, seeds(t), bridge(t), passages(t), asked(t), text_rank(t), Config(iterations=10, sigma=5.0))
+    members, inside = slice_weighted(t)
+    out = retrieval.ranked_passages(members, inside, seeds(t), bridge(t), passages(t), asked(t), text_rank(t), CONFIG)
     return out.select("item", F.round("score", 9).alias("score"), "rnk")
 
 
-EDGE_RANKS = f"""{PPR}, er AS (SELECT lo, hi, relation, lo || '|' || hi AS item, (a.x + b.x) / 2 AS m, s FROM inside JOIN ppr a ON a.node = lo JOIN ppr b ON b.node = hi),
-  rp AS (SELECT *, row_number() OVER (ORDER BY round(m, 12) DESC, item) AS rank_ppr, row_number() OVER (ORDER BY round(s, 12) DESC, item) AS rank_time FROM er)"""
+EDGE_RANKS = f"""{PPR}, er AS (SELECT lo, hi, relation, lo || '|' || hi AS item, (a.x + b.x) / 2 AS m, s, sem FROM wt JOIN ppr a ON a.node = lo JOIN ppr b ON b.node = hi),
+  rp AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(m, 12) DESC, item) AS rank_ppr, row_number() OVER (ORDER BY round(s, 12) DESC, item) AS rank_time, row_number() OVER (ORDER BY sem DESC, item) AS rank_sem FROM er)"""
 
 
 def edge_rows(t):
@@ -268,7 +277,7 @@ def edge_rank_time(t):
     return fusion.rank_by(rows, "time").where("rnk <= 100").select("item", "rnk")
 
 
-TRIPLES = """tr AS (SELECT src AS lo, dst AS hi, row_number() OVER (ORDER BY start, src, dst) AS rnk FROM (SELECT DISTINCT src, dst, start FROM (FROM placed UNION ALL BY NAME SELECT dst AS src, src AS dst, relation, start, "end", pos FROM placed)) WHERE src < 'C3' OR dst < 'C3')"""
+TRIPLES = """tr AS (SELECT src AS lo, dst AS hi, row_number() OVER (ORDER BY start, src, dst) AS rnk FROM (SELECT DISTINCT src, dst, start FROM (FROM placed UNION ALL BY NAME SELECT dst AS src, src AS dst, relation, start, "end", pos FROM placed)))"""
 
 
 @query("edge_rank_semantic", f"WITH {kg.EDGES}, {TRIPLES} SELECT least(lo, hi) AS lo, greatest(lo, hi) AS hi, max(rnk) AS rnk FROM tr GROUP BY 1, 2")
@@ -276,36 +285,31 @@ def edge_rank_semantic(t):
     from pyspark.sql import Window
 
     p = kg.placed(t).select("src", "dst", "start")
-    both = p.union(p.select("dst", "src", "start")).toDF("lo", "hi", "start").distinct().where("lo < 'C3' OR hi < 'C3'")
+    both = p.union(p.select("dst", "src", "start")).toDF("lo", "hi", "start").distinct()
     ranked = with_question(both).withColumn("rnk", F.row_number().over(Window.partitionBy("question_id").orderBy("start", "lo", "hi")))
     return fusion.semantic_edge_rank(ranked).select("lo", "hi", "rnk")
 
 
-@query("edge_rrf_two_way", f"WITH {EDGE_RANKS}, f AS (SELECT item, 1.0::DOUBLE / (10 + rank_ppr) + 1.0::DOUBLE / (10 + rank_time) AS score FROM rp), o AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, item) AS rnk FROM f) SELECT item, round(score, 9) AS score, rnk FROM o WHERE rnk <= 10")
+@query("edge_rrf_two_way", f"WITH {EDGE_RANKS}, f AS (SELECT item, 1.0::DOUBLE / (10 + rank_ppr) + 1.0::DOUBLE / (10 + rank_sem) AS score FROM rp), o AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, item) AS rnk FROM f) SELECT item, round(score, 9) AS score, rnk FROM o WHERE rnk <= 10")
 def edge_rrf_two_way(t):
-    from ..functions.temporal import decay
-
     inside, scores = edge_rows(t)
-    low, high = scores.select(F.col("node").alias("lo"), F.col("score").alias("a")), scores.select(F.col("node").alias("hi"), F.col("score").alias("b"))
-    rows = inside.join(low, "lo").join(high, "hi").select("question_id", F.concat_ws("|", "lo", "hi").alias("item"), ((F.col("a") + F.col("b")) / 2).alias("ppr"), decay("start", "end", F.lit(1998.0)).alias("time"))
-    rows = written(rows, "edge-rows")
-    out = fusion.rrf_join(rows.select("question_id", "item"), {"ppr": (fusion.rank_by(rows, "ppr"), 1.0), "time": (fusion.rank_by(rows, "time"), 1.0)}, 10)
-    return fusion.rank_by(out, "score").where("rnk <= 10").select("item", F.round("score", 9).alias("score"), "rnk")
+    out = retrieval.ranked_edges_two_way(inside, scores, retrieval.semantic_ranks(inside), CONFIG)
+    return out.select("item", F.round("score", 9).alias("score"), "rnk")
 
 
 ADAPTIVE = f"""{EDGE_RANKS}, tp AS (SELECT item FROM rp WHERE rank_ppr <= 10), tt AS (SELECT item FROM rp WHERE rank_time <= 10),
-  j AS (SELECT (SELECT count(*) FROM tp JOIN tt USING (item))::DOUBLE / (SELECT count(*) FROM (FROM tp UNION FROM tt)) AS jaccard),
-  f AS (SELECT lo, hi, relation, item, rank_ppr, rank_time, 2.0::DOUBLE / (60 + rank_ppr) + (CASE WHEN (SELECT jaccard FROM j) > 0.5 THEN 1.0 ELSE 2.0 END)::DOUBLE / (60 + rank_time) + 0.5::DOUBLE / 1000060 AS score FROM rp),
-  o AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, item) AS rnk FROM f)"""
-FLAGSHIP = f"WITH {ADAPTIVE} SELECT lo, hi, relation, rank_ppr, rank_time, round(score, 9) AS score, rnk FROM o WHERE rnk <= 10"
+  j AS MATERIALIZED (SELECT (SELECT count(*) FROM tp JOIN tt USING (item))::DOUBLE / (SELECT count(*) FROM (FROM tp UNION FROM tt)) AS jaccard),
+  f AS (SELECT lo, hi, relation, item, rank_ppr, rank_time, rank_sem, 2.0::DOUBLE / (60 + rank_ppr) + (CASE WHEN jaccard > 0.5 THEN 1.0 ELSE 2.0 END)::DOUBLE / (60 + rank_time) + 0.5::DOUBLE / (60 + rank_sem) AS score FROM rp CROSS JOIN j),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, item) AS rnk FROM f)"""
+FLAGSHIP = f"WITH {ADAPTIVE} SELECT lo, hi, relation, rank_ppr, rank_time, rank_sem, round(score, 9) AS score, rnk FROM o WHERE rnk <= 10"
 
 
 @query("edge_rrf_adaptive", FLAGSHIP)
 def edge_rrf_adaptive(t):
-    """The flagship: what did customers 0 to 9 have open in 1998? From seeds to the ten best edges."""
+    """The flagship: what did customers 0 to 9 have open in 1998? From seeds to the ten best edges by graph, time and meaning."""
     inside, scores = edge_rows(t)
-    out = retrieval.ranked_edges(inside, scores, asked(t), config=CONFIG)
-    return out.select("lo", "hi", "relation", "rank_ppr", "rank_time", F.round("score", 9).alias("score"), "rnk")
+    out = retrieval.ranked_edges(inside, scores, asked(t), retrieval.semantic_ranks(inside), CONFIG)
+    return out.select("lo", "hi", "relation", "rank_ppr", "rank_time", "rank_sem", F.round("score", 9).alias("score"), "rnk")
 
 
 @query("ranked_edge_objects", f"""WITH {ADAPTIVE} SELECT o.rnk, o.lo, o.hi, p.start, p."end" FROM o JOIN pairs p USING (lo, hi) WHERE o.rnk <= 10""")
@@ -352,32 +356,116 @@ def edge_labels(t):
     return rows.select("src", X.labelled("an", "at", "src").alias("source"), X.labelled("bn", "bt", "dst").alias("target"))
 
 
-RETRIEVE_Q = [(1, "ORDERS of alpha in 1996 to 1997"), (2, "What does beta hold in 1999?"), (3, "Nothing known")]
-
-
-@cache
-def _names():
-    return ("alpha", "beta", "gamma")
+#: The stated query set: customers whose number is divisible by 100, each asked about a part, in four kinds of question.
+ASKED = """q AS MATERIALIZED (SELECT (c_custkey // 100)::INT AS question_id, c_custkey AS c, c_custkey % 97 AS p,
+  CASE (c_custkey // 100) % 4 WHEN 0 THEN 'What did customer ' || c_custkey || ' order of part ' || (c_custkey % 97) || ' from 1996 to 1997?' WHEN 1 THEN 'Which came first after 1998, urgent or not: customer ' || c_custkey || ' or part ' || (c_custkey % 97) || '?'
+    WHEN 2 THEN 'Is customer ' || c_custkey || ' waiting while part ' || (c_custkey % 97) || ' is urgent?' ELSE 'Nobody known, low or medium' END AS question FROM customer WHERE c_custkey % 100 = 0)"""
 
 
 def batch(t):
-    """A small batch: three names stand for customers 0 to 2."""
-    q = t.spark.createDataFrame(RETRIEVE_Q, "question_id int, question string")
-    names = t.customer.where("c_custkey < 3").select(F.concat(F.lit("C"), "c_custkey").alias("node"), F.element_at(F.array(*map(F.lit, _names())), (F.col("c_custkey") + 1).cast("int")).alias("name"))
-    ranks = t.orders.where("o_orderkey % 101 = 0").select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("question_id"), F.concat(F.lit("D"), "o_orderkey").alias("item"), "o_orderkey")
+    """Questions of the stated query set, names of all customers and parts, a text ranking of all orders, the likeness of nodes to questions."""
     from pyspark.sql import Window
 
-    return q, names, ranks.withColumn("rnk", F.row_number().over(Window.partitionBy("question_id").orderBy("o_orderkey"))).drop("o_orderkey")
-
-
-@query("retrieve_temporal_batch")
+    c, p = F.col("c_custkey"), F.col("c_custkey") % 97
+    k = F.floor(c / 100).cast("int")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("What did customer "), c, F.lit(" order of part "), p, F.lit(" from 1996 to 1997?")))
+        .when(k % 4 == 1, F.concat(F.lit("Which came first after 1998, urgent or not: customer "), c, F.lit(" or part "), p, F.lit("?")))
+        .when(k % 4 == 2, F.concat(F.lit("Is customer "), c, F.lit(" waiting while part "), p, F.lit(" is urgent?")))
+        .otherwise("Nobody known, low or medium")
+    )
+    q = t.customer.where("c_custkey % 100 = 0").select(k.alias("question_id"), text.alias("question"))
+    named = lambda df, letter, word, key: df.select(F.concat(F.lit(letter), key).alias("node"), F.concat(F.lit(word), key).alias("name"))
+    names = named(t.customer, "C", "customer ", "c_custkey").union(named(t.part, "P", "part ", "p_partkey"))
+    texts = t.orders.select(F.concat(F.lit("D"), "o_orderkey").alias("doc"), F.concat_ws(" ", F.col("o_orderpriority"), F.concat(F.lit("order"), "o_orderkey"), F.concat(F.lit("customer"), "o_custkey")).alias("text"))
+    found = bm25.scores(bm25.build(texts), q, "question_id", "question")
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "doc")
+    ranks = written(found.select("question_id", F.col("doc").alias("item"), F.row_number().over(order).alias("rnk")), "ranks")
+    return q, names, ranks
+
+
+TOKS = kg.TOKENS.format("text")
+BATCH = rf"""{ORDER_PAIRS}, {ASKED}, {IDF},
+  d AS MATERIALIZED (SELECT 'D' || o_orderkey AS doc, {TOKS} AS w FROM (SELECT o_orderkey, o_orderpriority || ' order' || o_orderkey || ' customer' || o_custkey AS text FROM orders)),
+  st AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term),
+  raw AS MATERIALIZED (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df CROSS JOIN st), low AS MATERIALIZED (SELECT 0.25 * avg(raw) AS low FROM raw),
+  qt AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest({kg.TOKENS.format("question")}) AS term FROM q) GROUP BY ALL),
+  tf AS (SELECT doc, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc, w, unnest(w) AS term FROM d) SEMI JOIN qt USING (term) GROUP BY ALL),
+  text_rank AS MATERIALIZED (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, item) AS rnk FROM
+    (SELECT question_id, doc AS item, sum(times * (CASE WHEN raw < 0 THEN low ELSE raw END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN qt USING (term) JOIN raw USING (term) CROSS JOIN low CROSS JOIN st GROUP BY ALL)),
+  seeds AS MATERIALIZED (SELECT question_id, 'C' || c AS node FROM q WHERE question_id % 4 <> 3 UNION SELECT question_id, 'P' || p FROM q WHERE question_id % 4 <> 3 AND p IN (SELECT p_partkey FROM part)),
+  asked AS MATERIALIZED (SELECT question_id, CASE WHEN kind = 0 THEN '1996' ELSE year END || '-01-01' AS q_start, CASE WHEN kind = 0 THEN '1997' ELSE year END || '-12-31' AS q_end,
+    CASE WHEN kind = 1 THEN 'ordering' WHEN kind = 0 OR year <> '2025' THEN 'explicit_temporal' WHEN kind = 2 THEN 'implicit_temporal' ELSE 'atemporal' END AS intent
+    FROM (SELECT question_id, question_id % 4 AS kind, coalesce(nullif(regexp_extract(question, '\b([12][0-9][0-9][0-9])\b', 1), ''), '2025') AS year FROM q)),
+  near_ AS MATERIALIZED (SELECT question_id, node FROM seeds UNION SELECT question_id, dst FROM seeds JOIN both_ ON src = node)"""
+
+
+@query("retrieve_temporal_batch", f"""WITH {BATCH},
+  v AS (SELECT question_id, node, id IS NULL OR (start <= q_end AND coalesce("end", '9999-12-31') >= q_start) AS ok FROM near_ JOIN asked USING (question_id) LEFT JOIN periods ON id = node),
+  members AS MATERIALIZED (SELECT question_id, node FROM (SELECT *, bool_or(ok) OVER (PARTITION BY question_id) AS any_ok FROM v) WHERE ok OR NOT any_ok),
+  vec AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS MATERIALIZED (SELECT count(*) AS n FROM embeddings),
+  sim AS MATERIALIZED (SELECT question_id, node, list_inner_product(a.e, b.e) AS sim FROM members CROSS JOIN n JOIN vec a ON a.vec_id = substr(node, 2)::BIGINT % n JOIN vec b ON b.vec_id = question_id % n),
+  wt AS MATERIALIZED (SELECT question_id, lo, hi, relation, start, "end", q_start, round((a.sim + b.sim) / 2, 9) AS sem,
+      0.5 * {kg.DECAY.format('start', '"end"', 'substr(q_end, 1, 4)::DOUBLE')} + 0.5 * greatest(0, least(1, round((a.sim + b.sim) / 2, 9))) AS w
+    FROM pairs JOIN sim a ON a.node = lo JOIN sim b USING (question_id) JOIN asked USING (question_id) WHERE b.node = hi),
+  {ppr_sql("ppr", "FROM members", "SELECT question_id, lo AS src, hi AS dst, w FROM wt UNION ALL SELECT question_id, hi, lo, w FROM wt", "FROM seeds")},
+  er AS (SELECT t.question_id, lo, hi, relation, sem, lo || '|' || hi AS item, (a.x + b.x) / 2 AS m, {kg.DECAY.format('start', '"end"', 'substr(q_start, 1, 4)::DOUBLE')} AS s
+    FROM wt t JOIN ppr a ON a.question_id = t.question_id AND a.node = lo JOIN ppr b ON b.question_id = t.question_id AND b.node = hi),
+  rp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(m, 12) DESC, item) AS rm, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 12) DESC, item) AS rt, row_number() OVER (PARTITION BY question_id ORDER BY sem DESC, item) AS rs FROM er),
+  j AS (SELECT question_id, count_if(rm <= 10 AND rt <= 10)::DOUBLE / count_if(rm <= 10 OR rt <= 10) AS jaccard FROM rp GROUP BY question_id),
+  e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, item) AS rnk FROM (SELECT rp.*,
+      (CASE intent WHEN 'explicit_temporal' THEN 2.0 WHEN 'atemporal' THEN 0.5 ELSE 1.5 END)::DOUBLE / (60 + rm) + (CASE intent WHEN 'implicit_temporal' THEN 1.0 WHEN 'atemporal' THEN 2.0 ELSE 0.5 END)::DOUBLE / (60 + rs)
+      + (CASE intent WHEN 'explicit_temporal' THEN 2.0 WHEN 'ordering' THEN 2.5 WHEN 'implicit_temporal' THEN 1.0 ELSE 0.1 END * CASE WHEN jaccard > 0.5 THEN 0.5 ELSE 1 END)::DOUBLE / (60 + rt) AS score
+      FROM rp JOIN j USING (question_id) JOIN asked USING (question_id))),
+  links AS MATERIALIZED (SELECT m.question_id, b.node, b.passage, idf * CASE WHEN start <= q_end AND coalesce("end", '9999-12-31') >= q_start THEN 3 ELSE 1 END AS w
+    FROM bridge b JOIN members m USING (node) JOIN idf USING (node) JOIN periods ON 'D' || o_orderkey = passage JOIN asked USING (question_id)),
+  places AS MATERIALIZED (SELECT DISTINCT question_id, passage AS item FROM links),
+  apart AS MATERIALIZED (SELECT question_id, item FROM text_rank SEMI JOIN seeds USING (question_id) ANTI JOIN places USING (question_id, item)),
+  {ppr_sql("pp", "SELECT question_id, node FROM members UNION SELECT question_id, item FROM places", "SELECT question_id, lo AS src, hi AS dst, w FROM wt UNION ALL SELECT question_id, hi, lo, w FROM wt UNION ALL SELECT question_id, node, passage, w FROM links UNION ALL SELECT question_id, passage, node, w FROM links", "FROM seeds", isolated="SELECT question_id, count(*) AS n FROM apart GROUP BY ALL")},
+  g AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY round(coalesce(x, 0), 12) DESC, item) AS rnk FROM (FROM places UNION FROM apart) u LEFT JOIN (SELECT question_id, node AS item, x FROM pp) USING (question_id, item)),
+  gp AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, item) AS rnk FROM
+    (SELECT g.question_id, g.item, 1.0::DOUBLE / (10 + g.rnk) + 1.0::DOUBLE / (10 + coalesce(r.rnk, 1000000)) AS score FROM g LEFT JOIN text_rank r ON r.question_id = g.question_id AND r.item = g.item)),
+  best AS (SELECT * FROM gp WHERE rnk <= 10 UNION ALL SELECT question_id, item, rnk FROM text_rank ANTI JOIN seeds USING (question_id) WHERE rnk <= 20),
+  fin AS (SELECT question_id, item, 1 AS k, rnk FROM best UNION ALL SELECT question_id, item, 0, rnk FROM (SELECT * FROM text_rank WHERE rnk <= 5) ANTI JOIN best USING (question_id, item)),
+  lab AS MATERIALIZED (SELECT 'C' || c_custkey AS id, c_name || ' (Person, ' || c_mktsegment || ')' AS label FROM customer UNION ALL SELECT 'P' || p_partkey, p_name || ' (' || p_type || ', ' || p_brand || ')' FROM part),
+  lines AS (SELECT question_id, rnk, coalesce(a.label, lo) AS source, relation, coalesce(b.label, hi) AS target FROM e LEFT JOIN lab a ON a.id = lo LEFT JOIN lab b ON b.id = hi WHERE rnk <= 10),
+  once AS (SELECT question_id, min(rnk) AS rnk, arg_min(source || ' | ' || relation || ' | ' || target, rnk) AS line FROM lines GROUP BY question_id, least(source, target), greatest(source, target), relation)
+  SELECT question_id, (SELECT string_agg(line, ';' ORDER BY rnk) FROM once WHERE once.question_id = a.question_id) AS edges, (SELECT string_agg(item, ',' ORDER BY k, rnk) FROM fin WHERE fin.question_id = a.question_id) AS passages,
+    (SELECT string_agg(node, ',' ORDER BY node) FROM seeds WHERE seeds.question_id = a.question_id) AS seeds, q_start, q_end FROM asked a""")
 def retrieve_temporal_batch(t):
     q, names, ranks = batch(t)
+    count = t.embeddings.count()
     times = kg.order_periods(t).select(F.col("id").alias("node"), "start", "end")
-    return retrieval.retrieve_temporal(q, names, written(order_pairs(t), "pairs"), times, bridge(t), passages(t), ranks)
+    pairs = written(order_pairs(t), "pairs")
+    vectors = t.embeddings.select(F.col("vec_id"), F.col("embedding").alias("_e"))
+    asked_by = q.select("question_id", (F.col("question_id") % count).alias("vec_id")).join(vectors, "vec_id").select("question_id", F.col("_e").alias("_q"))
+    reached = graph.ball(pairs, retrieval.keyword_seeds(q, names), 1)
+    placed = reached.withColumn("vec_id", F.substring("node", 2, 20).cast("long") % count).join(vectors, "vec_id").join(asked_by, "question_id")
+    meaning = written(placed.select("question_id", "node", dense.dot("_e", "_q").alias("sim")), "meaning")
+    none = F.lit(None).cast("array<string>")
+    nodes = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.array(F.lit("Person"), "c_mktsegment").alias("type"), F.lit("").alias("description"), none.alias("aliases"))
+    nodes = nodes.unionByName(kg.parts(t).select(nodes.columns))
+    out = retrieval.retrieve_temporal(q, names, pairs, times, bridge(t), passages(t), ranks, CONFIG, meaning, nodes)
+    read = F.from_json("context", "struct<relevant_graphs:array<string>,relevant_passages:array<string>,seed_nodes:array<string>,query_timestamp:struct<start:string,end:string>>")
+    out = out.select("question_id", read.alias("c"))
+    listed = lambda c, by: F.nullif(F.array_join(c, by), F.lit(""))
+    return out.select("question_id", listed("c.relevant_graphs", ";").alias("edges"), listed("c.relevant_passages", ",").alias("passages"), listed("c.seed_nodes", ",").alias("seeds"), F.col("c.query_timestamp.start").alias("q_start"), F.col("c.query_timestamp.end").alias("q_end"))
+
+
+@query("retrieve_v1_batch", f"""WITH {BATCH}, inside AS MATERIALIZED (SELECT a.question_id, lo, hi FROM pairs JOIN near_ a ON a.node = lo JOIN near_ b ON b.node = hi AND b.question_id = a.question_id),
+  links AS MATERIALIZED (SELECT question_id, node, passage FROM bridge JOIN near_ USING (node)),
+  {ppr_sql("pp", "SELECT question_id, node FROM near_ UNION SELECT question_id, passage FROM links", "SELECT question_id, lo AS src, hi AS dst, 1.0::DOUBLE AS w FROM inside UNION ALL SELECT question_id, hi, lo, 1.0 FROM inside UNION ALL SELECT question_id, node, passage, 1.0 FROM links UNION ALL SELECT question_id, passage, node, 1.0 FROM links", "FROM seeds")},
+  g AS (SELECT question_id, node AS item, row_number() OVER (PARTITION BY question_id ORDER BY round(x, 12) DESC, node) AS rnk FROM pp WHERE node LIKE 'D%'),
+  f AS (SELECT g.question_id, g.item, 1.0::DOUBLE / (10 + g.rnk) + 1.0::DOUBLE / (10 + coalesce(r.rnk, 1000000)) AS score FROM g LEFT JOIN text_rank r ON r.question_id = g.question_id AND r.item = g.item),
+  o AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, item) AS rnk FROM f)
+  SELECT question_id, item, rnk FROM o WHERE rnk <= 10 UNION ALL SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY rnk DESC) FROM text_rank ANTI JOIN seeds USING (question_id) WHERE rnk <= 20""")
+def retrieve_v1_batch(t):
+    q, names, ranks = batch(t)
+    return retrieval.retrieve(q, names, written(order_pairs(t), "pairs"), bridge(t), ranks, CONFIG)
 
 
-@query("retrieve_v1_batch")
-def retrieve_v1_batch(t):
+@query("entity_top_passages", f"""WITH {BATCH}, r AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY rnk) AS r FROM text_rank SEMI JOIN (SELECT question_id, passage AS item FROM seeds JOIN bridge USING (node)) USING (question_id, item))
+  SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY r DESC) AS place FROM r WHERE r <= 10""")
+def entity_top_passages(t):
     q, names, ranks = batch(t)
-    return retrieval.retrieve(q, names, written(order_pairs(t), "pairs"), bridge(t), ranks)
+    return retrieval.entity_passages(retrieval.keyword_seeds(q, names), bridge(t), ranks, CONFIG.entity_passage_top_k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ACCENTS, DOUBLE, PLAIN
+
 
 class Tables:
     """The Parquet tables of a folder by name."""
@@ -104,8 +106,11 @@ TEXTS = """texts AS (SELECT o_orderkey, CASE o_orderkey % 4
     WHEN 2 THEN 'In ' || year(o_orderdate) || '-' || (year(o_orderdate) + 1) || ', later ' || (year(o_orderdate) + 5)
     ELSE 'No time at all' END AS text FROM orders)"""
 
-#: Words of a text, as functions.text.tokens makes them.
-TOKENS = r"list_filter(string_split_regex(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
+#: Folding and words of a text, as functions.text has them.
+FOLD = f"translate(lower({{0}}), '{ACCENTS}', '{PLAIN}')"
+for _letter, _plain in DOUBLE:
+    FOLD = f"replace({FOLD}, '{_letter}', '{_plain}')"
+TOKENS = rf"list_filter(string_split_regex(regexp_replace({FOLD}, '[^\p{{{{L}}}}\p{{{{N}}}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
 
 #: Time of a period against a year, as functions.temporal.decay.
 DECAY = "CASE WHEN nullif({0}, '') IS NULL THEN 0.5::DOUBLE ELSE exp(-power({2} - coalesce((try_cast(substr({0}, 1, 4) AS DOUBLE) + try_cast(substr(coalesce(nullif({1}, ''), {0}), 1, 4) AS DOUBLE)) / 2, 2025), 2) / 50.0::DOUBLE) END"

@@ -7,8 +7,29 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.temporal import boost, decay, query_interval
-from ..functions.text import fold, intent, tokens
+from ..functions.text import fold, intent, labelled, node_view, tokens
 from ..operators import fusion, graph
+from ..operators.resolve import distinct_undirected
+from ..sources.stages import written
+
+#: Questions that are broadcast; arcs of a question that one task may hold.
+FEW, GROUPED_ARCS = 20_000, 5_000_000
+
+
+def beside(questions: DataFrame) -> DataFrame:
+    """Questions to be joined: broadcast if they are counted to be few."""
+    return F.broadcast(questions) if questions.count() <= FEW else questions
+
+
+def pagerank(arc_rows: DataFrame, nodes: DataFrame, seeds: DataFrame, config: Config, isolated: DataFrame | None = None) -> DataFrame:
+    """PageRank to the tolerance, in one task a question if the largest question's arcs fit there, else by joins; isolated (question_id, node): nodes without arcs."""
+    arc_rows = written(arc_rows, "arcs")
+    most = arc_rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= GROUPED_ARCS:
+        counts = None if isolated is None else isolated.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
+        return graph.ppr_grouped(arc_rows, nodes, seeds, config.damping, config.iterations, config.tolerance, counts)
+    every = nodes if isolated is None else nodes.unionByName(isolated)
+    return graph.ppr(arc_rows, every, seeds, config.damping, config.iterations, tolerance=config.tolerance)
 
 
 def timed(questions: DataFrame, config: Config = Config()) -> DataFrame:
@@ -28,9 +49,28 @@ def keyword_seeds(questions: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def entity_names(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Names that are contained in the question as they are written; questions are few and are the broadcast side."""
-    asked = F.broadcast(questions.select("question_id", "question"))
-    return names.join(asked, F.col("question").contains(F.col("name"))).select("question_id", "node", "name").distinct()
+    """Names that are contained in the question as they are written.
+
+    A name's folded words, without the first and last (which may be parts of the question's words), meet the question's n-grams in an
+    equi-join; names of one or two words are looked up by their distinct texts against the questions, which are counted. The exact test follows.
+    """
+    inner = F.slice(tokens("name"), 2, F.greatest(F.size(tokens("name")) - 2, F.lit(0)))
+    rows = names.withColumn("_key", F.array_join(inner, " "))
+    asked = questions.select("question_id", "question")
+    hit = F.col("question").contains(F.col("name"))
+    short = rows.where("_key = ''").drop("_key")
+    few = F.broadcast(asked) if asked.count() <= FEW else asked
+    one = short.join(few, hit).select("question_id", "node", "name")
+    keys = rows.where("_key <> ''").select("_key").distinct().withColumnRenamed("_key", "name").withColumn("node", F.col("name"))
+    met = keyword_seeds(asked, keys).withColumnRenamed("node", "_key")
+    two = rows.where("_key <> ''").join(met, "_key").join(asked, "question_id").where(hit).select("question_id", "node", "name")
+    return one.union(two).distinct()
+
+
+def resolved_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """asked (question_id, name) as a model or a rule gave them, names (node, name): (question_id, node) of equal names without regard to case and accents."""
+    left = asked.select("question_id", fold("name").alias("_key"))
+    return left.join(names.select("node", fold("name").alias("_key")), "_key").select("question_id", "node").distinct()
 
 
 def valid_nodes(members: DataFrame, times: DataFrame, questions: DataFrame, strict: bool = True) -> DataFrame:
@@ -47,7 +87,7 @@ def subgraph(pairs: DataFrame, times: DataFrame, questions: DataFrame, seeds: Da
 
 def weighted(pairs: DataFrame, questions: DataFrame, config: Config = Config(), semantic=None, alpha: float | None = None) -> DataFrame:
     """pairs (question_id, lo, hi, start, end, ...) with w: time (to the query's end year) and meaning."""
-    rows = pairs.join(F.broadcast(questions.select("question_id", "q_start", "q_end")), "question_id")
+    rows = pairs.join(beside(questions.select("question_id", "q_start", "q_end")), "question_id")
     year = F.coalesce(F.substring(F.coalesce("q_end", "q_start"), 1, 4).try_cast("double"), F.lit(config.default_year))
     return rows.withColumn("w", graph.edge_weight("start", "end", year, semantic, config.edge_weight_alpha if alpha is None else alpha, config.sigma))
 
@@ -62,7 +102,7 @@ def ranked_edges(pairs: DataFrame, scores: DataFrame, questions: DataFrame, sema
     by_graph, by_time = fusion.rank_by(rows, "ppr"), fusion.rank_by(rows, "time")
     weights = F.create_map(*[x for k, v in config.intent_weights.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     asked = questions.select("question_id", weights[F.col("intent")].alias("_w")).join(fusion.top_overlap(by_graph, by_time), "question_id", "left")
-    items = rows.select("question_id", "item", "lo", "hi", "relation", "ppr", "time").join(F.broadcast(asked), "question_id")
+    items = rows.select("question_id", "item", "lo", "hi", "relation", "ppr", "time").join(asked, "question_id")
     time = fusion.time_weight(F.col("_w")[2], "jaccard", config.overlap_limit, config.overlap_factor)
     found = {"ppr": (by_graph, F.col("_w")[0]), "time": (by_time, time)}
     if semantic is not None:
@@ -83,23 +123,55 @@ def node_idf(bridge: DataFrame, passages: DataFrame) -> DataFrame:
     return df.join(F.broadcast(total), "_k").select("node", F.log(F.col("_n") / F.col("df")).alias("idf"))
 
 
-def ranked_passages(members: DataFrame, pairs: DataFrame, seeds: DataFrame, bridge: DataFrame, passages: DataFrame, questions: DataFrame, hybrid: DataFrame | None = None, config: Config = Config(), grouped: bool = True) -> DataFrame:
-    """Passages of a question's nodes, by PageRank over entities and passages fused with a text ranking (question_id, item, rnk)."""
+def semantic_ranks(pairs: DataFrame, meaning: str = "sem") -> DataFrame:
+    """pairs (question_id, lo, hi, meaning): (question_id, lo, hi, rnk) by falling meaning within the question's subgraph."""
+    rows = pairs.select("question_id", "lo", "hi", F.concat_ws("|", "lo", "hi").alias("item"), meaning)
+    return fusion.rank_by(rows, meaning).select("question_id", "lo", "hi", "rnk")
+
+
+def with_meaning(pairs: DataFrame, meaning: DataFrame) -> DataFrame:
+    """pairs with sem, the mean of their ends' likeness to the question; meaning (question_id, node, sim), 0 where it lacks a node."""
+    end = lambda c: meaning.select("question_id", F.col("node").alias(c), F.col("sim").alias(f"_{c}"))
+    out = pairs.join(end("lo"), ["question_id", "lo"], "left").join(end("hi"), ["question_id", "hi"], "left")
+    mean = (F.coalesce("_lo", F.lit(0.0)) + F.coalesce("_hi", F.lit(0.0))) / 2
+    return out.withColumn("sem", F.round(mean, 9)).drop("_lo", "_hi")
+
+
+def ranked_passages(members: DataFrame, pairs: DataFrame, seeds: DataFrame, bridge: DataFrame, passages: DataFrame, questions: DataFrame, hybrid: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """The union of the passages of a question's nodes and of a text ranking (question_id, item, rnk), by PageRank over entities and passages fused with that ranking.
+
+    Passages of the text ranking alone are nodes without arcs. Questions without seeds have no rows.
+    """
     idf = node_idf(bridge, passages)
-    linked = bridge.join(members, "node").join(idf, "node").join(passages.select("passage", "start", "end"), "passage").join(F.broadcast(questions.select("question_id", "q_start", "q_end")), "question_id")
+    linked = bridge.join(members, "node").join(idf, "node").join(passages.select("passage", "start", "end"), "passage").join(beside(questions.select("question_id", "q_start", "q_end")), "question_id")
     linked = linked.withColumn("_w", F.col("idf") * boost("start", "end", "q_start", "q_end", config.boost_beta))
-    arc_rows = graph.augmented(pairs, linked, F.col("_w"))
+    linked = written(linked.select("question_id", "node", "passage", "_w"), "linked")
     places = linked.select("question_id", F.col("passage").alias("node")).distinct()
-    nodes = members.unionByName(places)
-    run = graph.ppr_grouped if grouped else graph.ppr
-    scores = run(arc_rows, nodes, seeds, config.damping, config.iterations)
-    rows = scores.join(places, ["question_id", "node"], "left_semi").withColumnRenamed("node", "item")
-    by_graph = fusion.rank_by(rows, "score")
+    isolated = None
+    if hybrid is not None:
+        seeded = seeds.select("question_id").distinct()
+        hybrid = hybrid.join(seeded, "question_id", "left_semi")
+        isolated = hybrid.select("question_id", F.col("item").alias("node")).distinct().join(places, ["question_id", "node"], "left_anti")
+    scores = pagerank(graph.augmented(pairs, linked, F.col("_w")), members.unionByName(places), seeds, config, isolated)
+    rows = places.join(scores, ["question_id", "node"], "left").select("question_id", F.col("node").alias("item"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    if isolated is not None:
+        rows = rows.unionByName(isolated.select("question_id", F.col("node").alias("item"), F.lit(0.0).alias("score")))
+    by_graph = written(fusion.rank_by(rows, "score"), "passage-ranks")
     found = {"ppr": (by_graph, 1.0)} | ({"sem": (hybrid, 1.0)} if hybrid is not None else {})
     out = fusion.rrf_join(by_graph.select("question_id", "item", F.round("score", 12).alias("ppr")), found, config.rrf_passage)
     return fusion.rank_by(out, "score").where(F.col("rnk") <= config.passage_top_k)
 
 
+def ranked_edges_two_way(pairs: DataFrame, scores: DataFrame, semantic: DataFrame, config: Config = Config()) -> DataFrame:
+    """The path without time: pairs ranked by their ends' mean PageRank and by meaning, fused with equal weights; the best prune_top_k."""
+    low = scores.select("question_id", F.col("node").alias("lo"), F.col("score").alias("_a"))
+    high = scores.select("question_id", F.col("node").alias("hi"), F.col("score").alias("_b"))
+    rows = pairs.join(low, ["question_id", "lo"]).join(high, ["question_id", "hi"]).withColumns({"item": F.concat_ws("|", "lo", "hi"), "ppr": (F.col("_a") + F.col("_b")) / 2}).drop("_a", "_b")
+    meant = semantic.withColumn("item", F.concat_ws("|", "lo", "hi"))
+    out = fusion.rrf_join(rows, {"ppr": (fusion.rank_by(rows, "ppr"), 1.0), "sem": (meant, 1.0)}, config.rrf_passage)
+    return fusion.rank_by(out, "score").where(F.col("rnk") <= config.prune_top_k)
+
+
 def fallback_passages(hybrid: DataFrame, k: int = 20) -> DataFrame:
     """The k best of a text ranking, the worst first."""
     best = hybrid.where(F.col("rnk") <= k)
@@ -115,47 +187,104 @@ def final_passages(graph_ranked: DataFrame, text_ranked: DataFrame, extra: int =
     return both.groupBy("question_id").agg(F.reverse(F.array_distinct(listed)).alias("passages"))
 
 
-def contexts(edges: DataFrame, seeds: DataFrame, passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """One row a question: a JSON context of its ranked edges, seeds, passages and time."""
-    listed = edges.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "lo", "relation", "hi"))), lambda x: F.concat_ws(" | ", x["lo"], x["relation"], x["hi"])).alias("relevant_graphs"))
+def labelled_edges(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Ranked edges (question_id, rnk, lo, relation, hi) with source and target labels, once for each undirected pair and relation."""
+    if nodes is None:
+        rows = edges.withColumns({"source": F.col("lo"), "target": F.col("hi")})
+    else:
+        names = nodes.select("id", "name", "type")
+        a, b = names.toDF("lo", "_an", "_at"), names.toDF("hi", "_bn", "_bt")
+        rows = edges.join(a, "lo", "left").join(b, "hi", "left").withColumns({"source": labelled("_an", "_at", "lo"), "target": labelled("_bn", "_bt", "hi")})
+    return distinct_undirected(rows.select("question_id", "rnk", "source", "relation", "target"), position="rnk")
+
+
+def entity_passages(named: DataFrame, bridge: DataFrame, hybrid: DataFrame, k: int = 10) -> DataFrame:
+    """named (question_id, node): the question's k best passages (or sentences) that hold one of its nodes, the worst first: (question_id, item, place)."""
+    held = bridge.join(named, "node").select("question_id", F.col("passage").alias("item")).distinct()
+    order = Window.partitionBy("question_id").orderBy("rnk")
+    best = hybrid.join(held, ["question_id", "item"], "left_semi").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("_r")))).select("question_id", "item", "place")
+
+
+def contexts(edges: DataFrame, seeds: DataFrame, passages: DataFrame, questions: DataFrame, nodes: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
+    """One row a question: a JSON context of its labelled edges, the nodes among them that have aliases (seeds last), seeds, passages, sentences and time.
+
+    passages (question_id, passages array), sentences (question_id, rnk, text), nodes (id, name, type, description, aliases); without nodes ids stand for labels.
+    """
+    none = F.array().cast("array<string>")
+    edges = edges.select("question_id", "rnk", "lo", "relation", "hi")
+    line = lambda x: F.concat_ws(" | ", x["source"], x["relation"], x["target"])
+    listed = labelled_edges(edges, nodes).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "source", "relation", "target"))), line).alias("relevant_graphs"))
     seed = seeds.groupBy("question_id").agg(F.array_sort(F.collect_set("node")).alias("seed_nodes"))
     rows = questions.join(listed, "question_id", "left").join(seed, "question_id", "left").join(passages, "question_id", "left")
-    none = F.array().cast("array<string>")
+    parts = [F.coalesce(c, none).alias(n) for c, n in (("relevant_graphs", "relevant_graphs"), ("passages", "relevant_passages"), ("seed_nodes", "seed_nodes"))]
+    if nodes is not None:
+        touched = edges.select("question_id", F.explode(F.array("lo", "hi")).alias("id")).union(seeds.select("question_id", F.col("node").alias("id"))).distinct()
+        marked = touched.join(seeds.select("question_id", F.col("node").alias("id"), F.lit(True).alias("_seed")).distinct(), ["question_id", "id"], "left")
+        shown = marked.join(nodes, "id").withColumn("_v", node_view("name", "type", "description", "aliases")).where("_v IS NOT NULL")
+        views = shown.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_seed", F.lit(False)).alias("s"), "id", "_v"))), lambda x: x["_v"]).alias("nodes_alias_information"))
+        rows = rows.join(views, "question_id", "left")
+        parts.append(F.col("nodes_alias_information"))
+    if sentences is not None:
+        told = sentences.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "text"))), lambda x: x["text"]).alias("relevant_sentences"))
+        rows = rows.join(told, "question_id", "left")
+        parts.append(F.coalesce("relevant_sentences", none).alias("relevant_sentences"))
     period = F.struct(F.col("q_start").alias("start"), F.col("q_end").alias("end"))
-    out = F.struct(*[F.coalesce(c, none).alias(n) for c, n in (("relevant_graphs", "relevant_graphs"), ("passages", "relevant_passages"), ("seed_nodes", "seed_nodes"))], period.alias("query_timestamp"))
-    return rows.select("question_id", F.to_json(out).alias("context"))
+    return rows.select("question_id", F.to_json(F.struct(*parts, period.alias("query_timestamp"))).alias("context"))
 
 
-def retrieve_temporal(questions: DataFrame, names: DataFrame, pairs: DataFrame, times: DataFrame, bridge: DataFrame, passages: DataFrame, hybrid: DataFrame, config: Config = Config()) -> DataFrame:
-    """The whole path for a batch: question_id, context. Questions without an entity get the text ranking alone."""
-    from ..sources.stages import written
+def with_texts(ordered: DataFrame, passages: DataFrame) -> DataFrame:
+    """(question_id, passages) with the passages' texts in place of their ids, if passages have texts."""
+    if "text" not in passages.columns:
+        return ordered
+    rows = ordered.select("question_id", F.posexplode("passages").alias("_p", "passage")).join(passages.select("passage", "text"), "passage")
+    return rows.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "text"))), lambda x: x["text"]).alias("passages"))
 
-    asked = timed(questions, config)
-    seeds = written(valid_nodes(keyword_seeds(asked, names), times, asked, config.snapshot_strictness), "seeds")
+
+def retrieve_temporal(questions: DataFrame, names: DataFrame, pairs: DataFrame, times: DataFrame, bridge: DataFrame, passages: DataFrame, hybrid: DataFrame, config: Config = Config(), meaning: DataFrame | None = None, nodes: DataFrame | None = None, sentences: DataFrame | None = None, linked: DataFrame | None = None) -> DataFrame:
+    """The whole path for a batch: question_id, context.
+
+    names (node, name), pairs (lo, hi, relation, start, end), times (node, start, end), bridge (passage, node), passages (passage, start, end
+    and perhaps text), hybrid (question_id, item, rnk). meaning (question_id, node, sim) gives edge weights and the edges'
+    ranking by meaning; without it edges count half there and are not ranked by it. nodes give labels, sentences (question_id, rnk,
+    text) the context's sentences, linked (question_id, name) names that an entity linker found beside those in the question's
+    words. Questions without an entity get the text ranking alone.
+    """
+    asked = written(timed(questions, config), "asked")
+    seeds = keyword_seeds(asked, names)
+    if linked is not None:
+        seeds = seeds.union(resolved_names(linked, names)).distinct()
+    seeds = written(valid_nodes(seeds, times, asked, config.snapshot_strictness), "seeds")
     members, inside = subgraph(pairs, times, asked, seeds, 1, config.snapshot_strictness)
-    members, inside = written(members, "members"), written(weighted(inside, asked, config), "pairs")
-    scores = graph.ppr_grouped(graph.arcs(inside, "w"), members, seeds, config.damping, config.iterations)
-    edges = ranked_edges(inside, scores, asked, config=config)
+    members = written(members, "members")
+    inside = graph.induced(pairs, members)
+    if meaning is not None:
+        inside = with_meaning(inside, meaning)
+    inside = written(weighted(inside, asked, config, None if meaning is None else F.col("sem")), "pairs")
+    scores = written(pagerank(graph.arcs(inside, "w"), members, seeds, config), "scores")
+    edges = ranked_edges(inside, scores, asked, None if meaning is None else semantic_ranks(inside), config)
     places = ranked_passages(members, inside, seeds, bridge, passages, asked, hybrid, config)
-    # A question without seeds has no graph passages, and final_passages gives it its text ranking.
-    return contexts(edges, seeds, final_passages(places.where(F.col("rnk") <= config.entity_passage_top_k), hybrid, config.similarity_passage_top_k), asked)
+    # Without seeds there are no graph passages: the text ranking's own first ones, as many as a fallback gives.
+    lacking = asked.select("question_id").join(seeds.select("question_id").distinct(), "question_id", "left_anti")
+    alone = hybrid.join(lacking, "question_id", "left_semi").where(F.col("rnk") <= config.passage_top_k)
+    best = places.where(F.col("rnk") <= config.entity_passage_top_k).select("question_id", "item", "rnk").unionByName(alone.select("question_id", "item", "rnk"))
+    ordered = with_texts(final_passages(best, hybrid, config.similarity_passage_top_k), passages)
+    return contexts(edges, seeds, ordered, asked, nodes, sentences)
 
 
 def retrieve(questions: DataFrame, names: DataFrame, pairs: DataFrame, bridge: DataFrame, hybrid: DataFrame, config: Config = Config()) -> DataFrame:
     """The path without time: question_id, item, rnk of passages; unweighted PageRank fused with the text ranking."""
-    from ..sources.stages import written
-
     seeds = written(keyword_seeds(questions, names), "seeds")
     members = written(graph.ball(pairs, seeds, 1), "members")
     inside = graph.induced(pairs, members).withColumn("w", F.lit(1.0))
     linked = bridge.join(members, "node")
     places = linked.select("question_id", F.col("passage").alias("node")).distinct()
-    scores = graph.ppr_grouped(graph.augmented(inside, linked), members.unionByName(places), seeds, config.damping, config.iterations)
+    scores = pagerank(graph.augmented(inside, linked), members.unionByName(places), seeds, config)
     rows = scores.join(places, ["question_id", "node"], "left_semi").withColumnRenamed("node", "item")
-    by_graph = fusion.rank_by(rows, "score")
+    by_graph = written(fusion.rank_by(rows, "score"), "passage-ranks")
     out = fusion.rrf_join(by_graph.select("question_id", "item"), {"ppr": (by_graph, 1.0), "sem": (hybrid, 1.0)}, config.rrf_passage)
     found = fusion.rank_by(out, "score").where(F.col("rnk") <= config.entity_passage_top_k).select("question_id", "item", "rnk")
-    lacking = questions.select("question_id").join(found.select("question_id").distinct(), "question_id", "left_anti")
+    lacking = questions.select("question_id").join(seeds.select("question_id").distinct(), "question_id", "left_anti")
     alone = fallback_passages(hybrid, config.passage_top_k).join(lacking, "question_id", "left_semi")
     return found.unionByName(alone.select("question_id", "item", F.col("place").alias("rnk")))
 

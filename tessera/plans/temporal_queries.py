@@ -31,27 +31,27 @@ VALID = """p.start <= coalesce(CASE WHEN length(q_end) = 4 THEN q_end || '-01-01
   AND CASE WHEN length(q_start) = 4 THEN q_start || '-01-01' ELSE q_start END <= coalesce(p."end", '9999-12-31')"""
 
 
-def some_orders(t):
-    rows = kg.order_periods(t).where("custkey < 50").withColumn("_q", F.explode(F.array(*[F.struct(F.lit(a).alias("question_id"), F.lit(b).cast("string").alias("q_start"), F.lit(c).cast("string").alias("q_end")) for a, b, c in QUESTIONS])))
+def asked_orders(t):
+    rows = kg.order_periods(t).withColumn("_q", F.explode(F.array(*[F.struct(F.lit(a).alias("question_id"), F.lit(b).cast("string").alias("q_start"), F.lit(c).cast("string").alias("q_end")) for a, b, c in QUESTIONS])))
     return rows.select("id", "start", "end", "_q.*")
 
 
 @query("temporal_filter_with_fallback", f"""WITH {kg.PERIODS}, {QUESTIONS_SQL},
-  v AS (SELECT question_id, id, ({VALID}) AS ok FROM periods p CROSS JOIN questions WHERE custkey < 50), s AS (SELECT *, max(ok::INT) OVER (PARTITION BY question_id) AS any_ok FROM v)
+  v AS (SELECT question_id, id, ({VALID}) AS ok FROM periods p CROSS JOIN questions), s AS (SELECT *, max(ok::INT) OVER (PARTITION BY question_id) AS any_ok FROM v)
   SELECT question_id, id FROM s WHERE ok OR any_ok = 0""")
 def filter_with_fallback(t):
-    return graph.time_filter(some_orders(t), ["question_id"], "start", "end", F.col("q_start"), F.col("q_end")).select("question_id", "id")
+    return graph.time_filter(asked_orders(t), ["question_id"], "start", "end", F.col("q_start"), F.col("q_end")).select("question_id", "id")
 
 
-@query("passage_time_filter_strict_off", f"""WITH {kg.PERIODS}, {QUESTIONS_SQL} SELECT question_id, id FROM periods CROSS JOIN questions WHERE custkey < 50""")
+@query("passage_time_filter_strict_off", f"""WITH {kg.PERIODS}, {QUESTIONS_SQL} SELECT question_id, id FROM periods CROSS JOIN questions""")
 def filter_not_strict(t):
-    return graph.time_filter(some_orders(t), ["question_id"], "start", "end", F.col("q_start"), F.col("q_end"), strict=False).select("question_id", "id")
+    return graph.time_filter(asked_orders(t), ["question_id"], "start", "end", F.col("q_start"), F.col("q_end"), strict=False).select("question_id", "id")
 
 
-@query("nodes_to_remove", f"""WITH {kg.PERIODS}, {QUESTIONS_SQL}, v AS (SELECT question_id, id, ({VALID}) AS ok FROM periods p CROSS JOIN questions WHERE custkey < 50 AND question_id = 1)
+@query("nodes_to_remove", f"""WITH {kg.PERIODS}, {QUESTIONS_SQL}, v AS (SELECT question_id, id, ({VALID}) AS ok FROM periods p CROSS JOIN questions WHERE question_id = 1)
   SELECT question_id, id FROM v WHERE NOT ok""")
 def nodes_to_remove(t):
-    rows = some_orders(t).where("question_id = 1")
+    rows = asked_orders(t).where("question_id = 1")
     kept = graph.time_filter(rows, ["question_id"], "start", "end", F.col("q_start"), F.col("q_end"))
     return rows.select("question_id", "id").join(kept.select("question_id", "id"), ["question_id", "id"], "left_anti")
 

@@ -10,4 +10,4 @@ def test_registered():
 
 def test_flagship(spark):
     out = entry.entry(spark)
-    assert out.columns == ["lo", "hi", "relation", "rank_ppr", "rank_time", "score", "rnk"] and out.count() > 0
+    assert out.columns == ["lo", "hi", "relation", "rank_ppr", "rank_time", "rank_sem", "score", "rnk"] and out.count() > 0
