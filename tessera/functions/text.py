@@ -115,7 +115,7 @@ def labelled(name, types, ident) -> Column:
 
 def repaired_json(text) -> Column:
     """JSON without code fences of any name, and without backslashes that begin no escape."""
-    bare = F.regexp_replace(F.trim(col(text)), r"^```[a-z]*\s*|\s*```$", "")
+    bare = F.regexp_replace(F.trim(col(text)), r"^```[A-Za-z]*\s*|\s*```$", "")
     return F.regexp_replace(bare, r"""(\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))|\\""", "$1")
 
 

@@ -84,3 +84,8 @@ def first_period(rows: DataFrame, key: str, position: str) -> DataFrame:
 
 def numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+
+
+def zipped(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Rows with what was computed for them elsewhere, by an explicit key; rows without a result stay."""
+    return rows.join(results, key, "left")

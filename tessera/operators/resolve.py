@@ -48,7 +48,10 @@ def merge_nodes(nodes: DataFrame, mapping: DataFrame, keep_names: bool = False)
     ends = mapping.select("member").union(mapping.select("base")).distinct().withColumnRenamed("member", "id")
     alone = nodes.join(ends, "id", "left_anti")
     based = nodes.join(ends, "id", "left_semi").join(mapping, nodes["id"] == mapping["member"], "left").withColumn("_base", F.coalesce("base", "id")).drop("member", "base")
-    first = F.struct((F.col("id") != F.col("_base")).alias("other"), "pos")
+    based = based.withColumn("_first", F.struct((F.col("id") != F.col("_base")).alias("other"), "pos"))
+    if "properties" in nodes.columns:
+        based = based.withColumn("_entries", F.map_entries("properties"))
+    first = F.col("_first")
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(first.alias("o"), F.col(c).alias("v")))), lambda x: x["v"])
     names = F.filter(in_order("name"), lambda x: x != F.min_by("name", first))
     aliases = F.flatten(F.filter(in_order("aliases"), lambda x: x.isNotNull()))
@@ -59,11 +62,12 @@ def merge_nodes(nodes: DataFrame, mapping: DataFrame, keep_names: bool = False)
         "description": F.array_join(F.filter(in_order("description"), lambda x: F.coalesce(x, F.lit("")) != ""), "\n"),
     }
     if "properties" in nodes.columns:
-        entries = F.flatten(F.transform(F.filter(in_order("properties"), lambda m: m.isNotNull()), F.map_entries))
+        entries = F.flatten(F.filter(in_order("_entries"), lambda m: m.isNotNull()))
         fresh = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, 1, k), lambda f: f["key"] == e["key"]))
         united["properties"] = F.map_from_entries(fresh)
-    aggregates = [united.get(c, F.min_by(c, first)).alias(c) for c in nodes.columns if c != "id"]
-    merged = based.groupBy(F.col("_base").alias("id")).agg(*aggregates).select(nodes.columns)
+    aggregates = [united.get(c, F.min_by(c, first)).alias(f"_new_{c}") for c in nodes.columns if c != "id"]
+    merged = based.groupBy("_base").agg(*aggregates)
+    merged = merged.select(*[F.col("_base" if c == "id" else f"_new_{c}").alias(c) for c in nodes.columns])
     plain = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("aliases",)} | {"description": F.coalesce("description", F.lit("")), "type": F.array_distinct("type")}
     return alone.withColumns(plain).select(nodes.columns).unionByName(merged)
 

@@ -184,3 +184,88 @@ def test_long_labels_and_names_link(spark):
     names = labels.withColumnsRenamed({"label": "name", "id": "node"})
     assert sorted(map(tuple, retrieval.keyword_seeds(asked, names).collect())) == [(1, 0), (1, 1), (1, 2), (2, 0)]
     assert retrieval.keyword_seeds(asked, names.limit(0)).count() == 0
+
+
+def test_merge_keeps_every_column_of_the_base(spark):
+    nodes = spark.createDataFrame(
+        [("4", 1, "Ada", ["P"], None, "y", {"k": "4", "b": "4"}, ("1990", None), True), ("1", 2, "Ada", ["P"], ["A"], "x", {"k": "1", "a": "1"}, ("2001", "2002"), False), ("9", 3, "Bo", ["P"], None, None, None, None, None)],
+        "id string, pos int, name string, type array<string>, aliases array<string>, description string, properties map<string,string>, valid_time struct<start:string,end:string>, is_temporal_entity boolean",
+    )
+    got = {r.id: r for r in resolve.merge_nodes(nodes, stages.written(resolve.align_exact(nodes), "m")).collect()}
+    one = got["1"]
+    assert (one.pos, tuple(one.valid_time), one.is_temporal_entity, one.properties, one.description) == (1, ("2001", "2002"), False, {"k": "1", "a": "1", "b": "4"}, "x\ny")
+    assert got["9"].properties is None and got["9"].aliases == []
+
+
+def test_graphs_with_equal_ids_stay_apart(spark):
+    nodes = [spark.createDataFrame([("1", x)], "id string, name string") for x in ("a", "b")]
+    edge = "src string, dst string, relation string, pos long"
+    edges = [spark.createDataFrame([("1", "2", "r", 1), ("1", "2", "r", 2), ("1", "1", "r", 3)], edge), spark.createDataFrame([("1", "2", "r", 1)], edge)]
+    every, joined = resolve.combined_graph(nodes, edges)
+    assert rows(every, "id", "name") == [("0:1", "a"), ("1:1", "b")] and rows(joined, "src", "dst") == [("0:1", "0:2"), ("1:1", "1:2")]
+    pairs = spark.createDataFrame([("x", "y", "r", 2), ("y", "x", "r", 1), ("y", "x", "s", 3)], "source string, target string, relation string, pos int")
+    assert rows(resolve.distinct_undirected(pairs), "source", "relation") == [("y", "r"), ("y", "s")]
+
+
+def test_pagerank_stops_at_its_tolerance_and_counts_isolated_nodes(spark):
+    pairs = spark.createDataFrame([(1, "a", "b", 1.0), (1, "b", "c", 2.0), (1, "c", "d", 1.0)], "question_id int, lo string, hi string, w double")
+    nodes = spark.createDataFrame([(1, n) for n in "abcd"], "question_id int, node string")
+    apart = spark.createDataFrame([(1, n) for n in "xyz"], "question_id int, node string")
+    seeds = spark.createDataFrame([(1, "a")], "question_id int, node string")
+    arcs = graph.arcs(pairs, "w")
+    exact = {r.node: r.score for r in graph.ppr_grouped(arcs, nodes, seeds, iterations=500, tolerance=0).collect()}
+    close = {r.node: r.score for r in graph.ppr_grouped(arcs, nodes, seeds).collect()}
+    joined = {r.node: r.score for r in graph.ppr(arcs, nodes, seeds).collect()}
+    assert all(close[n] == pytest.approx(exact[n], abs=1e-5) and joined[n] == pytest.approx(exact[n], abs=1e-5) for n in "abcd")
+    counted = apart.groupBy("question_id").agg(F.count("node").alias("n"))
+    listed = {r.node: r.score for r in graph.ppr_grouped(arcs, nodes.union(apart), seeds, iterations=7, tolerance=0).collect()}
+    short = {r.node: r.score for r in graph.ppr_grouped(arcs, nodes, seeds, iterations=7, tolerance=0, isolated=counted).collect()}
+    assert all(short[n] == pytest.approx(listed[n], abs=1e-12) for n in "abcd") and listed["x"] == 0
+
+
+def test_passages_of_the_text_ranking_alone_can_win(spark):
+    members = spark.createDataFrame([(1, "a")], "question_id int, node string")
+    pairs = spark.createDataFrame([], "question_id int, lo string, hi string, w double")
+    bridge = spark.createDataFrame([("p1", "a"), ("p2", "b")], "passage string, node string")
+    passages = spark.createDataFrame([(f"p{k}", None, None) for k in range(1, 5)], "passage string, start string, end string")
+    asked = spark.createDataFrame([(1, "2000", "2001")], "question_id int, q_start string, q_end string")
+    text = spark.createDataFrame([(1, "p4", 1), (1, "p1", 2)], "question_id int, item string, rnk int")
+    out = retrieval.ranked_passages(members, pairs, members, bridge, passages, asked, text)
+    assert {r.item for r in out.collect()} == {"p1", "p4"}
+
+
+def test_names_within_questions(spark):
+    q = spark.createDataFrame([(1, "Who met Anna van Dyck-Meer in Oslo?"), (2, "xOslo")], "question_id int, question string")
+    names = spark.createDataFrame([("1", "Anna van Dyck"), ("2", "Oslo"), ("3", "oslo"), ("4", "van Dyck-Meer in Oslo?"), ("5", "An")], "node string, name string")
+    assert rows(retrieval.entity_names(q, names), "question_id", "node") == [(1, "1"), (1, "2"), (1, "4"), (1, "5"), (2, "2")]
+    asked = spark.createDataFrame([(1, "ÖSLO"), (1, "nobody")], "question_id int, name string")
+    assert rows(retrieval.resolved_names(asked, names), "node") == [("2",), ("3",)]
+
+
+def test_index_finds_nine_of_ten(spark):
+    from tessera.plans import retrieval_queries as R
+    from tessera.plans.kg import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    true = {(r.question_id, r.doc) for r in dense.ranked(dense.distances(R.whole(t), R.vectors(t)), 10).collect()}
+    found = {(r.question_id, r.doc) for r in R.ivf_probe_topk(t).collect()}
+    assert len(true) == 50 and len(true & found) / len(true) >= 0.9
+    few = dense.distances(R.whole(t), R.vectors(t), most_queries=2)
+    assert {(r.question_id, r.doc) for r in dense.ranked(few, 10).collect()} == true
+
+
+def test_texts_in_other_scripts_and_odd_json(spark):
+    one = spark.range(1).select(X.tokens(F.lit("Łódź, Straße; Привет-мир 漢字")).alias("t"), X.repaired_json(F.lit('```yaml\n{"a": "\\d \\u0041 \\n"}\n```')).alias("j"), X.node_view(F.lit("n"), F.array(F.lit("T")), F.lit("d" * 300), F.array(F.lit("a"))).alias("v")).first()
+    assert one.t == ["lodz", "strasse", "привет", "мир", "漢字"] and one.j == '{"a": "d \\u0041 \\n"}' and len(one.v.description) == 203
+
+
+def test_config_and_timer(tmp_path):
+    from tessera.config import Config
+
+    (tmp_path / "c.yaml").write_text("# settings\nretrieval:\n  ppr_alpha: 0.5\n  damping: 0.9  # less\n  snapshot_strictness: False\n  intent_weights:\n    ordering: [1, 2, 3]\nsigma: 2.5\n")
+    got = Config.read(str(tmp_path / "c.yaml"))
+    assert (got.damping, got.snapshot_strictness, got.sigma, got.intent_weights["ordering"], got.intent_weights["atemporal"]) == (0.9, False, 2.5, (1, 2, 3), (0.5, 2.0, 0.1))
+    timer = evaluate.Timer()
+    with timer("x"):
+        pass
+    assert timer.seconds["x"] >= 0
