@@ -146,10 +146,11 @@ def interlayer_links(found: DataFrame, known: DataFrame, most: int = 100) -> Dat
     return found.join(often, "id", "left_anti").join(known, ["text_id", "id"], "left_anti").select("text_id", "id")
 
 
-def near_pairs(rows: DataFrame, eps: float) -> DataFrame:
+def near_pairs(rows: DataFrame, eps: float, forest: bool = False) -> DataFrame:
     """rows (id, embedding unit vectors): pairs a < b of cosine distance eps or less, by blocks of vectors.
 
-    Each block of rows is one array; block pairs are matrix products in numpy, so neither rows nor pairs are exploded.
+    Each block of rows is one array; block pairs are matrix products in numpy, so that rows are not exploded. With `forest`
+    each block pair gives a spanning forest of its pairs alone, fewer than its vectors, which has the same components.
     """
     import numpy as np
     import pyarrow as pa
@@ -170,16 +171,39 @@ def near_pairs(rows: DataFrame, eps: float) -> DataFrame:
         x, y = ids[left[a]], ids[right[b]]
         keep = x < y if lo[0] == hi[0] else np.ones(len(x), bool)
         x, y = x[keep], y[keep]
+        x, y = np.where(x < y, x, y), np.where(x < y, y, x)
+        if forest:
+            x, y = spanning(x, y)
         own = group.schema.field("id").type
-        return pa.table([pa.array(np.minimum(x, y)).cast(own), pa.array(np.maximum(x, y)).cast(own)], ["a", "b"])
+        return pa.table([pa.array(x.tolist(), own), pa.array(y.tolist(), own)], ["a", "b"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return dealt.groupBy("lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
 
 
+def spanning(x, y):
+    """Those of the pairs (arrays x, y) that join what earlier ones left apart."""
+    import numpy as np
+
+    root: dict = {}
+
+    def top(k):
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    kept = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        a, b = top(a), top(b)
+        if a != b:
+            root[b], kept[k] = a, True
+    return x[kept], y[kept]
+
+
 def semantic_clusters(rows: DataFrame, eps: float = 0.5) -> DataFrame:
     """(node, component) of density clusters with two or more members: with that minimum they are the eps-graph's components."""
-    return components(near_pairs(rows, eps))
+    return components(near_pairs(rows, eps, forest=True))
 
 
 def combined(graphs: list[DataFrame], ids: tuple[str, ...] = ("id",)) -> DataFrame:

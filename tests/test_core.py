@@ -269,3 +269,77 @@ def test_config_and_timer(tmp_path):
     with timer("x"):
         pass
     assert timer.seconds["x"] >= 0
+
+
+def fake_model(system, user, schema):
+    """Answers every kind of prompt by a rule."""
+    import json
+    import re
+
+    if "Extract" in system:
+        if "broken" in user:
+            return "no json", 1, 1
+        names = re.findall(r"[A-Z][a-z]+", user)
+        nodes = [{"id": str(k), "name": n, "type": ["T"], "aliases": ["the " + n], "valid_time": {"start": "2001", "end": ""}} for k, n in enumerate(names)]
+        edges = [{"source_node_id": "0", "target_node_id": str(k), "relationship_name": "near"} for k in range(1, len(names))]
+        return "```json\n" + json.dumps({"nodes": nodes, "edges": edges}) + "\n```", 10, 5
+    if "same" in system:
+        ids = sorted(e["id"] for e in json.loads(user))
+        return json.dumps({"merge_instruction": [{"base_node_id": ids[0], "merge_node_ids": ids[1:2]}]}), 1, 1
+    if "related" in system:
+        ids = sorted(e["id"] for e in json.loads(user))
+        return json.dumps({"relation_predictions": [{"entity_1_id": a, "entity_2_id": b} for a, b in zip(ids, ids[1:])] + [{"entity_1_id": ids[0], "entity_2_id": "999"}]}), 1, 1
+    if "Name the listed" in system:
+        return '{"entity_appeared_in_query": ["$$Ada$$", ""]}', 1, 1
+    if "Answer from" in system:
+        return '{"answer": "42", "evidence": "e"}', 1, 1
+    if "shortest span" in system:
+        return "", 1, 1
+    return '{"explain": "x", "predict": true}' if "yes" in user else "unreadable", 1, 1
+
+
+def test_staged_build(spark, tmp_path):
+    from tessera.plans import staged
+
+    docs = spark.createDataFrame([("a", 1, "Ada met Bob. Then Ada slept."), ("b", 2, "Bob saw Cy and Di."), ("c", 3, "broken")], "doc string, pos int, text string")
+    out, calls = str(tmp_path), []
+    rows_ = staged.extract(spark, docs, out, fake_model, at_once=4)
+    assert build.bad_rows(rows_).count() == 1 and spark.read.parquet(f"{out}/usage").first().prompt_tokens == 21
+    fixed = staged.repair(spark, out, lambda s, u, x: fake_model(s, "Eve", x))
+    assert build.bad_rows(fixed).count() == 0 and fixed.count() == 3
+
+    def embedder(texts):
+        calls.append(len(texts))
+        return [[1.0, 0.0] if x[-3:] in (" Cy", " Di") else [0.0, 1.0 if x.endswith("Ada") else -1.0] for x in texts]
+
+    for _ in range(2):  # the second run only reads
+        got = staged.align(spark, fixed, out, embedder, fake_model, eps=0.1)
+    names = {r.name: r.id for r in got["nodes"].collect()}
+    assert set(names) >= {"Ada", "Bob"} and len(names) == got["nodes"].count() and sorted(map(int, names.values())) == list(range(1, len(names) + 1))
+    ends = {(r.src, r.dst) for r in got["edges"].collect()}
+    assert all(a in names.values() and b in names.values() and a != b for a, b in ends)
+    sentences = {r.sentence_id: r.text for r in got["sentences"].collect()}
+    linked = {(sentences[r.text_id], r.id) for r in got["links"].collect()}
+    assert ("Then Ada slept.", names["Ada"]) in linked and ("Ada met Bob.", names["Bob"]) in linked
+    assert staged.embed(spark, docs, out, lambda xs: [[0.0, 1.0]] * len(xs)).count() == 3
+
+
+def test_contracts_with_models(spark):
+    q = spark.createDataFrame([(1, "Who is Ada?")], "question_id int, question string")
+    listed = spark.createDataFrame([(1, 1, "Name: $$Ada$$")], "question_id int, rnk int, ontology string")
+    assert rows(plugins.linked_entities(q, listed, fake_model), "name") == [("Ada",)]
+    names = spark.createDataFrame([("n", "ada"), ("m", "Bob")], "node string, name string")
+    assert rows(plugins.linked_entities(q, listed, None, names), "name") == [("ada",)]
+    asked = spark.createDataFrame([("x", ["p"], "g", "yes"), ("y", [], "g", "no")], "question string, passages array<string>, groundtruth string, prediction string")
+    assert {r.prediction for r in plugins.answered(asked.drop("prediction"), fake_model).collect()} == {"42"}
+    assert [r.llm_evaluation.predict for r in plugins.judged(asked, fake_model).orderBy("question").collect()] == [True, False]
+    assert [r.short_answer for r in plugins.short_answers(asked, fake_model, at_once=2).orderBy("question").collect()] == ["yes", "no"]
+    tried = []
+
+    def flaky(system, user, schema):
+        tried.append(1)
+        if len(tried) < 2:
+            raise ValueError("busy")
+        return "ok", 1, 1
+
+    assert plugins.call(asked.limit(1).selectExpr("question AS system", "question AS user"), flaky, retries=1, pause=0.01).first().response == "ok"
