@@ -17,15 +17,17 @@ ANSWER_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 def fold(text) -> Column:
     """Lower case without accents."""
-    out = F.translate(F.lower(col(text)), ACCENTS, PLAIN)
+    low = out = F.lower(col(text))
+    out = F.translate(out, ACCENTS, PLAIN)
     for letter, plain in DOUBLE:
         out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+    # Texts of one byte a letter have no accents.
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(out)
 
 
 def tokens(text) -> Column:
     """Words of the folded text, in any script; punctuation separates."""
-    return F.filter(F.split(F.regexp_replace(fold(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}_]+"), "")
 
 
 def sentences(text) -> Column:

@@ -38,7 +38,7 @@ def build(docs: DataFrame, doc: str = "doc", text: str = "text", epsilon: float
 
     Documents count once for each distinct term, within their row, so that the exchange holds the vocabulary and not the postings.
     """
-    rows = tokenised(docs, doc, text)
+    rows = written(tokenised(docs, doc, text), "bm25-tokens")  # texts are cut once, for statistics, vocabulary and hits
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     raw = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_k", F.lit(0))
     # One row of statistics meets the terms; the join on a constant is a broadcast of that row.

@@ -19,6 +19,15 @@ def simple(edges: DataFrame, source: str = "src", target: str = "dst", position:
     return edges.groupBy(low, high).agg(last).select("lo", "hi", "_e.*")
 
 
+def induced_simple(edges: DataFrame, members: DataFrame, position: str = "pos") -> DataFrame:
+    """Pairs (question_id, lo, hi, ...) of the simple graph of edges (src, dst, position, ...) within each question's members: parallel edges meet there alone, not in the whole graph."""
+    inside = induced(edges.withColumnsRenamed({"src": "lo", "dst": "hi"}), members)
+    others = [c for c in edges.columns if c not in ("src", "dst")]
+    low, high = F.least("lo", "hi").alias("_lo"), F.greatest("lo", "hi").alias("_hi")
+    last = inside.groupBy("question_id", low, high).agg(F.max_by(F.struct(*others), F.col(position)).alias("_e"))
+    return last.select("question_id", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "_e.*")
+
+
 def arcs(pairs: DataFrame, *columns: str) -> DataFrame:
     """Both directions of undirected pairs (lo, hi): src, dst and the columns named."""
     keep = [c for c in ("question_id",) if c in pairs.columns]
@@ -35,7 +44,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ball(pairs: DataFrame, seeds: DataFrame, radius: int = 1) -> DataFrame:
     """(question_id, node) within `radius` steps of the question's seeds (question_id, node)."""
-    both = arcs(pairs.select("lo", "hi")).distinct() if radius > 1 else arcs(pairs.select("lo", "hi"))
+    both = arcs(pairs.select("lo", "hi"))
     reached = seeds.select("question_id", "node").distinct()
     front = reached
     for _ in range(radius):

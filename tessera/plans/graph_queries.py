@@ -48,10 +48,14 @@ def seeds(t, most: int = 10):
     return with_question(t.customer.where(F.col("c_custkey") < most).select(F.concat(F.lit("C"), "c_custkey").alias("node")))
 
 
+def order_edges(t):
+    """Edges between customers, orders and parts; the last of parallel lines counts."""
+    return kg.placed(t).unionByName(kg.contains(t)).withColumn("pos", F.struct("pos", "start", "relation"))
+
+
 def order_pairs(t):
-    """Customers, orders and parts as a simple graph; the last of parallel lines stays."""
-    edges = kg.placed(t).unionByName(kg.contains(t)).withColumn("pos", F.struct("pos", "start", "relation"))
-    return graph.simple(edges).drop("pos")
+    """The same as a simple graph."""
+    return graph.simple(order_edges(t)).drop("pos")
 
 
 ORDER_PAIRS = kg.EDGES + """, all_ AS (FROM placed UNION ALL BY NAME FROM contains_),
@@ -136,16 +140,15 @@ BALL2 = f"{BALL}, b2 AS MATERIALIZED (SELECT node FROM b1 UNION SELECT dst FROM
 
 @query("ego_subgraph_r1", f"WITH {ORDER_PAIRS}, {BALL} SELECT lo, hi FROM pairs WHERE lo IN (FROM b1) AND hi IN (FROM b1)")
 def ego_subgraph_r1(t):
-    pairs = order_pairs(t)
-    return graph.induced(pairs, graph.ball(pairs, seeds(t), 1)).select("lo", "hi")
+    edges = order_edges(t)
+    return retrieval.between(edges, retrieval.around(edges, seeds(t), 1)).select("lo", "hi")
 
 
 def slice_(t, radius: int = 2):
     """Members and induced pairs of the first question's snapshot."""
-    pairs = written(order_pairs(t), "pairs")
     times = kg.order_periods(t).select(F.col("id").alias("node"), "start", "end")
-    members, inside = retrieval.subgraph(pairs, times, asked(t), seeds(t), radius)
-    return written(members, "members"), written(inside, "inside")
+    members, inside = retrieval.subgraph(order_edges(t), times, asked(t), seeds(t), radius)
+    return members, written(inside.drop("pos"), "inside")
 
 
 SNAP = f"""{ORDER_PAIRS}, {BALL2}, members AS MATERIALIZED (SELECT node FROM b2 LEFT JOIN periods ON id = node WHERE id IS NULL OR (start <= '{Y1}' AND coalesce("end", '9999-12-31') >= '{Y0}')),
@@ -436,10 +439,10 @@ def retrieve_temporal_batch(t):
     q, names, ranks = batch(t)
     count = t.embeddings.count()
     times = kg.order_periods(t).select(F.col("id").alias("node"), "start", "end")
-    pairs = written(order_pairs(t), "pairs")
+    pairs = order_edges(t)
     vectors = t.embeddings.select(F.col("vec_id"), F.col("embedding").alias("_e"))
     asked_by = q.select("question_id", (F.col("question_id") % count).alias("vec_id")).join(vectors, "vec_id").select("question_id", F.col("_e").alias("_q"))
-    reached = graph.ball(pairs, retrieval.keyword_seeds(q, names), 1)
+    reached = retrieval.around(pairs, retrieval.keyword_seeds(q, names), 1)
     placed = reached.withColumn("vec_id", F.substring("node", 2, 20).cast("long") % count).join(vectors, "vec_id").join(asked_by, "question_id")
     meaning = written(placed.select("question_id", "node", dense.dot("_e", "_q").alias("sim")), "meaning")
     none = F.lit(None).cast("array<string>")
@@ -461,7 +464,7 @@ def retrieve_temporal_batch(t):
   SELECT question_id, item, rnk FROM o WHERE rnk <= 10 UNION ALL SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY rnk DESC) FROM text_rank ANTI JOIN seeds USING (question_id) WHERE rnk <= 20""")
 def retrieve_v1_batch(t):
     q, names, ranks = batch(t)
-    return retrieval.retrieve(q, names, written(order_pairs(t), "pairs"), bridge(t), ranks, CONFIG)
+    return retrieval.retrieve(q, names, order_edges(t), bridge(t), ranks, CONFIG)
 
 
 @query("entity_top_passages", f"""WITH {BATCH}, r AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY rnk) AS r FROM text_rank SEMI JOIN (SELECT question_id, passage AS item FROM seeds JOIN bridge USING (node)) USING (question_id, item))

@@ -79,10 +79,25 @@ def valid_nodes(members: DataFrame, times: DataFrame, questions: DataFrame, stri
     return graph.time_filter(rows, ["question_id"], "start", "end", F.col("q_start"), F.col("q_end"), strict).select("question_id", "node")
 
 
+def is_simple(pairs: DataFrame) -> bool:
+    """Are these pairs (lo, hi) of a simple graph, or edges (src, dst, pos) that may be parallel?"""
+    return "lo" in pairs.columns
+
+
+def around(pairs: DataFrame, seeds: DataFrame, radius: int = 1) -> DataFrame:
+    """The ball of pairs, or of edges."""
+    return graph.ball(pairs if is_simple(pairs) else pairs.withColumnsRenamed({"src": "lo", "dst": "hi"}), seeds, radius)
+
+
+def between(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs between members; of edges the last of parallel ones, found within the members."""
+    return graph.induced(pairs, members) if is_simple(pairs) else graph.induced_simple(pairs, members)
+
+
 def subgraph(pairs: DataFrame, times: DataFrame, questions: DataFrame, seeds: DataFrame, radius: int = 1, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Nodes (question_id, node) and induced pairs of each question's snapshot around its seeds."""
-    members = valid_nodes(graph.ball(pairs, seeds, radius), times, questions, strict)
-    return members, graph.induced(pairs, members)
+    """Nodes (question_id, node) and induced pairs of each question's snapshot around its seeds, in a simple graph's pairs or in edges."""
+    members = written(valid_nodes(around(pairs, seeds, radius), times, questions, strict), "members")
+    return members, between(pairs, members)
 
 
 def weighted(pairs: DataFrame, questions: DataFrame, config: Config = Config(), semantic=None, alpha: float | None = None) -> DataFrame:
@@ -244,7 +259,7 @@ def with_texts(ordered: DataFrame, passages: DataFrame) -> DataFrame:
 def retrieve_temporal(questions: DataFrame, names: DataFrame, pairs: DataFrame, times: DataFrame, bridge: DataFrame, passages: DataFrame, hybrid: DataFrame, config: Config = Config(), meaning: DataFrame | None = None, nodes: DataFrame | None = None, sentences: DataFrame | None = None, linked: DataFrame | None = None) -> DataFrame:
     """The whole path for a batch: question_id, context.
 
-    names (node, name), pairs (lo, hi, relation, start, end), times (node, start, end), bridge (passage, node), passages (passage, start, end
+    names (node, name), pairs (lo, hi, relation, start, end) or edges (src, dst, relation, start, end, pos), times (node, start, end), bridge (passage, node), passages (passage, start, end
     and perhaps text), hybrid (question_id, item, rnk). meaning (question_id, node, sim) gives edge weights and the edges'
     ranking by meaning; without it edges count half there and are not ranked by it. nodes give labels, sentences (question_id, rnk,
     text) the context's sentences, linked (question_id, name) names that an entity linker found beside those in the question's
@@ -256,8 +271,6 @@ def retrieve_temporal(questions: DataFrame, names: DataFrame, pairs: DataFrame,
         seeds = seeds.union(resolved_names(linked, names)).distinct()
     seeds = written(valid_nodes(seeds, times, asked, config.snapshot_strictness), "seeds")
     members, inside = subgraph(pairs, times, asked, seeds, 1, config.snapshot_strictness)
-    members = written(members, "members")
-    inside = graph.induced(pairs, members)
     if meaning is not None:
         inside = with_meaning(inside, meaning)
     inside = written(weighted(inside, asked, config, None if meaning is None else F.col("sem")), "pairs")
@@ -275,8 +288,8 @@ def retrieve_temporal(questions: DataFrame, names: DataFrame, pairs: DataFrame,
 def retrieve(questions: DataFrame, names: DataFrame, pairs: DataFrame, bridge: DataFrame, hybrid: DataFrame, config: Config = Config()) -> DataFrame:
     """The path without time: question_id, item, rnk of passages; unweighted PageRank fused with the text ranking."""
     seeds = written(keyword_seeds(questions, names), "seeds")
-    members = written(graph.ball(pairs, seeds, 1), "members")
-    inside = graph.induced(pairs, members).withColumn("w", F.lit(1.0))
+    members = written(around(pairs, seeds, 1), "members")
+    inside = between(pairs, members).withColumn("w", F.lit(1.0))
     linked = bridge.join(members, "node")
     places = linked.select("question_id", F.col("passage").alias("node")).distinct()
     scores = pagerank(graph.augmented(inside, linked), members.unionByName(places), seeds, config)
