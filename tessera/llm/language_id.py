@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches, table, written
 from .shingles import text_bytes
 
-ORDER, DOCS_A_LANGUAGE, EVIDENCE, SCALE, FLOOR, WINDOW = 4, 400, 200, 4096, 0.5, 1 << 19
+ORDER, DOCS_A_LANGUAGE, EVIDENCE, SCALE, FLOOR, WINDOW = 4, 400, 200, 4096, 0.5, 1 << 18
 #: Languages that are broadcast with their counts; entries of a worker's table of code lengths, over all languages.
-FEW, KEPT = 20_000, 1 << 23
+FEW, KEPT = 20_000, 1 << 21
 PAD = 32
 
 LOWERED = np.arange(256, dtype=np.uint8)
