@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.temporal import validity
 from ..functions.text import repaired_json, sentences
+from ..sources.stages import written
 
 
 def extracted(rows: DataFrame, column: str = "response") -> DataFrame:
@@ -35,7 +36,8 @@ def single_pass(docs: DataFrame, aliases: bool = False) -> S.Graph:
     end are dropped. A sentence is linked to the nodes whose names (with `aliases`, or aliases) occur in it.
     """
     none = F.array().cast("array<string>")
-    docs = docs.where((F.length("text") > 0) & F.col("entity_layer").isNotNull()).select("doc", "pos", "text", "entity_layer.*")
+    docs = docs.where((F.length("text") > 0) & F.col("entity_layer").isNotNull()).select("doc", "pos", "text", "entity_layer")
+    docs = written(docs, "extracted").select("doc", "pos", "text", "entity_layer.*")  # answers are parsed once for the four tables
     interval = lambda t: F.when(t.isNotNull(), F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(1.0).alias("confidence")))
     extracted_by = F.create_map(F.lit("llm_extracted"), F.lit("true"))
     # All of it is local to a document's row: ids, times and edge ends come from its arrays, without any exchange.
