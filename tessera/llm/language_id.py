@@ -19,6 +19,8 @@ contexts: they grow with the number of languages, not with the table.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -107,14 +109,23 @@ class Tree:
         return out + np.where(open_, np.log2(np.maximum(256 - self.levels[0][1][0], 1)), 0.0)
 
 
+_kept: list[Trees] = []
+
+
 class Trees:
     """The languages' counted codes; trees and the table of code lengths are made once a worker."""
 
     def __init__(self, languages: list[str], codes: list[np.ndarray], counts: list[np.ndarray]):
-        self.languages, self.codes, self.counts = languages, codes, counts
+        self.languages, self.codes, self.counts, self.name = languages, codes, counts, uuid.uuid4().hex
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("languages", "codes", "counts")}
+        return {k: self.__dict__[k] for k in ("languages", "codes", "counts", "name")}
+
+    def here(self) -> Trees:
+        """This model, or its equal that an earlier task has left in this worker with its trees made; a worker keeps one model."""
+        if not _kept or _kept[0].name != self.name:
+            _kept[:] = [self]
+        return _kept[0]
 
     def trees(self) -> list[Tree]:
         if "_trees" not in self.__dict__:
@@ -208,11 +219,11 @@ def judged(column, trees: Trees) -> tuple[list[str], np.ndarray]:
 def predicted(docs: DataFrame, trees: Trees) -> DataFrame:
     """docs (doc_id, text): doc_id, lang_pred, score."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(trees)  # once an executor; bounded by the sample
 
     def run(batches):
+        model = trees.here()
         for b in batches:
-            lang, score = judged(b.column(1), sent.value)
+            lang, score = judged(b.column(1), model)
             yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
@@ -226,11 +237,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of a known language, with a score of FLOOR or more, stay; no shuffle of texts."""
-    trees, at = spark.sparkContext.broadcast(fit(docs)), docs.columns.index("text")
+    trees, at = fit(docs), docs.columns.index("text")
 
     def run(batches):
+        model = trees.here()
         for b in batches:
-            lang, score = judged(b.column(at), trees.value)
+            lang, score = judged(b.column(at), model)
             yield b.filter(pa.array([x != "und" and s >= FLOOR for x, s in zip(lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
