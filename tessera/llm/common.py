@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,18 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed(run):
+    """A task over Arrow batches that gives the memory it has freed back to the system at its end, as workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+            library.malloc_trim(0)
+
+    return whole
+
+
 def ascii_lower(col):
     """Lower-cases A-Z alone."""
     return F.translate(col, UPPER, LOWER)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import small_batches, table, written
+from .common import small_batches, table, trimmed, written
 from .shingles import mix, shingle_hashes, slices, text_bytes
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -417,7 +417,7 @@ def sets_of(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, den
     small_batches(docs.sparkSession)
     rows = docs.count()
     bits = max(6, int(np.ceil(np.log2(max(1, rows) / DOCS_A_RANGE))))
-    ranged = docs.select("doc_id", "text").mapInArrow(_chunks(width, bits, CHUNK), RANGED)
+    ranged = docs.select("doc_id", "text").mapInArrow(trimmed(_chunks(width, bits, CHUNK)), RANGED)
     counted = ranged.groupBy("bucket").applyInArrow(_counted, RANGED)
     return written(counted.groupBy("chunk").applyInArrow(_live(numerator, denominator), DOCS), "jj-sets")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table, written
+from .common import held_out, small_batches, table, trimmed, written
 from .shingles import text_bytes
 
 ORDER, DOCS_A_LANGUAGE, EVIDENCE, SCALE, FLOOR, WINDOW = 4, 400, 200, 4096, 0.5, 1 << 18
@@ -226,7 +226,7 @@ def predicted(docs: DataFrame, trees: Trees) -> DataFrame:
             lang, score = judged(b.column(1), model)
             yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,4 +245,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             lang, score = judged(b.column(at), model)
             yield b.filter(pa.array([x != "und" and s >= FLOOR for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

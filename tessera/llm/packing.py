@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import small_batches, table, trimmed, written
 
 LENGTH, END, SHARD, MOST_CHUNKS = 1024, 2, 16384, 600_000
 #: How byte-level tokens write a space; chunks encoded by one call.
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, room: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table, written
+from .common import held_out, small_batches, table, trimmed, written
 from .shingles import SEGMENT, shingle_hashes, slices, text_bytes, word_hashes
 
 #: Random features, kernel width (in standard deviations), ridge, labelled rows used, partitions of them, score bins.
@@ -103,7 +103,7 @@ def features(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in batch_statistics(b.column(1))], pa.binary())], ["doc_id", "stats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, stats binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, stats binary")
 
 
 def unstats(column) -> np.ndarray:
@@ -217,7 +217,7 @@ def kept(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.score(batch_statistics(b.column(at))) >= cut, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
