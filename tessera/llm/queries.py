@@ -2,8 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
-
+from . import fingerprints, funnels, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +23,12 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_matroska": matroska.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_funnels": funnels.query,
 }
 
 ORACLES = {
     "op1_license_scan": license_scan.oracle,
     "op3_url_filter": url_filter.oracle,
     "op6_mixture": mixture.oracle,
+    "op11_funnels": funnels.oracle,
 }
