@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, funnels, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
+from . import fingerprints, funnels, hard_negatives, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_matroska": matroska.query,
     "op10_fingerprints": fingerprints.query,
     "op11_funnels": funnels.query,
+    "op12_hard_negatives": hard_negatives.query,
 }
 
 ORACLES = {
@@ -31,4 +32,5 @@ ORACLES = {
     "op3_url_filter": url_filter.oracle,
     "op6_mixture": mixture.oracle,
     "op11_funnels": funnels.oracle,
+    "op12_hard_negatives": hard_negatives.oracle,
 }
