@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stages import written  # noqa: F401
+from ..sources.stages import shared_dir, written  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, as a path or address that Arrow's file systems open; it goes when the session's JVM ends."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    address = files.makeQualified(there).toUri()
+    return address.getPath() if address.getScheme() == "file" else address.toString()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds the rows of the session's Arrow batches, as single texts may be very long; plans read the setting when they run, so it stays."""
     now = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

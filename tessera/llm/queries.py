@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, funnels, hard_negatives, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, url_filter
+from . import fingerprints, funnels, hard_negatives, html_extract, jaccard_join, language_id, license_scan, matroska, mixture, packing, quality, token_files, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
     "op11_funnels": funnels.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_token_files": token_files.query,
 }
 
 ORACLES = {
