@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, label_allowed, tokens
+from ..functions.text import fold, label_allowed
 from .graph import components
+from .matching import longest as longest_spans
+from .matching import substring_spans, word_spans
 
 
 def name_groups(nodes: DataFrame) -> DataFrame:
@@ -121,22 +123,13 @@ def label_table(nodes: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.max_by("id", F.struct("pos", "id")).alias("id"))
 
 
-def link_labels(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """texts (text_id, text), labels (label, id): (text_id, id, occurrences) of labels that occur as whole words.
+def link_labels(texts: DataFrame, labels: DataFrame, within_words: bool = False, longest: bool = False) -> DataFrame:
+    """texts (text_id, text), labels (label, id): (text_id, id, occurrences) of labels that occur as whole words, or as any substring.
 
-    Texts' word n-grams, of the lengths that labels have, meet the labels in one equi-join, in place of a search of every label in every text.
+    Overlapping labels count each; with `longest` those alone that a reader from left to right takes.
     """
-    sizes = [r[0] for r in labels.where("label IS NOT NULL").select(F.size(F.split("label", " "))).distinct().collect()]  # one number a length
-    w = tokens("text")
-
-    def of(n: int):
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return w if n == 1 else F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
-
-    grams = F.concat(*map(of, sorted(sizes))) if sizes else None
-    if grams is None:
-        return texts.select("text_id").limit(0).join(labels.select("id"), F.lit(False)).withColumn("occurrences", F.lit(0).cast("long"))
-    counted = texts.select("text_id", F.explode(grams).alias("label")).groupBy("text_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    spans = (substring_spans if within_words else word_spans)(texts, labels)
+    counted = (longest_spans(spans) if longest else spans).groupBy("text_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(labels, "label").groupBy("text_id", "id").agg(F.sum("n").alias("occurrences"))
 
 

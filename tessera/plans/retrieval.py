@@ -9,6 +9,7 @@ from ..config import Config
 from ..functions.temporal import boost, decay, query_interval
 from ..functions.text import fold, intent, labelled, node_view, tokens
 from ..operators import fusion, graph
+from ..operators.matching import longest, word_spans
 from ..operators.resolve import distinct_undirected
 from ..sources.stages import written
 
@@ -37,15 +38,15 @@ def timed(questions: DataFrame, config: Config = Config()) -> DataFrame:
     return questions.withColumn("_i", query_interval("question", config.default_query)).withColumns({"q_start": F.col("_i.start"), "q_end": F.col("_i.end"), "intent": intent("question")}).drop("_i")
 
 
-def keyword_seeds(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """names (node, name): (question_id, node) of names that occur in the question as whole words, by an equi-join on word n-grams of the lengths that names have."""
-    w = tokens("question")
-    keys = names.select("node", fold("name").alias("key"))
-    sizes = sorted(r[0] for r in keys.where("key IS NOT NULL").select(F.size(F.split("key", " "))).distinct().collect())  # one number a length
-    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.transform(
-        F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " ")))))
-    asked = questions.select("question_id", F.explode(grams).alias("key"))
-    return asked.join(keys, "key").select("question_id", "node").distinct()
+def keyword_seeds(questions: DataFrame, names: DataFrame, every: bool = False) -> DataFrame:
+    """names (node, name): (question_id, node) of names that occur in the question as whole words.
+
+    Read from left to right, the longest name at a place counts and covers shorter ones within it; with `every` these count as well.
+    """
+    keys = names.select("node", fold("name").alias("label"))
+    spans = word_spans(questions.select(F.col("question_id").alias("text_id"), F.col("question").alias("text")), keys)
+    met = (spans if every else longest(spans)).select(F.col("text_id").alias("question_id"), "label").distinct()
+    return met.join(keys, "label").select("question_id", "node").distinct()
 
 
 def entity_names(questions: DataFrame, names: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def entity_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     few = F.broadcast(asked) if asked.count() <= FEW else asked
     one = short.join(few, hit).select("question_id", "node", "name")
     keys = rows.where("_key <> ''").select("_key").distinct().withColumnRenamed("_key", "name").withColumn("node", F.col("name"))
-    met = keyword_seeds(asked, keys).withColumnRenamed("node", "_key")
+    met = keyword_seeds(asked, keys, every=True).withColumnRenamed("node", "_key")
     two = rows.where("_key <> ''").join(met, "_key").join(asked, "question_id").where(hit).select("question_id", "node", "name")
     return one.union(two).distinct()
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, dense, fusion, resolve
+from ..operators import bm25, dense, fusion, matching, resolve
 from . import kg
 from .registry import query
 from .retrieval import entity_names, fallback_passages, final_passages, keyword_seeds, resolved_names
@@ -272,6 +272,35 @@ def label_occurrences(t):
     return resolve.link_labels(t.documents.select(F.col("doc_id").alias("text_id"), "text"), labels)
 
 
+#: Words, pairs and triples of words of the benchmark as labels; and what a reader from left to right takes of them in each document.
+GRAMS = f"""bw AS (SELECT item_id, unnest({TOK}) AS w, generate_subscripts({TOK}, 1) AS i FROM benchmark), bg AS (SELECT w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM bw WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+  labels AS MATERIALIZED (SELECT DISTINCT label FROM (SELECT a AS label FROM bg UNION ALL SELECT a || ' ' || b FROM bg UNION ALL SELECT a || ' ' || b || ' ' || c FROM bg) WHERE length(label) > 4),
+  dw AS (SELECT doc_id, unnest({TOK}) AS w, generate_subscripts({TOK}, 1) AS i FROM documents), dg AS MATERIALIZED (SELECT doc_id, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  spans AS (SELECT doc_id, i - 1 AS start, 1 AS length, a AS label FROM dg UNION ALL SELECT doc_id, i - 1, 2, a || ' ' || b FROM dg UNION ALL SELECT doc_id, i - 1, 3, a || ' ' || b || ' ' || c FROM dg)"""
+
+
+def gram_labels(t):
+    w = X.tokens("text")
+    of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return t.benchmark.select(F.explode(F.concat(*map(of, (1, 2, 3)))).alias("label")).where(F.length("label") > 4).distinct()
+
+
+@query("longest_labels", f"""WITH {GRAMS}, best AS (SELECT doc_id, start, max(length) AS length, arg_max(label, length) AS label FROM spans SEMI JOIN labels USING (label) GROUP BY ALL),
+  listed AS (SELECT doc_id, list({{'until': start + length, 'kept': [{{'start': start, 'length': length, 'label': label}}]}} ORDER BY start) AS l FROM best GROUP BY doc_id),
+  taken AS (SELECT doc_id, unnest(list_reduce(l, lambda a, x: CASE WHEN x.kept[1].start >= a.until THEN {{'until': x.until, 'kept': a.kept || x.kept}} ELSE a END).kept) AS k FROM listed)
+  SELECT doc_id, k.start::INT AS start, k.length::INT AS length, k.label AS label FROM taken""")
+def longest_labels(t):
+    return matching.longest(matching.word_spans(t.documents.select(F.col("doc_id").alias("text_id"), "text"), gram_labels(t))).withColumnRenamed("text_id", "doc_id")
+
+
+@query("substring_links", f"""WITH labels AS (SELECT w AS label, max(item_id) AS id FROM (SELECT item_id, unnest({TOK}) AS w FROM benchmark) WHERE length(w) > 5 AND NOT regexp_matches(w, '^[0-9]+$') GROUP BY w),
+  d AS (SELECT doc_id, {kg.FOLD.format("text")} AS x FROM documents) SELECT DISTINCT doc_id AS text_id, id FROM d JOIN labels ON contains(x, label)""")
+def substring_links(t):
+    """Labels as an automaton finds them: within words, too."""
+    w = t.benchmark.select("item_id", F.explode(X.tokens("text")).alias("label")).where((F.length("label") > 5) & X.label_allowed("label"))
+    return resolve.link_labels(t.documents.select(F.col("doc_id").alias("text_id"), "text"), w.groupBy("label").agg(F.max("item_id").alias("id")), within_words=True).select("text_id", "id")
+
+
 @query("interlayer_links", f"""WITH labels AS (SELECT w AS label, max(item_id) AS id FROM (SELECT item_id, unnest({TOK}) AS w FROM benchmark) WHERE length(w) > 5 AND NOT regexp_matches(w, '^[0-9]+$') GROUP BY w),
   f AS (SELECT doc_id AS text_id, id, count(*) AS n FROM (SELECT doc_id, unnest({TOK}) AS label FROM documents) JOIN labels USING (label) GROUP BY ALL)
   SELECT text_id, id FROM f WHERE id NOT IN (SELECT id FROM f GROUP BY id HAVING sum(n) > 100) AND NOT (text_id % 7 = id % 7)""")
