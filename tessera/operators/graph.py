@@ -64,14 +64,16 @@ def induced(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def time_filter(rows: DataFrame, keys: list[str], start: str, end: str, q_start, q_end, strict: bool = True) -> DataFrame:
-    """Rows whose period overlaps the query's; a question for which none would stay keeps all."""
+    """Rows whose period overlaps the query's; a question (of `keys`; without any the table is one) for which none would stay keeps all.
+
+    Whether a question has a valid row is one value a question, made by partial sums; no question's rows come together.
+    """
     if not strict:
         return rows
-    from pyspark.sql import Window
-
-    valid = rows.withColumn("_valid", overlaps(start, end, q_start, q_end))
-    some = F.max("_valid").over(Window.partitionBy(*keys)) if keys else F.max("_valid").over(Window.partitionBy(F.lit(0)))
-    return valid.withColumn("_some", some).where(F.col("_valid") | ~F.col("_some")).drop("_valid", "_some")
+    valid = written(rows.withColumn("_valid", overlaps(start, end, q_start, q_end)), "timed")
+    some = valid.groupBy(*keys).agg(F.max("_valid").alias("_some"))
+    out = valid.join(some, keys) if keys else valid.withColumn("_k", F.lit(0)).join(F.broadcast(some.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    return out.where(F.col("_valid") | ~F.col("_some")).drop("_valid", "_some")
 
 
 def edge_weight(start, end, year, semantic: Column | None = None, alpha: float = 0.5, sigma: float = 5.0) -> Column:

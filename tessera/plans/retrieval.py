@@ -301,16 +301,3 @@ def retrieve(questions: DataFrame, names: DataFrame, pairs: DataFrame, bridge: D
     lacking = questions.select("question_id").join(seeds.select("question_id").distinct(), "question_id", "left_anti")
     alone = fallback_passages(hybrid, config.passage_top_k).join(lacking, "question_id", "left_semi")
     return found.unionByName(alone.select("question_id", "item", F.col("place").alias("rnk")))
-
-
-def overlapping(questions: DataFrame, rows: DataFrame, start: str = "start", end: str = "end", first_year: int = 1900, last_year: int = 2100) -> DataFrame:
-    """Rows whose dated period overlaps a question's: a range join by year buckets, equal keys first, then the exact test.
-
-    Each pair is kept in the later of its two first buckets alone, so none repeats.
-    """
-    year = lambda c: F.least(F.greatest(F.year(c), F.lit(first_year)), F.lit(last_year))
-    low, high = year(F.col(start)), year(F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")))
-    a = rows.withColumn("_y0", low).withColumn("_y", F.explode(F.sequence(low, F.greatest(low, high))))
-    q = questions.withColumn("_z0", year(F.col("q_start"))).withColumn("_y", F.explode(F.sequence(year(F.col("q_start")), year(F.col("q_end")))))
-    out = a.join(q, "_y").where(F.col("_y") == F.greatest("_y0", "_z0"))
-    return out.where((F.col(start) <= F.col("q_end")) & (F.col("q_start") <= F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")))).drop("_y", "_y0", "_z0")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import temporal as T
 from ..functions.text import intent
 from ..operators import build, graph
+from ..operators.intervals import overlapping
 from . import kg
 from .registry import query
-from .retrieval import overlapping
 
 Q = "CASE WHEN {c} THEN 1 ELSE 0 END"
 
@@ -163,7 +163,25 @@ PERIOD_QUESTIONS = [(k, f"{1995 + k}-03-01", f"{1995 + k}-04-15") for k in range
 def interval_join_questions(t):
     q = t.spark.createDataFrame(PERIOD_QUESTIONS, "question_id int, q_start string, q_end string").withColumns({c: F.col(c).cast("date") for c in ("q_start", "q_end")})
     rows = kg.order_periods(t).select("id", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
-    return overlapping(q, rows, first_year=1990, last_year=2005).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return overlapping(q, rows).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+#: A question for each of the first thousand customers; every 50th has no end, every 70th no start.
+MANY = """q AS (SELECT c_custkey AS question_id, CASE WHEN c_custkey % 70 <> 0 THEN DATE '1992-01-01' + (c_custkey * 37 % 2600)::INT END AS q_start,
+  CASE WHEN c_custkey % 50 <> 0 THEN DATE '1992-01-01' + (c_custkey * 37 % 2600 + c_custkey % 90)::INT END AS q_end FROM customer WHERE c_custkey <= 1000)"""
+OPEN_PERIODS = kg.PERIODS + """, open_ AS (SELECT id, CASE WHEN o_orderkey % 1000 <> 0 THEN start::DATE END AS start, "end"::DATE AS "end" FROM periods)"""
+
+
+@query("interval_join_open", f"""WITH {OPEN_PERIODS}, {MANY}, p AS (SELECT question_id, id, start FROM open_ JOIN q ON start IS NULL OR (start <= coalesce(q_end, q_start) AND q_start <= coalesce("end", DATE '9999-12-31')))
+  SELECT question_id, count(*) AS n, count(*) FILTER (start IS NULL) AS always, min(id) AS first, max(id) AS last FROM p GROUP BY question_id""")
+def interval_join_open(t):
+    """A thousand questions against all orders' periods: without starts, without ends, questions without either."""
+    k, zero = F.col("c_custkey"), F.lit("1992-01-01").cast("date")
+    shift = (k * 37 % 2600).cast("int")
+    q = t.customer.where("c_custkey <= 1000").select(k.alias("question_id"), F.when(k % 70 != 0, F.date_add(zero, shift)).alias("q_start"), F.when(k % 50 != 0, F.date_add(zero, shift + (k % 90).cast("int"))).alias("q_end"))
+    rows = kg.order_periods(t).select("id", F.when(F.col("o_orderkey") % 1000 != 0, F.col("start").cast("date")).alias("start"), F.col("end").cast("date").alias("end"))
+    found = overlapping(q, rows)
+    return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("start").isNull()).alias("always"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 @query("intent_rules", f"""WITH {kg.TEXTS}, q AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'Which came first: ' WHEN 1 THEN 'During the war: ' ELSE '' END || text AS x FROM texts), l AS (SELECT lower(x) AS x FROM q)
