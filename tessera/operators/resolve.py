@@ -11,6 +11,7 @@ from ..functions.text import fold, label_allowed
 from .graph import components
 from .matching import longest as longest_spans
 from .matching import substring_spans, word_spans
+from .near import near_pairs
 
 
 def name_groups(nodes: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def instruction_components(instructions: DataFrame) -> DataFrame:
 def merge_nodes(nodes: DataFrame, mapping: DataFrame, keep_names: bool = False) -> DataFrame:
     """nodes (id, pos, name, type, aliases, description, ...) with members folded into their base (mapping: member, base).
 
-    Types and aliases are united, descriptions joined by new lines in order, of properties (a map) each key's first value stays;
+    Types and aliases are united (null counts as empty), descriptions joined by new lines in order, of properties (a map) each key's first value stays;
     every other column is the base's. Nodes that are alone are not grouped.
     """
     ends = mapping.select("member").union(mapping.select("base")).distinct().withColumnRenamed("member", "id")
@@ -56,10 +57,11 @@ def merge_nodes(nodes: DataFrame, mapping: DataFrame, keep_names: bool = False)
     first = F.col("_first")
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(first.alias("o"), F.col(c).alias("v")))), lambda x: x["v"])
     names = F.filter(in_order("name"), lambda x: x != F.min_by("name", first))
-    aliases = F.flatten(F.filter(in_order("aliases"), lambda x: x.isNotNull()))
+    listed = lambda c: F.flatten(F.filter(in_order(c), lambda x: x.isNotNull()))
+    aliases = listed("aliases")
     united = {
         "pos": F.min("pos"),
-        "type": F.array_distinct(F.flatten(in_order("type"))),
+        "type": F.array_distinct(listed("type")),
         "aliases": F.array_distinct(F.concat(aliases, names) if keep_names else aliases),
         "description": F.array_join(F.filter(in_order("description"), lambda x: F.coalesce(x, F.lit("")) != ""), "\n"),
     }
@@ -70,7 +72,8 @@ def merge_nodes(nodes: DataFrame, mapping: DataFrame, keep_names: bool = False)
     aggregates = [united.get(c, F.min_by(c, first)).alias(f"_new_{c}") for c in nodes.columns if c != "id"]
     merged = based.groupBy("_base").agg(*aggregates)
     merged = merged.select(*[F.col("_base" if c == "id" else f"_new_{c}").alias(c) for c in nodes.columns])
-    plain = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("aliases",)} | {"description": F.coalesce("description", F.lit("")), "type": F.array_distinct("type")}
+    none = F.array().cast("array<string>")
+    plain = {"aliases": F.coalesce("aliases", none), "description": F.coalesce("description", F.lit("")), "type": F.array_distinct(F.coalesce("type", none))}
     return alone.withColumns(plain).select(nodes.columns).unionByName(merged)
 
 
@@ -139,61 +142,6 @@ def interlayer_links(found: DataFrame, known: DataFrame, most: int = 100) -> Dat
     return found.join(often, "id", "left_anti").join(known, ["text_id", "id"], "left_anti").select("text_id", "id")
 
 
-def near_pairs(rows: DataFrame, eps: float, forest: bool = False) -> DataFrame:
-    """rows (id, embedding unit vectors): pairs a < b of cosine distance eps or less, by blocks of vectors.
-
-    Each block of rows is one array; block pairs are matrix products in numpy, so that rows are not exploded. With `forest`
-    each block pair gives a spanning forest of its pairs alone, fewer than its vectors, which has the same components.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    count = rows.count()
-    blocks = max(1, -(-count // 2000))
-    placed = rows.select("id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = placed.select("*", F.explode(other).alias("other")).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-
-    def run(group: pa.Table) -> pa.Table:
-        ids = np.array(group.column("id").to_pylist())
-        v = np.array(group.column("v").to_pylist(), dtype=np.float64)
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        block, lo, hi = (np.array(group.column(c).to_pylist()) for c in ("block", "lo", "hi"))
-        left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
-        a, b = np.nonzero(np.round(v[left] @ v[right].T, 6) >= 1 - eps)
-        x, y = ids[left[a]], ids[right[b]]
-        keep = x < y if lo[0] == hi[0] else np.ones(len(x), bool)
-        x, y = x[keep], y[keep]
-        x, y = np.where(x < y, x, y), np.where(x < y, y, x)
-        if forest:
-            x, y = spanning(x, y)
-        own = group.schema.field("id").type
-        return pa.table([pa.array(x.tolist(), own), pa.array(y.tolist(), own)], ["a", "b"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return dealt.groupBy("lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
-
-
-def spanning(x, y):
-    """Those of the pairs (arrays x, y) that join what earlier ones left apart."""
-    import numpy as np
-
-    root: dict = {}
-
-    def top(k):
-        while root.setdefault(k, k) != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    kept = np.zeros(len(x), bool)
-    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
-        a, b = top(a), top(b)
-        if a != b:
-            root[b], kept[k] = a, True
-    return x[kept], y[kept]
-
-
 def semantic_clusters(rows: DataFrame, eps: float = 0.5) -> DataFrame:
     """(node, component) of density clusters with two or more members: with that minimum they are the eps-graph's components."""
     return components(near_pairs(rows, eps, forest=True))

@@ -27,14 +27,14 @@ MERGED = f"""{STARS}, b AS (SELECT p.*, coalesce(base, id) AS base FROM parts p
 
 
 def timed_parts(t):
-    """Parts with a time, properties and a mark, so that a merge has to keep them."""
+    """Parts with a time, properties and a mark, so that a merge has to keep them; some lack a type."""
     k = F.col("pos")
     start = F.concat((F.lit(1990) + k % 10).cast("string"), F.lit("-01-01"))
-    return kg.parts(t).withColumns({"properties": F.create_map(F.lit("kept"), k.cast("string"), F.concat(F.lit("own"), k), F.lit("x")), "valid_time": F.struct(start.alias("start"), F.lit(None).cast("string").alias("end")), "is_temporal_entity": k % 3 == 0})
+    return kg.parts(t).withColumns({"properties": F.create_map(F.lit("kept"), k.cast("string"), F.concat(F.lit("own"), k), F.lit("x")), "valid_time": F.struct(start.alias("start"), F.lit(None).cast("string").alias("end")), "is_temporal_entity": k % 3 == 0, "type": F.when(k % 11 != 0, F.col("type"))})
 
 
-@query("merge_nodes", f"""WITH {MERGED}, g AS (SELECT base AS id, min(pos) AS pos, first(name ORDER BY k) AS name, flatten(list(type ORDER BY k)) AS ty, flatten(list(aliases ORDER BY k)) AS al, string_agg(description, chr(10) ORDER BY k) AS description, first(pos ORDER BY k) AS own, list(pos ORDER BY k) AS all_ FROM o GROUP BY base)
-  SELECT id, pos, name, array_to_string(list_sort(list_distinct(ty)), ',') AS type, len(list_distinct(al))::BIGINT AS aliases, md5(description) AS digest, (1990 + own % 10) || '-01-01' AS start, own % 3 = 0 AS temporal, own::VARCHAR AS kept, (len(list_distinct(all_)) + 1)::BIGINT AS properties FROM g""")
+@query("merge_nodes", f"""WITH {MERGED}, g AS (SELECT base AS id, min(pos) AS pos, first(name ORDER BY k) AS name, flatten(list(type ORDER BY k) FILTER (pos % 11 <> 0)) AS ty, flatten(list(aliases ORDER BY k)) AS al, string_agg(description, chr(10) ORDER BY k) AS description, first(pos ORDER BY k) AS own, list(pos ORDER BY k) AS all_ FROM o GROUP BY base)
+  SELECT id, pos, name, coalesce(array_to_string(list_sort(list_distinct(ty)), ','), '') AS type, len(list_distinct(al))::BIGINT AS aliases, md5(description) AS digest, (1990 + own % 10) || '-01-01' AS start, own % 3 = 0 AS temporal, own::VARCHAR AS kept, (len(list_distinct(all_)) + 1)::BIGINT AS properties FROM g""")
 def merge_nodes(t):
     out = resolve.merge_nodes(timed_parts(t), alignment(t))
     return out.select(
@@ -62,14 +62,12 @@ def name_groups(t):
     return resolve.name_groups(kg.parts(t)).select("name", F.array_join("members", ",").alias("members"))
 
 
-INSTRUCTIONS = [("5", ["7", "9"]), ("9", ["11"]), ("2", ["3"]), ("30", ["31", "32"]), ("32", ["2"])]
-
-
-@query("merge_instruction_components", """WITH RECURSIVE i(base, members) AS (VALUES ('5', ['7', '9']), ('9', ['11']), ('2', ['3']), ('30', ['31', '32']), ('32', ['2'])), e AS (SELECT base AS a, unnest(members) AS b FROM i), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("merge_instruction_components", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + d AS b FROM part, (VALUES (1), (2)) v(d) WHERE p_size % 4 = 0), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   r(node, root) AS (SELECT a, a FROM both_ UNION SELECT b, root FROM r JOIN both_ ON node = a), c AS (SELECT node, min(root) AS base FROM r GROUP BY node) SELECT base, array_to_string(list(node ORDER BY node), ',') AS members FROM c WHERE node <> base GROUP BY base""")
 def merge_instruction_components(t):
-    rows = t.spark.createDataFrame(INSTRUCTIONS, "base string, members array<string>")
-    return resolve.instruction_components(rows).select("base", F.array_join("members", ",").alias("members"))
+    """Each part of some sizes tells to merge the two after it; instructions that share a part are one."""
+    rows = t.part.where("p_size % 4 = 0").select(F.col("p_partkey").alias("base"), F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 2).alias("members"))
+    return resolve.instruction_components(rows).select("base", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
 NEAR = """near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) >= 0.4),

@@ -15,8 +15,8 @@ CONFIG = Config()
 Y0, Y1 = "1998-01-01", "1998-12-31"
 
 
-def ppr_sql(name: str, nodes: str, arcs: str, seeds: str, rounds: int = 100, tolerance: float = 1e-6, isolated: str = "SELECT NULL::INT AS question_id, 0 AS n WHERE false", damping: float = 0.85) -> str:
-    """CTEs of PageRank in SQL: selects of nodes (question_id, node), arcs (question_id, src, dst, w) in both directions, seeds (question_id, node) and counts of isolated nodes (question_id, n); result in `name` (question_id, node, x)."""
+def ppr_sql(name: str, nodes: str, arcs: str, seeds: str, rounds: int = 100, tolerance: float = 1e-6, isolated: str = "SELECT NULL::INT AS question_id, 0 AS n WHERE false", damping: float = 0.85, every: int = 1) -> str:
+    """CTEs of PageRank in SQL: selects of nodes (question_id, node), arcs (question_id, src, dst, w) in both directions, seeds (question_id, node) and counts of isolated nodes (question_id, n); result in `name` (question_id, node, x). The tolerance is looked at after `every` rounds."""
     c = name
     return f"""{c}_n AS MATERIALIZED (SELECT DISTINCT question_id, node FROM ({nodes})),
   {c}_s AS (SELECT DISTINCT question_id, node FROM ({seeds}) SEMI JOIN {c}_n USING (question_id, node)),
@@ -32,7 +32,7 @@ def ppr_sql(name: str, nodes: str, arcs: str, seeds: str, rounds: int = 100, tol
     FROM (SELECT r.k, r.question_id, r.node, r.x, b.apart, b.size, {damping} * (coalesce(f.f, 0) + (l.lost + CASE WHEN r.k = 0 THEN b.apart / b.size ELSE 0 END) * b.p0) + {1 - damping:.2f} * b.p0 AS y
           FROM r JOIN {c}_b b USING (question_id, node) JOIN (SELECT r.question_id, sum(CASE WHEN b.lost THEN r.x ELSE 0 END) AS lost FROM r JOIN {c}_b b USING (question_id, node) GROUP BY ALL) l USING (question_id)
           LEFT JOIN (SELECT a.question_id, a.dst AS node, sum(r.x * a.p) AS f FROM r JOIN {c}_a a ON a.question_id = r.question_id AND a.src = r.node GROUP BY ALL) f USING (question_id, node)
-          WHERE r.k < {rounds} AND r.moved >= {tolerance}::DOUBLE * b.size))
+          WHERE r.k < {rounds} AND (r.k % {every} <> 0 OR r.moved >= {tolerance}::DOUBLE * b.size)))
     SELECT question_id, node, arg_max(x, k) AS x FROM r GROUP BY ALL)"""
 
 
@@ -138,7 +138,7 @@ BALL = f"""{SEEDS}, b1 AS MATERIALIZED (SELECT node FROM seeds UNION SELECT dst
 BALL2 = f"{BALL}, b2 AS MATERIALIZED (SELECT node FROM b1 UNION SELECT dst FROM both_ JOIN b1 ON src = node)"
 
 
-@query("ego_subgraph_r1", f"WITH {ORDER_PAIRS}, {BALL} SELECT lo, hi FROM pairs WHERE lo IN (FROM b1) AND hi IN (FROM b1)")
+@query("ego_subgraph_r1", f"WITH {ORDER_PAIRS}, {BALL} SELECT lo, hi FROM pairs SEMI JOIN b1 a ON lo = a.node SEMI JOIN b1 b ON hi = b.node")
 def ego_subgraph_r1(t):
     edges = order_edges(t)
     return retrieval.between(edges, retrieval.around(edges, seeds(t), 1)).select("lo", "hi")
@@ -207,12 +207,13 @@ SUPPLY = kg.EDGES + """, pairs AS (SELECT least(src, dst) AS lo, greatest(src, d
   seeds AS (SELECT 'S' || s_suppkey AS node FROM supplier WHERE s_suppkey < 3)"""
 
 
-@query("ppr_entities", f"""WITH {SUPPLY}, {ppr_sql("ppr", ONE.format("nodes_"), "FROM arcs_", ONE.format("seeds"), 5, 0)} SELECT node, round(x, 9) AS score FROM ppr""")
+@query("ppr_entities", f"""WITH {SUPPLY}, {ppr_sql("ppr", ONE.format("nodes_"), "FROM arcs_", ONE.format("seeds"), every=5)} SELECT node, round(x, 9) AS score FROM ppr""")
 def ppr_entities(t):
+    """By joins, to the tolerance."""
     pairs = with_question(kg.supplies(t).select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(1.0).alias("w")))
     nodes = pairs.select("question_id", F.explode(F.array("lo", "hi")).alias("node")).distinct()
     start = with_question(t.supplier.where("s_suppkey < 3").select(F.concat(F.lit("S"), "s_suppkey").alias("node")))
-    return graph.ppr(graph.arcs(pairs, "w"), nodes, start, 0.85, 5, tolerance=0.0).select("node", F.round("score", 9).alias("score"))
+    return graph.ppr(graph.arcs(pairs, "w"), nodes, start).select("node", F.round("score", 9).alias("score"))
 
 
 LINKS = f"""{SNAP}, {WEIGHTS}, {IDF}, links AS MATERIALIZED (SELECT b.node, b.passage, idf * CASE WHEN start <= '{Y1}' AND coalesce("end", '9999-12-31') >= '{Y0}' THEN 3 ELSE 1 END AS w FROM bridge b JOIN members USING (node) JOIN idf USING (node) JOIN periods ON 'D' || o_orderkey = passage),

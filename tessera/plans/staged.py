@@ -57,7 +57,9 @@ def align(spark: SparkSession, rows: DataFrame, out: str, embedder: Callable | N
         wired = lambda: edges().join(end("src"), "src").join(end("dst"), "dst").withColumns({"src": F.col("_src"), "dst": F.col("_dst")}).drop("_src", "_dst")
         return stage(spark, f"{out}/{name}-nodes", fresh), stage(spark, f"{out}/{name}-edges", wired)
 
-    place = F.struct(F.element_at(F.split("id", ":"), 2).alias("doc"), F.element_at(F.split("id", ":"), 3).cast("long").alias("k"))
+    # An id ends in its number; the document's own id before it may hold colons, too.
+    part = lambda k: F.regexp_extract("id", "(?s)^node:(.*):([0-9]+)$", k)
+    place = F.struct(part(1).alias("doc"), part(2).cast("long").alias("k"))
     first_edges = graph.edges.select(F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst"), F.col("relationship_name").alias("relation"), F.col("edge_id").alias("pos"), "valid_time")
     nodes, edges = numbered("original", lambda: graph.nodes.withColumn("pos", place), lambda: resolve.first_edges(first_edges.where("src <> dst")))
     links = stage(spark, f"{out}/original-links", lambda: graph.sentences.select(F.col("sentence_id").alias("text_id"), F.explode("node_map").alias("id")).join(spark.read.parquet(f"{out}/original-ids"), "id").select("text_id", F.col("new_id").alias("id")))
@@ -129,6 +131,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--model", help="module:function that answers (system, user, schema)")
     parser.add_argument("--embedder", help="module:function from texts to vectors")
     options = parser.parse_args(argv)
+    if options.model is None and options.stage in ("er", "debug_er", "all"):
+        parser.error("stages er and debug_er need --model: without one every document would be an error row")
     logging.basicConfig(level=logging.ERROR)
 
     def named(x: str | None):

@@ -197,6 +197,24 @@ def test_merge_keeps_every_column_of_the_base(spark):
     assert got["9"].properties is None and got["9"].aliases == []
 
 
+def test_merge_counts_null_types_as_empty(spark):
+    nodes = spark.createDataFrame([("1", 1, "Ada", None, None, "x"), ("2", 2, "Ada", ["T"], None, "y"), ("3", 3, "Bo", None, None, None)], "id string, pos int, name string, type array<string>, aliases array<string>, description string")
+    mapping = spark.createDataFrame([("2", "1")], "member string, base string")
+    assert {r.id: r.type for r in resolve.merge_nodes(nodes, mapping).collect()} == {"1": ["T"], "3": []}
+
+
+def test_staged_ids_may_hold_colons_and_extraction_needs_a_model(spark, tmp_path, capsys):
+    from tessera.plans import staged
+
+    docs = spark.createDataFrame([("http://x:1", 1, "Ada met Bob."), ("http://x:1:2", 2, "Bob saw Cy.")], "doc string, pos int, text string")
+    rows_ = staged.extract(spark, docs, str(tmp_path), fake_model)
+    got = staged.align(spark, rows_, str(tmp_path))
+    assert {"Ada", "Bob", "Cy"} <= {r.name for r in got["nodes"].collect()}
+    with pytest.raises(SystemExit):
+        staged.main(["--documents", "docs.json", "--out", str(tmp_path)])
+    assert "--model" in capsys.readouterr().err
+
+
 def test_graphs_with_equal_ids_stay_apart(spark):
     nodes = [spark.createDataFrame([("1", x)], "id string, name string") for x in ("a", "b")]
     edge = "src string, dst string, relation string, pos long"
