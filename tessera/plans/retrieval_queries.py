@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, dense, fusion, matching, resolve
+from ..operators import bm25, dense, fusion, matching, resolve, vector_index
+from ..sources.stages import folder
 from . import kg
 from .registry import query
 from .retrieval import entity_names, fallback_passages, final_passages, keyword_seeds, resolved_names
@@ -147,6 +148,24 @@ def ivf_probe_all_cells(t):
     return dense.ranked(dense.probe(celled, centres, vectors(t), CELLS), 10).select("question_id", "doc", "dist", "rnk")
 
 
+def written_index(t, metric: str):
+    """An index of all vectors in the shared folder, opened."""
+    path = folder(t.spark, "index")
+    vector_index.write(whole(t), path, CELLS, metric)
+    return vector_index.Index(t.spark, path)
+
+
+@query("index_topk_l2", f"WITH {DIST}, r AS (SELECT question_id, chunk AS doc, dist, row_number() OVER (PARTITION BY question_id ORDER BY dist, chunk) AS rnk FROM dist) SELECT question_id, doc, dist, rnk FROM r WHERE rnk <= 10")
+def index_topk_l2(t):
+    return written_index(t, "l2").search(vectors(t), 10).select("question_id", "doc", "dist", "rnk")
+
+
+@query("index_topk_ip", """WITH d AS (SELECT q.vec_id AS question_id, e.vec_id AS doc, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dist FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dist DESC, doc) AS rnk FROM d) SELECT question_id, doc, dist, rnk FROM r WHERE rnk <= 10""")
+def index_topk_ip(t):
+    return written_index(t, "ip").search(vectors(t), 10).select("question_id", "doc", "dist", "rnk")
+
+
 DENSE = f"""dq AS (SELECT item_id AS question_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), dx AS (SELECT q.question_id, e.vec_id AS doc, {L2} AS dist FROM embeddings e CROSS JOIN dq q WHERE e.vec_id IN (SELECT doc_id FROM documents)),
   dense_ AS (SELECT question_id, doc, row_number() OVER (PARTITION BY question_id ORDER BY dist, doc) AS rnk FROM dx)"""
 HYBRID = f"""{DENSE}, both_ AS (SELECT question_id, doc, 1.0::DOUBLE / rnk AS s, rnk AS f FROM sparse UNION ALL SELECT question_id, doc, 1.0::DOUBLE / rnk, NULL FROM dense_),

@@ -25,6 +25,15 @@ def _path(spark: SparkSession, path: str):
     return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for files that are more than one table; it goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    there, files = _path(spark, path)
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again; the files go when the session's JVM ends."""
     spark = df.sparkSession
