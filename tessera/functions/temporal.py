@@ -28,20 +28,74 @@ def parse_timestamp(text) -> Column:
     return F.coalesce(year, iso_date(text), F.lit(UNKNOWN).cast("date"))
 
 
-def parse_lenient(text) -> Column:
-    """Year, ISO date or timestamp, or numeric month-day-year; null if none."""
-    text = col(text)
+#: Month names, which may be cut from three letters on.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+DAY_MONTH = r"(?i)^(?:[a-z]+day,?\s+)?([0-9]{1,2})(?:st|nd|rd|th)?[\s-]+(?:of\s+)?([a-z]{3,9})[.,]*[\s-]+([0-9]{4})$"
+MONTH_DAY = r"(?i)^(?:[a-z]+day,?\s+)?([a-z]{3,9})[.]?\s+([0-9]{1,2})(?:st|nd|rd|th)?,?\s+([0-9]{4})$"
+MONTH_YEAR = r"(?i)^([a-z]{3,9})[.,]*[\s-]+(?:of\s+)?([0-9]{4})$"
+YEAR_MONTH_DAY = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})$"
+AGO = r"(?i)^([0-9]{1,4}|an?|one)\s+(day|week|month|year)s?\s+ago$"
+NEXT = r"(?i)^(last|next)\s+(day|week|month|year)$"
+
+
+def parse_lenient(text, today=None) -> Column:
+    """A date in any of the forms of `date_forms`; null if none."""
+    text = F.btrim(col(text), F.lit(" \t\n\r\f"))
     year = F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01")).try_cast("date"))
-    return F.coalesce(year, iso_date(text), numeric_date(text))
+    return F.coalesce(year, iso_date(text), numeric_date(text), *date_forms(text, today))
+
+
+def month_number(name) -> Column:
+    """1 to 12 of a month's name, whole or cut to three letters or more; null of other words."""
+    low = F.lower(col(name))
+    out = F.lit(None).cast("int")
+    for k, month in reversed(list(enumerate(MONTHS))):
+        out = F.when((F.length(low) >= 3) & F.lit(month).startswith(low), k + 1).otherwise(out)
+    return out
+
+
+def _made(year, month, day) -> Column:
+    whole = year.isNotNull() & month.isNotNull() & day.isNotNull()
+    return F.when(whole, F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date"))
+
+
+def date_forms(text, today=None) -> list[Column]:
+    """Dates in words and with the year first: `12 March 2019`, `the 3rd of Aug. 2019` without its article, `March 12, 2019`, `Sept 2019` (its first day), `2019/03/12`.
+
+    With `today`, a date: today, yesterday, tomorrow, `3 days ago`, `a week ago`, `last month`, `next year`.
+    """
+    text = F.regexp_replace(col(text), "(?i)^(?:on|in|the)\\s+(?:the\\s+)?", "")
+
+    def part(pattern: str, k: int) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+
+    number = lambda pattern, k: part(pattern, k).try_cast("int")
+    out = [
+        _made(number(DAY_MONTH, 3), month_number(part(DAY_MONTH, 2)), number(DAY_MONTH, 1)),
+        _made(number(MONTH_DAY, 3), month_number(part(MONTH_DAY, 1)), number(MONTH_DAY, 2)),
+        _made(number(MONTH_YEAR, 2), month_number(part(MONTH_YEAR, 1)), F.lit(1)),
+        _made(number(YEAR_MONTH_DAY, 1), number(YEAR_MONTH_DAY, 2), number(YEAR_MONTH_DAY, 3)),
+    ]
+    if today is not None:
+        today, low = col(today), F.lower(text)
+        count = F.coalesce(number(AGO, 1), F.when(part(AGO, 1).isNotNull(), 1))
+        steps = F.when(count.isNotNull(), -count).when(F.lower(part(NEXT, 1)) == "last", -1).when(F.lower(part(NEXT, 1)) == "next", 1)
+        unit = F.lower(F.coalesce(part(AGO, 2), part(NEXT, 2)))
+        moved = F.when(unit == "day", F.date_add(today, steps)).when(unit == "week", F.date_add(today, 7 * steps)).when(unit == "month", F.add_months(today, steps)).when(unit == "year", F.add_months(today, 12 * steps))
+        near = F.when(low == "today", today).when(low == "yesterday", F.date_sub(today, 1)).when(low == "tomorrow", F.date_add(today, 1))
+        out += [near, moved]
+    return out
 
 
 def numeric_date(text) -> Column:
-    """month-day-year with - or /; two-digit years below 69 are of this century."""
+    """month-day-year with - or /, day-month-year if the first cannot be a month; two-digit years below 69 are of this century."""
     parts = F.split(col(text), "[-/]")
     part = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("int")
     year = F.when(part(3) < 69, part(3) + 2000).when(part(3) < 100, part(3) + 1900).otherwise(part(3))
-    text = F.format_string("%04d-%02d-%02d", year, part(1), part(2))
-    return F.when(year.isNotNull() & part(1).isNotNull() & part(2).isNotNull() & (F.size(parts) == 3), text.try_cast("date"))
+    first = part(1) <= 12
+    made = _made(year, F.when(first, part(1)).otherwise(part(2)), F.when(first, part(2)).otherwise(part(1)))
+    # Years of three digits and more than four, and years in front, are other forms.
+    return F.when((F.size(parts) == 3) & (F.length(parts[0]) <= 2), made)
 
 
 def overlaps(start, end, q_start, q_end) -> Column:

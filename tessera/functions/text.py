@@ -7,22 +7,29 @@ from pyspark.sql import functions as F
 
 from .temporal import col
 
-#: Accents and what they fold to, letter by letter.
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿłšžčřěůđøāēīōūąęśźżńćğışţăőű", "aaaaaaceeeeiiiinooooouuuuyylszcreudoaeiouaeszzncgistaou"
-#: Letters that fold to two.
+#: Letters with accents, Greek and Cyrillic ones, and the Latin letter that each folds to. Letters at the end without a counterpart go.
+ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿłšžčřěůđøāēīōūąęśźżńćğışţăőű" "αβγδεζηικλμνξοπρσςτυωάέήίόύώϊϋΐΰ" "абвгдезийклмнопрстуфыэіґў" "ъь"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyylszcreudoaeiouaeszzncgistaou" "abgdezeiklmnxoprsstuoaeeiouoiuiu" "abvgdeziiklmnoprstufyeigu"
+#: Letters that fold to several.
 DOUBLE = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"))
+SCRIPTS = (("θ", "th"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("щ", "shch"), ("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("ю", "iu"), ("я", "ia"), ("ё", "io"), ("ї", "yi"), ("є", "ie"))
 STOP_LABELS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "his", "but", "at", "are", "this", "have", "an", "or", "from", "le")
 ANSWER_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 
 def fold(text) -> Column:
-    """Lower case without accents."""
-    low = out = F.lower(col(text))
-    out = F.translate(out, ACCENTS, PLAIN)
-    for letter, plain in DOUBLE:
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    # Texts of one byte a letter have no accents.
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(out)
+    """Lower case in Latin letters without accents: Greek and Cyrillic letters become the Latin ones that stand for them."""
+    low = F.lower(col(text))
+
+    def several(out: Column, letters) -> Column:
+        for letter, plain in letters:
+            out = F.replace(out, F.lit(letter), F.lit(plain))
+        return out
+
+    latin = several(F.translate(low, ACCENTS, PLAIN), DOUBLE)
+    # Texts of one byte a letter have no accents, and few texts have other scripts.
+    other = low.rlike("[\\x{370}-\\x{3ff}\\x{400}-\\x{4ff}]")
+    return F.when(F.octet_length(low) == F.length(low), low).when(other, several(latin, SCRIPTS)).otherwise(latin)
 
 
 def tokens(text) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.stages import written
+from .fusion import Ranking, in_order, places
 
 
 #: Distinct query terms that are broadcast.
@@ -82,3 +83,46 @@ def full_ranking(scored: DataFrame, questions: DataFrame, docs: DataFrame, quest
     out = pairs.join(scored, ["question_id", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "doc")
     return out.withColumn("rnk", F.row_number().over(order))
+
+
+def ranking(scored: DataFrame, questions: DataFrame, docs: DataFrame, question: str = "question_id", doc: str = "doc") -> Ranking:
+    """The full ranking of all documents for each question, without the product of both.
+
+    Documents that share no word with a question score 0 and stand in order of their ids between those above and below 0. Their ranks are arithmetic: of a document's
+    number among all, those before it that have a score are taken off, and those ranked above it are added. Scored documents are counted, not sorted.
+    """
+    scored = written(scored.select("question_id", "doc", F.round("score", 9).alias("score")), "bm25-scores")
+    asked, ids = questions.select(F.col(question).alias("question_id")).distinct(), docs.select(F.col(doc).alias("doc")).distinct()
+    counts = scored.groupBy("question_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count_if(F.col("score") < 0).alias("below"), F.count(F.lit(1)).alias("all"))
+    counts = asked.join(counts, "question_id", "left").select("question_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("above", "below", "all")])
+    counts = written(counts, "bm25-counts")  # one row a question
+
+    def top(k: int) -> DataFrame:
+        best = topk(scored, k)
+        short = counts.where(F.col("above") < k)
+        most = short.agg(F.max("all")).first()[0]
+        if most is not None:
+            # Of the first k + most documents by id, at least k (or all) have no score for the question.
+            first = ids.orderBy("doc").limit(k + most).withColumn("_k", F.lit(0))
+            fill = short.select("question_id", F.lit(0).alias("_k")).join(first, "_k").drop("_k").join(scored, ["question_id", "doc"], "left_anti")
+            best = topk(best.drop("rnk").unionByName(fill.withColumn("score", F.lit(0.0))), k)
+        return best.withColumnRenamed("doc", "item")
+
+    #: Documents with a score are placed among such by score, those without among all others by id.
+    by_score = F.struct(F.lit(0).alias("k"), (-F.col("score")).alias("s"), F.col("doc").alias("d"))
+    by_id = F.struct(F.lit(1).alias("k"), F.lit(0.0).alias("s"), F.col("doc").alias("d"))
+
+    def ranks(wanted: DataFrame) -> DataFrame:
+        rows = wanted.withColumnRenamed("item", "doc").join(scored, ["question_id", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        rows = written(rows.withColumn("key", F.when(F.col("score") == 0, by_id).otherwise(by_score)), "bm25-wanted")
+        told = scored.where("score <> 0").select("question_id", F.explode(F.array(by_score, by_id)).alias("key"))
+        out = rows.join(places(told, rows.select("question_id", "key")), ["question_id", "key"]).join(counts, "question_id")
+        # Before a key by id lie all keys by score, and the scored documents of lesser id.
+        nonzero = F.col("above") + F.col("below")
+        number = in_order(ids, ["doc"])
+        zero = out.where("score = 0").join(number, "doc").select("question_id", "doc", (F.col("above") + F.col("number") - (F.col("before") - nonzero)).alias("rnk"))
+        unscored = F.lit(ids.count()) - nonzero
+        other = out.where("score <> 0").select("question_id", "doc", (F.col("before") + 1 + F.when(F.col("score") < 0, unscored).otherwise(0)).alias("rnk"))
+        return zero.unionByName(other).withColumnRenamed("doc", "item")
+
+    return Ranking(top, ranks)

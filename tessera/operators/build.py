@@ -29,11 +29,11 @@ def repaired(rows: DataFrame, again: DataFrame, key: str = "doc") -> DataFrame:
     return good.unionByName(second.select(rows.columns)).unionByName(rest)
 
 
-def single_pass(docs: DataFrame, aliases: bool = False) -> S.Graph:
+def single_pass(docs: DataFrame, aliases: bool = False, split=sentences) -> S.Graph:
     """docs (doc string, pos, text, entity_layer): passages, sentences, nodes and edges with times, one pass, deterministic ids.
 
     Nodes and edges without a time take their passage's, which is that of its first timed node. Edges with an unknown
-    end are dropped. A sentence is linked to the nodes whose names (with `aliases`, or aliases) occur in it.
+    end are dropped. A sentence is linked to the nodes whose names (with `aliases`, or aliases) occur in it. `split` cuts a text column into an array of sentences.
     """
     none = F.array().cast("array<string>")
     docs = docs.where((F.length("text") > 0) & F.col("entity_layer").isNotNull()).select("doc", "pos", "text", "entity_layer")
@@ -62,7 +62,7 @@ def single_pass(docs: DataFrame, aliases: bool = False) -> S.Graph:
         F.concat_ws(":", F.lit("edge"), "doc", "k").alias("edge_id"), "source_node_id", "target_node_id", F.col("e.relationship_name").alias("relationship_name"), extracted_by.alias("properties"),
         interval(F.coalesce(period(F.col("e")), F.col("_first"))).alias("valid_time"), F.lit(None).cast("string").alias("temporal_relation"),
     )
-    cut = docs.withColumn("_s", sentences("text"))
+    cut = docs.withColumn("_s", split("text"))
     passages = cut.select(
         F.concat_ws(":", F.lit("passage"), "doc").alias("passage_id"), "text", F.coalesce(F.transform("_ids", lambda i: i["id"]), none).alias("node_map"),
         F.transform("_s", lambda s, k: F.concat_ws(":", F.lit("sent"), "doc", k)).alias("sentence_map"),

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import written
+from .fusion import Ranking, places
+
 
 def doubles(x) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("array<double>")
@@ -53,6 +56,25 @@ def ranked(scored: DataFrame, k: int | None = None, descending: bool = False) ->
     return out if k is None else out.where(F.col("rnk") <= k)
 
 
+def ranking(chunks: DataFrame, queries: DataFrame, metric: str = "l2", most_queries: int = 10_000) -> Ranking:
+    """The ranking of all documents (one chunk each) for each query, of which only what is asked for is made: distances are never sorted whole."""
+    sign = 1 if metric == "l2" else -1
+    every = distances(chunks, queries, metric, most_queries)
+    key = lambda: F.struct((F.col("dist") * sign).alias("s"), F.col("doc").alias("d"))
+
+    def top(k: int) -> DataFrame:
+        return ranked(every, k, descending=sign < 0).withColumnRenamed("doc", "item")
+
+    def ranks(wanted: DataFrame) -> DataFrame:
+        value = squared_distance("embedding", "query") if metric == "l2" else dot("embedding", "query")
+        rows = wanted.withColumnRenamed("item", "doc").join(chunks, "doc").join(queries, "question_id").select("question_id", "doc", F.round(value, 6).alias("dist"))
+        rows = written(rows.withColumn("key", key()), "dense-wanted")
+        before = places(every.select("question_id", key().alias("key")), rows.select("question_id", "key"))
+        return rows.join(before, ["question_id", "key"]).select("question_id", F.col("doc").alias("item"), (F.col("before") + 1).alias("rnk"))
+
+    return Ranking(top, ranks)
+
+
 def cells(chunks: DataFrame, nlist: int = 100, seed: int = 7):
     """Coarse cells by k-means: chunks with `cell`, and the centres (cell, centre)."""
     from pyspark.ml.clustering import KMeans

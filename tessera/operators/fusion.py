@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MISSING_RANK
+from ..sources.stages import written
+
+#: Wanted places that are sent to all tasks; rows that a task sorts at a time.
+FEW, CHUNK = 500_000, 200_000
 
 
 def rank_by(rows: DataFrame, score: Column | str, item: str = "item", name: str = "rnk", digits: int = 12) -> DataFrame:
@@ -58,9 +64,114 @@ def semantic_edge_rank(pairs: DataFrame, keep: str = "worst") -> DataFrame:
     return pairs.groupBy("question_id", low.alias("lo"), high.alias("hi")).agg((F.max if keep == "worst" else F.min)("rnk").alias("rnk"))
 
 
+def oriented_edge_rank(triplets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ranked triplets (question_id, src, dst, rnk) that are edges (question_id, src, dst) in that orientation: ranks among these alone.
+
+    An edge that several triplets have gets the first's rank; the others keep their places, so that ranks have gaps.
+    """
+    kept = triplets.join(edges.select("question_id", "src", "dst").distinct(), ["question_id", "src", "dst"], "left_semi")
+    order = Window.partitionBy("question_id").orderBy("rnk", "src", "dst")
+    return kept.withColumn("_r", F.row_number().over(order)).groupBy("question_id", "src", "dst").agg(F.min("_r").alias("rnk"))
+
+
 def ordered_union(first: DataFrame, second: DataFrame) -> DataFrame:
     """Items of the first ranking, then those of the second that are not in it, ranked anew."""
     both = first.select("question_id", "item", F.lit(0).alias("_p"), "rnk").unionByName(second.select("question_id", "item", F.lit(1).alias("_p"), "rnk"))
     once = both.groupBy("question_id", "item").agg(F.min(F.struct("_p", "rnk")).alias("_o"))
     order = Window.partitionBy("question_id").orderBy("_o", "item")
     return once.withColumn("rnk", F.row_number().over(order)).drop("_o")
+
+
+def in_order(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """rows with their number, from 1, in the order given: ranges are counted and numbered within, so that no task has all rows."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbers")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + at + 1).drop("_part", "_at", "_n", "_before")
+
+
+def places(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (question_id, key), wanted (question_id, key), keys structs of values without nulls: wanted, once each, with `before`, the question's rows of lesser key.
+
+    Rows are neither shuffled nor sorted as a whole: a task sorts CHUNK of them at a time among the wanted keys, and only counts leave it. Wanted keys are counted and
+    sent to all tasks; more than FEW are dealt into sets, and rows are read once a set.
+    """
+    wanted = wanted.select("question_id", "key").distinct()
+    if (count := wanted.count()) > FEW:
+        sets = -(-count // FEW)
+        dealt = F.pmod(F.xxhash64("question_id", "key"), F.lit(2 * sets))
+        return reduce(DataFrame.unionByName, [_places(rows, wanted.where(dealt == k)) for k in range(2 * sets)])
+    return _places(rows, wanted)
+
+
+def _places(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same for wanted keys that one task can hold."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    names = rows.schema["key"].dataType.names
+    flat = lambda df: df.select("question_id", *[F.col("key")[c].alias(c) for c in names])
+    table = flat(wanted).toArrow()
+    keys = spark.sparkContext.broadcast(table)
+
+    def below(chunk: list) -> pa.RecordBatch:
+        """Of each wanted key the chunk's rows below it."""
+        codes, size = [], keys.value.num_rows
+        found = pa.Table.from_batches(chunk)
+        for a, b in zip(keys.value.columns, found.columns):
+            codes.append(np.unique(np.concatenate([a.to_numpy(), b.to_numpy()]), return_inverse=True)[1])
+        is_row = np.repeat([0, 1], [size, found.num_rows])
+        order = np.lexsort((is_row, *codes[:0:-1], codes[0]))
+        upto, question = np.cumsum(is_row[order]), codes[0][order]
+        first = np.flatnonzero(np.append(True, question[1:] != question[:-1]))
+        base = np.repeat(upto[first] - is_row[order][first], np.diff(np.append(first, len(order))))
+        own = np.flatnonzero(order < size)
+        n = (upto - base)[own]
+        return pa.record_batch([pa.array(order[own][n > 0], pa.int32()), pa.array(n[n > 0], pa.int64())], ["_w", "_n"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= CHUNK:
+                yield below(held)
+                held, size = [], 0
+        if size and keys.value.num_rows:
+            yield below(held)
+
+    totals = flat(rows).mapInArrow(run, "_w int, _n bigint").groupBy("_w").agg(F.sum("_n").alias("_n"))
+    listed = spark.createDataFrame(table.append_column("_w", pa.array(np.arange(table.num_rows), pa.int32())))
+    out = listed.join(totals, "_w", "left")
+    return out.select("question_id", F.struct(*[F.col(c) for c in names]).alias("key"), F.coalesce("_n", F.lit(0)).alias("before"))
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """A ranking that need not be made whole: its first k rows a question, and the ranks of wanted items (question_id, item)."""
+
+    top: Callable[[int], DataFrame]
+    ranks: Callable[[DataFrame], DataFrame]
+
+
+def rrf_top(rankings: list[Ranking], limit: int, k: int = 0) -> DataFrame:
+    """The first `limit` rows of `rrf_sum` over whole rankings, from their first rows and a few more ranks.
+
+    An item that is in no ranking's first `reach` rows scores at most n / (k + reach + 1), and so less than each of the first `limit` of any one ranking.
+    Ranks beyond the reach are looked up for the items that are within it elsewhere.
+    """
+    reach = len(rankings) * (k + limit) - k
+    tops = [written(r.top(reach).select("question_id", "item", "rnk"), "first-ranks") for r in rankings]
+    items = reduce(DataFrame.union, [x.select("question_id", "item") for x in tops]).distinct()
+    out, score = items, F.lit(0.0)
+    for n, (ranking, first) in enumerate(zip(rankings, tops)):
+        missing = ranking.ranks(items.join(first, ["question_id", "item"], "left_anti"))
+        every = first.unionByName(missing.select("question_id", "item", F.col("rnk").cast("int").alias("rnk")))
+        out = out.join(every.withColumnRenamed("rnk", f"_r{n}"), ["question_id", "item"], "left")
+        score = score + F.coalesce(1.0 / (k + F.col(f"_r{n}")), F.lit(0.0))
+    out = out.select("question_id", "item", score.alias("score"), F.coalesce("_r0", F.lit(MISSING_RANK)).alias("_first"))
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 12)), "_first", "item")
+    return out.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= limit).drop("_first")

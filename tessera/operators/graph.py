@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,30 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(count, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
 
+def layer_counts(**layers: DataFrame) -> DataFrame:
+    """One row: the rows of each layer, by name."""
+    parts = [df.agg(F.count(F.lit(1)).alias(name), F.lit(0).alias("_k")) for name, df in layers.items()]
+    return reduce(lambda a, b: a.join(b, "_k"), parts).drop("_k")
+
+
+def top_degrees(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """The k nodes of highest degree, ties by node."""
+    return degrees(nodes, edges).orderBy(F.desc("degree"), "node").limit(k)
+
+
+def appearances(nodes: DataFrame, bridge: DataFrame, place: str = "passage") -> DataFrame:
+    """nodes (node), bridge (node and a place): node, n, in how many distinct places it appears; 0 for nodes that do not."""
+    count = bridge.groupBy("node").agg(F.count_distinct(place).alias("n"))
+    return nodes.join(count, "node", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def appearance_report(counts: DataFrame, k: int = 5) -> DataFrame:
+    """counts (node, n): one row with the least, mean and most, and the k first nodes by count (ties by node) in order."""
+    best = counts.orderBy(F.desc("n"), "node").limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "node", "n"))).alias("top"), F.lit(0).alias("_k"))
+    total = counts.agg(F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.lit(0).alias("_k"))
+    return total.join(best, "_k").select("least", "mean", "most", F.transform("top", lambda x: F.struct(x["node"], x["n"])).alias("top"))
+
+
 def ball(pairs: DataFrame, seeds: DataFrame, radius: int = 1) -> DataFrame:
     """(question_id, node) within `radius` steps of the question's seeds (question_id, node)."""
     both = arcs(pairs.select("lo", "hi"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, label_allowed
+from .fusion import in_order
 from .graph import components
 from .matching import longest as longest_spans
 from .matching import substring_spans, word_spans
@@ -119,10 +120,12 @@ def complete_by_rule(pairs: DataFrame, position: str = "pos", relation: str = "r
     return pairs.select(F.col("entity_2").alias("src"), F.col("entity_1").alias("dst"), F.lit(relation).alias("relation"), position).where("src <> dst")
 
 
-def label_table(nodes: DataFrame) -> DataFrame:
-    """nodes (id, pos, name, aliases): allowed folded labels; of nodes with the same label the last stays."""
+def label_table(nodes: DataFrame, common: DataFrame | None = None) -> DataFrame:
+    """nodes (id, pos, name, aliases): allowed folded labels; of nodes with the same label the last stays. common (label): words too frequent to link."""
     named = nodes.select("id", "pos", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_l"))
     labels = named.select(fold("_l").alias("label"), "id", "pos").where(label_allowed("label"))
+    if common is not None:
+        labels = labels.join(common.select("label"), "label", "left_anti")
     return labels.groupBy("label").agg(F.max_by("id", F.struct("pos", "id")).alias("id"))
 
 
@@ -179,11 +182,4 @@ def reset_ids(nodes: DataFrame, order: list[str], mode: str = "number") -> DataF
         return nodes.withColumn("new_id", F.sha2(F.col("id"), 256))
     if mode != "number":
         raise ValueError(f"unknown mode {mode!r}")
-    ranged = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
-    from ..sources.stages import written
-
-    placed = written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ids")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return placed.join(F.broadcast(before), "_part").withColumn("new_id", (F.col("_before") + at + 1).cast("string")).drop("_part", "_at", "_n", "_before")
+    return in_order(nodes, order, "new_id").withColumn("new_id", F.col("new_id").cast("string"))

@@ -212,6 +212,18 @@ def paragraph_graph(t):
     return built(t).sentences.select("sentence_id", "text", F.array_join("node_map", ",").alias("nodes"))
 
 
+@query("paragraph_graph_aliases", """SELECT 'sent:' || o_orderkey || ':0' AS sentence_id, 'node:' || o_orderkey || ':0' AS nodes FROM orders WHERE o_orderkey % 4 < 2
+  UNION ALL SELECT 'sent:' || o_orderkey || ':1', 'node:' || o_orderkey || ':1' FROM orders WHERE o_orderkey % 4 < 2""")
+def paragraph_graph_aliases(t):
+    """The second sentence has the customer's alias alone."""
+    called = F.format_string('"name":"Customer %d","type":["Person"],"description":"","aliases":["Buyer %d","B."]', "o_custkey", "o_custkey")
+    plain = F.format_string('"name":"Customer %d","type":["Person"],"description":"","aliases":[]', "o_custkey")
+    rows = responses(t).join(t.orders.select(F.col("o_orderkey").cast("string").alias("doc"), "o_custkey"), "doc")
+    rows = rows.withColumns({"response": F.replace("response", plain, called), "text": F.concat(F.lit("Order "), "doc", F.lit(" was placed. The buyer "), "o_custkey", F.lit(" waits."))})
+    graph = build.single_pass(build.extracted(rows).select("doc", "pos", "text", "entity_layer"), aliases=True)
+    return graph.sentences.select("sentence_id", F.array_join("node_map", ",").alias("nodes"))
+
+
 @query("extraction_row_filters", """WITH e AS (SELECT l_suppkey AS s, l_suppkey % 10 AS d FROM lineitem) SELECT s, d, count(*) AS n FROM e WHERE s <> d AND d IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY ALL""")
 def extraction_row_filters(t):
     edges = t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") % 10).alias("dst")).where("src <> dst")

@@ -93,16 +93,12 @@ def graph_degree_report(t):
 
 @query("graph_top5_degree", f"WITH {ALL_EDGES} SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 5")
 def graph_top5_degree(t):
-    return graph.degrees(all_nodes(t), all_edges(t)).orderBy(F.desc("degree"), "node").limit(5)
+    return graph.top_degrees(all_nodes(t), all_edges(t), 5)
 
 
 @query("graph_layer_counts", f"WITH {ALL_EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM orders) AS passages, (SELECT count(*) FROM lineitem) AS sentences")
 def graph_layer_counts(t):
-    parts = [df.agg(F.count(F.lit(1)).alias(n), F.lit(0).alias("k")) for n, df in (("nodes", all_nodes(t)), ("edges", all_edges(t)), ("passages", t.orders), ("sentences", t.lineitem))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "k")
-    return out.drop("k")
+    return graph.layer_counts(nodes=all_nodes(t), edges=all_edges(t), passages=t.orders, sentences=t.lineitem)
 
 
 def bridge(t):
@@ -121,6 +117,39 @@ def graph_mapping_stats(t):
     return n.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.min("n").alias("least"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
 
 
+APPEAR = f"""{ALL_EDGES}, {BRIDGE}, lines AS (SELECT l_orderkey || ':' || l_linenumber AS sentence, unnest(['P' || l_partkey, 'S' || l_suppkey]) AS node FROM lineitem),
+  a AS (SELECT 'passage' AS layer, n.node, count(DISTINCT passage) AS n FROM nodes n LEFT JOIN bridge USING (node) GROUP BY n.node UNION ALL SELECT 'sentence', n.node, count(DISTINCT sentence) FROM nodes n LEFT JOIN lines USING (node) GROUP BY n.node),
+  r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, node) AS r FROM a)"""
+
+
+@query("graph_appearances", f"WITH {APPEAR} SELECT layer, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most, array_to_string(list(node || ' ' || n ORDER BY r) FILTER (r <= 5), ', ') AS top FROM r GROUP BY layer")
+def graph_appearances(t):
+    """How often nodes appear in passages and in sentences, with the five that do most."""
+    lines = t.lineitem.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("sentence"), F.explode(F.array(F.concat(F.lit("P"), "l_partkey"), F.concat(F.lit("S"), "l_suppkey"))).alias("node"))
+    found = {"passage": bridge(t), "sentence": lines}
+    rows = [graph.appearance_report(graph.appearances(all_nodes(t), b, layer)).withColumn("layer", F.lit(layer)) for layer, b in found.items()]
+    shown = F.array_join(F.transform("top", lambda x: F.concat_ws(" ", x["node"], x["n"].cast("string"))), ", ")
+    return rows[0].unionByName(rows[1]).select("layer", "least", F.round("mean", 6).alias("mean"), "most", shown.alias("top"))
+
+
+TRIPLETS = """tr AS (SELECT l_suppkey % 20 AS question_id, 'O' || l_orderkey AS src, 'P' || l_partkey AS dst, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rnk FROM lineitem),
+  ed AS (SELECT DISTINCT l_suppkey % 20 AS question_id, CASE WHEN l_linenumber % 2 = 1 THEN 'O' || l_orderkey ELSE 'P' || l_partkey END AS src, CASE WHEN l_linenumber % 2 = 1 THEN 'P' || l_partkey ELSE 'O' || l_orderkey END AS dst FROM lineitem WHERE l_returnflag = 'R')"""
+
+
+@query("edge_rank_oriented", f"WITH {TRIPLETS} SELECT question_id, src, dst, min(r) AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rnk, src, dst) AS r FROM tr SEMI JOIN ed USING (question_id, src, dst)) GROUP BY ALL")
+def edge_rank_oriented(t):
+    """Triplets that are edges of the subgraph in their own direction; every second edge runs the other way."""
+    from pyspark.sql import Window
+
+    order, part = F.concat(F.lit("O"), "l_orderkey"), F.concat(F.lit("P"), "l_partkey")
+    question = (F.col("l_suppkey") % 20).alias("question_id")
+    by_price = Window.partitionBy(F.col("l_suppkey") % 20).orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    triplets = t.lineitem.select(question, order.alias("src"), part.alias("dst"), F.row_number().over(by_price).alias("rnk"))
+    forth = F.col("l_linenumber") % 2 == 1
+    edges = t.lineitem.where("l_returnflag = 'R'").select(question, F.when(forth, order).otherwise(part).alias("src"), F.when(forth, part).otherwise(order).alias("dst"))
+    return fusion.oriented_edge_rank(triplets, edges)
+
+
 def passages(t):
     return kg.order_periods(t).select(F.concat(F.lit("D"), "o_orderkey").alias("passage"), "start", "end")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ACCENTS, DOUBLE, PLAIN
+from ..functions.text import ACCENTS, DOUBLE, PLAIN, SCRIPTS
 
 
 class Tables:
@@ -108,7 +108,7 @@ TEXTS = """texts AS (SELECT o_orderkey, CASE o_orderkey % 4
 
 #: Folding and words of a text, as functions.text has them.
 FOLD = f"translate(lower({{0}}), '{ACCENTS}', '{PLAIN}')"
-for _letter, _plain in DOUBLE:
+for _letter, _plain in DOUBLE + SCRIPTS:
     FOLD = f"replace({FOLD}, '{_letter}', '{_plain}')"
 TOKENS = rf"list_filter(string_split_regex(regexp_replace({FOLD}, '[^\p{{{{L}}}}\p{{{{N}}}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
 

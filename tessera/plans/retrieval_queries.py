@@ -180,32 +180,50 @@ def hybrid(t):
     return fusion.rrf_sum([first, second])
 
 
+def hybrid_top(t, limit: int):
+    """The first rows of the same, without any ranking made whole."""
+    first = bm25.ranking(bm25_scores(t), t.benchmark, t.documents, "item_id", "doc_id")
+    query_vectors = t.benchmark.join(t.embeddings, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("question_id"), F.col("embedding").alias("query"))
+    aligned = whole(t).join(t.documents.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    return fusion.rrf_top([first, dense.ranking(aligned, query_vectors)], limit)
+
+
 @query("hybrid_rrf", f"WITH {BM}, {FULL}, {HYBRID} SELECT question_id, item, round(score, 9) AS score, rnk FROM hybrid WHERE rnk <= 50")
 def hybrid_rrf(t):
-    return hybrid(t).where("rnk <= 50").select("question_id", "item", F.round("score", 9).alias("score"), "rnk")
+    return hybrid_top(t, 50).select("question_id", "item", F.round("score", 9).alias("score"), "rnk")
 
 
 @query("hybrid_passages_top20", f"WITH {BM}, {FULL}, {HYBRID} SELECT question_id, item, rnk, md5(text) AS digest FROM hybrid JOIN documents ON doc_id = item WHERE rnk <= 20")
 def hybrid_passages_top20(t):
-    best = hybrid(t).where("rnk <= 20")
+    best = hybrid_top(t, 20)
     return t.documents.join(best, F.col("doc_id") == F.col("item")).select("question_id", "item", "rnk", F.md5("text").alias("digest"))
 
 
 @query("hybrid_by_text", f"WITH {BM}, {FULL}, {HYBRID} SELECT question_id, md5(text) AS digest, round(sum(score), 9) AS score, count(*) AS n FROM hybrid JOIN documents ON doc_id = item GROUP BY ALL")
 def hybrid_by_text(t):
+    """All ranks are asked for here, so that the whole of both rankings is made."""
     rows = hybrid(t).join(t.documents.select(F.col("doc_id").alias("item"), F.md5("text").alias("digest")), "item")
     return rows.groupBy("question_id", "digest").agg(F.round(F.sum("score"), 9).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
 @query("fallback_passages_reversed", f"WITH {BM}, {FULL}, {HYBRID} SELECT question_id, item, 21 - rnk AS place FROM hybrid WHERE rnk <= 20")
 def fallback_passages_reversed(t):
-    return fallback_passages(hybrid(t), 20).select("question_id", "item", F.col("place").cast("long").alias("place"))
+    return fallback_passages(hybrid_top(t, 20), 20).select("question_id", "item", F.col("place").cast("long").alias("place"))
 
 
 @query("answer_context_15", f"WITH {BM}, {FULL}, {HYBRID} SELECT question_id, array_to_string(list(item ORDER BY rnk), ',') AS passages FROM hybrid WHERE rnk <= 15 GROUP BY question_id")
 def answer_context_15(t):
     listed = F.array_sort(F.collect_list(F.struct("rnk", "item")))
-    return hybrid(t).where("rnk <= 15").groupBy("question_id").agg(F.concat_ws(",", F.transform(listed, lambda x: x["item"].cast("string"))).alias("passages"))
+    return hybrid_top(t, 15).groupBy("question_id").agg(F.concat_ws(",", F.transform(listed, lambda x: x["item"].cast("string"))).alias("passages"))
+
+
+@query("wanted_ranks", f"WITH {BM}, {FULL} SELECT question_id, doc, rnk FROM sparse WHERE (question_id + doc) % 9 = 0")
+def wanted_ranks(t):
+    """Ranks in the full ranking of the documents that are asked for, scored or not."""
+    asked = t.benchmark.select(F.col("item_id").alias("question_id"), ((9 - F.col("item_id") % 9) % 9).alias("_k"))
+    wanted = t.documents.select(F.col("doc_id").alias("item"), (F.col("doc_id") % 9).alias("_k")).join(asked, "_k")
+    found = bm25.ranking(bm25_scores(t), t.benchmark, t.documents, "item_id", "doc_id").ranks(wanted.select("question_id", "item"))
+    return found.select("question_id", F.col("item").alias("doc"), F.col("rnk"))
 
 
 @query("rank_semi_join_text", f"""WITH {BM}, {ASK}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc) AS rnk FROM s)
@@ -278,8 +296,8 @@ def ontology_retrieve(t):
   u AS (SELECT question_id, item, 0 AS k, rnk FROM m WHERE NOT EXISTS (FROM g WHERE g.question_id = m.question_id AND g.item = m.item) UNION ALL SELECT question_id, item, 1, rnk FROM g)
   SELECT question_id, array_to_string(list(item ORDER BY k, rnk), ',') AS passages FROM u GROUP BY question_id""")
 def final_passage_order(t):
-    g = sparse(t).where("rnk <= 10").select("question_id", F.col("doc").alias("item"), "rnk")
-    out = final_passages(g, hybrid(t), 5)
+    g = bm25.ranking(bm25_scores(t), t.benchmark, t.documents, "item_id", "doc_id").top(10).select("question_id", "item", "rnk")
+    out = final_passages(g, hybrid_top(t, 5), 5)
     return out.select("question_id", F.concat_ws(",", F.transform("passages", lambda x: x.cast("string"))).alias("passages"))
 
 
@@ -329,6 +347,30 @@ def interlayer_links(t):
     return resolve.interlayer_links(found, known, 100)
 
 
+@query("label_filter_common", f"""WITH n AS (SELECT w AS label, count(*) AS n FROM (SELECT unnest({TOK}) AS w FROM documents) GROUP BY w), common AS (SELECT label FROM n ORDER BY n DESC, label LIMIT 2000),
+  b AS (SELECT w AS label, max(item_id) AS id FROM (SELECT item_id, unnest({TOK}) AS w FROM benchmark) GROUP BY w)
+  SELECT label, id FROM b WHERE length(label) > 1 AND NOT regexp_matches(label, '^[0-9]+$') AND label NOT IN ({", ".join(repr(x) for x in X.STOP_LABELS)}) AND label NOT IN (FROM common)""")
+def label_filter_common(t):
+    """Labels of the benchmark's words that are none of the documents' two thousand most frequent."""
+    nodes = t.benchmark.select(F.col("item_id").alias("id"), F.col("item_id").alias("pos"), F.explode(X.tokens("text")).alias("name")).withColumn("aliases", F.lit(None).cast("array<string>"))
+    return resolve.label_table(nodes, matching.common_words(t.documents, 2000))
+
+
+#: Letters for letters of the Latin names, in two other scripts.
+LATIN, CYRILLIC, GREEK = "abvgdezklmnoprstuf", "абвгдезклмнопрстуф", "αβφγδεζκλμνοπρστυθ"
+
+
+@query("names_in_scripts", f"""WITH s AS (SELECT s_suppkey % 25 AS question_id, s_name AS name, translate(lower(s_name), '{LATIN}', '{CYRILLIC}') AS c, translate(lower(n_name), '{LATIN}', '{GREEK}') AS g, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+  a AS (SELECT question_id, c AS name FROM s UNION ALL SELECT question_id, g FROM s UNION ALL SELECT question_id, n_name FROM s), k AS (SELECT 'S' || s_suppkey AS node, s_name AS name FROM supplier UNION ALL SELECT 'N' || n_nationkey, n_name FROM nation)
+  SELECT DISTINCT question_id, node FROM (SELECT question_id, {kg.FOLD.format("name")} AS key FROM a) JOIN (SELECT node, {kg.FOLD.format("name")} AS key FROM k) USING (key)""")
+def names_in_scripts(t):
+    """Suppliers' names in Cyrillic and nations' in Greek and Latin letters find the Latin names that they spell."""
+    rows = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).withColumn("question_id", F.col("s_suppkey") % 25)
+    asked = F.explode(F.array(F.translate(F.lower("s_name"), LATIN, CYRILLIC), F.translate(F.lower("n_name"), LATIN, GREEK), F.col("n_name"))).alias("name")
+    names = t.supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("node"), F.col("s_name").alias("name")).union(t.nation.select(F.concat(F.lit("N"), "n_nationkey"), "n_name"))
+    return resolved_names(rows.select("question_id", asked), names)
+
+
 @query("ranked_windows", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rnk FROM documents QUALIFY rnk <= 5")
 def ranked_windows(t):
     order = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")

@@ -48,6 +48,15 @@ def filter_not_strict(t):
     return graph.time_filter(asked_orders(t), ["question_id"], "start", "end", F.col("q_start"), F.col("q_end"), strict=False).select("question_id", "id")
 
 
+@query("passage_time_filter_strict", f"""WITH {kg.PERIODS}, {QUESTIONS_SQL},
+  v AS (SELECT question_id, 'D' || o_orderkey AS passage, ({VALID}) AS ok FROM periods p CROSS JOIN questions WHERE status <> 'O'), s AS (SELECT *, max(ok::INT) OVER (PARTITION BY question_id) AS any_ok FROM v)
+  SELECT question_id, passage FROM s WHERE ok OR any_ok = 0""")
+def filter_passages(t):
+    """Passages by their own time; the question that none fits keeps all."""
+    rows = asked_orders(t).join(kg.order_periods(t).where("status <> 'O'").select("id", F.concat(F.lit("D"), "o_orderkey").alias("passage")), "id")
+    return graph.time_filter(rows, ["question_id"], "start", "end", F.col("q_start"), F.col("q_end")).select("question_id", "passage")
+
+
 @query("nodes_to_remove", f"""WITH {kg.PERIODS}, {QUESTIONS_SQL}, v AS (SELECT question_id, id, ({VALID}) AS ok FROM periods p CROSS JOIN questions WHERE question_id = 1)
   SELECT question_id, id FROM v WHERE NOT ok""")
 def nodes_to_remove(t):
@@ -155,6 +164,20 @@ def parse_lenient_date(t):
     return stamps(t).select("o_orderkey", T.parse_lenient("stamp").cast("string").alias("day"), T.parse_timestamp("stamp").cast("string").alias("stamp"))
 
 
+FORMS = ["d MMMM yyyy", "dd MMM yyyy", "MMMM d, yyyy", "MMM. dd yyyy", "yyyy/MM/dd", "yyyy.M.d", "MM/dd/yyyy", "M-d-yy", "EEEE, d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss", "'the' d'th of' MMMM yyyy", "dd-MMM-yyyy"]
+
+
+@query("date_forms", """SELECT o_orderkey, CASE WHEN k < 12 THEN o_orderdate::DATE WHEN k = 12 THEN date_trunc('month', o_orderdate)::DATE WHEN k = 13 THEN o_orderdate::DATE - 1 WHEN k = 14 THEN o_orderdate::DATE - 21
+  WHEN k = 15 THEN (o_orderdate::DATE - INTERVAL 1 YEAR)::DATE END::VARCHAR AS day FROM (SELECT *, o_orderkey % 18 AS k FROM orders)""")
+def date_forms(t):
+    """Orders' dates written in words and numbers, and relative to themselves."""
+    k, d = F.col("o_orderkey") % 18, F.col("o_orderdate")
+    text = F.when(k == 12, F.date_format(d, "MMMM yyyy")).when(k == 13, F.lit("Yesterday")).when(k == 14, F.lit("3 weeks ago")).when(k == 15, F.lit("last year")).when(k == 16, F.lit("32 March 2019")).otherwise(F.lit("Mayhem 3, 2019"))
+    for n, form in enumerate(FORMS):
+        text = F.when(k == n, F.date_format(d, form)).otherwise(text)
+    return t.orders.select("o_orderkey", T.parse_lenient(text, F.to_date(d)).cast("string").alias("day"))
+
+
 PERIOD_QUESTIONS = [(k, f"{1995 + k}-03-01", f"{1995 + k}-04-15") for k in range(6)]
 
 
