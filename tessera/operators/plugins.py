@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import repaired_json
+from .ledger import ask, tried
 
 #: (system, user, schema) to (answer text, prompt tokens, completion tokens).
 Model = Callable[[str, str, str | None], tuple[str | None, int, int]]
@@ -18,27 +18,20 @@ Model = Callable[[str, str, str | None], tuple[str | None, int, int]]
 AUGMENTATIONS = ("cognition", "awareness", "trustworthiness", "understanding", "reasoning")
 
 
-def call(prompts: DataFrame, model: Model, retries: int = 0, response_schema: str | None = None, at_once: int = 1, pause: float = 1.0) -> DataFrame:
+def call(prompts: DataFrame, model: Model, retries: int = 0, response_schema: str | None = None, at_once: int = 1, pause: float = 1.0, ledger: str | None = None, name: str = "") -> DataFrame:
     """prompts (id, system, user): adds response, prompt_tokens, completion_tokens, error.
 
     Up to `at_once` calls of a batch run at the same time. A failed call is tried again after pauses that double from
-    `pause` seconds, then its response is null.
+    `pause` seconds, then its response is null. With the path of a `ledger`, equal prompts are asked once, and answers that it has are not asked for.
     """
+    if ledger is not None:
+        return ask(prompts, model, ledger, response_schema, name, retries, at_once, pause)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
 
-    def one(asked: tuple[str, str]) -> tuple:
-        for k in range(retries + 1):
-            try:
-                return (*model(*asked, response_schema), None)
-            except Exception as e:  # the row keeps what went wrong
-                if k == retries:
-                    return None, 0, 0, str(e)
-                time.sleep(pause * 2**k)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max(1, at_once)) as pool:
             for b in batches:
-                out = list(pool.map(one, zip(b["system"], b["user"])))
+                out = list(pool.map(lambda x: tried(model, x, response_schema, retries, pause), zip(b["system"], b["user"])))
                 yield b.assign(**{c: [x[k] for x in out] for k, c in enumerate(("response", "prompt_tokens", "completion_tokens", "error"))})
 
     return prompts.mapInPandas(run, f"{kinds}, response string, prompt_tokens bigint, completion_tokens bigint, error string")
@@ -138,13 +131,13 @@ def resolved_texts(rows: DataFrame, resolver: Callable[[list[str]], list[str]] |
     return rows.mapInPandas(run, rows.schema)
 
 
-def augmented(questions: DataFrame, model: Model | None = None, kinds=AUGMENTATIONS) -> DataFrame:
+def augmented(questions: DataFrame, model: Model | None = None, kinds=AUGMENTATIONS, **how) -> DataFrame:
     """Each question in five variants; without an answer the original stays and the row is marked."""
     rows = questions.withColumn("original_question", F.col("question")).withColumn("augmentation_type", F.explode(F.array(*map(F.lit, kinds))))
     if model is None:
         return rows.withColumn("augmentation_failed", F.lit(True))
     asked = rows.withColumns({"system": F.concat(F.lit("Rewrite the question to test "), "augmentation_type"), "user": F.col("question")})
-    out = call(asked, model)
+    out = call(asked, model, **how)
     answer = F.nullif(F.trim("response"), F.lit(""))
     return out.withColumns({"question": F.coalesce(answer, "original_question"), "augmentation_failed": answer.isNull()}).drop("system", "user", "response", "prompt_tokens", "completion_tokens", "error")
 

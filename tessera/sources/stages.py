@@ -25,6 +25,14 @@ def _path(spark: SparkSession, path: str):
     return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def address(spark: SparkSession, path: str) -> str:
+    """A folder, made if it is not there, as a path or address that Arrow's file systems open."""
+    there, files = _path(spark, path)
+    files.mkdirs(there)
+    whole = files.makeQualified(there).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else whole.toString()
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one for files that are more than one table; it goes when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
