@@ -433,7 +433,7 @@ BATCH = rf"""{ORDER_PAIRS}, {ASKED}, {IDF},
   near_ AS MATERIALIZED (SELECT question_id, node FROM seeds UNION SELECT question_id, dst FROM seeds JOIN both_ ON src = node)"""
 
 
-@query("retrieve_temporal_batch", f"""WITH {BATCH},
+TEMPORAL = f"""{BATCH},
   v AS (SELECT question_id, node, id IS NULL OR (start <= q_end AND coalesce("end", '9999-12-31') >= q_start) AS ok FROM near_ JOIN asked USING (question_id) LEFT JOIN periods ON id = node),
   members AS MATERIALIZED (SELECT question_id, node FROM (SELECT *, bool_or(ok) OVER (PARTITION BY question_id) AS any_ok FROM v) WHERE ok OR NOT any_ok),
   vec AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS MATERIALIZED (SELECT count(*) AS n FROM embeddings),
@@ -462,10 +462,33 @@ BATCH = rf"""{ORDER_PAIRS}, {ASKED}, {IDF},
   fin AS (SELECT question_id, item, 1 AS k, rnk FROM best UNION ALL SELECT question_id, item, 0, rnk FROM (SELECT * FROM text_rank WHERE rnk <= 5) ANTI JOIN best USING (question_id, item)),
   lab AS MATERIALIZED (SELECT 'C' || c_custkey AS id, c_name || ' (Person, ' || c_mktsegment || ')' AS label FROM customer UNION ALL SELECT 'P' || p_partkey, p_name || ' (' || p_type || ', ' || p_brand || ')' FROM part),
   lines AS (SELECT question_id, rnk, coalesce(a.label, lo) AS source, relation, coalesce(b.label, hi) AS target FROM e LEFT JOIN lab a ON a.id = lo LEFT JOIN lab b ON b.id = hi WHERE rnk <= 10),
-  once AS (SELECT question_id, min(rnk) AS rnk, arg_min(source || ' | ' || relation || ' | ' || target, rnk) AS line FROM lines GROUP BY question_id, least(source, target), greatest(source, target), relation)
-  SELECT question_id, (SELECT string_agg(line, ';' ORDER BY rnk) FROM once WHERE once.question_id = a.question_id) AS edges, (SELECT string_agg(item, ',' ORDER BY k, rnk) FROM fin WHERE fin.question_id = a.question_id) AS passages,
+  once AS (SELECT question_id, min(rnk) AS rnk, arg_min(source || ' | ' || relation || ' | ' || target, rnk) AS line FROM lines GROUP BY question_id, least(source, target), greatest(source, target), relation)"""
+
+
+@query("retrieve_temporal_batch", f"""WITH {TEMPORAL} SELECT question_id, (SELECT string_agg(line, ';' ORDER BY rnk) FROM once WHERE once.question_id = a.question_id) AS edges, (SELECT string_agg(item, ',' ORDER BY k, rnk) FROM fin WHERE fin.question_id = a.question_id) AS passages,
     (SELECT string_agg(node, ',' ORDER BY node) FROM seeds WHERE seeds.question_id = a.question_id) AS seeds, q_start, q_end FROM asked a""")
 def retrieve_temporal_batch(t):
+    read = F.from_json("context", "struct<relevant_graphs:array<string>,relevant_passages:array<string>,seed_nodes:array<string>,query_timestamp:struct<start:string,end:string>>")
+    out = temporal_contexts(t).select("question_id", read.alias("c"))
+    listed = lambda c, by: F.nullif(F.array_join(c, by), F.lit(""))
+    return out.select("question_id", listed("c.relevant_graphs", ";").alias("edges"), listed("c.relevant_passages", ",").alias("passages"), listed("c.seed_nodes", ",").alias("seeds"), F.col("c.query_timestamp.start").alias("q_start"), F.col("c.query_timestamp.end").alias("q_end"))
+
+
+def named_nodes(t):
+    """Customers, every second with an alias, and parts."""
+    none = F.lit(None).cast("array<string>")
+    alias = F.when(F.col("c_custkey") % 200 == 0, F.array(F.concat(F.lit("client "), "c_custkey"))).otherwise(none)
+    nodes = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.array(F.lit("Person"), "c_mktsegment").alias("type"), F.lit("").alias("description"), alias.alias("aliases"))
+    return nodes.unionByName(kg.parts(t).select(nodes.columns))
+
+
+def line_sentences(t):
+    """item, text of each line as a sentence."""
+    return t.lineitem.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("item"), F.concat(F.lit("part "), "l_partkey", F.lit(" shipped in "), F.year("l_shipdate")).alias("text")).groupBy("item").agg(F.min("text").alias("text"))
+
+
+def temporal_contexts(t, sentences: bool = False):
+    """The whole path for the batch's questions, with the ranked sentences if asked for."""
     q, names, ranks = batch(t)
     count = t.embeddings.count()
     times = kg.order_periods(t).select(F.col("id").alias("node"), "start", "end")
@@ -475,14 +498,68 @@ def retrieve_temporal_batch(t):
     reached = retrieval.around(pairs, retrieval.keyword_seeds(q, names), 1)
     placed = reached.withColumn("vec_id", F.substring("node", 2, 20).cast("long") % count).join(vectors, "vec_id").join(asked_by, "question_id")
     meaning = written(placed.select("question_id", "node", dense.dot("_e", "_q").alias("sim")), "meaning")
-    none = F.lit(None).cast("array<string>")
-    nodes = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.array(F.lit("Person"), "c_mktsegment").alias("type"), F.lit("").alias("description"), none.alias("aliases"))
-    nodes = nodes.unionByName(kg.parts(t).select(nodes.columns))
-    out = retrieval.retrieve_temporal(q, names, pairs, times, bridge(t), passages(t), ranks, CONFIG, meaning, nodes)
-    read = F.from_json("context", "struct<relevant_graphs:array<string>,relevant_passages:array<string>,seed_nodes:array<string>,query_timestamp:struct<start:string,end:string>>")
-    out = out.select("question_id", read.alias("c"))
+    told = None
+    if sentences:
+        lines = line_sentences(t)
+        told = retrieval.layer_rankings(q, {"sentences": lines}, 5)["sentences"].join(lines, "item").select("question_id", "rnk", "text")
+    return retrieval.retrieve_temporal(q, names, pairs, times, bridge(t), passages(t), ranks, CONFIG, meaning, named_nodes(t), told)
+
+
+SENTENCES = f"""sd AS MATERIALIZED (SELECT doc, {TOKS} AS w, text FROM (SELECT l_orderkey || ':' || l_linenumber AS doc, min('part ' || l_partkey || ' shipped in ' || year(l_shipdate)) AS text FROM lineitem GROUP BY 1)), sst AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM sd),
+  sdf AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM sd) GROUP BY term), sraw AS MATERIALIZED (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM sdf CROSS JOIN sst), slow AS MATERIALIZED (SELECT 0.25 * avg(raw) AS low FROM sraw),
+  stf AS (SELECT doc, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc, w, unnest(w) AS term FROM sd) SEMI JOIN qt USING (term) GROUP BY ALL),
+  ss AS MATERIALIZED (SELECT question_id, doc, sum(times * (CASE WHEN raw < 0 THEN low ELSE raw END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM stf JOIN qt USING (term) JOIN sraw USING (term) CROSS JOIN slow CROSS JOIN sst GROUP BY ALL),
+  sz AS (SELECT question_id, doc, score FROM ss UNION ALL SELECT question_id, doc, 0 FROM q CROSS JOIN (SELECT doc FROM sd ORDER BY doc LIMIT 5) f WHERE NOT EXISTS (SELECT 1 FROM ss WHERE ss.question_id = q.question_id AND ss.doc = f.doc)),
+  sr AS MATERIALIZED (SELECT question_id, doc, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc) AS rnk FROM sz QUALIFY rnk <= 5)"""
+
+
+@query("retrieve_temporal_views", f"""WITH {TEMPORAL}, {SENTENCES},
+  touched AS (SELECT DISTINCT question_id, id FROM (SELECT question_id, lo AS id FROM e WHERE rnk <= 10 UNION ALL SELECT question_id, hi FROM e WHERE rnk <= 10 UNION ALL SELECT question_id, node FROM seeds)),
+  shown AS (SELECT 'C' || c_custkey AS id, c_name || '/Person+' || c_mktsegment || '//client ' || c_custkey AS view FROM customer WHERE c_custkey % 200 = 0 UNION ALL SELECT 'P' || p_partkey, p_name || '/' || p_type || '+' || p_brand || '/size ' || p_size || '.../part ' || p_partkey FROM part)
+  SELECT a.question_id, (SELECT string_agg(view, ';' ORDER BY EXISTS (SELECT 1 FROM seeds s WHERE s.question_id = t.question_id AND s.node = t.id), t.id) FROM touched t JOIN shown USING (id) WHERE t.question_id = a.question_id) AS nodes,
+    (SELECT string_agg(text, ';' ORDER BY rnk) FROM sr JOIN sd USING (doc) WHERE sr.question_id = a.question_id) AS sentences FROM asked a""")
+def retrieve_temporal_views(t):
+    """The nodes with aliases and the sentences of the same contexts."""
+    read = F.from_json("context", "struct<nodes_alias_information:array<struct<entity:string,types:array<string>,description:string,aliases:array<string>>>,relevant_sentences:array<string>>")
+    view = lambda x: F.concat_ws("/", x["entity"], F.array_join(x["types"], "+"), F.coalesce(x["description"], F.lit("")), F.array_join(x["aliases"], "+"))
+    out = temporal_contexts(t, sentences=True).select("question_id", read.alias("c"))
+    listed = lambda c: F.nullif(F.array_join(c, ";"), F.lit(""))
+    return out.select("question_id", listed(F.transform("c.nodes_alias_information", view)).alias("nodes"), listed("c.relevant_sentences").alias("sentences"))
+
+
+V1 = f"""{BATCH}, inside AS MATERIALIZED (SELECT a.question_id, lo, hi, relation, CASE WHEN relation = 'placed' THEN 'C' ELSE 'O' END AS kind FROM pairs JOIN near_ a ON a.node = lo JOIN near_ b ON b.node = hi AND b.question_id = a.question_id),
+  links AS MATERIALIZED (SELECT question_id, node, passage FROM bridge JOIN near_ USING (node)),
+  {ppr_sql("pp", "SELECT question_id, node FROM near_ UNION SELECT question_id, passage FROM links", "SELECT question_id, lo AS src, hi AS dst, 1.0::DOUBLE AS w FROM inside UNION ALL SELECT question_id, hi, lo, 1.0 FROM inside UNION ALL SELECT question_id, node, passage, 1.0 FROM links UNION ALL SELECT question_id, passage, node, 1.0 FROM links", "FROM seeds")},
+  g AS (SELECT question_id, node AS item, row_number() OVER (PARTITION BY question_id ORDER BY round(x, 12) DESC, node) AS rnk FROM pp WHERE node LIKE 'D%'),
+  f AS (SELECT g.question_id, g.item, 1.0::DOUBLE / (10 + g.rnk) + 1.0::DOUBLE / (10 + coalesce(r.rnk, 1000000)) AS score FROM g LEFT JOIN text_rank r ON r.question_id = g.question_id AND r.item = g.item),
+  o AS MATERIALIZED (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, item) AS rnk FROM f)"""
+
+
+@query("retrieve_v1_context", f"""WITH {V1}, {ppr_sql("pe", "FROM near_", "SELECT question_id, lo AS src, hi AS dst, 1.0::DOUBLE AS w FROM inside UNION ALL SELECT question_id, hi, lo, 1.0 FROM inside", "FROM seeds")},
+  d2 AS (SELECT *, CASE WHEN left(lo, 1) = kind THEN lo ELSE hi END AS src, CASE WHEN left(lo, 1) = kind THEN hi ELSE lo END AS dst FROM inside),
+  tr AS (SELECT question_id, CASE WHEN flip THEN dst ELSE src END AS src, CASE WHEN flip THEN src ELSE dst END AS dst, row_number() OVER (PARTITION BY question_id ORDER BY md5(src || dst), src, dst) AS rnk FROM (SELECT *, substr(md5(dst || src), 1, 1) < '4' AS flip FROM d2)),
+  sem AS (SELECT question_id, src, dst, row_number() OVER (PARTITION BY question_id ORDER BY rnk) AS r FROM tr SEMI JOIN d2 USING (question_id, src, dst)),
+  rk AS (SELECT d2.question_id, lo, hi, relation, lo || '|' || hi AS item, row_number() OVER (PARTITION BY d2.question_id ORDER BY round((a.x + b.x) / 2, 12) DESC, lo || '|' || hi) AS rp, coalesce(sem.r, 1000000) AS rs
+    FROM d2 JOIN pe a ON a.question_id = d2.question_id AND a.node = lo JOIN pe b ON b.question_id = d2.question_id AND b.node = hi LEFT JOIN sem ON sem.question_id = d2.question_id AND sem.src = d2.src AND sem.dst = d2.dst),
+  er AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(1.0::DOUBLE / (10 + rp) + 1.0::DOUBLE / (10 + rs), 12) DESC, item) AS rnk FROM rk),
+  best AS (SELECT * FROM o WHERE rnk <= 10), fin AS (SELECT question_id, item, 1 AS k, rnk FROM best UNION ALL SELECT question_id, item, 0, rnk FROM (SELECT * FROM text_rank WHERE rnk <= 5) SEMI JOIN seeds USING (question_id) ANTI JOIN best USING (question_id, item)
+    UNION ALL SELECT question_id, item, 2, -rnk FROM text_rank ANTI JOIN seeds USING (question_id) WHERE rnk <= 20)
+  SELECT q.question_id, (SELECT string_agg(lo || ' | ' || relation || ' | ' || hi, ';' ORDER BY rnk) FROM er WHERE er.question_id = q.question_id AND rnk <= 10) AS edges, (SELECT string_agg(item, ',' ORDER BY k, rnk) FROM fin WHERE fin.question_id = q.question_id) AS passages FROM q""")
+def retrieve_v1_context(t):
+    """Edges and passages of the contexts without time; triplets are the ball's edges in an order by hash, some turned around."""
+    from pyspark.sql import Window
+
+    q, names, ranks = batch(t)
+    edges = order_edges(t)
+    members = retrieval.around(edges, retrieval.keyword_seeds(q, names), 1)
+    ball = graph.induced(edges.select(F.col("src").alias("lo"), F.col("dst").alias("hi")).distinct(), members)
+    order = Window.partitionBy("question_id").orderBy(F.md5(F.concat("lo", "hi")), "lo", "hi")
+    flip = F.substring(F.md5(F.concat("hi", "lo")), 1, 1) < "4"
+    triplets = ball.select("question_id", F.when(flip, F.col("hi")).otherwise(F.col("lo")).alias("src"), F.when(flip, F.col("lo")).otherwise(F.col("hi")).alias("dst"), F.row_number().over(order).alias("rnk"))
+    read = F.from_json("context", "struct<relevant_graphs:array<string>,relevant_passages:array<string>>")
+    out = retrieval.retrieve_graph(q, names, edges, bridge(t), ranks, triplets, CONFIG).select("question_id", read.alias("c"))
     listed = lambda c, by: F.nullif(F.array_join(c, by), F.lit(""))
-    return out.select("question_id", listed("c.relevant_graphs", ";").alias("edges"), listed("c.relevant_passages", ",").alias("passages"), listed("c.seed_nodes", ",").alias("seeds"), F.col("c.query_timestamp.start").alias("q_start"), F.col("c.query_timestamp.end").alias("q_end"))
+    return out.select("question_id", listed("c.relevant_graphs", ";").alias("edges"), listed("c.relevant_passages", ",").alias("passages"))
 
 
 @query("retrieve_v1_batch", f"""WITH {BATCH}, inside AS MATERIALIZED (SELECT a.question_id, lo, hi FROM pairs JOIN near_ a ON a.node = lo JOIN near_ b ON b.node = hi AND b.question_id = a.question_id),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.temporal import boost, decay, query_interval
 from ..functions.text import fold, intent, labelled, node_view, tokens
-from ..operators import fusion, graph
-from ..operators.matching import longest, word_spans
+from ..operators import bm25, dense, fusion, graph
+from ..operators.matching import longest, substring_spans, word_spans
 from ..operators.resolve import distinct_undirected
 from ..sources.stages import written
 
@@ -50,22 +50,12 @@ def keyword_seeds(questions: DataFrame, names: DataFrame, every: bool = False) -
 
 
 def entity_names(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Names that are contained in the question as they are written.
-
-    A name's folded words, without the first and last (which may be parts of the question's words), meet the question's n-grams in an
-    equi-join; names of one or two words are looked up by their distinct texts against the questions, which are counted. The exact test follows.
-    """
-    inner = F.slice(tokens("name"), 2, F.greatest(F.size(tokens("name")) - 2, F.lit(0)))
-    rows = names.withColumn("_key", F.array_join(inner, " "))
+    """Names that are contained in the question as they are written, within words too: an automaton of the folded names finds where they may be, the exact test follows."""
     asked = questions.select("question_id", "question")
-    hit = F.col("question").contains(F.col("name"))
-    short = rows.where("_key = ''").drop("_key")
-    few = F.broadcast(asked) if asked.count() <= FEW else asked
-    one = short.join(few, hit).select("question_id", "node", "name")
-    keys = rows.where("_key <> ''").select("_key").distinct().withColumnRenamed("_key", "name").withColumn("node", F.col("name"))
-    met = keyword_seeds(asked, keys, every=True).withColumnRenamed("node", "_key")
-    two = rows.where("_key <> ''").join(met, "_key").join(asked, "question_id").where(hit).select("question_id", "node", "name")
-    return one.union(two).distinct()
+    rows = names.where("name IS NOT NULL AND name <> ''").withColumn("label", fold("name"))
+    found = substring_spans(asked.select(F.col("question_id").alias("text_id"), F.col("question").alias("text")), rows)
+    met = found.select(F.col("text_id").alias("question_id"), "label").distinct().join(rows, "label").join(asked, "question_id")
+    return met.where(F.col("question").contains(F.col("name"))).select("question_id", "node", "name").distinct()
 
 
 def resolved_names(asked: DataFrame, names: DataFrame) -> DataFrame:
@@ -223,7 +213,7 @@ def entity_passages(named: DataFrame, bridge: DataFrame, hybrid: DataFrame, k: i
 
 
 def contexts(edges: DataFrame, seeds: DataFrame, passages: DataFrame, questions: DataFrame, nodes: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
-    """One row a question: a JSON context of its labelled edges, the nodes among them that have aliases (seeds last), seeds, passages, sentences and time.
+    """One row a question: a JSON context of its labelled edges, the nodes among them that have aliases (seeds last), seeds, passages, sentences and, if questions have one, time.
 
     passages (question_id, passages array), sentences (question_id, rnk, text), nodes (id, name, type, description, aliases); without nodes ids stand for labels.
     """
@@ -245,8 +235,9 @@ def contexts(edges: DataFrame, seeds: DataFrame, passages: DataFrame, questions:
         told = sentences.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "text"))), lambda x: x["text"]).alias("relevant_sentences"))
         rows = rows.join(told, "question_id", "left")
         parts.append(F.coalesce("relevant_sentences", none).alias("relevant_sentences"))
-    period = F.struct(F.col("q_start").alias("start"), F.col("q_end").alias("end"))
-    return rows.select("question_id", F.to_json(F.struct(*parts, period.alias("query_timestamp"))).alias("context"))
+    if "q_start" in questions.columns:
+        parts.append(F.struct(F.col("q_start").alias("start"), F.col("q_end").alias("end")).alias("query_timestamp"))
+    return rows.select("question_id", F.to_json(F.struct(*parts)).alias("context"))
 
 
 def with_texts(ordered: DataFrame, passages: DataFrame) -> DataFrame:
@@ -286,11 +277,8 @@ def retrieve_temporal(questions: DataFrame, names: DataFrame, pairs: DataFrame,
     return contexts(edges, seeds, ordered, asked, nodes, sentences)
 
 
-def retrieve(questions: DataFrame, names: DataFrame, pairs: DataFrame, bridge: DataFrame, hybrid: DataFrame, config: Config = Config()) -> DataFrame:
-    """The path without time: question_id, item, rnk of passages; unweighted PageRank fused with the text ranking."""
-    seeds = written(keyword_seeds(questions, names), "seeds")
-    members = written(around(pairs, seeds, 1), "members")
-    inside = between(pairs, members).withColumn("w", F.lit(1.0))
+def untimed_passages(questions: DataFrame, seeds: DataFrame, members: DataFrame, inside: DataFrame, bridge: DataFrame, hybrid: DataFrame, config: Config) -> DataFrame:
+    """question_id, item, rnk: passages of the ball by unweighted PageRank fused with the text ranking; questions without seeds get the text ranking's first, the worst first."""
     linked = bridge.join(members, "node")
     places = linked.select("question_id", F.col("passage").alias("node")).distinct()
     scores = pagerank(graph.augmented(inside, linked), members.unionByName(places), seeds, config)
@@ -301,3 +289,50 @@ def retrieve(questions: DataFrame, names: DataFrame, pairs: DataFrame, bridge: D
     lacking = questions.select("question_id").join(seeds.select("question_id").distinct(), "question_id", "left_anti")
     alone = fallback_passages(hybrid, config.passage_top_k).join(lacking, "question_id", "left_semi")
     return found.unionByName(alone.select("question_id", "item", F.col("place").alias("rnk")))
+
+
+def retrieve(questions: DataFrame, names: DataFrame, pairs: DataFrame, bridge: DataFrame, hybrid: DataFrame, config: Config = Config()) -> DataFrame:
+    """The path without time: question_id, item, rnk of passages; unweighted PageRank fused with the text ranking."""
+    seeds = written(keyword_seeds(questions, names), "seeds")
+    members = written(around(pairs, seeds, 1), "members")
+    inside = between(pairs, members).withColumn("w", F.lit(1.0))
+    return untimed_passages(questions, seeds, members, inside, bridge, hybrid, config)
+
+
+def retrieve_graph(questions: DataFrame, names: DataFrame, edges: DataFrame, bridge: DataFrame, hybrid: DataFrame, triplets: DataFrame, config: Config = Config(), nodes: DataFrame | None = None, passages: DataFrame | None = None) -> DataFrame:
+    """The path without time, with the graph's part of the context: question_id, context.
+
+    edges (src, dst, relation, pos, ...), triplets (question_id, src, dst, rnk) as a text or vector ranking orders them: those that are edges of the ball in their own
+    direction are fused with the ends' mean PageRank; the rest as in `retrieve`. Questions without an entity get passages alone.
+    """
+    seeds = written(keyword_seeds(questions, names), "seeds")
+    members = written(around(edges, seeds, 1), "members")
+    inside = written(between(edges.withColumn("from", F.col("src")), members).drop("pos").withColumn("w", F.lit(1.0)), "inside")
+    scores = written(pagerank(graph.arcs(inside, "w"), members, seeds, config), "scores")
+    forth = F.col("from") == F.col("lo")
+    directed = inside.select("question_id", F.col("from").alias("src"), F.when(forth, F.col("hi")).otherwise(F.col("lo")).alias("dst"))
+    meant = fusion.oriented_edge_rank(triplets, directed).select("question_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "rnk")
+    best = ranked_edges_two_way(inside, scores, meant, config)
+    found = written(untimed_passages(questions, seeds, members, inside, bridge, hybrid, config), "found")
+    seeded = seeds.select("question_id").distinct()
+    ordered = final_passages(found.join(seeded, "question_id", "left_semi"), hybrid.join(seeded, "question_id", "left_semi"), config.similarity_passage_top_k)
+    alone = found.join(seeded, "question_id", "left_anti").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "item"))), lambda x: x["item"]).alias("passages"))
+    ordered = ordered.unionByName(alone)
+    return contexts(best, seeds, ordered if passages is None else with_texts(ordered, passages), questions, nodes)
+
+
+def layer_rankings(questions: DataFrame, layers: dict[str, DataFrame], k: int, vectors: dict[str, DataFrame] | None = None, asked: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The first k of each layer for each question: layers by name (item, text), such as passages, sentences, triplets and ontology strings.
+
+    By BM25; a layer with vectors (item, embedding) by its fusion with the nearest vectors of asked (question_id, query). No ranking is made whole.
+    """
+    out = {}
+    for name, rows in layers.items():
+        index = bm25.build(rows, "item", "text")
+        first = bm25.ranking(bm25.scores(index, questions, "question_id", "question"), questions, rows, "question_id", "item")
+        if vectors and name in vectors:
+            chunks = vectors[name].select(F.col("item").alias("chunk"), F.col("item").alias("doc"), "embedding")
+            out[name] = fusion.rrf_top([first, dense.ranking(chunks, asked)], k).select("question_id", "item", "rnk")
+        else:
+            out[name] = first.top(k).select("question_id", "item", "rnk")
+    return out

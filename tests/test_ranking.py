@@ -64,3 +64,37 @@ def test_rows_are_numbered_in_order(spark):
     rows = spark.createDataFrame([(x,) for x in random.Random(4).sample(range(10_000), 500)], "x int").repartition(7)
     got = fusion.in_order(rows, ["x"]).orderBy("number").collect()
     assert [r["number"] for r in got] == list(range(1, 501)) and [r["x"] for r in got] == sorted(r["x"] for r in got)
+
+
+def test_layers_are_ranked_by_words_and_by_vectors(spark):
+    from tessera.plans import retrieval
+
+    asked = spark.createDataFrame([(1, "red fox"), (2, "nothing")], "question_id int, question string")
+    sentences = spark.createDataFrame([("a", "the red fox"), ("b", "a fox"), ("c", "blue"), ("d", "green"), ("e", "grey")], "item string, text string")
+    triplets = spark.createDataFrame([("t1", "fox|is|red"), ("t2", "sky|is|blue"), ("t3", "sea|is|blue")], "item string, text string")
+    vectors = {"triplets": spark.createDataFrame([("t1", [0.0]), ("t2", [5.0]), ("t3", [9.0])], "item string, embedding array<double>")}
+    points = spark.createDataFrame([(1, [9.0]), (2, [5.0])], "question_id int, query array<double>")
+    got = retrieval.layer_rankings(asked, {"sentences": sentences, "triplets": triplets}, 3, vectors, points)
+    listed = lambda df: {q: [r.item for r in sorted(df.collect(), key=lambda r: r.rnk) if r.question_id == q] for q in (1, 2)}
+    assert listed(got["sentences"]) == {1: ["a", "b", "c"], 2: ["a", "b", "c"]}
+    # 1 + 1/3 is as good as 1/3 + 1: ties go to the ranking by words. Without a word in common that ranking is the ids' order.
+    assert listed(got["triplets"]) == {1: ["t1", "t3", "t2"], 2: ["t2", "t1", "t3"]}
+
+
+def test_contexts_without_time_have_the_graph(spark):
+    import json
+
+    from tessera.plans import retrieval
+
+    asked = spark.createDataFrame([(1, "Where is Ada?"), (2, "Nobody")], "question_id int, question string")
+    nodes = spark.createDataFrame([("1", "Ada", ["P"], "", ["A."]), ("2", "Bob", ["P"], "", None), ("3", "Cy", ["P"], "", None)], "id string, name string, type array<string>, description string, aliases array<string>")
+    edges = spark.createDataFrame([("1", "2", "knows", 1), ("3", "1", "likes", 2), ("2", "3", "far", 3)], "src string, dst string, relation string, pos int")
+    bridge = spark.createDataFrame([("p", "1"), ("r", "3")], "passage string, node string")
+    hybrid = spark.createDataFrame([(q, x, k + 1) for q in (1, 2) for k, x in enumerate("pqr")], "question_id int, item string, rnk int")
+    triplets = spark.createDataFrame([(1, "1", "3", 1), (1, "1", "2", 2)], "question_id int, src string, dst string, rnk int")
+    out = retrieval.retrieve_graph(asked, nodes.selectExpr("id AS node", "name"), edges, bridge, hybrid, triplets, nodes=nodes)
+    got = {r.question_id: json.loads(r.context) for r in out.collect()}
+    assert set(got[1]["relevant_graphs"]) == {"Ada (P) | knows | Bob (P)", "Ada (P) | likes | Cy (P)", "Bob (P) | far | Cy (P)"}
+    assert got[1]["relevant_graphs"][0] == "Ada (P) | knows | Bob (P)" and "query_timestamp" not in got[1]
+    assert [n["entity"] for n in got[1]["nodes_alias_information"]] == ["Ada"] and set(got[1]["relevant_passages"]) == {"p", "q", "r"}
+    assert got[2]["relevant_graphs"] == [] and got[2]["relevant_passages"] == ["r", "q", "p"]
