@@ -52,7 +52,7 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 SPACED = {"br", "td", "th"}
 OFF = set("nav footer aside form script style noscript template iframe object svg canvas button select dialog head menu fieldset audio video map textarea title".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form", "note"}
-#: Words that name boilerplate wherever they stand in a class or id.
+#: Words that name boilerplate in a class or id, alone or beside general words; beside others (as in related-work) within an article they are doubtful, elsewhere they still do.
 HARD = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dropdown footer gdpr "
     "login masthead menu menubar modal nav navbar navigation newsletter overlay pager pagination popup promo promotion recommended related sharing sidebar sidenav signup social "
@@ -61,19 +61,21 @@ HARD = set(
 #: Words that name boilerplate alone or beside general words (as in share-buttons), but may name text beside others (share-price).
 SOFT = set("copyright disclaimer form header hidden notice notices notification reply respond response responses search share skip tags toc".split())
 GENERAL = set("area bar block body bottom box button buttons col column container content field group icon icons inner item items left line link links list main outer page panel right row section site text title top wrap wrapper".split())
+#: More words that only say what kind of boilerplate it is.
+BESIDE = set("articles count feed media network now posts slot stories unit us".split())
 MAIN = {"article", "main"}
 #: Words that, alone or beside general words, name the content of a page without an article or main element.
 CONTENT = {"article", "content", "entry", "main", "post", "story"}
 WORD = re.compile(r"[a-z]+")
 
-DROP, OPEN, TEXT, MAYBE, DOUBT = 0, 1, 2, 3, 4
+DROP, OPEN, TEXT, MAYBE, DOUBT, NAMED = 0, 1, 2, 3, 4, 5
 
 
 def named_kind(token: str, main: bool) -> int | None:
-    """What one class or id says: DROP, DOUBT, MAYBE, or nothing."""
+    """What one class or id says: DROP, DOUBT, NAMED (doubtful in an article, else DROP), MAYBE, or nothing."""
     words = WORD.findall(token)
     if HARD.intersection(words[:1] if main else words):
-        return DROP
+        return DROP if (HARD | SOFT | GENERAL | BESIDE).issuperset(words) else NAMED
     if SOFT.intersection(words):
         return DROP if SOFT.union(GENERAL).issuperset(words) else DOUBT
     return MAYBE if CONTENT.intersection(words) and CONTENT.union(GENERAL).issuperset(words) else None
@@ -95,11 +97,13 @@ def element_kind(name: str, attributes: str, inside: int) -> int:
                 main |= value in ("main", "article")
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return DROP
+    if NAMED in said and not main and inside not in (TEXT, DOUBT):
+        said.add(DROP)
     if DROP in said and not (name == "header" and inside != OPEN):
         return DROP
     if main:
         return TEXT
-    if inside == TEXT and DOUBT in said:
+    if inside == TEXT and (DOUBT in said or NAMED in said):
         return DOUBT
     return MAYBE if inside == OPEN and MAYBE in said else inside
 

@@ -207,6 +207,18 @@ def test_html_extract(spark):
     assert html_extract.extract(df.union(df)).count() == 20 and html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_beside_other_words_are_text_of_an_article():
+    """Names that only look like boilerplate within an article are kept; outside of one, and alone, they are boilerplate."""
+    names = ("section class='related-work'", "p class='comment-on-policy'", "div id='social-contract'", "div class='widget-theory'", "div class='share-price'")
+    inside = "".join(f"<{x}>kept {k}</{x.split()[0]}>" for k, x in enumerate(names))
+    junk = "".join(f"<div class='{x}'>gone</div>" for x in ("ad", "ad-slot-3", "related-posts", "comment-list", "social-links", "widget_area", "share-buttons"))
+    page = f"<body><div class='related-work'>gone</div><article>{junk}<p>first</p>{inside}</article></body>"
+    assert html_extract.page_text(html_extract.blocks(page), np.zeros(99, bool)) == "\n".join(["first", *(f"kept {k}" for k in range(len(names)))])
+    # A reader's comment marked up as an article is none; an article about comments is.
+    two = "<article class='comment'>gone</article><article class='comment-on-policy'><p>kept</p></article>"
+    assert html_extract.page_text(html_extract.blocks(two), np.zeros(9, bool)) == "kept"
+
+
 def test_html_names():
     page = '<article class="post"><div class="article-header"><h1>Real title</h1></div><p class="share-price">12.50</p><div class="share-buttons">tweet</div><div class="search-results">found</div><section class="comment-list">me</section><div class="notice">mind</div></article>'
     found = html_extract.blocks(page)
