@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import repaired_json
 from .ledger import ask, tried
+from .linking import entity_names, keyword_seeds
 
 #: (system, user, schema) to (answer text, prompt tokens, completion tokens).
 Model = Callable[[str, str, str | None], tuple[str | None, int, int]]
@@ -48,8 +49,6 @@ def linked_entities(questions: DataFrame, listed: DataFrame, model: Model | None
     """(question_id, name) of the entities a question names: by a model that sees the question and listed (question_id, rnk, ontology), `$` signs gone;
     without one the names (node, name) that occur in the question as words or as written."""
     if model is None:
-        from ..plans.retrieval import entity_names, keyword_seeds
-
         found = keyword_seeds(questions, names).join(names, "node").select("question_id", "name")
         return found.union(entity_names(questions, names).select("question_id", "name")).distinct()
     lines = listed.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "ontology"))), lambda x: x["ontology"]), "\n").alias("_lines"))

@@ -1,5 +1,7 @@
 """The staged build: extraction, alignment and embedding as stage tables; a later run resumes at the first missing one.
 
+A stage is taken as it is only if it was made from the same input: documents that were added make its table anew. With a ledger their texts alone go to the model.
+
 `python -m tessera.plans.staged --stage all --documents docs.json --out folder` runs it; models are given by `--model module:function`.
 """
 
@@ -9,6 +11,7 @@ import argparse
 import importlib
 import logging
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.text import entity_description
 from ..operators import build, dense, plugins, resolve
 from ..operators.plugins import Model
-from ..sources import files
-from ..sources.stages import stage
+from ..sources import files, stages
+from ..sources.stages import fingerprint
 
 STAGES = ("er", "debug_er", "align", "embed", "all")
 log = logging.getLogger("tessera")
@@ -25,8 +28,9 @@ log = logging.getLogger("tessera")
 
 def extract(spark: SparkSession, docs: DataFrame, out: str, model: Model, **how) -> DataFrame:
     """Stage er: docs (doc, pos, text) with their entity layers, and the calls' token counts beside them."""
-    rows = stage(spark, f"{out}/extraction", lambda: build.extracted(plugins.extraction(docs, model, **how)))
-    stage(spark, f"{out}/usage", lambda: plugins.usage(rows))
+    key = fingerprint(docs)
+    rows = stages.stage(spark, f"{out}/extraction", lambda: build.extracted(plugins.extraction(docs, model, **how)), key)
+    stages.stage(spark, f"{out}/usage", lambda: plugins.usage(rows), key)
     return rows
 
 
@@ -38,7 +42,7 @@ def repair(spark: SparkSession, out: str, model: Model, **how) -> DataFrame:
         bad = build.bad_rows(rows).select("doc", "pos", "text")
         return build.repaired(rows, build.extracted(plugins.extraction(bad, model, **how)))
 
-    return stage(spark, f"{out}/repaired", again)
+    return stages.stage(spark, f"{out}/repaired", again, fingerprint(rows))
 
 
 def align(spark: SparkSession, rows: DataFrame, out: str, embedder: Callable | None = None, model: Model | None = None, eps: float = 0.5, most: int = 100) -> dict[str, DataFrame]:
@@ -46,7 +50,9 @@ def align(spark: SparkSession, rows: DataFrame, out: str, embedder: Callable | N
 
     Without an embedder nothing is similar; without a model clusters whose nodes share all types are one.
     """
-    graph = build.single_pass(rows.select("doc", "pos", "text", "entity_layer"), aliases=True)
+    rows = rows.select("doc", "pos", "text", "entity_layer")
+    stage = partial(stages.stage, inputs=fingerprint(rows))
+    graph = build.single_pass(rows, aliases=True)
 
     def numbered(name: str, nodes: Callable[[], DataFrame], edges: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
         """Two stage tables whose ids are 1..n in the order of positions."""
@@ -120,7 +126,7 @@ def embed(spark: SparkSession, rows: DataFrame, out: str, embedder: Callable, ce
         vectors = plugins.embed(chunks, embedder).drop("text")
         return dense.cells(vectors, cells)[0] if cells else vectors
 
-    return stage(spark, f"{out}/chunks", made)
+    return stages.stage(spark, f"{out}/chunks", made, fingerprint(rows))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -129,6 +135,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--documents", required=True, help="JSON array of title and content")
     parser.add_argument("--out", required=True, help="folder of the stage tables, shared by all executors")
     parser.add_argument("--model", help="module:function that answers (system, user, schema)")
+    parser.add_argument("--ledger", help="folder of answers that are not asked for again; by default beside the stage tables")
     parser.add_argument("--embedder", help="module:function from texts to vectors")
     options = parser.parse_args(argv)
     if options.model is None and options.stage in ("er", "debug_er", "all"):
@@ -138,7 +145,7 @@ def main(argv: list[str] | None = None) -> None:
     def named(x: str | None):
         return getattr(importlib.import_module(x.partition(":")[0]), x.partition(":")[2]) if x else None
 
-    model, embedder = named(options.model), named(options.embedder)
+    model, embedder, ledger = named(options.model), named(options.embedder), options.ledger or f"{options.out}/ledger"
     spark = SparkSession.builder.getOrCreate()
     docs = files.titled_documents(spark, options.documents)
     docs = docs.select(F.sha2(F.concat_ws("\n", "title", "content"), 256).alias("doc"), "title", F.col("content").alias("text")).dropDuplicates(["doc"]).withColumn("pos", F.col("doc"))
@@ -146,9 +153,9 @@ def main(argv: list[str] | None = None) -> None:
     for name in wanted:
         log.info("stage %s", name)
         if name == "er":
-            extract(spark, docs, options.out, model)
+            extract(spark, docs, options.out, model, ledger=ledger, name=options.model)
         elif name == "debug_er":
-            repair(spark, options.out, model)
+            repair(spark, options.out, model, ledger=ledger, name=f"{options.model} again")
         elif name == "align":
             align(spark, spark.read.parquet(f"{options.out}/repaired"), options.out, embedder, model)
         elif embedder is not None:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +53,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at path if it is complete, else made, written and read: a later run resumes at the first missing stage."""
+def fingerprint(df: DataFrame) -> str:
+    """What a table holds, whatever its rows' order: their number and the sum of their hashes."""
+    row = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+    n, total = df.agg(F.count(F.lit(1)), F.sum(row)).first()
+    return f"{n}-{total or 0}"
+
+
+def inputs_of(spark: SparkSession, path: str) -> str:
+    """What the stage at path was made from, as it was told; empty if it was not."""
+    there, files = _path(spark, f"{path}/_inputs")
+    if not files.exists(there):
+        return ""
+    stream = files.open(there)
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def stage(spark: SparkSession, path: str, make, inputs: str = "") -> DataFrame:
+    """The table at path if it is complete and was made from the same inputs (a fingerprint), else made, written and read: a later run resumes at the first missing stage."""
     done, files = _path(spark, f"{path}/_SUCCESS")
-    if not files.exists(done):
+    if not files.exists(done) or inputs_of(spark, path) != inputs:
         make().write.mode("overwrite").parquet(path)
+        if inputs:
+            stream = files.create(_path(spark, f"{path}/_inputs")[0])
+            stream.writeUTF(inputs)
+            stream.close()
     return spark.read.parquet(path)

@@ -182,7 +182,9 @@ def test_long_labels_and_names_link(spark):
     assert sorted(map(tuple, resolve.link_labels(texts, labels).collect())) == [(1, 0, 2), (1, 1, 2), (1, 2, 1), (2, 0, 1)]
     asked = texts.withColumnsRenamed({"text_id": "question_id", "text": "question"})
     names = labels.withColumnsRenamed({"label": "name", "id": "node"})
-    assert sorted(map(tuple, retrieval.keyword_seeds(asked, names).collect())) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert sorted(map(tuple, retrieval.keyword_seeds(asked, names, every=True).collect())) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    # The short name within the long ones is covered by them.
+    assert sorted(map(tuple, retrieval.keyword_seeds(asked, names).collect())) == [(1, 1), (1, 2), (2, 0)]
     assert retrieval.keyword_seeds(asked, names.limit(0)).count() == 0
 
 

@@ -71,3 +71,34 @@ def test_what_is_made_once_a_worker(spark, tmp_path):
     for _ in range(2):
         assert plugins.embed(rows, embedder).agg(F.sum(F.col("embedding")[0])).first()[0] == sum(k % 9 for k in range(400))
     assert len(open(made).readlines()) <= 8  # tasks: 80
+
+
+def test_documents_are_added_without_asking_again(spark, tmp_path):
+    """A build whose documents grow equals one of all documents, and asks for the new ones alone."""
+    from tessera.plans import staged
+
+    def model(system, user, schema):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(f"{user}\n")
+        nodes = ", ".join(f'{{"id": "{w}", "name": "{w}", "type": ["P"], "description": "", "aliases": [], "is_temporal_entity": false, "valid_time": {{"start": "", "end": ""}}}}' for w in user.strip(".").split(" met "))
+        return f'{{"nodes": [{nodes}], "edges": []}}', 1, 1
+
+    docs = [("a", 1, "Ada met Bob."), ("b", 2, "Bob met Cy."), ("c", 3, "Cy met Ada."), ("d", 4, "Di met Bob.")]
+    table = lambda n: spark.createDataFrame(docs[:n], "doc string, pos int, text string")
+    grown = str(tmp_path / "grown")
+    for n in (2, 2, 4):
+        rows = staged.extract(spark, table(n), grown, model, ledger=str(tmp_path / "ledger"))
+        got = staged.align(spark, rows, grown)
+    assert len(open(tmp_path / "asked").readlines()) == 4
+    whole = staged.align(spark, staged.extract(spark, table(4), str(tmp_path / "whole"), model), str(tmp_path / "whole"))
+    names = lambda x: sorted((r["name"], r["id"]) for r in x["nodes"].collect())
+    links = lambda x: sorted(map(tuple, x["links"].collect()))
+    assert names(got) == names(whole) and links(got) == links(whole) and [n for n, _ in names(got)] == ["Ada", "Bob", "Cy", "Di"]
+
+
+def test_fingerprints_tell_tables_apart(spark):
+    from tessera.sources.stages import fingerprint
+
+    a = spark.createDataFrame([(1, {"k": "v"}), (2, None)], "x int, m map<string,string>")
+    assert fingerprint(a) == fingerprint(a.orderBy("x", ascending=False).repartition(3)) != fingerprint(a.limit(1))
+    assert fingerprint(a.limit(0)) == "0-0"
