@@ -47,16 +47,13 @@ def parse_lenient(text, today=None) -> Column:
 
 def month_number(name) -> Column:
     """1 to 12 of a month's name, whole or cut to three letters or more; null of other words."""
-    low = F.lower(col(name))
-    out = F.lit(None).cast("int")
-    for k, month in reversed(list(enumerate(MONTHS))):
-        out = F.when((F.length(low) >= 3) & F.lit(month).startswith(low), k + 1).otherwise(out)
-    return out
+    known = {month[:n]: k + 1 for k, month in enumerate(MONTHS) for n in range(3, len(month) + 1)}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.lower(col(name)))
 
 
 def _made(year, month, day) -> Column:
-    whole = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(whole, F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date"))
+    """A date; a part that is null is written as null, which is no date."""
+    return F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
 
 
 def date_forms(text, today=None) -> list[Column]:

@@ -175,7 +175,8 @@ def date_forms(t):
     text = F.when(k == 12, F.date_format(d, "MMMM yyyy")).when(k == 13, F.lit("Yesterday")).when(k == 14, F.lit("3 weeks ago")).when(k == 15, F.lit("last year")).when(k == 16, F.lit("32 March 2019")).otherwise(F.lit("Mayhem 3, 2019"))
     for n, form in enumerate(FORMS):
         text = F.when(k == n, F.date_format(d, form)).otherwise(text)
-    return t.orders.select("o_orderkey", T.parse_lenient(text, F.to_date(d)).cast("string").alias("day"))
+    rows = t.orders.select("o_orderkey", F.to_date(d).alias("today"), text.alias("x"))
+    return rows.select("o_orderkey", T.parse_lenient("x", "today").cast("string").alias("day"))
 
 
 PERIOD_QUESTIONS = [(k, f"{1995 + k}-03-01", f"{1995 + k}-04-15") for k in range(6)]
