@@ -53,7 +53,8 @@ def build(docs: DataFrame, doc: str = "doc", text: str = "text", epsilon: float
 def scores(index: Index, questions: DataFrame, question: str = "question_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """question_id, doc, score of documents that share a token; a repeated query token counts again.
 
-    Terms that no question has leave before they are counted; a document's terms are counted within its task.
+    Terms that no question has leave before they are shuffled. Hits are dealt by document once: counts of terms and sums of scores need no other exchange,
+    as long as the questions' terms, which are counted, can be broadcast.
     """
     asked = questions.select(F.col(question).alias("question_id"), F.explode(tokens(text)).alias("term"))
     asked = asked.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -61,8 +62,8 @@ def scores(index: Index, questions: DataFrame, question: str = "question_id", te
     terms = asked.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= FEW else terms
     hits = index.tokens.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    hits = hits.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    hits = hits.join(asked, "term").join(F.broadcast(index.stats.withColumn("_k", F.lit(0))), F.lit(0) == F.col("_k"))
+    hits = hits.repartition("doc").groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = hits.join(F.broadcast(asked) if asked.count() <= FEW else asked, "term").join(F.broadcast(index.stats.withColumn("_k", F.lit(0))), F.lit(0) == F.col("_k"))
     dl = F.col("dl") / F.col("avgdl")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl))
     return hits.groupBy("question_id", "doc").agg(F.sum(part).alias("score"))

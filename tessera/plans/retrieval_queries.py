@@ -180,8 +180,19 @@ def hybrid(t):
     return fusion.rrf_sum([first, second])
 
 
+#: Pairs of question and document that are ranked whole; beyond, no ranking is.
+WHOLE = 5_000_000
+
+
 def hybrid_top(t, limit: int):
-    """The first rows of the same, without any ranking made whole."""
+    """The first rows of the same. Of many pairs of question and document (both are counted) no ranking is made whole; few are sorted sooner than looked up."""
+    if t.benchmark.count() * t.documents.count() <= WHOLE:
+        return hybrid(t).where(F.col("rnk") <= limit)
+    return hybrid_looked_up(t, limit)
+
+
+def hybrid_looked_up(t, limit: int):
+    """The same rows from the first of each ranking and the ranks of a few more items."""
     first = bm25.ranking(bm25_scores(t), t.benchmark, t.documents, "item_id", "doc_id")
     query_vectors = t.benchmark.join(t.embeddings, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("question_id"), F.col("embedding").alias("query"))
     aligned = whole(t).join(t.documents.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
@@ -193,6 +204,12 @@ def hybrid_rrf(t):
     return hybrid_top(t, 50).select("question_id", "item", F.round("score", 9).alias("score"), "rnk")
 
 
+@query("hybrid_looked_up", f"WITH {BM}, {FULL}, {HYBRID} SELECT question_id, item, round(score, 9) AS score, rnk FROM hybrid WHERE rnk <= 50")
+def hybrid_looked_up_50(t):
+    """The path of large tables, whatever the size."""
+    return hybrid_looked_up(t, 50).select("question_id", "item", F.round("score", 9).alias("score"), "rnk")
+
+
 @query("hybrid_passages_top20", f"WITH {BM}, {FULL}, {HYBRID} SELECT question_id, item, rnk, md5(text) AS digest FROM hybrid JOIN documents ON doc_id = item WHERE rnk <= 20")
 def hybrid_passages_top20(t):
     best = hybrid_top(t, 20)
