@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 FIRST, LAST = "0001-01-01", "9999-12-31"
 #: Levels of the tree, 2 bits of a day's number each: 4 ** 11 days are over 11,000 years.
 LEVELS, BITS = 11, 2
+#: Questions that are sent to all tasks.
+FEW = 20_000
 
 
 def day(text: str | Column) -> Column:
@@ -52,16 +54,18 @@ def cover(low: Column, high: Column) -> Column:
 def overlapping_pairs(left: DataFrame, right: DataFrame, left_days: tuple[str, str], right_days: tuple[str, str]) -> DataFrame:
     """Rows of left and right (whose columns have other names) whose periods, pairs of day numbers without nulls, share a day.
 
-    Periods that end before they begin meet those that hold both days. Every pair is kept once; equal rows make pairs each.
+    Periods that end before they begin meet those that hold both days. Every pair is kept once; equal rows make pairs each. The right is counted: if it
+    is small it goes to the left's tasks, else both are shuffled. The left, whose nodes are many times its file's size, is never broadcast.
     """
     (a, b), (c, d) = left_days, right_days
     # Which levels the right's covers have: a few numbers, so that the left's days climb to those alone.
     levels = right.agg(F.sort_array(F.collect_set(F.floor(F.log2(F.greatest(F.col(d) - F.col(c) + 1, F.lit(1))) / BITS).cast("int")))).first()[0] or []
     high = max(levels, default=0)
+    beside = F.broadcast if right.count() <= FEW else lambda df: df.hint("merge")
     exact = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b))
-    one = left.withColumn("_node", F.explode(cover(F.col(a), F.col(b)))).join(right.withColumn("_node", F.explode(ancestors(F.col(c), list(range(LEVELS))))), "_node").where(exact)
+    one = left.withColumn("_node", F.explode(cover(F.col(a), F.col(b)))).join(beside(right.withColumn("_node", F.explode(ancestors(F.col(c), list(range(LEVELS)))))), "_node").where(exact)
     later = right.withColumn("_node", F.explode(cover(F.col(c) + 1, F.col(d))))
-    two = left.withColumn("_node", F.explode(ancestors(F.col(a), list(range(min(high, LEVELS - 1) + 1))))).join(later, "_node").where(exact)
+    two = left.withColumn("_node", F.explode(ancestors(F.col(a), list(range(min(high, LEVELS - 1) + 1))))).join(beside(later), "_node").where(exact)
     return one.unionByName(two).drop("_node")
 
 
@@ -79,4 +83,5 @@ def overlapping(questions: DataFrame, rows: DataFrame, start: str = "start", end
     out = overlapping_pairs(timed, known, ("_a", "_b"), ("_c", "_d"))
     always = rows.where(begins.isNull()).select(F.struct("*").alias("_row"), F.lit(0).alias("_k"))
     unknown = questions.where(asked.isNull()).select(F.struct("*").alias("_asked"), F.lit(0).alias("_k"))
+    unknown = F.broadcast(unknown) if unknown.count() <= FEW else unknown.hint("merge")
     return out.select("_row.*", "_asked.*").unionByName(always.join(unknown, "_k").select("_row.*", "_asked.*"))

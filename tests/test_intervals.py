@@ -61,3 +61,18 @@ def test_filter_needs_no_window(spark):
     assert [r["id"] for r in whole.collect()] == ["b"] and whole.columns == rows.columns
     assert "Window" not in whole._jdf.queryExecution().toString()
     assert graph.time_filter(rows.limit(0), ["q"], "start", "end", F.lit("2004"), F.lit("2006")).count() == 0
+
+
+def test_rows_are_never_broadcast(spark):
+    """A small file of rows whose nodes are many: the questions go to the rows, or both are shuffled."""
+    table, asked = spark.createDataFrame(periods(50, 4), ROWS).limit(50), spark.createDataFrame(periods(5, 5), ASKED)
+    few = intervals.FEW
+    try:
+        for intervals.FEW, sides in ((few, {"BuildRight"}), (0, set())):
+            plan = intervals.overlapping(asked, table)._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+            assert {side for x in joins for side in ("BuildLeft", "BuildRight") if side in x} == sides
+            got = intervals.overlapping(asked, table).select("id", "question_id").collect()
+            assert sorted(map(tuple, got)) == plain(periods(50, 4), periods(5, 5))
+    finally:
+        intervals.FEW = few
