@@ -199,6 +199,19 @@ def test_merge_keeps_every_column_of_the_base(spark):
     assert got["9"].properties is None and got["9"].aliases == []
 
 
+def test_merge_of_many_members_is_not_quadratic(spark):
+    """One base of 20,000 members, with a property of each and one that all have."""
+    import time
+
+    k = F.col("pos")
+    nodes = spark.range(20_000).select(F.format_string("%05d", "id").alias("id"), F.col("id").alias("pos"), F.lit("n").alias("name"), F.array(F.lit("T")).alias("type"), F.lit(None).cast("array<string>").alias("aliases"), F.lit("").alias("description"))
+    nodes = nodes.withColumn("properties", F.create_map(F.lit("kept"), k.cast("string"), F.concat(F.lit("own"), k), F.lit("x")))
+    mapping = nodes.select(F.col("id").alias("member"), F.lit("00000").alias("base"))
+    began = time.time()
+    one = resolve.merge_nodes(nodes, mapping).select(F.size(F.map_keys("properties")).alias("n"), F.col("properties")["kept"].alias("kept"), F.map_keys("properties")[2].alias("third")).collect()
+    assert [tuple(r) for r in one] == [(20_001, "0", "own1")] and time.time() - began < 60
+
+
 def test_merge_counts_null_types_as_empty(spark):
     nodes = spark.createDataFrame([("1", 1, "Ada", None, None, "x"), ("2", 2, "Ada", ["T"], None, "y"), ("3", 3, "Bo", None, None, None)], "id string, pos int, name string, type array<string>, aliases array<string>, description string")
     mapping = spark.createDataFrame([("2", "1")], "member string, base string")
