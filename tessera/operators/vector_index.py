@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.stages import written
-from .dense import dot, doubles, squared_distance
+from .dense import dot, doubles, nearest, squared_distance
 
 METRICS = ("l2", "ip")
-#: Cells at most: their centres, counts and radii are read by the driver. Vectors that the fit takes for each cell. Pairs of query and cell that are broadcast.
-MOST_CELLS, SAMPLE, FEW = 4096, 64, 100_000
+#: Cells at most: their centres, counts and radii are read by the driver. Vectors that the fit takes for each cell.
+MOST_CELLS, SAMPLE = 4096, 64
 #: Distances are compared as they are shown, to six digits.
 ROUNDING = 1e-6
 
@@ -96,13 +96,11 @@ class Index:
             best = -(dot("query", "centre") + F.sqrt(dot("query", "query")) * (F.col("radius") * (1 + 1e-9) + 1e-9))
         return near.select("question_id", "cell", "n", best.alias("best"))
 
-    def read(self, chosen: DataFrame, queries: DataFrame) -> DataFrame:
-        """chosen (question_id, cell): question_id, chunk, doc, dist (less is better) of the vectors of these cells alone."""
+    def read(self, chosen: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+        """chosen (question_id, cell): question_id, chunk, doc, dist (less is better), rnk of the k best vectors of these cells, which alone are read."""
         cells = [r[0] for r in chosen.select("cell").distinct().collect()]  # MOST_CELLS at most
-        asked = chosen.join(queries, "question_id")
-        asked = F.broadcast(asked) if asked.count() <= FEW else asked
-        value = squared_distance("embedding", "query") if self.metric == "l2" else -dot("embedding", "query")
-        return self.vectors.where(F.col("cell").isin(cells)).join(asked, "cell").select("question_id", "chunk", "doc", F.round(value, 6).alias("dist"))
+        out = nearest(self.vectors.where(F.col("cell").isin(cells)), queries, k, self.metric, chosen)
+        return out if self.metric == "l2" else out.withColumn("dist", -F.col("dist"))
 
     def search(self, queries: DataFrame, k: int = 10, probes: int = 1) -> DataFrame:
         """queries (question_id, query), a stated set: the k nearest chunks of each, exactly: question_id, chunk, doc, dist, rnk.
@@ -115,12 +113,12 @@ class Index:
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         first = bounds.withColumns({"_r": F.row_number().over(order), "_before": before}).where((F.col("_r") <= probes) | (F.col("_before") < k)).select("question_id", "cell")
         first = written(first, "index-first")
-        found = written(_best(self.read(first, queries), k), "index-found")
+        found = written(self.read(first, queries, k), "index-found")
         limit = found.groupBy("question_id").agg(F.max("dist").alias("limit"), F.count(F.lit(1)).alias("got"))
         # Cells within the k-th distance, as distances are rounded.
         more = bounds.join(first, ["question_id", "cell"], "left_anti").join(limit, "question_id", "left")
         more = written(more.where((F.coalesce("got", F.lit(0)) < k) | (F.col("best") <= F.col("limit") + ROUNDING)).select("question_id", "cell"), "index-more")
-        out = _best(found.drop("rnk").unionByName(self.read(more, queries)), k)
+        out = _best(found.unionByName(self.read(more, queries, k)).drop("rnk"), k)
         self.cells_read = first.count() + more.count()
         return out if self.metric == "l2" else out.withColumn("dist", -F.col("dist"))
 

@@ -98,3 +98,37 @@ def test_contexts_without_time_have_the_graph(spark):
     assert got[1]["relevant_graphs"][0] == "Ada (P) | knows | Bob (P)" and "query_timestamp" not in got[1]
     assert [n["entity"] for n in got[1]["nodes_alias_information"]] == ["Ada"] and set(got[1]["relevant_passages"]) == {"p", "q", "r"}
     assert got[2]["relevant_graphs"] == [] and got[2]["relevant_passages"] == ["r", "q", "p"]
+
+
+def test_nearest_against_sorted_distances(spark):
+    """Ties, copies, null vectors and lengths that differ; blocks smaller than the table; cells; nulls last, as in SQL."""
+    random.seed(5)
+    rows = [(c, c // 2, None if c % 31 == 0 else [float(random.randrange(3)) for _ in range(2 if c % 29 == 0 else 3)], c % 4) for c in range(300)]
+    asked = [(q, None if q == 4 else [1.0, 0.0, 2.0][: 2 if q == 3 else 3]) for q in range(5)]
+    table = spark.createDataFrame(rows, "chunk int, doc int, embedding array<float>, cell int").repartition(3)
+    questions = spark.createDataFrame(asked, "question_id int, query array<float>")
+    chosen = [(q, c) for q in range(5) for c in range(4) if (q + c) % 3]
+
+    def plain(metric, k, cells):
+        out = []
+        for q, x in asked:
+            every = []
+            for c, d, v, cell in rows:
+                if cells is None or (q, cell) in cells:
+                    known = x is not None and v is not None and len(v) == len(x)
+                    value = (sum((a - b) ** 2 for a, b in zip(x, v)) if metric == "l2" else -sum(a * b for a, b in zip(x, v))) if known else 0.0
+                    every.append((not known, value, d, c))
+            out += [(q, c, d, None if lost else abs(s), n + 1) for n, (lost, s, d, c) in enumerate(sorted(every)[:k])]
+        return sorted(out)
+
+    whole = dense.ROWS, dense.QUERIES
+    try:
+        for dense.ROWS, dense.QUERIES in (whole, (7, 2)):
+            for metric, k, cells in (("l2", 4, None), ("ip", 4, None), ("l2", 290, None), ("l2", 5, chosen)):
+                given = None if cells is None else spark.createDataFrame(cells, "question_id int, cell int")
+                got = dense.nearest(table, questions, k, metric, given, most_queries=10 if metric == "l2" else 2)
+                assert sorted(tuple(r) for r in got.select("question_id", "chunk", "doc", "dist", "rnk").collect()) == plain(metric, k, cells)
+    finally:
+        dense.ROWS, dense.QUERIES = whole
+    ranked = dense.ranked(dense.distances(table, questions)).where("question_id = 0").orderBy("rnk").collect()
+    assert len(ranked) == 300 and ranked[0]["dist"] is not None and ranked[-1]["dist"] is None
