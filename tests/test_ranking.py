@@ -25,6 +25,18 @@ def test_places_against_a_count(spark):
     assert fusion.places(spark.createDataFrame(rows, schema), none).collect() == []
 
 
+def test_many_wanted_places_do_not_pass_the_driver(spark, monkeypatch):
+    """Beyond FEW nothing is sent to tasks; names as keys, questions that span ranges, questions without rows."""
+    random.seed(6)
+    rows = [(random.choice("aab"), (random.randrange(2), f"d{random.randrange(900):03}")) for _ in range(3000)]
+    wanted = [(random.choice("abc"), (random.randrange(2), f"d{random.randrange(900):03}")) for _ in range(500)]
+    schema = "question_id string, key struct<k:int,d:string>"
+    monkeypatch.setattr(fusion, "FEW", 40)
+    monkeypatch.setattr(fusion, "_places", None)
+    got = fusion.places(spark.createDataFrame(rows, schema).repartition(5), spark.createDataFrame(wanted, schema)).collect()
+    assert sorted((r[0], tuple(r[1]), r[2]) for r in got) == sorted({(q, k, sum(1 for p, x in rows if p == q and x < k)) for q, k in wanted})
+
+
 def plain_order(scored, q, docs):
     score = {d: s for p, d, s in scored if p == q}
     return sorted(docs, key=lambda d: (-round(score.get(d, 0.0), 9), d))
