@@ -144,3 +144,12 @@ def test_nearest_against_sorted_distances(spark):
         dense.ROWS, dense.QUERIES = whole
     ranked = dense.ranked(dense.distances(table, questions)).where("question_id = 0").orderBy("rnk").collect()
     assert len(ranked) == 300 and ranked[0]["dist"] is not None and ranked[-1]["dist"] is None
+
+
+def test_ranks_of_all_edges_are_not_made_by_one_window(spark):
+    """The only window is that over the ranges' counts."""
+    from tessera.plans import graph_queries
+    from tessera.plans.kg import Tables
+
+    plan = graph_queries.edge_rank_semantic(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "row_number" not in plan
