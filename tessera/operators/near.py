@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from ..sources.stages import written
 
 #: Vectors a block, pivots at most, and vectors of the sample for each pivot.
 BLOCK, MOST_PIVOTS, SAMPLE = 2000, 1024, 16
+#: Vectors a block where cells leave out less than half of the pairs, which makes fewer copies of vectors; rows of a product at a time.
+WIDE, STRIP = 8000, 512
 
 
 @dataclass(frozen=True)
@@ -44,8 +47,10 @@ class Cells:
 
 
 def unit_rows(column) -> np.ndarray:
-    v = np.array(column.to_pylist(), dtype=np.float64)
-    v = v.reshape(len(v), -1)
+    if len(set(pc.unique(pc.list_value_length(column)).to_pylist())) > 1:
+        raise ValueError("vectors differ in length")
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    v = v.reshape(len(column), -1)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
@@ -68,7 +73,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def celled(rows: DataFrame, eps: float, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> Cells:
     """rows (id, embedding) by home and guest cells. Null vectors are left out."""
     kind = rows.schema["id"].dataType.simpleString()
-    vectors = written(rows.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("v")), "near")
+    number = "float" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # a float is that double, in half the bytes
+    vectors = written(rows.where("embedding IS NOT NULL").select("id", F.col("embedding").cast(f"array<{number}>").alias("v")), "near")
     n = vectors.count()
     count = min(most_pivots, -(-n // block))
     if count <= 1:
@@ -83,7 +89,7 @@ def celled(rows: DataFrame, eps: float, block: int = BLOCK, most_pivots: int = M
             at = d.argmin(1)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at])], ["id", "v", "home", "dist"])
 
-    at_home = written(vectors.mapInArrow(home, f"id {kind}, v array<double>, home int, dist double"), "near")
+    at_home = written(vectors.mapInArrow(home, f"id {kind}, v array<{number}>, home int, dist double"), "near")
     # One row a pivot.
     found = at_home.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()
     low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
@@ -100,19 +106,21 @@ def celled(rows: DataFrame, eps: float, block: int = BLOCK, most_pivots: int = M
             may = (plane <= radius) & (d - radius <= high) & (d + radius >= low) & (np.arange(len(pivots)) > at[:, None])
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([np.flatnonzero(x) for x in may], pa.list_(pa.int32()))], ["id", "v", "home", "guest"])
 
-    dealt = written(at_home.mapInArrow(guests, f"id {kind}, v array<double>, home int, guest array<int>"), "near")
+    dealt = written(at_home.mapInArrow(guests, f"id {kind}, v array<{number}>, home int, guest array<int>"), "near")
     visits = dict(dealt.select(F.explode("guest").alias("cell")).groupBy("cell").agg(F.count(F.lit(1))).collect())
     return Cells(dealt, [(r["home"], r["n"], visits.get(r["home"], 0)) for r in found])
 
 
-def near_pairs(rows: DataFrame, eps: float, forest: bool = False, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+def near_pairs(rows: DataFrame, eps: float, forest: bool = False, block: int = BLOCK, most_pivots: int = MOST_PIVOTS, wide: int = WIDE) -> DataFrame:
     """rows (id, embedding): pairs a < b of cosine distance eps or less.
 
-    Each pair of blocks is a matrix product. With `forest` it gives a spanning forest of its pairs alone, fewer than its vectors, which has the
+    Each pair of blocks is a matrix product. Every vector goes to all blocks that it meets, so that where most pairs are compared blocks are `wide`. With `forest` it gives a spanning forest of its pairs alone, fewer than its vectors, which has the
     same components. Repeated ids are rows each but no pair with themselves. Null vectors have no pair, vectors of zeros distance 1 to all.
     """
     spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
     cells = celled(rows, eps, block, most_pivots)
+    if wide > block and len(cells.counts) > 1 and cells.compared * 2 > cells.all_pairs:
+        cells, block = celled(rows, eps, wide, most_pivots), wide
     blocks = spark.createDataFrame([(c, -(-n // block), -(-g // block)) for c, n, g in cells.counts], "cell int, own int, others int")
     salt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     none = F.array().cast("array<int>")
@@ -128,7 +136,13 @@ def near_pairs(rows: DataFrame, eps: float, forest: bool = False, block: int = B
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         v = unit_rows(group.column("v").combine_chunks())
         left, right = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
-        a, b = np.nonzero(np.round(v[left] @ v[right].T, 6) >= 1 - eps)
+        found = []
+        for at_row in range(0, len(left), STRIP):
+            likeness = v[left[at_row : at_row + STRIP]] @ v[right].T
+            a, b = np.nonzero(likeness >= 1 - eps - 1e-5)  # few are left to be rounded
+            near = np.round(likeness[a, b], 6) >= 1 - eps
+            found.append((a[near] + at_row, b[near]))
+        a, b = (np.concatenate([np.zeros(0, int), *c]) for c in (zip(*found) if found else ((), ())))
         x, y = ids[left[a]], ids[right[b]]
         keep = x < y if lo == hi else x != y
         x, y = x[keep], y[keep]

@@ -54,3 +54,18 @@ def test_few_or_no_vectors(spark):
     assert sorted(map(tuple, near.near_pairs(twice, 0.1).collect())) == [(1, 2), (1, 2)]
     named = spark.createDataFrame([("b", [1.0]), ("a", [3.0])], "id string, embedding array<double>")
     assert [tuple(r) for r in near.near_pairs(named, 0.1, block=1).collect()] == [("a", "b")]
+
+
+def test_wide_blocks_where_cells_leave_out_little(spark, monkeypatch):
+    """Vectors all about: blocks become wide and products are made in strips, floats stay floats; the pairs are those of all."""
+    monkeypatch.setattr(near, "STRIP", 7)
+    v = np.random.default_rng(3).normal(size=(400, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, embedding array<float>")
+    assert near.celled(rows, 0.6, block=20).rows.schema["v"].dataType.simpleString() == "array<float>"
+    seen = []
+    plain = near.celled
+    monkeypatch.setattr(near, "celled", lambda rows, eps, block, most: seen.append(block) or plain(rows, eps, block, most))
+    got = {tuple(r) for r in near.near_pairs(rows, 0.6, block=20, wide=90).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(np.round(u @ u.T, 6) >= 0.4, 1))
+    assert got == set(zip(a.tolist(), b.tolist())) and seen == [20, 90]
