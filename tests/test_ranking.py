@@ -153,3 +153,12 @@ def test_ranks_of_all_edges_are_not_made_by_one_window(spark):
 
     plan = graph_queries.edge_rank_semantic(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "row_number" not in plan
+
+
+def test_the_ranking_by_price_is_not_made_by_one_window(spark):
+    from tessera.plans import graph_queries
+    from tessera.plans.kg import Tables
+
+    ranks = graph_queries.text_rank(Tables(spark, "/root/testdata/sf0.001"))
+    assert "row_number" not in ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.rnk for r in ranks.collect()) == list(range(1, ranks.count() + 1))
