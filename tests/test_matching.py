@@ -83,3 +83,13 @@ def test_a_very_long_text(spark):
     text = "new york city hall " * 40_000
     got = matching.longest(matching.word_spans(spark.createDataFrame([(1, text)], TEXTS), spark.createDataFrame([(x,) for x in LABELS], "label string")))
     assert got.groupBy("label").count().orderBy("label").collect() == [("hall", 40_000), ("new york city", 40_000)]
+
+
+def test_words_of_labels_are_walked_without_a_shuffle(spark):
+    texts = [(1, "a b c a b"), (2, "A, b; d"), (3, ""), (4, None), (5, "c"), (6, "b c a")]
+    labels = spark.createDataFrame([(x,) for x in ["a b", "a b c", "c", "b", "a  b", "", " a", "c a b", "b c a b x", "b"]], "label string")
+    want = {(1, 0, 2, "a b"), (1, 3, 2, "a b"), (1, 0, 3, "a b c"), (1, 2, 1, "c"), (1, 1, 1, "b"), (1, 4, 1, "b"), (1, 2, 3, "c a b"), (2, 0, 2, "a b"), (2, 1, 1, "b"), (5, 0, 1, "c"), (6, 0, 1, "b"), (6, 1, 1, "c")}
+    for part in (None, 2):
+        spans = matching.word_spans(spark.createDataFrame(texts, TEXTS), labels, part)
+        assert sorted(map(tuple, spans.collect())) == sorted(want)
+        assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
